@@ -23,7 +23,7 @@ from gridlens.plans.tables import (
     Tables, events_with_nulls, status_table, usage_table,
 )
 from gridlens.plans.view import View
-from gridlens.sources.export import json_rows
+from gridlens.sources.export import JSON_OPTIONS, json_rows
 from gridlens.sources.json_stream import parse_json_lines
 from gridlens.sources.tables import latest_per_key, newest_rows, patch_by_row_id
 from gridlens.types import conform
@@ -139,3 +139,459 @@ def pivot_matrix(spark, d):
     v = View(Tables(spark, d).lineitem,
              {"group_by": ["l_returnflag"], "split_by": ["l_linestatus"], "columns": ["l_quantity"]})
     return rnd(v.to_df(), ["F|l_quantity", "O|l_quantity"])
+
+
+# ============================================================ table writes
+LATEST_EVENT_SQL = """SELECT * FROM events QUALIFY row_number() OVER
+  (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+@query("keyed_latest", LATEST_EVENT_SQL)
+def keyed_latest(spark, d):
+    """Upsert by key = newest row per key (events keyed by user)."""
+    return latest_per_key(Tables(spark, d).events, "user_id", EVENTS_ORDER)
+
+
+@query("keyed_partial", f"""
+SELECT user_id,
+  arg_max(event_id, (ts, event_id)) AS event_id,
+  max(ts) AS ts,
+  arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IS NOT NULL) AS event_type,
+  arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value,
+  arg_max(props, (ts, event_id)) FILTER (WHERE props IS NOT NULL) AS props
+FROM {EVENTS_WITH_NULLS_SQL} GROUP BY user_id""")
+def keyed_partial(spark, d):
+    """T4: partial upserts - a null cell is absent and keeps the older value."""
+    log = events_with_nulls(Tables(spark, d))
+    return latest_per_key(log, "user_id", EVENTS_ORDER, nulls="keep",
+                          keep=["event_id", "event_type", "value", "props"])
+
+
+@query("append_table", """
+SELECT event_id, ts, user_id, event_type, value, props,
+       row_number() OVER (ORDER BY ts, event_id) AS _row_id FROM events""")
+def append_table(spark, d):
+    """T5: an append table (two arrival batches) with its implicit row number."""
+    e = Tables(spark, d).events
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    log = e.where(F.col("ts") < cut).unionByName(e.where(F.col("ts") >= cut))
+    return global_rank(log, [F.col("ts").asc(), F.col("event_id").asc()], "_row_id")
+
+
+@query("patch_row_id", """
+SELECT event_id AS _row_id, ts, user_id, event_type,
+       CASE WHEN event_type = 'error' THEN -value ELSE value END AS value, props FROM events""")
+def patch_row_id(spark, d):
+    """Cell patches addressed by the implicit row number."""
+    e = Tables(spark, d).events
+    base = e.withColumnRenamed("event_id", "_row_id").withColumn("_pos", F.lit(0))
+    patches = (e.where(F.col("event_type") == "error")
+               .select(F.col("event_id").alias("_row_id"), (-F.col("value")).alias("value"))
+               .withColumn("_pos", F.lit(1)))
+    return patch_by_row_id(base, patches, row_id="_row_id", seq="_pos")
+
+
+@query("capped_table", "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def capped_table(spark, d):
+    """A table capped at 100 rows keeps the newest 100."""
+    return newest_rows(Tables(spark, d).events, EVENTS_ORDER, 100)
+
+
+@query("remove_keys", f"""
+SELECT * FROM ({LATEST_EVENT_SQL}) WHERE event_type <> 'error'""")
+def remove_keys_q(spark, d):
+    """An ``error`` event deletes its user's row; a later event re-inserts."""
+    e = Tables(spark, d).events
+    log = e.withColumn("_op", F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")))
+    out = latest_per_key(log, "user_id", EVENTS_ORDER, op_col="_op",
+                         keep=["event_id", "ts", "event_type", "value", "props"])
+    return out.select(*e.columns)
+
+
+@query("remove_keys_anti", """
+SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def remove_keys_anti(spark, d):
+    """Deleting a set of keys is an anti join (broadcast after a size check)."""
+    t = Tables(spark, d)
+    keys = t.orders.where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("c_custkey"))
+    return remove_keys(t.customer, keys, "c_custkey")
+
+
+@query("replace_table", """
+SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER
+  (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def replace_table(spark, d):
+    """replace() clears the table, then applies the new batch."""
+    e = Tables(spark, d).events
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    log = (e.where(F.col("ts") < cut).withColumn("batch", F.lit(1))
+           .unionByName(e.where(F.col("ts") >= cut).withColumn("batch", F.lit(2))))
+    cleared_at = 2  # replace() is clear() + update() at batch 2
+    live = log.where(F.col("batch") >= cleared_at).drop("batch")
+    return latest_per_key(live, "user_id", EVENTS_ORDER)
+
+
+@query("conform_cast", """
+SELECT TRY_CAST(event_id AS BIGINT) AS event_id, TRY_CAST(ts AS TIMESTAMP) AS ts,
+  TRY_CAST(value AS DOUBLE) AS value,
+  CASE WHEN flag IS NULL OR lower(trim(flag)) IN ('null', 'undefined') THEN NULL
+       ELSE lower(trim(flag)) = 'true' END AS flag,
+  CASE WHEN lower(trim(kind)) IN ('null', 'undefined') THEN NULL ELSE kind END AS kind,
+  CAST(NULL AS VARCHAR) AS missing
+FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts,
+        CASE WHEN event_type = 'error' THEN 'abc' ELSE CAST(value AS VARCHAR) END AS value,
+        CASE event_type WHEN 'click' THEN 'TRUE' WHEN 'view' THEN 'false' WHEN 'error' THEN 'null'
+                        ELSE event_type END AS flag,
+        CASE WHEN event_type = 'signup' THEN 'undefined' ELSE event_type END AS kind,
+        props AS extra FROM events)""")
+def conform_cast(spark, d):
+    """A text batch conformed to the table schema (extra field drops, missing is null)."""
+    e = Tables(spark, d).events
+    raw = e.select(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+        F.when(F.col("event_type") == "error", F.lit("abc")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("event_type") == "click", F.lit("TRUE")).when(F.col("event_type") == "view", F.lit("false"))
+         .when(F.col("event_type") == "error", F.lit("null")).otherwise(F.col("event_type")).alias("flag"),
+        F.when(F.col("event_type") == "signup", F.lit("undefined")).otherwise(F.col("event_type")).alias("kind"),
+        F.col("props").alias("extra"))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("flag", T.BooleanType()),
+                           T.StructField("kind", T.StringType()), T.StructField("missing", T.StringType())])
+    return conform(raw, schema)
+
+
+@query("port_counts", """
+WITH log AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 2 END AS _port FROM events),
+latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT l._port, l.n_rows, coalesce(k.n_keys, 0) AS n_keys
+FROM (SELECT _port, count(*) AS n_rows FROM log GROUP BY _port) l
+LEFT JOIN (SELECT _port, count(*) AS n_keys FROM latest GROUP BY _port) k USING (_port)""")
+def port_counts(spark, d):
+    """Rows per input port, and keys whose newest change came from each port."""
+    e = Tables(spark, d).events
+    log = e.withColumn("_port", F.when(F.col("event_type").isin("click", "view"), F.lit(1)).otherwise(F.lit(2)))
+    latest = latest_per_key(log, "user_id", EVENTS_ORDER)
+    rows = log.groupBy("_port").agg(F.count(F.lit(1)).alias("n_rows"))
+    keys = latest.groupBy("_port").agg(F.count(F.lit(1)).alias("n_keys"))
+    return (rows.join(keys, "_port", "left")
+            .select("_port", "n_rows", F.coalesce("n_keys", F.lit(0)).cast("long").alias("n_keys")))
+
+
+@query("json_rows", """
+SELECT json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type, 'value', value)::VARCHAR AS json
+FROM events""")
+def json_rows_q(spark, d):
+    """Rows as JSON object strings."""
+    e = Tables(spark, d).events.select("event_id", "user_id", "event_type", "value")
+    return json_rows(e)
+
+
+# ============================================================ sources
+@query("src_json_parse", "SELECT * FROM events")
+def src_json_parse(spark, d):
+    """JSON lines parsed with a fixed schema (round trip of ``events``)."""
+    e = Tables(spark, d).events
+    lines = json_rows(e, name="value")
+    return parse_json_lines(lines, e.schema)
+
+
+@query("src_json_corrupt", """
+SELECT count(*) AS n_lines,
+       count(*) FILTER (WHERE event_type = 'error') AS n_corrupt,
+       count(*) FILTER (WHERE event_type <> 'error') AS n_parsed FROM events""")
+def src_json_corrupt(spark, d):
+    """Malformed lines give null rows and are kept in ``_corrupt_record``."""
+    e = Tables(spark, d).events
+    lines = e.select(F.when(F.col("event_type") == "error", F.concat(F.lit("not json "), F.col("props")))
+                     .otherwise(F.to_json(F.struct(*e.columns), JSON_OPTIONS)).alias("value"))
+    p = parse_json_lines(lines, e.schema, corrupt_col="_corrupt_record")
+    return p.agg(F.count(F.lit(1)).alias("n_lines"),
+                 F.count("_corrupt_record").alias("n_corrupt"),
+                 F.count("event_id").alias("n_parsed"))
+
+
+# ============================================================ functions (F1-F8)
+from gridlens.functions.expressions import (  # noqa: E402
+    BUCKET_UNITS, bucket, indexof, match, match_all, replace, replace_all, search,
+)
+
+
+@query("fn_bucket", """
+SELECT event_id, date_trunc('second', ts) AS b_s, date_trunc('minute', ts) AS b_m,
+  date_trunc('hour', ts) AS b_h, date_trunc('day', ts) AS b_d, date_trunc('month', ts) AS b_mo,
+  date_trunc('year', ts) AS b_y FROM events""")
+def fn_bucket(spark, d):
+    """all six bucket units."""
+    e = Tables(spark, d).events
+    names = {"s": "b_s", "m": "b_m", "h": "b_h", "d": "b_d", "M": "b_mo", "y": "b_y"}
+    return e.select("event_id", *[bucket("ts", u).cast("timestamp_ntz").alias(names[u]) for u in BUCKET_UNITS])
+
+
+@query("fn_match", """
+SELECT p_partkey, regexp_matches(p_name, 'ring|wid.et') AS m FROM part""")
+def fn_match(spark, d):
+    """partial regular-expression match."""
+    return Tables(spark, d).part.select("p_partkey", match("p_name", "ring|wid.et").alias("m"))
+
+
+@query("fn_match_all", """
+SELECT p_partkey, regexp_full_match(p_name, '(small|large) [a-z]+') AS m FROM part""")
+def fn_match_all(spark, d):
+    """whole-string regular-expression match."""
+    return Tables(spark, d).part.select("p_partkey", match_all("p_name", "(small|large) [a-z]+").alias("m"))
+
+
+@query("fn_search", """
+SELECT p_partkey, CASE WHEN regexp_matches(p_name, '([a-z]+) (bolt|gear)')
+  THEN regexp_extract(p_name, '([a-z]+) (bolt|gear)', 1) END AS s FROM part""")
+def fn_search(spark, d):
+    """first capture group of the first match, null without a match."""
+    return Tables(spark, d).part.select("p_partkey", search("p_name", "([a-z]+) (bolt|gear)").alias("s"))
+
+
+@query("fn_indexof", """
+SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'o[a-z]')
+  THEN CAST(length(regexp_extract(p_name, '^(.*?)(?:o[a-z])', 1)) + 1 AS INTEGER) END AS i FROM part""")
+def fn_indexof(spark, d):
+    """1-based position of the first match, null without a match."""
+    return Tables(spark, d).part.select("p_partkey", indexof("p_name", "o[a-z]").alias("i"))
+
+
+@query("fn_replace", """
+SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '$0') AS r FROM part""")
+def fn_replace(spark, d):
+    """replace the first match; ``$`` in the replacement is literal."""
+    return Tables(spark, d).part.select("p_partkey", replace("p_name", "[aeiou]", "$0").alias("r"))
+
+
+@query("fn_replace_all", """
+SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r FROM part""")
+def fn_replace_all(spark, d):
+    """replace every match."""
+    return Tables(spark, d).part.select("p_partkey", replace_all("p_name", "[aeiou]", "_").alias("r"))
+
+
+@query("fn_expression_text", """
+SELECT p_partkey, date_trunc('year', TIMESTAMP '2024-03-05 10:00:00') AS y,
+  regexp_matches(p_name, 'ring') AS has_ring, regexp_replace(p_name, 'l', 'L', 'g') AS up_l,
+  CASE WHEN regexp_matches(p_name, '(\\w+) ring') THEN regexp_extract(p_name, '(\\w+) ring', 1) END AS ring_kind,
+  p_size * 2 AS double_size, 'x' AS lit_x, true AS yes
+FROM part""")
+def fn_expression_text(spark, d):
+    """V6/F1-F8 inside expression text: view-language functions as SQL functions."""
+    exprs = {
+        "y": "bucket(TIMESTAMP '2024-03-05 10:00:00', 'y')",
+        "has_ring": "match(\"p_name\", 'ring')",
+        "up_l": "replace_all(\"p_name\", 'l', 'L')",
+        "ring_kind": "search(\"p_name\", '(\\\\w+) ring')",
+        "double_size": '"p_size" * 2',
+        "lit_x": "'x'",
+        "yes": "true",
+    }
+    v = View(Tables(spark, d).part, {"columns": ["p_partkey"] + list(exprs), "expressions": exprs})
+    return v.to_df().withColumn("y", F.col("y").cast("timestamp_ntz"))
+
+
+# ============================================================ filters
+def _filtered(t: DataFrame, flt, op="and", columns=None) -> DataFrame:
+    cfg = {"filter": flt, "filter_op": op}
+    if columns is not None:
+        cfg["columns"] = columns
+    return View(t, cfg).to_df()
+
+
+@query("filter_compare", "SELECT * FROM lineitem WHERE l_quantity > 30 AND l_discount <= 0.05")
+def filter_compare(spark, d):
+    """Number comparisons (pushed to the Parquet scan)."""
+    return _filtered(Tables(spark, d).lineitem, [["l_quantity", ">", 30], ["l_discount", "<=", 0.05]])
+
+
+@query("filter_datetime", """
+SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'""")
+def filter_datetime(spark, d):
+    """Datetime operands given as text are parsed first."""
+    return _filtered(Tables(spark, d).orders, [["o_orderdate", ">=", "1998-01-01"],
+                                                ["o_orderdate", "<", "1999-01-01T00:00:00"]])
+
+
+@query("filter_equal", "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'")
+def filter_equal(spark, d):
+    """Equality and inequality; a null operand would be skipped (M9)."""
+    return _filtered(Tables(spark, d).orders, [["o_orderpriority", "==", "1-URGENT"],
+                                                ["o_orderstatus", "!=", "F"],
+                                                ["o_orderstatus", "==", None]])
+
+
+@query("filter_null", f"SELECT * FROM {EVENTS_WITH_NULLS_SQL} WHERE value IS NULL OR props IS NULL")
+def filter_null(spark, d):
+    """Is null / is not null (here joined by ``or``)."""
+    return _filtered(events_with_nulls(Tables(spark, d)), [["value", "is null"], ["props", "is null"]], "or")
+
+
+@query("filter_in", "SELECT * FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')")
+def filter_in(spark, d):
+    """In."""
+    return _filtered(Tables(spark, d).customer, [["c_mktsegment", "in", ["AUTOMOBILE", "MACHINERY"]]])
+
+
+@query("filter_not_in", "SELECT * FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'MACHINERY')")
+def filter_not_in(spark, d):
+    """Not in."""
+    return _filtered(Tables(spark, d).customer, [["c_mktsegment", "not in", ["AUTOMOBILE", "MACHINERY"]]])
+
+
+@query("filter_text", """
+SELECT * FROM part WHERE contains(p_name, 'o') AND starts_with(p_type, 'E') AND ends_with(p_brand, '2')""")
+def filter_text(spark, d):
+    """P5: contains, begins with, ends with (case-sensitive)."""
+    return _filtered(Tables(spark, d).part, [["p_name", "contains", "o"], ["p_type", "begins with", "E"],
+                                              ["p_brand", "ends with", "2"]])
+
+
+@query("filter_boolean", """
+SELECT p_partkey, p_size, big FROM (SELECT *, p_size > 25 AS big FROM part) WHERE (big AND true) AND (big OR false)""")
+def filter_boolean(spark, d):
+    """``&`` / ``|`` against a boolean column."""
+    v = View(Tables(spark, d).part, {"expressions": {"big": '"p_size" > 25'}, "columns": ["p_partkey", "p_size", "big"],
+                                     "filter": [["big", "&", True], ["big", "|", False]]})
+    return v.to_df()
+
+
+@query("filter_and", "SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_tax >= 0.04")
+def filter_and(spark, d):
+    """Conjunction (default ``filter_op``)."""
+    return _filtered(Tables(spark, d).lineitem, [["l_returnflag", "==", "R"], ["l_tax", ">=", 0.04]], "and")
+
+
+@query("filter_or", "SELECT * FROM lineitem WHERE l_returnflag = 'R' OR l_tax >= 0.07")
+def filter_or(spark, d):
+    """Disjunction."""
+    return _filtered(Tables(spark, d).lineitem, [["l_returnflag", "==", "R"], ["l_tax", ">=", 0.07]], "or")
+
+
+@query("filter_expr", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * l_discount AS disc_amount
+FROM lineitem WHERE l_extendedprice * l_discount > 5000""")
+def filter_expr(spark, d):
+    """Filter on a computed column."""
+    v = View(Tables(spark, d).lineitem,
+             {"expressions": {"disc_amount": '"l_extendedprice" * "l_discount"'},
+              "columns": LINEITEM_KEY + ["disc_amount"], "filter": [["disc_amount", ">", 5000]]})
+    return v.to_df()
+
+
+# ============================================================ grouping and pivot
+@query("group_total", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth,
+       round(sum(o_totalprice), 2) AS o_totalprice, count(o_orderkey) AS o_orderkey
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def group_total(spark, d):
+    """B1: one level with a grand total row."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "columns": ["o_totalprice", "o_orderkey"],
+                                        "aggregates": {"o_orderkey": "count"}})
+    return rnd(v.to_df(), ["o_totalprice"])
+
+
+@query("group_three_levels", f"""
+SELECT c_mktsegment, c_nationkey, bal_sign, {depth_sql(['c_mktsegment', 'c_nationkey', 'bal_sign'])} AS _depth,
+       round(avg(c_acctbal), 6) AS c_acctbal, count(c_custkey) AS c_custkey
+FROM (SELECT *, CAST(sign(c_acctbal) AS INTEGER) AS bal_sign FROM customer)
+GROUP BY ROLLUP (c_mktsegment, c_nationkey, bal_sign)""")
+def group_three_levels(spark, d):
+    """B1: three levels (one a computed column) with every subtotal."""
+    v = View(Tables(spark, d).customer,
+             {"group_by": ["c_mktsegment", "c_nationkey", "bal_sign"], "columns": ["c_acctbal", "c_custkey"],
+              "expressions": {"bal_sign": 'CAST(signum("c_acctbal") AS INT)'},
+              "aggregates": {"c_acctbal": "avg", "c_custkey": "count"}})
+    return rnd(v.to_df(), ["c_acctbal"], 6)
+
+
+@query("group_leaves", """
+SELECT o_orderstatus, o_orderpriority, 2 AS _depth, round(sum(o_totalprice), 2) AS o_totalprice
+FROM orders GROUP BY o_orderstatus, o_orderpriority""")
+def group_leaves(spark, d):
+    """B2: leaves only (a plain groupBy, no subtotal rows)."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus", "o_orderpriority"], "columns": ["o_totalprice"],
+                                        "leaves_only": True})
+    return rnd(v.to_df(), ["o_totalprice"])
+
+
+@query("group_depth", f"""
+SELECT o_orderstatus, {depth_sql(['o_orderstatus'])} AS _depth, round(sum(o_totalprice), 2) AS o_totalprice
+FROM orders GROUP BY ROLLUP (o_orderstatus)""")
+def group_depth(spark, d):
+    """group_by_depth / set_depth keep levels up to the depth."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus", "o_orderpriority"], "columns": ["o_totalprice"]})
+    return rnd(v.set_depth(1).to_df(), ["o_totalprice"])
+
+
+PIVOT_TOTAL_COLS = ", ".join(
+    f"round(sum(o_totalprice) FILTER (WHERE o_orderstatus = '{s}'), 2) AS \"{s}|o_totalprice\", "
+    f"count(o_orderkey) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}|o_orderkey\"" for s in "FOP")
+
+
+@query("pivot_total", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth, {PIVOT_TOTAL_COLS}
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def pivot_total(spark, d):
+    """group_by + split_by with subtotals (conditional aggregates under rollup)."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "split_by": ["o_orderstatus"],
+                                        "columns": ["o_totalprice", "o_orderkey"],
+                                        "aggregates": {"o_orderkey": "count"}})
+    return rnd(v.to_df(), [f"{s}|o_totalprice" for s in "FOP"])
+
+
+@query("split_only", """
+SELECT CASE WHEN l_linestatus = 'F' THEN l_orderkey END AS "F|l_orderkey",
+       CASE WHEN l_linestatus = 'F' THEN l_quantity END AS "F|l_quantity",
+       CASE WHEN l_linestatus = 'O' THEN l_orderkey END AS "O|l_orderkey",
+       CASE WHEN l_linestatus = 'O' THEN l_quantity END AS "O|l_quantity" FROM lineitem""")
+def split_only(spark, d):
+    """split_by without group_by: flat rows spread over split columns."""
+    v = View(Tables(spark, d).lineitem, {"split_by": ["l_linestatus"], "columns": ["l_orderkey", "l_quantity"]})
+    return v.to_df()
+
+
+PIVOT_TWO_COLS = ", ".join(
+    f"round(sum(l_quantity) FILTER (WHERE l_returnflag = '{r}' AND l_linestatus = '{s}'), 2) AS \"{r}|{s}|l_quantity\""
+    for r in "ANR" for s in "FO")
+
+
+@query("pivot_two_levels", f"""
+SELECT ship_year, {depth_sql(['ship_year'])} AS _depth, {PIVOT_TWO_COLS}
+FROM (SELECT *, year(l_shipdate) AS ship_year FROM lineitem) GROUP BY ROLLUP (ship_year)""")
+def pivot_two_levels(spark, d):
+    """Two split_by columns; column paths join values with ``|``."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["ship_year"], "split_by": ["l_returnflag", "l_linestatus"],
+                                          "columns": ["l_quantity"], "expressions": {"ship_year": 'year("l_shipdate")'}})
+    out = v.to_df()
+    return rnd(out, [c for c in out.columns if c.endswith("|l_quantity")])
+
+
+@query("group_expanded", f"""
+SELECT * FROM (
+  SELECT o_orderstatus, o_orderpriority, {depth_sql(['o_orderstatus', 'o_orderpriority'])} AS _depth,
+         count(o_orderkey) AS o_orderkey
+  FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority))
+WHERE _depth < 2 OR o_orderstatus IN ('F', 'O')""")
+def group_expanded(spark, d):
+    """Only rows whose parents are expanded (F and O open, P collapsed)."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus", "o_orderpriority"], "columns": ["o_orderkey"],
+                                        "aggregates": {"o_orderkey": "count"}})
+    v = v.expand(("F",), ("O",), ("P",)).collapse(("P",))
+    return v.to_df()
+
+
+@query("row_path", f"""
+SELECT o_orderstatus, o_orderpriority, {depth_sql(['o_orderstatus', 'o_orderpriority'])} AS _depth,
+  array_to_string(list_slice([o_orderstatus, o_orderpriority], 1,
+                  {depth_sql(['o_orderstatus', 'o_orderpriority'])}), '|') AS row_path,
+  count(o_orderkey) AS o_orderkey
+FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def row_path_q(spark, d):
+    """The row path, root to leaf (shown joined by ``|``)."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus", "o_orderpriority"], "columns": ["o_orderkey"],
+                                        "aggregates": {"o_orderkey": "count"}})
+    out = v.to_df(path=True)
+    return out.withColumn("row_path", F.array_join(ROW_PATH, "|")).drop(ROW_PATH)

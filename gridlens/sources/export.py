@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Timestamps keep their microseconds in JSON text.
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def json_rows(df: DataFrame, *, ignore_null_fields: bool = True, name: str = "json") -> DataFrame:
     """Each row as one JSON object string.
 
@@ -13,7 +20,7 @@ def json_rows(df: DataFrame, *, ignore_null_fields: bool = True, name: str = "js
     the object (it then reads as absent downstream), with False it is written
     as ``null``.
     """
-    opts = {"ignoreNullFields": str(ignore_null_fields).lower()}
+    opts = dict(JSON_OPTIONS, ignoreNullFields=str(ignore_null_fields).lower())
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), opts).alias(name))
 
 

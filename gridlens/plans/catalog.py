@@ -595,3 +595,222 @@ def row_path_q(spark, d):
                                         "aggregates": {"o_orderkey": "count"}})
     out = v.to_df(path=True)
     return out.withColumn("row_path", F.array_join(ROW_PATH, "|")).drop(ROW_PATH)
+
+
+# ============================================================ aggregates
+def _grouped(t: DataFrame, group_by, aggregates: dict, *, expressions=None, order=None, index=None,
+             columns=None) -> DataFrame:
+    cfg = {"group_by": group_by, "columns": columns or list(aggregates), "aggregates": aggregates}
+    if expressions:
+        cfg["expressions"] = expressions
+    return View(t, cfg, order=order, index=index).to_df()
+
+
+@query("agg_any", f"""
+SELECT event_type, {depth_sql(['event_type'])} AS _depth,
+       arg_min(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value
+FROM {EVENTS_WITH_NULLS_SQL} GROUP BY ROLLUP (event_type)""")
+def agg_any(spark, d):
+    """A1: any = a non-null value, made repeatable (the earliest by arrival)."""
+    return _grouped(events_with_nulls(Tables(spark, d)), ["event_type"], {"value": "any"}, order=EVENTS_ORDER)
+
+
+@query("agg_mean", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth,
+       round(avg(o_totalprice), 6) AS o_totalprice, round(avg(o_totalprice), 6) AS price2
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def agg_mean(spark, d):
+    """Avg and mean."""
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "avg", "price2": "mean"},
+                   expressions={"price2": '"o_totalprice"'})
+    return rnd(out, ["o_totalprice", "price2"], 6)
+
+
+@query("agg_abs", f"""
+SELECT c_mktsegment, {depth_sql(['c_mktsegment'])} AS _depth,
+       round(abs(sum(c_acctbal)), 2) AS c_acctbal, round(sum(abs(c_acctbal)), 2) AS bal2
+FROM customer GROUP BY ROLLUP (c_mktsegment)""")
+def agg_abs(spark, d):
+    """Abs sum and sum abs on a column with negatives."""
+    out = _grouped(Tables(spark, d).customer, ["c_mktsegment"], {"c_acctbal": "abs sum", "bal2": "sum abs"},
+                   expressions={"bal2": '"c_acctbal"'})
+    return rnd(out, ["c_acctbal", "bal2"])
+
+
+@query("agg_count", f"""
+SELECT event_type, {depth_sql(['event_type'])} AS _depth, count(value) AS value, count(props) AS props
+FROM {EVENTS_WITH_NULLS_SQL} GROUP BY ROLLUP (event_type)""")
+def agg_count(spark, d):
+    """A4: count skips null cells."""
+    return _grouped(events_with_nulls(Tables(spark, d)), ["event_type"], {"value": "count", "props": "count"})
+
+
+@query("agg_distinct_count", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth,
+       count(DISTINCT o_custkey) AS o_custkey, count(DISTINCT o_orderstatus) AS o_orderstatus
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def agg_distinct_count(spark, d):
+    """A5: distinct count, recomputed on every subtotal from base rows."""
+    return _grouped(Tables(spark, d).orders, ["o_orderpriority"],
+                    {"o_custkey": "distinct count", "o_orderstatus": "distinct count"})
+
+
+@query("agg_distinct_leaf", f"""
+SELECT o_custkey, {depth_sql(['o_custkey'])} AS _depth,
+  CASE WHEN GROUPING(o_custkey) = 0 AND min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS o_orderstatus
+FROM orders GROUP BY ROLLUP (o_custkey)""")
+def agg_distinct_leaf(spark, d):
+    """The single distinct value on leaf rows; null on subtotals."""
+    return _grouped(Tables(spark, d).orders, ["o_custkey"], {"o_orderstatus": "distinct leaf"})
+
+
+@query("agg_dominant", f"""
+WITH base AS (SELECT user_id, event_type FROM events),
+sets AS (
+  SELECT user_id, 1 AS _depth, event_type FROM base
+  UNION ALL SELECT NULL, 0, event_type FROM base),
+counts AS (SELECT user_id, _depth, event_type, count(*) AS n FROM sets WHERE event_type IS NOT NULL
+           GROUP BY user_id, _depth, event_type),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, _depth ORDER BY n DESC, event_type) AS rk FROM counts)
+SELECT user_id, CAST(_depth AS INTEGER) AS _depth, event_type FROM ranked WHERE rk = 1""")
+def agg_dominant(spark, d):
+    """Most frequent value; ties go to the smallest."""
+    return _grouped(Tables(spark, d).events, ["user_id"], {"event_type": "dominant"})
+
+
+@query("agg_first_last_index", f"""
+SELECT event_type, {depth_sql(['event_type'])} AS _depth,
+  arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS value,
+  arg_max(user_id, event_id) FILTER (WHERE user_id IS NOT NULL) AS user_id
+FROM events GROUP BY ROLLUP (event_type)""")
+def agg_first_last_index(spark, d):
+    """First by index and last by index (index = event_id)."""
+    return _grouped(Tables(spark, d).events, ["event_type"], {"value": "first by index", "user_id": "last by index"},
+                    index="event_id", order=EVENTS_ORDER)
+
+
+@query("agg_last_minus_first", f"""
+SELECT user_id, {depth_sql(['user_id'])} AS _depth,
+  round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS value
+FROM events WHERE value IS NOT NULL GROUP BY ROLLUP (user_id)""")
+def agg_last_minus_first(spark, d):
+    """A10: last minus first in arrival order."""
+    out = _grouped(Tables(spark, d).events, ["user_id"], {"value": "last minus first"}, order=EVENTS_ORDER)
+    return rnd(out, ["value"], 6)
+
+
+@query("agg_last", f"""
+SELECT l_returnflag, {depth_sql(['l_returnflag'])} AS _depth,
+  arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS l_extendedprice,
+  arg_max(l_linestatus, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS l_linestatus
+FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def agg_last(spark, d):
+    """Last by arrival order (shipdate, then the key)."""
+    return _grouped(Tables(spark, d).lineitem, ["l_returnflag"], {"l_extendedprice": "last", "l_linestatus": "last"},
+                    order=LINEITEM_ORDER)
+
+
+@query("agg_high_low", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth,
+  max(o_totalprice) AS o_totalprice, min(o_totalprice) AS low, round(max(o_totalprice) - min(o_totalprice), 2) AS spread
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def agg_high_low(spark, d):
+    """High, low, high minus low."""
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"],
+                   {"o_totalprice": "high", "low": "low", "spread": "high minus low"},
+                   expressions={"low": '"o_totalprice"', "spread": '"o_totalprice"'})
+    return rnd(out, ["spread"])
+
+
+@query("agg_join", f"""
+SELECT c_nationkey, {depth_sql(['c_nationkey'])} AS _depth,
+  string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS c_mktsegment
+FROM customer GROUP BY ROLLUP (c_nationkey)""")
+def agg_join(spark, d):
+    """Sorted distinct values joined by ``, ``."""
+    return _grouped(Tables(spark, d).customer, ["c_nationkey"], {"c_mktsegment": "join"})
+
+
+@query("agg_min_max", f"""
+SELECT l_returnflag, {depth_sql(['l_returnflag'])} AS _depth, min(l_discount) AS l_discount, max(l_tax) AS l_tax
+FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def agg_min_max(spark, d):
+    """Min and max."""
+    return _grouped(Tables(spark, d).lineitem, ["l_returnflag"], {"l_discount": "min", "l_tax": "max"})
+
+
+@query("agg_median", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth, round(median(o_totalprice), 4) AS o_totalprice
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def agg_median(spark, d):
+    """Exact median (interpolated between the two middle values)."""
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "median"})
+    return rnd(out, ["o_totalprice"], 4)
+
+
+PCT_BASE_SQL = f"""
+SELECT l_returnflag, l_linestatus, {depth_sql(['l_returnflag', 'l_linestatus'])} AS _depth, sum(l_quantity) AS q
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
+
+
+@query("agg_pct_parent", f"""
+WITH g AS ({PCT_BASE_SQL})
+SELECT c.l_returnflag, c.l_linestatus, c._depth,
+  round(CASE WHEN c._depth = 0 THEN 100.0 ELSE 100.0 * c.q / p.q END, 6) AS l_quantity
+FROM g c LEFT JOIN g p ON p._depth = c._depth - 1
+  AND (c._depth < 2 OR p.l_returnflag = c.l_returnflag)""")
+def agg_pct_parent(spark, d):
+    """Percent of the parent row's sum (root = 100)."""
+    out = _grouped(Tables(spark, d).lineitem, ["l_returnflag", "l_linestatus"], {"l_quantity": "pct sum parent"})
+    return rnd(out, ["l_quantity"], 6)
+
+
+@query("agg_pct_total", f"""
+WITH g AS ({PCT_BASE_SQL})
+SELECT l_returnflag, l_linestatus, _depth,
+  round(100.0 * q / (SELECT sum(l_quantity) FROM lineitem), 6) AS l_quantity FROM g""")
+def agg_pct_total(spark, d):
+    """Percent of the grand total."""
+    out = _grouped(Tables(spark, d).lineitem, ["l_returnflag", "l_linestatus"], {"l_quantity": "pct sum grand total"})
+    return rnd(out, ["l_quantity"], 6)
+
+
+@query("agg_stddev_var", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth,
+  round(stddev_pop(o_totalprice), 4) AS o_totalprice, round(var_pop(o_totalprice), 2) AS price2
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def agg_stddev_var(spark, d):
+    """Population standard deviation and variance."""
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "stddev", "price2": "var"},
+                   expressions={"price2": '"o_totalprice"'})
+    return rnd(rnd(out, ["o_totalprice"], 4), ["price2"], 2)
+
+
+@query("agg_sum", f"""
+SELECT l_returnflag, {depth_sql(['l_returnflag'])} AS _depth,
+  round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax
+FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def agg_sum(spark, d):
+    """Sum and sum not null."""
+    out = _grouped(Tables(spark, d).lineitem, ["l_returnflag"], {"l_quantity": "sum", "l_tax": "sum not null"})
+    return rnd(out, ["l_quantity", "l_tax"])
+
+
+@query("agg_unique", f"""
+SELECT o_custkey, {depth_sql(['o_custkey'])} AS _depth,
+  CASE WHEN min(o_orderpriority) = max(o_orderpriority) THEN min(o_orderpriority) END AS o_orderpriority
+FROM orders GROUP BY ROLLUP (o_custkey)""")
+def agg_unique(spark, d):
+    """The value when a group holds exactly one distinct value, else null."""
+    return _grouped(Tables(spark, d).orders, ["o_custkey"], {"o_orderpriority": "unique"})
+
+
+@query("agg_default", f"""
+SELECT o_orderstatus, {depth_sql(['o_orderstatus'])} AS _depth, round(sum(o_totalprice), 2) AS o_totalprice,
+  count(o_orderpriority) AS o_orderpriority, count(o_orderdate) AS o_orderdate, sum(o_orderkey) AS o_orderkey
+FROM orders GROUP BY ROLLUP (o_orderstatus)""")
+def agg_default(spark, d):
+    """Default aggregate per type - sum for numbers, count otherwise."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus"],
+                                        "columns": ["o_totalprice", "o_orderpriority", "o_orderdate", "o_orderkey"]})
+    return rnd(v.to_df(), ["o_totalprice"])

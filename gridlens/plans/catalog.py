@@ -814,3 +814,240 @@ def agg_default(spark, d):
     v = View(Tables(spark, d).orders, {"group_by": ["o_orderstatus"],
                                         "columns": ["o_totalprice", "o_orderpriority", "o_orderdate", "o_orderkey"]})
     return rnd(v.to_df(), ["o_totalprice"])
+
+
+# ============================================================ sort and slice
+@query("sort_multi", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
+  row_number() OVER (ORDER BY c_mktsegment ASC NULLS FIRST, c_acctbal DESC NULLS LAST,
+                     c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS _rank
+FROM customer""")
+def sort_multi(spark, d):
+    """O1/O2: several sort keys (asc, desc, none) with the position of every row."""
+    v = View(Tables(spark, d).customer, {"sort": [["c_mktsegment", "asc"], ["c_acctbal", "desc"],
+                                                  ["c_nationkey", "none"]]})
+    return v.to_df(rank=True)
+
+
+@query("sort_abs", """
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal,
+  row_number() OVER (ORDER BY abs(s_acctbal) ASC NULLS FIRST, s_suppkey, s_name, s_nationkey, s_acctbal) AS _rank
+FROM supplier""")
+def sort_abs(spark, d):
+    """O3: sort by absolute value."""
+    return View(Tables(spark, d).supplier, {"sort": [["s_acctbal", "asc abs"]]}).to_df(rank=True)
+
+
+@query("sort_hidden", """
+SELECT o_orderkey, o_totalprice,
+  row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey, o_totalprice) AS _rank FROM orders""")
+def sort_hidden(spark, d):
+    """Sort by a column that is not shown."""
+    v = View(Tables(spark, d).orders, {"columns": ["o_orderkey", "o_totalprice"], "sort": [["o_orderdate", "desc"]]})
+    return v.to_df(rank=True)
+
+
+@query("sort_tree", f"""
+WITH g AS (
+  SELECT l_returnflag, l_linestatus, {depth_sql(['l_returnflag', 'l_linestatus'])} AS _depth,
+         sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)),
+a AS (SELECT l_returnflag AS af, l_quantity AS aq FROM g WHERE _depth = 1)
+SELECT l_returnflag, l_linestatus, _depth, round(l_quantity, 2) AS l_quantity,
+  row_number() OVER (ORDER BY (_depth >= 1), CASE WHEN _depth >= 1 THEN aq END DESC NULLS LAST,
+    CASE WHEN _depth >= 1 THEN l_returnflag END NULLS FIRST, (_depth >= 2),
+    CASE WHEN _depth >= 2 THEN l_quantity END DESC NULLS LAST,
+    CASE WHEN _depth >= 2 THEN l_linestatus END NULLS FIRST) AS _rank
+FROM g LEFT JOIN a ON g._depth >= 1 AND a.af = g.l_returnflag""")
+def sort_tree(spark, d):
+    """A sorted tree - siblings ordered by their aggregate under their parent."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag", "l_linestatus"], "columns": ["l_quantity"],
+                                          "sort": [["l_quantity", "desc"]]})
+    return rnd(v.to_df(rank=True), ["l_quantity"])
+
+
+@query("slice_rows", """
+SELECT * FROM (
+  SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey,
+         o_totalprice) AS _rank FROM orders) WHERE _rank > 100 AND _rank <= 150""")
+def slice_rows_q(spark, d):
+    """Rows [100, 150) of the sorted view."""
+    v = View(Tables(spark, d).orders, {"columns": ["o_orderkey", "o_totalprice"], "sort": [["o_totalprice", "desc"]]})
+    return v.to_df(rank=True, start_row=100, end_row=150)
+
+
+@query("viewport", """
+SELECT o_custkey, o_orderstatus, _rank FROM (
+  SELECT *, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey, o_custkey, o_orderstatus,
+         o_totalprice, o_orderdate, o_orderpriority) AS _rank FROM orders) WHERE _rank > 10 AND _rank <= 30""")
+def viewport_q(spark, d):
+    """V8: the config's viewport picks rows 10..30 and columns 1..3."""
+    v = View(Tables(spark, d).orders, {"sort": [["o_totalprice", "desc"]],
+                                        "viewport": {"top": 10, "height": 20, "left": 1, "width": 2}})
+    return v.to_df(rank=True)
+
+
+@query("top_k", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10""")
+def top_k(spark, d):
+    """Top-k = sort + slice (TakeOrderedAndProject)."""
+    li = Tables(spark, d).lineitem.select(*LINEITEM_KEY, "l_extendedprice")
+    order = [F.col("l_extendedprice").desc()] + [F.col(c).asc() for c in LINEITEM_KEY]
+    return slice_rows(li, order, 0, 10)
+
+
+@query("sort_columns", """
+WITH t AS (SELECT o_orderstatus, sum(o_totalprice) AS s FROM orders GROUP BY o_orderstatus)
+SELECT CAST(row_number() OVER (ORDER BY s DESC NULLS LAST, o_orderstatus) - 1 AS INTEGER) AS position,
+       o_orderstatus || '|o_totalprice' AS column_path FROM t""")
+def sort_columns(spark, d):
+    """``col desc`` orders the pivot columns by their column total."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "split_by": ["o_orderstatus"],
+                                        "columns": ["o_totalprice"], "sort": [["o_totalprice", "col desc"]]})
+    return v.column_paths_df()
+
+
+# ============================================================ metadata (M3-M5)
+@query("column_paths", """
+WITH s AS (SELECT DISTINCT l_linestatus FROM lineitem),
+c AS (SELECT * FROM (VALUES (0, 'l_quantity'), (1, 'l_discount')) t(ci, col))
+SELECT CAST((dense_rank() OVER (ORDER BY l_linestatus NULLS FIRST) - 1) * 2 + ci AS INTEGER) AS position,
+       l_linestatus || '|' || col AS column_path FROM s, c""")
+def column_paths_q(spark, d):
+    """M3: the ordered pivot column paths of a view."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag"], "split_by": ["l_linestatus"],
+                                          "columns": ["l_quantity", "l_discount"]})
+    return v.column_paths_df()
+
+
+@query("dimensions", """
+SELECT (SELECT count(*) FROM (SELECT o_orderpriority FROM orders GROUP BY ROLLUP (o_orderpriority))) AS num_view_rows,
+       CAST(2 AS INTEGER) AS num_view_columns,
+       (SELECT count(*) FROM orders) AS num_table_rows, CAST(6 AS INTEGER) AS num_table_columns""")
+def dimensions_q(spark, d):
+    """M4: view and table sizes (the hidden sort column is not counted)."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "columns": ["o_totalprice", "o_orderkey"],
+                                        "sort": [["o_orderdate", "desc"]]})
+    return v.dimensions_df()
+
+
+@query("min_max", """
+SELECT round(min(s), 2) AS min, round(max(s), 2) AS max
+FROM (SELECT o_orderpriority, sum(o_totalprice) AS s FROM orders GROUP BY o_orderpriority)""")
+def min_max_q(spark, d):
+    """M5: min and max of a view column over its leaf rows."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "columns": ["o_totalprice"]})
+    return rnd(v.min_max("o_totalprice"), ["min", "max"])
+
+
+@query("view_select", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem")
+def view_select(spark, d):
+    """V4: column projection and order (only these columns are read)."""
+    return View(Tables(spark, d).lineitem, {"columns": ["l_orderkey", "l_quantity", "l_returnflag"]}).to_df()
+
+
+@query("expr_columns", """
+SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS disc_price, l_returnflag = 'A' AS flag_is_a,
+  concat('x', l_linestatus) AS label, true AS always FROM lineitem""")
+def expr_columns(spark, d):
+    """V6/F8: computed columns; alias from the key or a ``//alias`` comment."""
+    exprs = ['//disc_price\n"l_extendedprice" * (1 - "l_discount")', "//flag_is_a\n\"l_returnflag\" = 'A'",
+             "//label\nconcat('x', \"l_linestatus\")", "//always\ntrue"]
+    v = View(Tables(spark, d).lineitem,
+             {"expressions": exprs, "columns": ["l_orderkey", "disc_price", "flag_is_a", "label", "always"]})
+    return v.to_df()
+
+
+# ============================================================ drill-through, cross-filter
+from gridlens.operators.crossfilter import (  # noqa: E402
+    drill_through, filter_by_selection, global_filter, selection_filters,
+)
+
+
+@query("drill_through", """
+SELECT * FROM orders WHERE o_totalprice > 100000 AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""")
+def drill_through_q(spark, d):
+    """The base rows behind a selected pivot cell (base filter kept)."""
+    cfg = {"group_by": ["o_orderpriority"], "split_by": ["o_orderstatus"], "columns": ["o_totalprice"],
+           "filter": [["o_totalprice", ">", 100000]]}
+    return View(Tables(spark, d).orders, drill_through(cfg, ("1-URGENT",), "F|o_totalprice")).to_df()
+
+
+@query("cross_filter", """
+SELECT c_custkey, c_name, c_nationkey AS nationkey, c_acctbal, c_mktsegment FROM customer
+WHERE c_nationkey = 7 AND c_acctbal > 0""")
+def cross_filter(spark, d):
+    """A master selection (a nation row of the supplier view) filters the customer view."""
+    t = Tables(spark, d)
+    master_cfg = {"group_by": ["nationkey"], "columns": ["s_acctbal"]}
+    selection = selection_filters(master_cfg, (7,))
+    cust = t.customer.withColumnRenamed("c_nationkey", "nationkey")
+    targets = {"suppliers": ([], ["nationkey", "s_suppkey", "s_acctbal"]),
+               "customers": ([["c_acctbal", ">", 0], ["nationkey", "==", 3]], cust.columns)}
+    new = global_filter(targets, "suppliers", selection)
+    return View(cust, {"filter": new["customers"]}).to_df()
+
+
+@query("cross_filter_semi", """
+SELECT * FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
+def cross_filter_semi(spark, d):
+    """J2 with many selected keys: semi join with a size-checked broadcast."""
+    t = Tables(spark, d)
+    sel = t.supplier.where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("c_nationkey"))
+    return filter_by_selection(t.customer, sel, "c_nationkey")
+
+
+# ============================================================ deltas and change direction
+DELTA_VIEW_SQL = """SELECT event_type, {d} AS _depth, count(event_id) AS event_id, round(sum(value), 2) AS value
+FROM events {w} GROUP BY ROLLUP (event_type)"""
+
+
+@query("view_delta", "(" + DELTA_VIEW_SQL.format(d=depth_sql(["event_type"]), w="") + ") EXCEPT ALL ("
+       + DELTA_VIEW_SQL.format(d=depth_sql(["event_type"]), w="WHERE ts < TIMESTAMP '2024-01-15'") + ")")
+def view_delta_q(spark, d):
+    """Rows of a grouped view that changed when later rows arrived."""
+    e = Tables(spark, d).events
+    cfg = {"group_by": ["event_type"], "columns": ["event_id", "value"], "aggregates": {"event_id": "count"}}
+    old = rnd(View(e.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), cfg).to_df(), ["value"])
+    new = rnd(View(e, cfg).to_df(), ["value"])
+    return view_delta(old, new)
+
+
+@query("change_direction", """
+SELECT event_id, user_id, value, prev_value,
+  CAST(sign(value - prev_value) AS INTEGER) AS direction FROM (
+  SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events)""")
+def change_direction_q(spark, d):
+    """Up / down / same against the key's previous value (skew-safe lag)."""
+    e = Tables(spark, d).events.select("event_id", "ts", "user_id", "value")
+    out = change_direction(e, "user_id", EVENTS_ORDER, "value", bucket=F.date_trunc("DAY", "ts"))
+    return out.select("event_id", "user_id", "value", "prev_value", "direction")
+
+
+# ============================================================ streaming
+from gridlens.streaming.live import stream_chained, stream_keyed  # noqa: E402
+
+
+@query("stream_keyed", LATEST_EVENT_SQL)
+def stream_keyed_q(spark, d):
+    """JSON lines streamed through foreachBatch into a keyed table."""
+    e = Tables(spark, d).events
+    return stream_keyed(spark, e, key="user_id", seq=EVENTS_ORDER, part=F.to_date("ts")).select(*e.columns)
+
+
+@query("chained_view", """
+SELECT user_id, count(event_id) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY user_id""")
+def chained_view(spark, d):
+    """A keyed table kept live from another table's grouped-view deltas."""
+    e = Tables(spark, d).events
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n_events", T.LongType()),
+                           T.StructField("total", T.DoubleType())])
+
+    def view_fn(rows: DataFrame) -> DataFrame:
+        v = View(rows, {"group_by": ["user_id"], "columns": ["event_id", "value"],
+                        "aggregates": {"event_id": "count", "value": "sum"}, "leaves_only": True})
+        return v.to_df().select("user_id", F.col("event_id").alias("n_events"), F.col("value").alias("total"))
+
+    out = stream_chained(spark, e, group_by=["user_id"], view_fn=view_fn, out_schema=schema,
+                         part=F.to_date("ts"))
+    return rnd(out, ["total"])

@@ -120,6 +120,42 @@ class View:
             return [column_path(v, c) for v in self.split_values() for c in self.columns]
         return [self._out_name(c) for c in self.columns]
 
+    def column_paths_df(self) -> DataFrame:
+        """M3 as a DataFrame ``(position, column_path)``, computed by Spark.
+
+        Split values come from a distributed ``distinct``; their order (by
+        value, or by column total for ``col …`` sorts) is a window over the
+        distinct values only, which are bounded by ``max_split_values``.
+        """
+        from pyspark.sql import Window
+
+        cols = self.columns
+        if self.context != 2:
+            return self.table.sparkSession.createDataFrame(
+                [(i, c) for i, c in enumerate(self.column_paths())], "position int, column_path string")
+        sb = self.split_by
+        aggs = [self._agg(c).alias(f"_cs{i}") for i, (c, _) in enumerate(self.col_sorts)]
+        g = self.base.groupBy(*[q(c) for c in sb])
+        sv = g.agg(*aggs) if aggs else g.agg(F.count(F.lit(1)).alias("_n"))
+        order = [sort_column(F.col(f"_cs{i}"), d) for i, (_, d) in enumerate(self.col_sorts)]
+        order = [o for o in order if o is not None] + [q(c).asc_nulls_first() for c in sb]
+        ranked = sv.withColumn("_v", F.row_number().over(Window.orderBy(*order)) - 1)
+        names = F.array(*[F.lit(c) for c in cols])
+        exploded = ranked.select("_v", *[q(c) for c in sb], F.posexplode(names).alias("_ci", "_col"))
+        text = [F.coalesce(q(c).cast("string"), F.lit("null")) for c in sb]
+        return exploded.select(
+            (F.col("_v") * F.lit(len(cols)) + F.col("_ci")).cast("int").alias("position"),
+            F.concat_ws("|", *text, F.col("_col")).alias("column_path"))
+
+    def dimensions_df(self) -> DataFrame:
+        """M4 as a one-row DataFrame; both counts run on the executors."""
+        view_rows = self.to_df().agg(F.count(F.lit(1)).alias("n"))
+        return self.table.agg(F.count(F.lit(1)).alias("num_table_rows")).select(
+            view_rows.scalar().alias("num_view_rows"),
+            F.lit(self.num_columns()).cast("int").alias("num_view_columns"),
+            F.col("num_table_rows"),
+            F.lit(len(self.table.columns)).cast("int").alias("num_table_columns"))
+
     # ----------------------------------------------------------------- build
     def _value_columns(self) -> list[tuple[str, str, Column | None]]:
         """(source column, output name, row condition) per data column."""

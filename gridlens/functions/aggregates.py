@@ -51,7 +51,8 @@ def aggregate_column(name: str, column: str | Column, *, order: list[str] | None
     present = c.isNotNull()
 
     def ordered(cols):
-        return F.when(present, _ordering(cols))
+        # rows with equal ordering values are settled by the value itself
+        return F.when(present, F.struct(_ordering(cols).alias("o"), c.alias("v")))
 
     if name == "any":
         return F.min_by(c, ordered(order or index))

@@ -52,6 +52,12 @@ STATUS_SQL = """(SELECT * FROM orders QUALIFY row_number() OVER
   (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
 
 
+USAGE_SQL = """(SELECT * FROM lineitem QUALIFY row_number() OVER
+  (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_shipdate DESC,
+   l_quantity DESC NULLS LAST, l_extendedprice DESC NULLS LAST, l_discount DESC NULLS LAST,
+   l_tax DESC NULLS LAST, l_returnflag DESC NULLS LAST, l_linestatus DESC NULLS LAST) = 1)"""
+
+
 def depth_sql(cols: list[str]) -> str:
     return f"CAST({len(cols)} - ({' + '.join(f'GROUPING({c})' for c in cols)}) AS INTEGER)"
 
@@ -83,11 +89,10 @@ def dash_machines(spark, d):
     return View(t, {"columns": ["p_partkey", "p_type", "p_size", "p_brand", "p_name"]}).to_df()
 
 
-@query("dash_usage", """
+@query("dash_usage", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_quantity AS qtybar,
        l_extendedprice, l_extendedprice AS pricebar, l_returnflag, l_linestatus
-FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
-                                         ORDER BY l_shipdate DESC) = 1""")
+FROM {USAGE_SQL}""")
 def dash_usage(spark, d):
     """Flat keyed view with two computed columns."""
     cfg = {"columns": LINEITEM_KEY + ["l_quantity", "qtybar", "l_extendedprice", "pricebar",
@@ -99,7 +104,7 @@ def dash_usage(spark, d):
 @query("dash_usage_tree", f"""
 SELECT l_returnflag, l_linestatus, ship_year, {depth_sql(['l_returnflag', 'l_linestatus', 'ship_year'])} AS _depth,
        round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice
-FROM (SELECT *, year(l_shipdate) AS ship_year FROM lineitem)
+FROM (SELECT *, year(l_shipdate) AS ship_year FROM {USAGE_SQL})
 GROUP BY ROLLUP (l_returnflag, l_linestatus, ship_year)""")
 def dash_usage_tree(spark, d):
     """D3: three-level tree, default sum of two number columns."""

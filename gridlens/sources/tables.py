@@ -55,25 +55,28 @@ def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
     if nulls == "overwrite":
         rec = F.struct(*[_q(c) for c in cols + [s for s in seqs if s not in cols and s not in keys]],
                        is_del.alias("_del"))
-        folded = log.groupBy(*[_q(k) for k in keys]).agg(F.max_by(rec, order).alias("_r"))
-        out = folded.where(~F.col("_r._del")).select(*[_q(k) for k in keys], "_r.*").drop("_del")
-        return out
+        # max of (order, row): equal sequence values are settled by row content
+        best = F.max(F.struct(order.alias("_o"), rec.alias("_r"))).alias("_best")
+        folded = log.groupBy(*[_q(k) for k in keys]).agg(best)
+        return (folded.where(~F.col("_best._r._del"))
+                .select(*[_q(k) for k in keys], "_best._r.*").drop("_del"))
     if nulls != "keep":
         raise ValueError("nulls must be 'overwrite' or 'keep'")
     aggs = []
     for c in cols:
         touched = _q(c).isNotNull() | is_del
-        aggs.append(F.max_by(F.struct(is_del.alias("d"), _q(c).alias("v")),
-                             F.when(touched, order)).alias(f"_c_{c}"))
-    aggs.append(F.max_by(is_del, order).alias("_last_del"))
+        cell = F.struct(is_del.alias("d"), _q(c).alias("v"))
+        # newest change touching the cell; ties settled by (delete first, value)
+        aggs.append(F.max(F.when(touched, F.struct(order.alias("o"), cell.alias("c")))).alias(f"_c_{c}"))
+    aggs.append(F.max(F.struct(order.alias("o"), is_del.alias("d"))).alias("_last"))
     for s in seqs:
         if s not in keys:
             aggs.append(F.max(_q(s)).alias(s))
     folded = log.groupBy(*[_q(k) for k in keys]).agg(*aggs)
-    folded = folded.where(~F.col("_last_del"))
+    folded = folded.where(~F.col("_last.d"))
     sel = [_q(k) for k in keys]
     for c in cols:
-        sel.append(F.when(~F.col(f"_c_{c}.d"), F.col(f"_c_{c}.v")).alias(c))
+        sel.append(F.when(~F.col(f"_c_{c}.c.d"), F.col(f"_c_{c}.c.v")).alias(c))
     sel += [_q(s) for s in seqs if s not in cols and s not in keys]
     return folded.select(*sel)
 

@@ -172,6 +172,30 @@ def keyed_partial(spark, d):
                           keep=["event_id", "event_type", "value", "props"])
 
 
+@query("keyed_presence", """
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts,
+  arg_max(event_type, (ts, event_id)) AS event_type,
+  arg_max(value, (ts, event_id)) FILTER (WHERE event_type <> 'view') AS value,
+  arg_max_null(CASE WHEN event_type = 'click' THEN NULL ELSE props END, (ts, event_id)) AS props
+FROM events GROUP BY user_id""")
+def keyed_presence(spark, d):
+    """T4 ``overwrite``: an absent JSON field keeps the old value, an explicit null clears it.
+
+    ``view`` lines leave ``value`` out; ``click`` lines carry ``"props": null``.
+    """
+    e = Tables(spark, d).events
+    base = ["event_id", "ts", "user_id", "event_type"]
+    keep_nulls = dict(JSON_OPTIONS, ignoreNullFields="false")
+    line = (F.when(F.col("event_type") == "view", F.to_json(F.struct(*base, "props"), JSON_OPTIONS))
+            .when(F.col("event_type") == "click",
+                  F.to_json(F.struct(*base, "value", F.lit(None).cast("string").alias("props")), keep_nulls))
+            .otherwise(F.to_json(F.struct(*e.columns), JSON_OPTIONS)))
+    parsed = parse_json_lines(e.select(line.alias("value")), e.schema, keep_raw=True)
+    log = parsed.withColumn("_present", F.json_object_keys("_raw")).drop("_raw")
+    return latest_per_key(log, "user_id", EVENTS_ORDER, nulls="overwrite", present_col="_present",
+                          keep=["event_id", "event_type", "value", "props"])
+
+
 @query("append_table", """
 SELECT event_id, ts, user_id, event_type, value, props,
        row_number() OVER (ORDER BY ts, event_id) AS _row_id FROM events""")

@@ -14,26 +14,31 @@ CORRUPT = "_corrupt_record"
 
 
 def parse_json_lines(raw: DataFrame, schema, *, value_col: str = "value",
-                     corrupt_col: str | None = None) -> DataFrame:
+                     corrupt_col: str | None = None, keep_raw: bool = False,
+                     options: dict | None = None) -> DataFrame:
     """One JSON object per ``value`` line -> typed columns.
 
     Works the same on a batch or a streaming DataFrame, whatever produced the
     lines (file, Kafka, socket).  A malformed line gives an all-null row;
     with ``corrupt_col`` the raw text of such lines is kept in that column.
+    ``keep_raw`` keeps the line as ``_raw`` (a live table then tells an absent
+    field from an explicit null).
     """
     st = to_struct(schema)
     v = F.col(value_col).cast("string")
-    parsed = raw.select(F.from_json(v, st).alias("_d"), v.alias("_raw"))
+    parsed = raw.select(F.from_json(v, st, options or {}).alias("_d"), v.alias("_raw"))
     cols = [F.col(f"_d.`{f.name}`").alias(f.name) for f in st.fields]
     if corrupt_col:
         ok = F.try_parse_json(F.col("_raw")).isNotNull() & F.startswith(F.trim(F.col("_raw")), F.lit("{"))
         cols.append(F.when(~ok | F.col("_raw").isNull(), F.col("_raw")).alias(corrupt_col))
+    if keep_raw:
+        cols.append(F.col("_raw"))
     return parsed.select(*cols)
 
 
 def json_stream(spark: SparkSession, schema, *, source: str = "text", path: str | None = None,
                 options: dict | None = None, value_col: str = "value",
-                corrupt_col: str | None = None) -> DataFrame:
+                corrupt_col: str | None = None, keep_raw: bool = False) -> DataFrame:
     """Streaming DataFrame of parsed JSON lines from any line source.
 
     ``source="text"`` reads new files under ``path``; ``"socket"`` and
@@ -44,7 +49,7 @@ def json_stream(spark: SparkSession, schema, *, source: str = "text", path: str
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     raw = reader.load(path) if path else reader.load()
-    return parse_json_lines(raw, schema, value_col=value_col, corrupt_col=corrupt_col)
+    return parse_json_lines(raw, schema, value_col=value_col, corrupt_col=corrupt_col, keep_raw=keep_raw)
 
 
 def presence_mask(raw: DataFrame, value_col: str = "value") -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from gridlens.types import conform, to_struct
 
-SEQ, OP, PORT, ROW_ID = "_pos", "_op", "_port", "_row_id"
+SEQ, OP, PORT, ROW_ID, PRESENT = "_pos", "_op", "_port", "_row_id", "_present"
+RAW = "_raw"  # raw JSON text kept by parse_json_lines(keep_raw=True)
 BATCH = "batch"
 LOG_ORDER = [BATCH, SEQ]  # arrival order: micro-batch id, then position in it
 UPSERT, DELETE = "upsert", "delete"
@@ -36,7 +37,8 @@ def _ordering(seq) -> Column:
 
 
 def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
-                   op_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+                   op_col: str | None = None, keep: list[str] | None = None,
+                   present_col: str | None = None) -> DataFrame:
     """Fold a change log into the newest row per key.
 
     ``nulls="overwrite"``: the newest row replaces the whole row.
@@ -45,14 +47,18 @@ def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
     ``op_col``: rows whose op is ``delete`` are tombstones; a key whose newest
     change is a delete is dropped, and in keep mode cells written before the
     delete do not survive a later re-insert.
+    ``present_col`` (array of field names a change row actually carried, e.g.
+    from ``json_object_keys`` of the raw line): with ``nulls="overwrite"`` an
+    explicit null overwrites while an absent field keeps the older value.
     ``seq`` gives arrival order; ties are broken by the key-free row content.
     """
     keys = [key] if isinstance(key, str) else list(key)
     seqs = [seq] if isinstance(seq, str) else list(seq)
-    cols = keep or [c for c in log.columns if c not in keys and c not in seqs and c != op_col]
+    cols = keep or [c for c in log.columns
+                    if c not in keys and c not in seqs and c not in (op_col, present_col)]
     order = _ordering(seqs)
     is_del = (_q(op_col) == F.lit(DELETE)) if op_col else F.lit(False)
-    if nulls == "overwrite":
+    if nulls == "overwrite" and present_col is None:
         rec = F.struct(*[_q(c) for c in cols + [s for s in seqs if s not in cols and s not in keys]],
                        is_del.alias("_del"))
         # max of (order, row): equal sequence values are settled by row content
@@ -60,11 +66,15 @@ def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
         folded = log.groupBy(*[_q(k) for k in keys]).agg(best)
         return (folded.where(~F.col("_best._r._del"))
                 .select(*[_q(k) for k in keys], "_best._r.*").drop("_del"))
-    if nulls != "keep":
+    if nulls not in ("keep", "overwrite"):
         raise ValueError("nulls must be 'overwrite' or 'keep'")
     aggs = []
     for c in cols:
-        touched = _q(c).isNotNull() | is_del
+        if nulls == "overwrite":
+            carried = F.coalesce(F.array_contains(_q(present_col), F.lit(c)), F.lit(False))
+        else:
+            carried = _q(c).isNotNull()
+        touched = carried | is_del
         cell = F.struct(is_del.alias("d"), _q(c).alias("v"))
         # newest change touching the cell; ties settled by (delete first, value)
         aggs.append(F.max(F.when(touched, F.struct(order.alias("o"), cell.alias("c")))).alias(f"_c_{c}"))
@@ -135,7 +145,15 @@ class LiveTable:
 
     def _log_rows(self, df: DataFrame, batch_id: int, port_id: int, op: str,
                   extra: list | None = None) -> DataFrame:
-        data = conform(df, T.StructType(self.schema.fields + list(extra or [])))
+        names = [f.name for f in self.schema.fields]
+        if RAW in df.columns:
+            # fields the line really carried (null vs absent)
+            present = F.filter(F.json_object_keys(F.col(RAW)), lambda k: k.isin(names))
+        else:
+            present = F.array(*[F.lit(c) for c in names if c in df.columns]).cast("array<string>")
+        data = conform(df.withColumn(PRESENT, present),
+                       T.StructType(self.schema.fields + list(extra or [])
+                                    + [T.StructField(PRESENT, T.ArrayType(T.StringType()))]))
         # arrival order inside the batch: the row's position as read
         return (data.withColumn(SEQ, F.monotonically_increasing_id())
                 .withColumn(OP, F.lit(op)).withColumn(PORT, F.lit(int(port_id))))
@@ -173,7 +191,8 @@ class LiveTable:
         return fs.exists(hp)
 
     def log(self) -> DataFrame:
-        fields = self.schema.fields + [T.StructField(SEQ, T.LongType()), T.StructField(OP, T.StringType()),
+        fields = self.schema.fields + [T.StructField(PRESENT, T.ArrayType(T.StringType())),
+                                       T.StructField(SEQ, T.LongType()), T.StructField(OP, T.StringType()),
                                        T.StructField(PORT, T.IntegerType())]
         if self.index is None:
             fields.append(T.StructField(ROW_ID, ROW_ID_TYPE))
@@ -192,13 +211,14 @@ class LiveTable:
         names = [f.name for f in self.schema.fields]
         if self.index is not None:
             out = latest_per_key(log, self.index, self.seq + LOG_ORDER, nulls=self.nulls, op_col=OP,
-                                 keep=[c for c in names if c != self.index] + ([PORT] if with_meta else []))
+                                 keep=[c for c in names if c != self.index] + ([PORT] if with_meta else []),
+                                 present_col=PRESENT if self.nulls == "overwrite" else None)
         else:
             out = log.where(F.col(OP) == UPSERT)
             if self._exists(f"{self.path}/patch"):
                 patches = self.spark.read.schema(out.schema).parquet(f"{self.path}/patch")
                 out = latest_per_key(out.unionByName(patches), ROW_ID, LOG_ORDER, nulls="keep",
-                                     keep=names + [PORT])
+                                     keep=names + [PORT, PRESENT])
             if self.limit is not None:
                 out = newest_rows(out, self.seq + LOG_ORDER, self.limit)
         cols = names + ([BATCH, SEQ, PORT] if with_meta else []) + ([ROW_ID] if self.index is None and with_meta else [])

@@ -118,3 +118,22 @@ def test_any_batch_split_equals_one_shot(spark, tmp_path_factory, rows, cuts):
         i, b = i + n, b + 1
     one_shot = latest_per_key(spark.createDataFrame(seqd, "k string, v long, s long"), "k", "s", nulls="keep")
     assert as_dict(t.snapshot()) == {k: {"k": k, "v": d["v"], "s": d["s"]} for k, d in as_dict(one_shot).items()}
+
+
+def test_overwrite_with_presence(spark, tmp_path):
+    """Absent JSON fields keep their value; explicit nulls overwrite (T4, nulls="overwrite")."""
+    from gridlens.sources.json_stream import parse_json_lines
+
+    t = LiveTable(spark, str(tmp_path / "pres"), SCHEMA, index="k", nulls="overwrite")
+    lines = spark.createDataFrame([('{"k": "x", "a": 1, "b": 1.5}',)], "value string")
+    t.update(parse_json_lines(lines, t.schema, keep_raw=True), 0)
+    lines = spark.createDataFrame([('{"k": "x", "b": null}',)], "value string")
+    t.update(parse_json_lines(lines, t.schema, keep_raw=True), 1)
+    assert as_dict(t.snapshot())["x"] == {"k": "x", "a": 1, "b": None}
+    # a DataFrame batch carries exactly its own columns
+    t.update(spark.createDataFrame([("x", 5)], "k string, a long"), 2)
+    assert as_dict(t.snapshot())["x"] == {"k": "x", "a": 5, "b": None}
+    keep = LiveTable(spark, str(tmp_path / "keep"), SCHEMA, index="k", nulls="keep")
+    keep.update(spark.createDataFrame([("x", 1, 1.5)], "k string, a long, b double"), 0)
+    keep.update(spark.createDataFrame([("x", None, None)], "k string, a long, b double"), 1)
+    assert as_dict(keep.snapshot())["x"] == {"k": "x", "a": 1, "b": 1.5}

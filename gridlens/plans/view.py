@@ -398,6 +398,16 @@ class View:
         from gridlens.sources.export import write_csv
         write_csv(self.to_df(**kw), path)
 
+    def to_columns(self, start_row: int = 0, end_row: int = 1000, **kw) -> dict[str, list]:
+        """A bounded slice as ``{column: [values]}`` (rows ``[start_row, end_row)``)."""
+        rows = self.to_df(start_row=start_row, end_row=end_row, **kw).collect()
+        cols = self.to_df(start_row=start_row, end_row=end_row, **kw).columns
+        return {c: [r[i] for r in rows] for i, c in enumerate(cols)}
+
+    def to_records(self, start_row: int = 0, end_row: int = 1000, **kw) -> list[dict]:
+        """A bounded slice as a list of row dicts (T14 for clients)."""
+        return [r.asDict() for r in self.to_df(start_row=start_row, end_row=end_row, **kw).collect()]
+
     def to_arrow(self, **kw):
         """An Arrow table of a bounded slice (use Parquet for whole views)."""
         return self.to_df(**kw).toArrow()
@@ -405,3 +415,8 @@ class View:
 
 def view(table: DataFrame, config=None, **kw) -> View:
     return View(table, config, **kw)
+
+
+def query_columns(table: DataFrame, config=None, *, start_row: int = 0, end_row: int = 1000, **kw) -> dict:
+    """A one-shot view returned as columns of a bounded slice."""
+    return View(table, config, **kw).to_columns(start_row=start_row, end_row=end_row)

@@ -184,43 +184,90 @@ class LiveTable:
         self.update(df, batch_id)
 
     # ------------------------------------------------------------------ reads
-    def _exists(self, p: str) -> bool:
+    def _fs(self, p: str):
         jvm = self.spark.sparkContext._jvm
         hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+    def _exists(self, p: str) -> bool:
+        fs, hp = self._fs(p)
         return fs.exists(hp)
 
-    def log(self) -> DataFrame:
+    def _batches(self, folder: str, prefix: str = "batch=") -> list[int]:
+        """Committed sub-folders ``prefix<N>`` (metadata listing only)."""
+        if not self._exists(folder):
+            return []
+        fs, hp = self._fs(folder)
+        out = []
+        for st in fs.listStatus(hp):
+            name = st.getPath().getName()
+            if name.startswith(prefix) and fs.exists(st.getPath().suffix("/_SUCCESS")):
+                out.append(int(name[len(prefix):]))
+        return sorted(out)
+
+    def _log_schema(self) -> T.StructType:
         fields = self.schema.fields + [T.StructField(PRESENT, T.ArrayType(T.StringType())),
                                        T.StructField(SEQ, T.LongType()), T.StructField(OP, T.StringType()),
                                        T.StructField(PORT, T.IntegerType())]
         if self.index is None:
             fields.append(T.StructField(ROW_ID, ROW_ID_TYPE))
-        st = T.StructType(fields + [T.StructField(BATCH, T.LongType())])
+        return T.StructType(fields + [T.StructField(BATCH, T.LongType())])
+
+    def _cleared_at(self) -> int | None:
+        marks = self._batches(f"{self.path}/clear")
+        return marks[-1] if marks else None
+
+    def _compacted(self) -> int | None:
+        """Newest snapshot folded through batch N that no later clear() voids."""
+        cleared = self._cleared_at()
+        done = [n for n in self._batches(f"{self.path}/snapshot", "through=")
+                if cleared is None or n >= cleared]
+        return done[-1] if done else None
+
+    def log(self, after: int | None = None) -> DataFrame:
+        """Change rows still in force (after the last clear, after ``after``)."""
+        st = self._log_schema()
         if not self._exists(self.log_path):
             return self.spark.createDataFrame([], st)
         df = self.spark.read.schema(st).parquet(self.log_path)
-        if self._exists(f"{self.path}/clear"):
-            last = self.spark.read.parquet(f"{self.path}/clear").agg(F.max("cleared_at")).scalar()
-            df = df.where(F.col(BATCH) >= last)
+        cleared = self._cleared_at()
+        if cleared is not None:
+            df = df.where(F.col(BATCH) >= cleared)
+        if after is not None:
+            df = df.where(F.col(BATCH) > after)
         return df
 
+    def _state_log(self) -> DataFrame:
+        """Newest compacted snapshot (in log form) plus the log batches after it."""
+        n = self._compacted()
+        log = self.log(after=n)
+        if n is None:
+            return log
+        base = self.spark.read.schema(self._log_schema()).parquet(f"{self.path}/snapshot/through={n}")
+        return base.unionByName(log)
+
+    def _fold(self, log: DataFrame) -> DataFrame:
+        names = [f.name for f in self.schema.fields]
+        if self.index is not None:
+            return latest_per_key(log, self.index, self.seq + LOG_ORDER, nulls=self.nulls, op_col=OP,
+                                  keep=[c for c in names if c != self.index] + [PORT],
+                                  present_col=PRESENT if self.nulls == "overwrite" else None)
+        out = log.where(F.col(OP) == UPSERT)
+        if self._exists(f"{self.path}/patch"):
+            patches = self.spark.read.schema(self._log_schema()).parquet(f"{self.path}/patch")
+            cleared = self._cleared_at()
+            if cleared is not None:
+                patches = patches.where(F.col(BATCH) >= cleared)
+            out = latest_per_key(out.unionByName(patches), ROW_ID, LOG_ORDER, nulls="keep",
+                                 keep=names + [PORT, PRESENT])
+        if self.limit is not None:
+            out = newest_rows(out, self.seq + LOG_ORDER, self.limit)
+        return out
+
     def snapshot(self, *, with_meta: bool = False) -> DataFrame:
         """The table now: newest row per key, all rows, or the newest ``limit``."""
-        log = self.log()
+        out = self._fold(self._state_log())
         names = [f.name for f in self.schema.fields]
-        if self.index is not None:
-            out = latest_per_key(log, self.index, self.seq + LOG_ORDER, nulls=self.nulls, op_col=OP,
-                                 keep=[c for c in names if c != self.index] + ([PORT] if with_meta else []),
-                                 present_col=PRESENT if self.nulls == "overwrite" else None)
-        else:
-            out = log.where(F.col(OP) == UPSERT)
-            if self._exists(f"{self.path}/patch"):
-                patches = self.spark.read.schema(out.schema).parquet(f"{self.path}/patch")
-                out = latest_per_key(out.unionByName(patches), ROW_ID, LOG_ORDER, nulls="keep",
-                                     keep=names + [PORT, PRESENT])
-            if self.limit is not None:
-                out = newest_rows(out, self.seq + LOG_ORDER, self.limit)
         cols = names + ([BATCH, SEQ, PORT] if with_meta else []) + ([ROW_ID] if self.index is None and with_meta else [])
         return out.select(*[_q(c) for c in cols])
 
@@ -235,10 +282,24 @@ class LiveTable:
         rows = self._log_rows(patches, batch_id, 0, UPSERT, [T.StructField(ROW_ID, ROW_ID_TYPE)])
         rows.write.mode("overwrite").parquet(f"{self.path}/patch/batch={int(batch_id)}")
 
-    def compact(self, version: int) -> str:
-        """Fold the log into ``snapshot/v=version`` (readers keep old files)."""
-        out = f"{self.path}/snapshot/v={int(version)}"
-        self.snapshot(with_meta=True).write.mode("overwrite").parquet(out)
+    def compact(self) -> str | None:
+        """Fold everything through the newest committed batch into
+        ``snapshot/through=N`` (log form).  Readers then fold that snapshot
+        plus later batches only; older files stay for readers in flight.
+        Patches of append tables stay in ``patch/`` and are re-applied."""
+        batches = self._batches(self.log_path)
+        if not batches:
+            return None
+        n = batches[-1]
+        names = [f.name for f in self.schema.fields]
+        state = self._state_log().where(F.col(BATCH) <= n)
+        folded = self._fold(state)
+        st = self._log_schema()
+        # the folded state carries every cell: all fields present, all upserts
+        folded = (folded.withColumn(PRESENT, F.array(*[F.lit(c) for c in names]))
+                  .withColumn(OP, F.lit(UPSERT)))
+        out = f"{self.path}/snapshot/through={n}"
+        folded.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in st.fields]).write.mode("overwrite").parquet(out)
         return out
 
 

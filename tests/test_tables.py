@@ -100,7 +100,8 @@ def test_append_capped_patch_ports(spark, tmp_path):
     target = [r._row_id for r in rows if r.a == 2][0]
     a.patch_rows(spark.createDataFrame([(target, 9.5)], "_row_id struct<b:long,p:long>, b double"), 1)
     assert sorted((r.a, r.b) for r in a.snapshot().collect()) == [(1, 1.0), (2, 9.5)]
-    assert a.compact(1).endswith("v=1")
+    assert a.compact().endswith("through=0")  # patches live in patch/, the log ends at batch 0
+    assert sorted((r.a, r.b) for r in a.snapshot().collect()) == [(1, 1.0), (2, 9.5)]
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -137,3 +138,23 @@ def test_overwrite_with_presence(spark, tmp_path):
     keep.update(spark.createDataFrame([("x", 1, 1.5)], "k string, a long, b double"), 0)
     keep.update(spark.createDataFrame([("x", None, None)], "k string, a long, b double"), 1)
     assert as_dict(keep.snapshot())["x"] == {"k": "x", "a": 1, "b": 1.5}
+
+
+def test_compaction_then_more_batches(spark, tmp_path):
+    for nulls in ("keep", "overwrite"):
+        t = LiveTable(spark, str(tmp_path / f"c-{nulls}"), SCHEMA, index="k", nulls=nulls)
+        t.update(spark.createDataFrame([("x", 1, 1.0), ("y", 2, 2.0)], "k string, a long, b double"), 0)
+        t.update(spark.createDataFrame([("x", None, 5.0)], "k string, a long, b double"), 1)
+        before = as_dict(t.snapshot())
+        assert t.compact().endswith("through=1")
+        assert as_dict(t.snapshot()) == before
+        t.update(spark.createDataFrame([("y", 9, None)], "k string, a long, b double"), 2)
+        t.remove(spark.createDataFrame([("x",)], "k string"), 3)
+        got = as_dict(t.snapshot())
+        assert set(got) == {"y"}
+        assert got["y"]["a"] == 9 and got["y"]["b"] == (2.0 if nulls == "keep" else None)
+        t.compact()
+        assert as_dict(t.snapshot()) == got
+        t.clear(4)
+        t.update(spark.createDataFrame([("z", 1, 1.0)], "k string, a long, b double"), 4)
+        assert set(as_dict(t.snapshot())) == {"z"}

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gridlens.session import checkpoint_root
 
 _MASK33 = (1 << 33) - 1
+# Up to this many rows a slice is TakeOrderedAndProject (each task keeps its
+# best ``end`` rows, one task merges them); beyond it the slice is taken from
+# the distributed global rank instead.
+TOP_K_ROWS = 1_000_000
 
 
 def sort_column(c: Column, direction: str) -> Column | None:
@@ -60,6 +64,9 @@ def slice_rows(df: DataFrame, order: list[Column], start: int = 0, end: int | No
     keeps only its best ``end`` rows.
     """
     start = max(0, int(start or 0))
+    if order and end is not None and int(end) > TOP_K_ROWS:
+        ranked = global_rank(df, order, "_slice_pos")
+        return ranked.where((F.col("_slice_pos") > start) & (F.col("_slice_pos") <= int(end))).drop("_slice_pos")
     out = df.orderBy(*order) if order else df
     if start:
         out = out.offset(start)
@@ -71,8 +78,9 @@ def slice_rows(df: DataFrame, order: list[Column], start: int = 0, end: int | No
 def ranked_slice(df: DataFrame, order: list[Column], start: int = 0, end: int | None = None,
                  name: str = "_rank") -> DataFrame:
     """A bounded slice with its positions; the window only sees the slice."""
-    if end is None:
-        return global_rank(df, order, name).where(F.col(name) > start)
+    if end is None or int(end) > TOP_K_ROWS:
+        ranked = global_rank(df, order, name).where(F.col(name) > start)
+        return ranked if end is None else ranked.where(F.col(name) <= int(end))
     sl = slice_rows(df, order, start, end)
     return sl.withColumn(name, F.row_number().over(Window.orderBy(*order)) + F.lit(start))
 

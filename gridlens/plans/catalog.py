@@ -1054,7 +1054,7 @@ def change_direction_q(spark, d):
 
 
 # ============================================================ streaming
-from gridlens.streaming.live import stream_chained, stream_keyed  # noqa: E402
+from gridlens.streaming.live import stream_chained, stream_keyed, stream_rollup_table  # noqa: E402
 
 
 @query("stream_keyed", LATEST_EVENT_SQL)
@@ -1080,3 +1080,17 @@ def chained_view(spark, d):
     out = stream_chained(spark, e, group_by=["user_id"], view_fn=view_fn, out_schema=schema,
                          part=F.to_date("ts"))
     return rnd(out, ["total"])
+
+
+@query("chained_rollup", """
+SELECT user_id, count(event_id) AS n_events, round(sum(value), 2) AS total, max(ts) AS last_ts
+FROM events GROUP BY user_id""")
+def chained_rollup(spark, d):
+    """S8 incremental: per-user rollup merged batch by batch from partial aggregates."""
+    e = Tables(spark, d).events
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n_events", T.LongType()),
+                           T.StructField("total", T.DoubleType()), T.StructField("last_ts", T.TimestampNTZType())])
+    out = stream_rollup_table(spark, e, group_by=["user_id"], out_schema=schema, part=F.to_date("ts"),
+                              aggregates={"n_events": ("count", "event_id"), "total": ("sum", "value"),
+                                          "last_ts": ("max", "ts")})
+    return rnd(out, ["total"])

@@ -134,6 +134,7 @@ class View:
             return self.table.sparkSession.createDataFrame(
                 [(i, c) for i, c in enumerate(self.column_paths())], "position int, column_path string")
         sb = self.split_by
+        self.split_values()  # enforces the cap, so the window below sees a bounded set
         aggs = [self._agg(c).alias(f"_cs{i}") for i, (c, _) in enumerate(self.col_sorts)]
         g = self.base.groupBy(*[q(c) for c in sb])
         sv = g.agg(*aggs) if aggs else g.agg(F.count(F.lit(1)).alias("_n"))

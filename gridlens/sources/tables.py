@@ -97,8 +97,10 @@ def newest_rows(df: DataFrame, seq, limit: int) -> DataFrame:
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps
     its own newest ``limit`` rows, then one merge of ``tasks * limit`` rows.
     """
+    from gridlens.operators.sorting import slice_rows
+
     seqs = [seq] if isinstance(seq, str) else list(seq)
-    return df.orderBy(*[_q(s).desc() for s in seqs]).limit(int(limit))
+    return slice_rows(df, [_q(s).desc() for s in seqs], 0, int(limit))
 
 
 def tombstones(keys: DataFrame, seq_value=None) -> DataFrame:
@@ -237,10 +239,18 @@ class LiveTable:
             df = df.where(F.col(BATCH) > after)
         return df
 
-    def _state_log(self) -> DataFrame:
-        """Newest compacted snapshot (in log form) plus the log batches after it."""
+    def _state_log(self, before: int | None = None) -> DataFrame:
+        """Newest compacted snapshot (in log form) plus the log batches after it.
+
+        ``before``: only batches older than this one (the state a replayed
+        batch must start from); needs a snapshot compacted before it.
+        """
         n = self._compacted()
+        if before is not None and n is not None and n >= before:
+            raise ValueError(f"state before batch {before} is compacted away (through {n})")
         log = self.log(after=n)
+        if before is not None:
+            log = log.where(F.col(BATCH) < before)
         if n is None:
             return log
         base = self.spark.read.schema(self._log_schema()).parquet(f"{self.path}/snapshot/through={n}")
@@ -264,9 +274,10 @@ class LiveTable:
             out = newest_rows(out, self.seq + LOG_ORDER, self.limit)
         return out
 
-    def snapshot(self, *, with_meta: bool = False) -> DataFrame:
-        """The table now: newest row per key, all rows, or the newest ``limit``."""
-        out = self._fold(self._state_log())
+    def snapshot(self, *, with_meta: bool = False, before: int | None = None) -> DataFrame:
+        """The table now (or as of just before batch ``before``): newest row per
+        key, all rows, or the newest ``limit``."""
+        out = self._fold(self._state_log(before))
         names = [f.name for f in self.schema.fields]
         cols = names + ([BATCH, SEQ, PORT] if with_meta else []) + ([ROW_ID] if self.index is None and with_meta else [])
         return out.select(*[_q(c) for c in cols])

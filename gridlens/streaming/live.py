@@ -16,7 +16,9 @@ from gridlens.session import scratch_path
 from gridlens.sources.export import JSON_OPTIONS
 from gridlens.sources.json_stream import json_stream
 from gridlens.sources.tables import LiveTable
-from gridlens.streaming.sink import LiveSink, chain_into, keyed_view_delta, start_stream
+from gridlens.streaming.sink import (
+    LiveSink, chain_into, incremental_view_delta, keyed_view_delta, start_stream,
+)
 
 
 def land_json_lines(df: DataFrame, path: str, part: F.Column) -> str:
@@ -67,3 +69,18 @@ def stream_chained(spark: SparkSession, events: DataFrame, *, group_by: list[str
     stream_into_table(spark, landing, events.schema, upstream, files_per_batch=files_per_batch,
                       listeners=[(chain_into(downstream), delta)])
     return downstream.snapshot()
+
+
+def stream_rollup_table(spark: SparkSession, events: DataFrame, *, group_by: list[str],
+                        aggregates: dict[str, tuple[str, str]], out_schema, part: F.Column,
+                        files_per_batch: int = 8) -> DataFrame:
+    """S8, incremental: a keyed table of per-group aggregates kept live from a
+    stream by merging each batch's partial aggregates (no upstream re-read)."""
+    root = scratch_path(spark, "rollup")
+    landing = land_json_lines(events, f"{root}/landing", part)
+    upstream = LiveTable(spark, f"{root}/upstream", events.schema)
+    downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by[0], nulls="overwrite")
+    delta = incremental_view_delta(downstream, group_by, aggregates)
+    stream_into_table(spark, landing, events.schema, upstream, files_per_batch=files_per_batch,
+                      listeners=[(chain_into(downstream), delta)])
+    return downstream.snapshot()

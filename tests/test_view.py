@@ -131,3 +131,14 @@ def test_filter_pushdown_and_pruning(spark):
         ._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,30" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_large_slices_use_the_distributed_rank(spark, monkeypatch):
+    from gridlens.operators import sorting
+
+    df = spark.createDataFrame([(i,) for i in range(50)], "a long")
+    monkeypatch.setattr(sorting, "TOP_K_ROWS", 5)
+    out = sorting.slice_rows(df, [F.col("a").desc()], 3, 10)
+    assert sorted(r.a for r in out.collect()) == list(range(40, 47))
+    ranked = sorting.ranked_slice(df, [F.col("a").asc()], 0, 8)
+    assert sorted((r._rank, r.a) for r in ranked.collect()) == [(i + 1, i) for i in range(8)]

@@ -628,11 +628,11 @@ def row_path_q(spark, d):
 
 # ============================================================ aggregates
 def _grouped(t: DataFrame, group_by, aggregates: dict, *, expressions=None, order=None, index=None,
-             columns=None) -> DataFrame:
+             columns=None, **kw) -> DataFrame:
     cfg = {"group_by": group_by, "columns": columns or list(aggregates), "aggregates": aggregates}
     if expressions:
         cfg["expressions"] = expressions
-    return View(t, cfg, order=order, index=index).to_df()
+    return View(t, cfg, order=order, index=index, **kw).to_df()
 
 
 @query("agg_any", f"""
@@ -777,6 +777,38 @@ def agg_median(spark, d):
     return rnd(out, ["o_totalprice"], 4)
 
 
+AGG_MEDIAN_SQL = ORACLES["agg_median"]
+AGG_DOMINANT_SQL = ORACLES["agg_dominant"]
+
+
+@query("agg_median_distributed", AGG_MEDIAN_SQL)
+def agg_median_distributed(spark, d):
+    """A18 as a distributed job (global rank + middle positions), the path taken for big groups."""
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "median"}, holistic_rows=0)
+    return rnd(out, ["o_totalprice"], 4)
+
+
+@query("agg_dominant_distributed", AGG_DOMINANT_SQL)
+def agg_dominant_distributed(spark, d):
+    """A7 as a distributed job (partial counts per value, then arg-max), the path for big groups."""
+    return _grouped(Tables(spark, d).events, ["user_id"], {"event_type": "dominant"}, holistic_rows=0)
+
+
+PIVOT_MEDIAN_COLS = ", ".join(
+    f"round(median(o_totalprice) FILTER (WHERE o_orderstatus = '{st}'), 4) AS \"{st}|o_totalprice\"" for st in "FOP")
+
+
+@query("pivot_median_distributed", f"""
+SELECT o_orderpriority, {depth_sql(['o_orderpriority'])} AS _depth, {PIVOT_MEDIAN_COLS}
+FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+def pivot_median_distributed(spark, d):
+    """A18 under a pivot, distributed: medians per (group, split value) pivoted onto the rollup."""
+    v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "split_by": ["o_orderstatus"],
+                                        "columns": ["o_totalprice"], "aggregates": {"o_totalprice": "median"}},
+             holistic_rows=0)
+    return rnd(v.to_df(), [f"{st}|o_totalprice" for st in "FOP"], 4)
+
+
 PCT_BASE_SQL = f"""
 SELECT l_returnflag, l_linestatus, {depth_sql(['l_returnflag', 'l_linestatus'])} AS _depth, sum(l_quantity) AS q
 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"""

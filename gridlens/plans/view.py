@@ -21,6 +21,7 @@ from gridlens.functions.aggregates import (
 )
 from gridlens.functions.expressions import add_expressions
 from gridlens.operators.filters import build_predicate
+from gridlens.operators.holistic import HOLISTIC, attach
 from gridlens.operators.grouping import (
     DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, path_key, q,
     row_path, split_values_condition,
@@ -31,6 +32,10 @@ from gridlens.operators.sorting import (
 from gridlens.types import table_schema
 
 MAX_SPLIT_VALUES = 2000  # pivot columns are plan width: refuse, never truncate
+# median / dominant use Spark's built-in (one buffer of distinct values per
+# group) only when the largest group provably has at most this many rows;
+# otherwise they run as distributed jobs (operators/holistic.py).
+HOLISTIC_ROWS = 2_000_000
 
 
 class View:
@@ -43,7 +48,7 @@ class View:
 
     def __init__(self, table: DataFrame, config: dict | ViewConfig | None = None, *,
                  index=None, order=None, max_split_values: int = MAX_SPLIT_VALUES,
-                 approx: bool = False):
+                 approx: bool = False, holistic_rows: int | None = None):
         self.table = table
         self.cfg = copy.deepcopy(normalize_config(config))
         self.index = [index] if isinstance(index, str) else list(index or [])
@@ -51,6 +56,7 @@ class View:
         self.order = [order] if isinstance(order, str) else list(order or [])
         self.max_split_values = max_split_values
         self.approx = approx
+        self.holistic_rows = HOLISTIC_ROWS if holistic_rows is None else holistic_rows
         self._prepare()
 
     # ------------------------------------------------------------------ setup
@@ -187,10 +193,27 @@ class View:
     def _flat_sort_col(self, c: str) -> str:
         return c if (c in self.columns and self.context == 0) else f"_sort_{c}"
 
+    def _holistic(self, col: str) -> bool:
+        """True when ``col``'s aggregate must run as a distributed job."""
+        if self.approx or self.aggregate_name(col) not in HOLISTIC:
+            return False
+        if not hasattr(self, "_largest_group_bounded"):
+            self._largest_group_bounded = self._largest_group_rows_at_most(self.holistic_rows)
+        return not self._largest_group_bounded
+
+    def _largest_group_rows_at_most(self, bound: int) -> bool:
+        """Size check (one aggregation job): does every group fit the bound?"""
+        if self.cfg.leaves_only and self.group_by:
+            counts = self.base.groupBy(*[q(c) for c in self.group_by]).agg(F.count(F.lit(1)).alias("n"))
+            biggest = counts.agg(F.max("n")).first()[0] or 0
+        else:  # the grand-total row sees every row
+            biggest = self.base.limit(bound + 1).count()
+        return biggest <= bound
+
     def _grouped(self) -> DataFrame:
         gb, n = self.group_by, len(self.group_by)
         vals = self._value_columns()
-        aggs = [self._agg(c, cond).alias(name) for c, name, cond in vals]
+        aggs = [(F.lit(None) if self._holistic(c) else self._agg(c, cond)).alias(name) for c, name, cond in vals]
         names = {name for _, name, _ in vals}
         for c, _ in self.sorts:
             sname = self._sort_name(c)
@@ -201,6 +224,7 @@ class View:
         need_parent = any(k == PCT_PARENT for k in kinds.values())
         leaves_only = self.cfg.leaves_only and not need_parent
         rolled = grouped_aggregate(self.base, gb, aggs, leaves_only=leaves_only)
+        rolled = self._attach_holistic(rolled, vals, leaves_only)
         # distinct leaf: only leaf rows carry a value
         for name, k in kinds.items():
             if k == DISTINCT_LEAF:
@@ -219,6 +243,28 @@ class View:
             rolled = filter_expanded(rolled, gb, self._open_paths())
         return rolled
 
+    def _attach_holistic(self, rolled: DataFrame, vals, leaves_only: bool) -> DataFrame:
+        """median / dominant as distributed jobs joined onto the rollup rows."""
+        n = len(self.group_by)
+        levels = [n] if leaves_only else list(range(n + 1))
+        parts = []
+        split_vals = self.split_values() if self.context == 2 else None
+        cache: dict = {}
+        for c, name, _ in vals:
+            if not self._holistic(c):
+                continue
+            kind = self.aggregate_name(c)
+            if (c, kind) not in cache:
+                cache[(c, kind)] = HOLISTIC[kind](self.base, self.group_by, q(c), levels=levels,
+                                                  keys=self.split_by if self.context == 2 else ())
+            res = cache[(c, kind)]
+            if self.context == 2:
+                v = split_vals[[column_path(sv, c) for sv in split_vals].index(name)]
+                parts.append((name, res, self.split_by, v))
+            else:
+                parts.append((name, res, [], []))
+        return attach(rolled, self.group_by, parts) if parts else rolled
+
     def _totals(self, names: list[str], vals) -> dict:
         """Grand totals (one aggregated row) for percent columns."""
         by_name = {name: (c, cond) for c, name, cond in vals}
@@ -365,7 +411,8 @@ class View:
         for k, v in changes.items():
             setattr(cfg, k, v)
         return View(self.table, cfg, index=self.index, order=self.order,
-                    max_split_values=self.max_split_values, approx=self.approx)
+                    max_split_values=self.max_split_values, approx=self.approx,
+                    holistic_rows=self.holistic_rows)
 
     def set_depth(self, depth: int) -> "View":
         """Show group levels up to ``depth``."""

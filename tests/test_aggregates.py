@@ -101,11 +101,13 @@ def close(a, b):
 NUMERIC = [n for n in NUMBER_AGGREGATES if not n.startswith("pct")]
 
 
-@pytest.mark.parametrize("name", NUMERIC)
+@pytest.mark.parametrize("name", NUMERIC + ["median!", "dominant!"])
 @pytest.mark.parametrize("col", ["x", "y"])
 def test_number_aggregates(grouped, name, col):
+    forced = name.endswith("!")  # "!" = force the distributed path for holistic aggregates
+    name = name.rstrip("!")
     v = View(grouped, {"group_by": ["g1", "g2"], "columns": [col], "aggregates": {col: name}},
-             index="seq", order=["seq"])
+             index="seq", order=["seq"], holistic_rows=0 if forced else None)
     got = {((r.g1, r.g2), r._depth): r[col] for r in v.to_df().collect()}
     exp = expected(col, name, ["g1", "g2"])
     assert set(got) == set(exp)
@@ -113,10 +115,12 @@ def test_number_aggregates(grouped, name, col):
         assert close(got[k], exp[k]), (name, col, k, got[k], exp[k])
 
 
-@pytest.mark.parametrize("name", TEXT_AGGREGATES)
+@pytest.mark.parametrize("name", list(TEXT_AGGREGATES) + ["dominant!"])
 def test_text_aggregates(grouped, name):
+    forced = name.endswith("!")
+    name = name.rstrip("!")
     v = View(grouped, {"group_by": ["g1", "g2"], "columns": ["s"], "aggregates": {"s": name}},
-             index="seq", order=["seq"])
+             index="seq", order=["seq"], holistic_rows=0 if forced else None)
     got = {((r.g1, r.g2), r._depth): r.s for r in v.to_df().collect()}
     exp = expected("s", name, ["g1", "g2"])
     if name == "distinct leaf":
@@ -153,3 +157,14 @@ def test_default_aggregates(grouped):
     v = View(grouped, {"group_by": ["g1"], "columns": ["x", "s"]})
     root = [r for r in v.to_df().collect() if r._depth == 0][0]
     assert root.x == 16 and root.s == 6
+
+
+def test_distributed_median_under_pivot_and_leaves(grouped):
+    for leaves in (False, True):
+        v = View(grouped, {"group_by": ["g1"], "split_by": ["p"], "columns": ["y"], "aggregates": {"y": "median"},
+                           "leaves_only": leaves}, holistic_rows=0)
+        w = View(grouped, {"group_by": ["g1"], "split_by": ["p"], "columns": ["y"], "aggregates": {"y": "median"},
+                           "leaves_only": leaves})
+        key = lambda r: (r.g1 or "", r._depth)
+        assert sorted(map(tuple, v.to_df().collect()), key=lambda t: (str(t[0]), t[1])) == \
+            sorted(map(tuple, w.to_df().collect()), key=lambda t: (str(t[0]), t[1]))

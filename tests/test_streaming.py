@@ -128,3 +128,29 @@ def test_incremental_rollup_is_replay_safe(spark, tmp_path):
         down.update(delta(b, bid), bid)
     got = {r.k: (r.n, r.s) for r in down.snapshot().collect()}
     assert got == {"x": (3, 8), "y": (0, None), "z": (1, 1)}
+
+
+def test_dashboard_feeds_end_to_end(spark, tmp_path):
+    from gridlens.streaming.dashboard import Feed, dashboard_views, start_feeds
+
+    status_schema = {"machine_id": "string", "status": "string", "last_update": "datetime"}
+    jobs_schema = {"machine_id": "string", "job_id": "string", "name": "string", "units": "float",
+                   "start_time": "datetime", "end_time": "datetime"}
+    write_lines(str(tmp_path / "status"), "a.json", [
+        {"machine_id": "m1", "status": "idle", "last_update": "2024-01-01T00:00:00"},
+        {"machine_id": "m2", "status": "busy", "last_update": "2024-01-01T00:00:01"},
+        {"machine_id": "m1", "status": "busy", "last_update": "2024-01-01T00:00:05"}])
+    write_lines(str(tmp_path / "jobs"), "a.json", [
+        {"machine_id": "m1", "job_id": "j1", "name": "a", "units": 1.5, "start_time": "2024-01-01T00:00:00"},
+        {"machine_id": "m1", "job_id": "j2", "name": "b", "units": 2.0, "start_time": "2024-01-01T00:00:03"}])
+    reg = TableRegistry(spark, str(tmp_path / "tables"))
+    feeds = {"status": Feed(status_schema, path=str(tmp_path / "status"), index="machine_id", seq=["last_update"]),
+             "jobs": Feed(jobs_schema, path=str(tmp_path / "jobs"))}
+    qs = start_feeds(spark, reg, feeds, checkpoint_root=str(tmp_path / "ck"), available_now=True)
+    for q in qs.values():
+        q.awaitTermination()
+    views = dashboard_views(reg)
+    status = {(r.status, r._depth): r.machine_id for r in views["Status"].to_df().collect()}
+    assert status == {(None, 0): 2, ("busy", 1): 2}
+    jobs = [r for r in views["Jobs"].to_df().collect() if r._depth == 1][0]
+    assert (jobs.job_id, jobs.name, jobs.units) == (2, "b", 3.5)

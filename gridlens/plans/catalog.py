@@ -1126,3 +1126,14 @@ def chained_rollup(spark, d):
                               aggregates={"n_events": ("count", "event_id"), "total": ("sum", "value"),
                                           "last_ts": ("max", "ts")})
     return rnd(out, ["total"])
+
+
+@query("cross_filter_docs", """
+SELECT doc_id, lang, source, n_chars FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def cross_filter_docs(spark, d):
+    """J2 on a column both tables share: rows selected in ``labels`` filter ``documents``."""
+    t = Tables(spark, d)
+    docs = View(t.documents, {"columns": ["doc_id", "lang", "source", "n_chars"]}).to_df()
+    selected = View(t.labels, {"filter": [["toxic", "==", 1]], "columns": ["doc_id"]}).to_df()
+    return filter_by_selection(docs, selected, "doc_id")

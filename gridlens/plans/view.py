@@ -456,9 +456,9 @@ class View:
         """A bounded slice as a list of row dicts (T14 for clients)."""
         return [r.asDict() for r in self.to_df(start_row=start_row, end_row=end_row, **kw).collect()]
 
-    def to_arrow(self, **kw):
-        """An Arrow table of a bounded slice (use Parquet for whole views)."""
-        return self.to_df(**kw).toArrow()
+    def to_arrow(self, start_row: int = 0, end_row: int = 1000, **kw):
+        """An Arrow table of a bounded slice (whole views: ``write_arrow_files``)."""
+        return self.to_df(start_row=start_row, end_row=end_row, **kw).toArrow()
 
 
 def view(table: DataFrame, config=None, **kw) -> View:

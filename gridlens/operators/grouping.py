@@ -49,11 +49,6 @@ def path_key(group_by: list[str], length: Column | int) -> Column:
     return F.to_json(F.slice(arr, 1, F.greatest(ln, F.lit(0))))
 
 
-def null_safe_eq(left: DataFrame, right: DataFrame, cols_left, cols_right) -> Column:
-    parts = [left[f"`{a}`"].eqNullSafe(right[f"`{b}`"]) for a, b in zip(cols_left, cols_right)]
-    return functools.reduce(operator.and_, parts) if parts else F.lit(True)
-
-
 def filter_expanded(rolled: DataFrame, group_by: list[str], open_paths: DataFrame) -> DataFrame:
     """Keep rows whose every proper prefix is open.
 

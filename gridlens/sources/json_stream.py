@@ -107,6 +107,3 @@ def table_from_arrow(spark: SparkSession, data) -> DataFrame:
         data = pa.ipc.open_stream(io.BytesIO(bytes(data))).read_all()
     return spark.createDataFrame(data)
 
-
-def schema_struct(schema) -> T.StructType:
-    return to_struct(schema)

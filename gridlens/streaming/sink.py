@@ -75,6 +75,30 @@ def keyed_view_delta(table: LiveTable, view_fn: Callable[[DataFrame], DataFrame]
     return delta
 
 
+def row_delta(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
+    """X8 for a flat keyed view: the current rows of the keys a batch touched.
+
+    Keys deleted by the batch are absent from the result; a ``_deleted``
+    column would need the previous state, so use :func:`removed_keys` for them.
+    """
+    if table.index is None:
+        raise ValueError("row deltas need an indexed table; append tables deliver the batch itself")
+
+    def delta(batch: DataFrame, batch_id: int) -> DataFrame:
+        keys = batch.select(table.index).distinct()
+        return table.snapshot().join(keys, table.index, "left_semi")
+    return delta
+
+
+def removed_keys(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
+    """Keys present before a batch and absent after it."""
+    def delta(batch: DataFrame, batch_id: int) -> DataFrame:
+        keys = batch.select(table.index).distinct()
+        before = table.snapshot(before=batch_id).join(keys, table.index, "left_semi").select(table.index)
+        return before.join(table.snapshot().select(table.index), table.index, "left_anti")
+    return delta
+
+
 # Aggregates whose value for (old rows + new rows) follows from the two values.
 MERGEABLE = {
     "sum": lambda o, n: F.when(o.isNull(), n).when(n.isNull(), o).otherwise(o + n),

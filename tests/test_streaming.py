@@ -154,3 +154,16 @@ def test_dashboard_feeds_end_to_end(spark, tmp_path):
     assert status == {(None, 0): 2, ("busy", 1): 2}
     jobs = [r for r in views["Jobs"].to_df().collect() if r._depth == 1][0]
     assert (jobs.job_id, jobs.name, jobs.units) == (2, "b", 3.5)
+
+
+def test_row_delta_and_removed_keys(spark, tmp_path):
+    from gridlens.streaming.sink import removed_keys, row_delta
+
+    t = LiveTable(spark, str(tmp_path / "t"), SCHEMA, index="k", nulls="overwrite")
+    t.update(spark.createDataFrame([("x", 1, 1), ("y", 2, 1)], "k string, v long, ts long"), 0)
+    b1 = spark.createDataFrame([("x", 5, 2)], "k string, v long, ts long")
+    t.update(b1, 1)
+    assert [tuple(r) for r in row_delta(t)(b1, 1).collect()] == [("x", 5, 2)]
+    gone = spark.createDataFrame([("y",)], "k string")
+    t.remove(gone, 2)
+    assert [r.k for r in removed_keys(t)(gone, 2).collect()] == ["y"]

@@ -62,3 +62,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut lineage."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPREAD_MIN_BYTES = 8 << 20  # a narrow partition this large is worth splitting
+
+
+def spread_if_narrow(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin an input that has fewer partitions than the cluster has task
+    slots *and* heavy partitions (e.g. one big Parquet row group), so CPU-heavy
+    work after it runs in parallel.  The size is the optimizer's estimate (no
+    job).  Inputs already split at least as finely as there are slots - any
+    large table - are returned unchanged: no extra shuffle at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        qe = df._jdf.queryExecution()
+        parts = qe.toRdd().getNumPartitions()
+        size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - e.g. Spark Connect
+        return df
+    if parts < slots and size / max(parts, 1) >= min_bytes:
+        return df.repartition(slots)
+    return df

@@ -38,7 +38,7 @@ def _ordering(seq) -> Column:
 
 def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
                    op_col: str | None = None, keep: list[str] | None = None,
-                   present_col: str | None = None) -> DataFrame:
+                   present_col: str | None = None, spread: bool = True) -> DataFrame:
     """Fold a change log into the newest row per key.
 
     ``nulls="overwrite"``: the newest row replaces the whole row.
@@ -54,6 +54,10 @@ def latest_per_key(log: DataFrame, key, seq, *, nulls: str = "overwrite",
     """
     keys = [key] if isinstance(key, str) else list(key)
     seqs = [seq] if isinstance(seq, str) else list(seq)
+    if spread:
+        from gridlens.session import spread_if_narrow
+
+        log = spread_if_narrow(log)
     cols = keep or [c for c in log.columns
                     if c not in keys and c not in seqs and c not in (op_col, present_col)]
     order = _ordering(seqs)

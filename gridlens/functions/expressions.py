@@ -63,10 +63,11 @@ def _escape_replacement(r: str) -> str:
 
 def replace(s, pattern: str, replacement: str) -> Column:
     """replace the first match only."""
-    lead = re.compile(f"(?s)^(.*?)(?:{pattern})")  # validates the pattern early
-    del lead
-    return F.regexp_replace(_col(s), F.lit(f"(?s)^(.*?)(?:{pattern})"),
-                            F.lit("$1" + _escape_replacement(replacement)))
+    re.compile(f"(?s)^(.*?)(?:{pattern})")  # validates the pattern early
+    rep = _escape_replacement(replacement)
+    if replacement[:1].isdigit():
+        rep = "\\" + rep  # "$1" + "5" would read as group 15
+    return F.regexp_replace(_col(s), F.lit(f"(?s)^(.*?)(?:{pattern})"), F.lit("$1" + rep))
 
 
 def replace_all(s, pattern: str, replacement: str) -> Column:
@@ -89,7 +90,8 @@ _SQL_FUNCTIONS = {
     "replace_first": (
         "replace_first(s STRING, p STRING, r STRING) RETURNS STRING RETURN "
         "regexp_replace(s, concat('(?s)^(.*?)(?:', p, ')'), "
-        "concat('$1', replace(replace(r, '\\\\', '\\\\\\\\'), '$', '\\\\$')))"
+        "concat('$1', CASE WHEN r RLIKE '^[0-9]' THEN '\\\\' ELSE '' END, "
+        "replace(replace(r, '\\\\', '\\\\\\\\'), '$', '\\\\$')))"
     ),
     "replace_all": (
         "replace_all(s STRING, p STRING, r STRING) RETURNS STRING RETURN "

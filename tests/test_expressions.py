@@ -68,3 +68,9 @@ def test_validate_expressions(text):
     res = validate_expressions(text, {"ok": '"i" * 2', "bad": '"nope" + 1', "syntax": "1 +"})
     assert res["expression_schema"] == {"ok": "integer"}
     assert set(res["errors"]) == {"bad", "syntax"}
+
+
+def test_replace_with_leading_digit(text, spark):
+    assert col(text, replace("s", r"(\d)", "5x"))[3] == "a5xb22c333"
+    out = add_expressions(text, {"r": "replace_first(\"s\", '([0-9])', '5x')"})
+    assert [r.r for r in out.orderBy("i").collect()][3] == "a5xb22c333"

@@ -82,7 +82,7 @@ def ranked_slice(df: DataFrame, order: list[Column], start: int = 0, end: int |
         ranked = global_rank(df, order, name).where(F.col(name) > start)
         return ranked if end is None else ranked.where(F.col(name) <= int(end))
     sl = slice_rows(df, order, start, end)
-    return sl.withColumn(name, F.row_number().over(Window.orderBy(*order)) + F.lit(start))
+    return sl.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))
 
 
 def viewport_bounds(viewport: dict | None, n_cols: int | None = None) -> tuple:

@@ -104,7 +104,7 @@ def dash_usage(spark, d):
 @query("dash_usage_tree", f"""
 SELECT l_returnflag, l_linestatus, ship_year, {depth_sql(['l_returnflag', 'l_linestatus', 'ship_year'])} AS _depth,
        round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice
-FROM (SELECT *, year(l_shipdate) AS ship_year FROM {USAGE_SQL})
+FROM (SELECT *, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM {USAGE_SQL})
 GROUP BY ROLLUP (l_returnflag, l_linestatus, ship_year)""")
 def dash_usage_tree(spark, d):
     """D3: three-level tree, default sum of two number columns."""
@@ -589,7 +589,7 @@ PIVOT_TWO_COLS = ", ".join(
 
 @query("pivot_two_levels", f"""
 SELECT ship_year, {depth_sql(['ship_year'])} AS _depth, {PIVOT_TWO_COLS}
-FROM (SELECT *, year(l_shipdate) AS ship_year FROM lineitem) GROUP BY ROLLUP (ship_year)""")
+FROM (SELECT *, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem) GROUP BY ROLLUP (ship_year)""")
 def pivot_two_levels(spark, d):
     """Two split_by columns; column paths join values with ``|``."""
     v = View(Tables(spark, d).lineitem, {"group_by": ["ship_year"], "split_by": ["l_returnflag", "l_linestatus"],
@@ -868,7 +868,7 @@ def agg_unique(spark, d):
 
 @query("agg_default", f"""
 SELECT o_orderstatus, {depth_sql(['o_orderstatus'])} AS _depth, round(sum(o_totalprice), 2) AS o_totalprice,
-  count(o_orderpriority) AS o_orderpriority, count(o_orderdate) AS o_orderdate, sum(o_orderkey) AS o_orderkey
+  count(o_orderpriority) AS o_orderpriority, count(o_orderdate) AS o_orderdate, CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey
 FROM orders GROUP BY ROLLUP (o_orderstatus)""")
 def agg_default(spark, d):
     """Default aggregate per type - sum for numbers, count otherwise."""

@@ -51,6 +51,21 @@ def rows_of(columns, records):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "FLOAT": "float",
+                 "SMALLINT": "smallint", "HUGEINT": "decimal", "TIMESTAMP WITH TIME ZONE": "timestamp"}
+
+
+def type_diffs(sdf, res) -> list[str]:
+    s_types = dict(sdf.dtypes)
+    out = []
+    for c, t in zip(res.columns, res.types):
+        want = DUCK_TO_SPARK.get(str(t), str(t).lower())
+        if c in s_types and s_types[c] != want:
+            out.append(f"{c}: spark={s_types[c]} oracle={t}")
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t = time.time()
     sdf = fn(spark, sf_dir)
@@ -64,6 +79,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     o_rows = res.fetchall()
     if sorted(s_cols) != sorted(o_cols):
         return f"{name}: COLUMNS differ spark={sorted(s_cols)} oracle={sorted(o_cols)}", False
+    diffs = type_diffs(sdf, res)
+    if diffs:
+        return f"{name}: TYPES differ {diffs}", False
     a, b = rows_of(s_cols, s_rows), rows_of(o_cols, o_rows)
     if len(a) != len(b):
         return f"{name}: ROWCOUNT spark={len(a)} oracle={len(b)}", False

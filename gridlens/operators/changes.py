@@ -26,16 +26,46 @@ def remove_keys(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return semi_filter(df, keys, on, anti=True)
 
 
-def previous_value(df: DataFrame, key, order: list[str], value: str, *, bucket: Column,
+def previous_value_ranked(df: DataFrame, key, order: list[str], value: str, *,
+                          name: str = "prev_value") -> DataFrame:
+    """Exact ``lag(value)`` per key in ``order``, whatever the skew.
+
+    Rows are range-sorted on (key, order) - the range partitioner splits even
+    a key holding a third of all rows across many tasks - and get their global
+    position (:func:`global_rank`).  Each row's predecessor is the row at
+    position p - 1, found by an equi-join on the position (unique, evenly
+    spread); it counts only when it has the same key.
+    """
+    from gridlens.operators.sorting import global_rank
+
+    keys = [key] if isinstance(key, str) else list(key)
+    sort = [_q(k).asc_nulls_first() for k in keys] + [_q(c).asc_nulls_first() for c in order]
+    ranked = global_rank(df, sort, "_p")
+    prev = ranked.select((F.col("_p") + 1).alias("_p"), *[_q(k).alias(f"_pk{i}") for i, k in enumerate(keys)],
+                         _q(value).alias("_pv"))
+    out = ranked.join(prev, "_p", "left")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & _q(k).eqNullSafe(F.col(f"_pk{i}"))
+    out = out.withColumn(name, F.when(same, F.col("_pv")))
+    return out.drop("_p", "_pv", *[f"_pk{i}" for i in range(len(keys))])
+
+
+def previous_value(df: DataFrame, key, order: list[str], value: str, *, bucket: Column | None = None,
                    name: str = "prev_value") -> DataFrame:
     """``lag(value)`` per key in ``order`` without putting a whole key in one task.
 
+    Without ``bucket`` this is :func:`previous_value_ranked` (exact under any
+    skew).  With a ``bucket``:
     Rows are windowed per (key, bucket) - ``bucket`` is a coarse function of
     the order (e.g. the day of a timestamp) - so a key holding a third of
     all rows is still spread over many tasks.  The first row of a bucket
     takes the last value of the key's previous non-empty bucket, found from
-    one summary row per (key, bucket).
+    one summary row per (key, bucket) - cheaper, but a key concentrated in
+    one bucket stays in one task.
     """
+    if bucket is None:
+        return previous_value_ranked(df, key, order, value, name=name)
     keys = [key] if isinstance(key, str) else list(key)
     ordc = F.struct(*[_q(c) for c in order])
     b = df.withColumn("_b", bucket)
@@ -50,7 +80,7 @@ def previous_value(df: DataFrame, key, order: list[str], value: str, *, bucket:
     return out.drop("_b", "_first", "_prev_last")
 
 
-def change_direction(df: DataFrame, key, order: list[str], value: str, *, bucket: Column,
+def change_direction(df: DataFrame, key, order: list[str], value: str, *, bucket: Column | None = None,
                      name: str = "direction") -> DataFrame:
     """+1 / -1 / 0 against the key's previous value (null for a first value)."""
     out = previous_value(df, key, order, value, bucket=bucket, name=f"prev_{value}")

@@ -1079,7 +1079,15 @@ SELECT event_id, user_id, value, prev_value,
   CAST(sign(value - prev_value) AS INTEGER) AS direction FROM (
   SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events)""")
 def change_direction_q(spark, d):
-    """Up / down / same against the key's previous value (skew-safe lag)."""
+    """Up / down / same against the key's previous value (exact lag under any skew)."""
+    e = Tables(spark, d).events.select("event_id", "ts", "user_id", "value")
+    out = change_direction(e, "user_id", EVENTS_ORDER, "value")
+    return out.select("event_id", "user_id", "value", "prev_value", "direction")
+
+
+@query("change_direction_bucketed", ORACLES["change_direction"])
+def change_direction_bucketed(spark, d):
+    """X4 with per-(key, day) windows stitched at day borders (the cheaper variant)."""
     e = Tables(spark, d).events.select("event_id", "ts", "user_id", "value")
     out = change_direction(e, "user_id", EVENTS_ORDER, "value", bucket=F.date_trunc("DAY", "ts"))
     return out.select("event_id", "user_id", "value", "prev_value", "direction")

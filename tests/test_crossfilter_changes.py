@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gridlens.operators.changes import change_direction, previous_value, view_delta
@@ -43,7 +45,8 @@ def test_view_delta(spark):
     assert [tuple(r) for r in view_delta(old, new, removed=True).collect()] == [("b", 2)]
 
 
-def test_previous_value_matches_lag_with_a_hot_key(spark):
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_previous_value_matches_lag_with_a_hot_key(spark, bucketed):
     rnd = random.Random(7)
     t0 = dt.datetime(2024, 1, 1)
     rows = []
@@ -52,7 +55,8 @@ def test_previous_value_matches_lag_with_a_hot_key(spark):
         rows.append((i, key, t0 + dt.timedelta(hours=rnd.randint(0, 24 * 20)), rnd.choice([None, 1.0, 2.0, 3.0])))
     df = spark.createDataFrame(rows, "id long, k long, ts timestamp, v double")
     got = {r.id: (r.prev_v, r.direction) for r in
-           change_direction(df, "k", ["ts", "id"], "v", bucket=F.date_trunc("DAY", "ts"), name="direction")
+           change_direction(df, "k", ["ts", "id"], "v", bucket=F.date_trunc("DAY", "ts") if bucketed else None,
+                            name="direction")
            .collect()}
     by_key = {}
     for r in sorted(rows, key=lambda r: (r[2], r[0])):

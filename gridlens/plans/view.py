@@ -313,12 +313,12 @@ class View:
             if sort_names:
                 if k < n:
                     anc = rolled.where(F.col(DEPTH) == k).select(
-                        path_key(gb, k).alias(f"_ak{k}"),
-                        *[F.col(f"`{s}`").alias(f"_a{k}_{j}") for j, (s, _) in enumerate(sort_names)])
-                    df = df.withColumn(f"_ak{k}", F.when(F.col(DEPTH) >= k, path_key(gb, k)))
-                    df = df.join(anc, f"_ak{k}", "left").drop(f"_ak{k}")
+                        path_key(gb, k).alias(f"__anc_key{k}"),
+                        *[F.col(f"`{s}`").alias(f"__anc{k}_{j}") for j, (s, _) in enumerate(sort_names)])
+                    df = df.withColumn(f"__anc_key{k}", F.when(F.col(DEPTH) >= k, path_key(gb, k)))
+                    df = df.join(anc, f"__anc_key{k}", "left").drop(f"__anc_key{k}")
                     for j, (s, d) in enumerate(sort_names):
-                        order.append(sort_column(F.col(f"_a{k}_{j}"), d))
+                        order.append(sort_column(F.col(f"__anc{k}_{j}"), d))
                 else:
                     for s, d in sort_names:
                         order.append(sort_column(F.when(F.col(DEPTH) >= k, F.col(f"`{s}`")), d))
@@ -357,7 +357,7 @@ class View:
         sliced = bool(start_row) or end_row is not None
         if rank:
             order = order + [F.col(f"`{c}`").asc_nulls_first() for c in df.columns
-                             if c not in (DEPTH,) and not c.startswith("_a")]
+                             if c != DEPTH and not c.startswith("__anc")]
             if sliced:
                 from gridlens.operators.sorting import ranked_slice
                 df = ranked_slice(df, order, start_row or 0, end_row)

@@ -16,6 +16,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+STRICT = bool(int(__import__("os").environ.get("ORACLE_STRICT", "0")))
+
+
 def norm(v):
     if v is None:
         return None
@@ -28,7 +31,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -41,7 +44,7 @@ def norm(v):
         except Exception:
             pass
     if isinstance(v, float):
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     return v
 
 

@@ -297,15 +297,18 @@ class LiveTable:
         rows = self._log_rows(patches, batch_id, 0, UPSERT, [T.StructField(ROW_ID, ROW_ID_TYPE)])
         rows.write.mode("overwrite").parquet(f"{self.path}/patch/batch={int(batch_id)}")
 
-    def compact(self) -> str | None:
-        """Fold everything through the newest committed batch into
-        ``snapshot/through=N`` (log form).  Readers then fold that snapshot
-        plus later batches only; older files stay for readers in flight.
-        Patches of append tables stay in ``patch/`` and are re-applied."""
-        batches = self._batches(self.log_path)
+    def compact(self, through: int | None = None) -> str | None:
+        """Fold everything through batch ``through`` (default: the newest
+        committed batch) into ``snapshot/through=N`` (log form).  Readers then
+        fold that snapshot plus later batches only; older files stay for
+        readers in flight.  Patches of append tables stay in ``patch/``."""
+        batches = [b for b in self._batches(self.log_path) if through is None or b <= through]
         if not batches:
             return None
         n = batches[-1]
+        done = self._compacted()
+        if done is not None and done >= n:
+            return f"{self.path}/snapshot/through={done}"
         names = [f.name for f in self.schema.fields]
         state = self._state_log().where(F.col(BATCH) <= n)
         folded = self._fold(state)

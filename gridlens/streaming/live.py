@@ -32,11 +32,11 @@ def land_json_lines(df: DataFrame, path: str, part: F.Column) -> str:
 def stream_into_table(spark: SparkSession, landing: str, schema, table: LiveTable, *,
                       files_per_batch: int = 8, name: str | None = None,
                       listeners: list[tuple[Callable, Callable | None]] | None = None,
-                      checkpoint: str | None = None) -> LiveTable:
+                      checkpoint: str | None = None, compact_every: int | None = None) -> LiveTable:
     """Run the landing folder through a stream into ``table`` until caught up."""
     stream = json_stream(spark, schema, source="text", path=landing,
                          options={"maxFilesPerTrigger": files_per_batch})
-    sink = LiveSink(table)
+    sink = LiveSink(table, compact_every=compact_every)
     for fn, delta in listeners or []:
         sink.on_update(fn, mode="row" if delta else "none", delta=delta)
     q = start_stream(stream, sink, checkpoint=checkpoint or scratch_path(spark, "stream-ckpt"),
@@ -82,5 +82,5 @@ def stream_rollup_table(spark: SparkSession, events: DataFrame, *, group_by: lis
     downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by[0], nulls="overwrite")
     delta = incremental_view_delta(downstream, group_by, aggregates)
     stream_into_table(spark, landing, events.schema, upstream, files_per_batch=files_per_batch,
-                      listeners=[(chain_into(downstream), delta)])
+                      listeners=[(chain_into(downstream, compact_every=2), delta)], compact_every=2)
     return downstream.snapshot()

@@ -140,8 +140,9 @@ def incremental_view_delta(downstream: LiveTable, group_by: list[str],
 class LiveSink:
     """``foreachBatch`` writer of a stream into a :class:`LiveTable`."""
 
-    def __init__(self, table: LiveTable, *, port_id: int = 0):
+    def __init__(self, table: LiveTable, *, port_id: int = 0, compact_every: int | None = None):
         self.table, self.port_id = table, port_id
+        self.compact_every = compact_every
         self.listeners: list[Listener] = []
 
     def on_update(self, fn: Callable, *, mode: str = "none",
@@ -155,6 +156,7 @@ class LiveSink:
                 ls.fn(batch_id, None)
             else:
                 ls.fn(batch_id, ls.delta(batch, batch_id))
+        maybe_compact(self.table, batch_id, self.compact_every)
 
 
 def start_stream(stream: DataFrame, sink: LiveSink | Callable, *, checkpoint: str,
@@ -171,9 +173,18 @@ def start_stream(stream: DataFrame, sink: LiveSink | Callable, *, checkpoint: st
     return w.start()
 
 
-def chain_into(target: LiveTable) -> Callable:
+def maybe_compact(table: LiveTable, batch_id: int, every: int | None) -> None:
+    """Every ``every`` batches fold the log through the *previous* batch, so
+    reads stay proportional to the table, and a replay of the newest batch can
+    still see the state before it."""
+    if every and batch_id > 0 and batch_id % every == 0:
+        table.compact(through=batch_id - 1)
+
+
+def chain_into(target: LiveTable, *, compact_every: int | None = None) -> Callable:
     """A listener that upserts each view delta into another keyed table."""
     def fn(batch_id: int, delta: DataFrame | None) -> None:
         if delta is not None:
             target.update(delta, batch_id)
+        maybe_compact(target, batch_id, compact_every)
     return fn

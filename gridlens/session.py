@@ -64,12 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPREAD_MIN_BYTES = 8 << 20  # a narrow partition this large is worth splitting
+SPREAD_MIN_BYTES = 8 << 20  # a narrow input at least this large is worth spreading
 
 
 def spread_if_narrow(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Round-robin an input that has fewer partitions than the cluster has task
-    slots *and* heavy partitions (e.g. one big Parquet row group), so CPU-heavy
+    slots *and* is big enough for parallelism to pay (e.g. one big Parquet row
+    group: byte-range splits without a row group read nothing), so CPU-heavy
     work after it runs in parallel.  The size is the optimizer's estimate (no
     job).  Inputs already split at least as finely as there are slots - any
     large table - are returned unchanged: no extra shuffle at scale."""
@@ -80,6 +81,6 @@ def spread_if_narrow(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFr
         size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
     except Exception:  # pragma: no cover - e.g. Spark Connect
         return df
-    if parts < slots and size / max(parts, 1) >= min_bytes:
+    if parts < slots and size >= min_bytes:
         return df.repartition(slots)
     return df

@@ -151,11 +151,24 @@ class LiveSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.table.update(batch, batch_id, port_id=self.port_id)
-        for ls in self.listeners:
-            if ls.mode == "none" or ls.delta is None:
-                ls.fn(batch_id, None)
-            else:
-                ls.fn(batch_id, ls.delta(batch, batch_id))
+        # a delta is computed only when a listener wants rows, and once per
+        # batch however many listeners share it (persisted while they run)
+        wanted = [ls.delta for ls in self.listeners if ls.mode == "row" and ls.delta is not None]
+        shared = {id(d) for d in wanted if sum(1 for x in wanted if x is d) > 1}
+        deltas: dict[int, DataFrame] = {}
+        try:
+            for ls in self.listeners:
+                if ls.mode == "none" or ls.delta is None:
+                    ls.fn(batch_id, None)
+                    continue
+                key = id(ls.delta)
+                if key not in deltas:
+                    d = ls.delta(batch, batch_id)
+                    deltas[key] = d.persist() if key in shared else d
+                ls.fn(batch_id, deltas[key])
+        finally:
+            for key in shared & set(deltas):
+                deltas[key].unpersist()
         maybe_compact(self.table, batch_id, self.compact_every)
 
 

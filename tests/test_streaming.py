@@ -181,3 +181,22 @@ def test_compaction_keeps_replays_safe(spark, tmp_path):
     write(4, delta(batches[4], 4))  # the newest batch replayed after compaction through batch 3
     assert sorted(os.listdir(str(tmp_path / "down" / "snapshot")))[-1] == "through=3"
     assert {r.k: r.n for r in down.snapshot().collect()} == {"x": 5, "y": 5}
+
+
+def test_touched_groups_include_the_group_a_key_left(spark, tmp_path):
+    from gridlens import View
+
+    up = LiveTable(spark, str(tmp_path / "up"), {"k": "string", "g": "string", "v": "integer"},
+                   index="k", nulls="overwrite")
+
+    def view_fn(rows):
+        return View(rows, {"group_by": ["g"], "columns": ["v"], "leaves_only": True}).to_df().select("g", "v")
+
+    delta = keyed_view_delta(up, view_fn, ["g"])
+    seen = []
+    sink = LiveSink(up)
+    sink.on_update(lambda bid, d: seen.append(sorted(tuple(r) for r in d.collect())), mode="row", delta=delta)
+    sink.on_update(lambda bid, d: seen.append(d.count()), mode="row", delta=delta)  # shares the delta
+    sink(spark.createDataFrame([("x", "g1", 1), ("y", "g1", 2)], "k string, g string, v long"), 0)
+    sink(spark.createDataFrame([("x", "g2", 5)], "k string, g string, v long"), 1)
+    assert seen == [[("g1", 3)], 1, [("g1", 2), ("g2", 5)], 2]

@@ -36,6 +36,10 @@ class TableRegistry:
     def get_hosted_table_names(self) -> list[str]:
         return sorted(self.tables)
 
+    def sink(self, name: str, **kw) -> "LiveSink":
+        """The ``foreachBatch`` sink that routes a stream into table ``name``."""
+        return LiveSink(self.tables[name], **kw)
+
     def register_views(self) -> None:
         """Expose every table's current snapshot as a temp view of its name."""
         for name, t in self.tables.items():
@@ -140,9 +144,11 @@ def incremental_view_delta(downstream: LiveTable, group_by: list[str],
 class LiveSink:
     """``foreachBatch`` writer of a stream into a :class:`LiveTable`."""
 
-    def __init__(self, table: LiveTable, *, port_id: int = 0, compact_every: int | None = None):
+    def __init__(self, table: LiveTable, *, port_id: int = 0, compact_every: int | None = None,
+                 skip_empty: bool = True):
         self.table, self.port_id = table, port_id
         self.compact_every = compact_every
+        self.skip_empty = skip_empty
         self.listeners: list[Listener] = []
 
     def on_update(self, fn: Callable, *, mode: str = "none",
@@ -150,6 +156,8 @@ class LiveSink:
         self.listeners.append(Listener(fn, delta, mode))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.skip_empty and batch.isEmpty():
+            return  # an empty micro-batch changes nothing and notifies nobody
         self.table.update(batch, batch_id, port_id=self.port_id)
         # a delta is computed only when a listener wants rows, and once per
         # batch however many listeners share it (persisted while they run)

@@ -200,3 +200,15 @@ def test_touched_groups_include_the_group_a_key_left(spark, tmp_path):
     sink(spark.createDataFrame([("x", "g1", 1), ("y", "g1", 2)], "k string, g string, v long"), 0)
     sink(spark.createDataFrame([("x", "g2", 5)], "k string, g string, v long"), 1)
     assert seen == [[("g1", 3)], 1, [("g1", 2), ("g2", 5)], 2]
+
+
+def test_registry_sink_and_empty_batches(spark, tmp_path):
+    reg = TableRegistry(spark, str(tmp_path / "reg"))
+    reg.host_table("status", SCHEMA, index="k")
+    sink = reg.sink("status")
+    calls = []
+    sink.on_update(lambda bid, d: calls.append(bid))
+    sink(spark.createDataFrame([], "k string, v long, ts long"), 0)
+    assert calls == [] and not os.path.exists(str(tmp_path / "reg" / "status" / "log"))
+    sink(spark.createDataFrame([("x", 1, 1)], "k string, v long, ts long"), 1)
+    assert calls == [1] and reg.open_table("status").snapshot().count() == 1

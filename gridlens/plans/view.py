@@ -38,6 +38,18 @@ MAX_SPLIT_VALUES = 2000  # pivot columns are plan width: refuse, never truncate
 HOLISTIC_ROWS = 2_000_000
 
 
+def _copy_config(cfg: ViewConfig) -> ViewConfig:
+    """Deep copy, keeping a DataFrame of open paths by reference."""
+    exp = cfg.expanded
+    cfg.expanded = None
+    try:
+        out = copy.deepcopy(cfg)
+    finally:
+        cfg.expanded = exp
+    out.expanded = exp if isinstance(exp, DataFrame) else copy.deepcopy(exp)
+    return out
+
+
 class View:
     """``View(table, config, index=[key], order=[seq])``.
 
@@ -50,7 +62,7 @@ class View:
                  index=None, order=None, max_split_values: int = MAX_SPLIT_VALUES,
                  approx: bool = False, holistic_rows: int | None = None):
         self.table = table
-        self.cfg = copy.deepcopy(normalize_config(config))
+        self.cfg = _copy_config(normalize_config(config))
         self.index = [index] if isinstance(index, str) else list(index or [])
         order = order if order is not None else self.cfg.order_by
         self.order = [order] if isinstance(order, str) else list(order or [])
@@ -407,7 +419,7 @@ class View:
 
     # ------------------------------------------------------- tree navigation
     def _with(self, **changes) -> "View":
-        cfg = copy.deepcopy(self.cfg)
+        cfg = _copy_config(self.cfg)
         for k, v in changes.items():
             setattr(cfg, k, v)
         return View(self.table, cfg, index=self.index, order=self.order,

@@ -142,3 +142,12 @@ def test_large_slices_use_the_distributed_rank(spark, monkeypatch):
     assert sorted(r.a for r in out.collect()) == list(range(40, 47))
     ranked = sorting.ranked_slice(df, [F.col("a").asc()], 0, 8)
     assert sorted((r._rank, r.a) for r in ranked.collect()) == [(i + 1, i) for i in range(8)]
+
+
+def test_expanded_paths_as_a_dataframe(spark, grouped):
+    opened = spark.createDataFrame([(["a"],), (["b"],)], "path array<string>")
+    v = View(grouped, {"group_by": ["g1", "g2"], "columns": ["x"], "expanded": opened})
+    rows = v.to_df().collect()
+    assert {r.g1 for r in rows if r._depth == 2} == {"a", "b"}
+    assert len([r for r in rows if r._depth == 1]) == 4
+    assert v.set_depth(1).to_df().count() == 5

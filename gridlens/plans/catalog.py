@@ -612,6 +612,25 @@ def group_expanded(spark, d):
     return v.to_df()
 
 
+@query("group_expanded_df", f"""
+SELECT * FROM (
+  SELECT o_orderstatus, o_orderpriority, {depth_sql(['o_orderstatus', 'o_orderpriority'])} AS _depth,
+         count(o_orderkey) AS o_orderkey
+  FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority))
+WHERE _depth < 2 OR o_orderstatus IN (
+  SELECT o_orderstatus FROM orders GROUP BY o_orderstatus
+  HAVING count(*) >= (SELECT count(*) / count(DISTINCT o_orderstatus) FROM orders))""")
+def group_expanded_df(spark, d):
+    """B7 with a data-derived open set: statuses with at least the average order count are expanded."""
+    o = Tables(spark, d).orders
+    avg = o.agg(F.count(F.lit(1)) / F.count_distinct("o_orderstatus")).scalar()
+    big = (o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+           .where(F.col("n") >= avg).select(F.array("o_orderstatus").alias("path")))
+    v = View(o, {"group_by": ["o_orderstatus", "o_orderpriority"], "columns": ["o_orderkey"],
+                 "aggregates": {"o_orderkey": "count"}, "expanded": big})
+    return v.to_df()
+
+
 @query("row_path", f"""
 SELECT o_orderstatus, o_orderpriority, {depth_sql(['o_orderstatus', 'o_orderpriority'])} AS _depth,
   array_to_string(list_slice([o_orderstatus, o_orderpriority], 1,

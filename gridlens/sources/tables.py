@@ -24,6 +24,7 @@ RAW = "_raw"  # raw JSON text kept by parse_json_lines(keep_raw=True)
 BATCH = "batch"
 LOG_ORDER = [BATCH, SEQ]  # arrival order: micro-batch id, then position in it
 UPSERT, DELETE = "upsert", "delete"
+RESERVED = ("batch", "_pos", "_op", "_port", "_row_id", "_present", "_raw")
 ROW_ID_TYPE = T.StructType([T.StructField("b", T.LongType()), T.StructField("p", T.LongType())])
 
 
@@ -127,6 +128,9 @@ class LiveTable:
                  limit: int | None = None, nulls: str = "keep", seq=None):
         if index is not None and limit is not None:
             raise ValueError("a table takes either index or limit, not both")
+        clash = [f.name for f in to_struct(schema).fields if f.name in RESERVED]
+        if clash:
+            raise ValueError(f"column names {clash} are reserved for the change log: {list(RESERVED)}")
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = to_struct(schema)

@@ -158,3 +158,8 @@ def test_compaction_then_more_batches(spark, tmp_path):
         t.clear(4)
         t.update(spark.createDataFrame([("z", 1, 1.0)], "k string, a long, b double"), 4)
         assert set(as_dict(t.snapshot())) == {"z"}
+
+
+def test_reserved_column_names(spark, tmp_path):
+    with pytest.raises(ValueError):
+        LiveTable(spark, str(tmp_path / "r"), {"k": "string", "batch": "integer"}, index="k")

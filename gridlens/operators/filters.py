@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gridlens.config import ConfigError, is_valid_filter
 
 BROADCAST_ROWS = 1_000_000  # selections up to this many keys are broadcast
+IN_LIST_JOIN = 1_000  # longer in / not in lists become broadcast semi / anti joins
 
 
 def _operand(value, type_name: str):
@@ -98,3 +99,29 @@ def semi_filter(df: DataFrame, selection: DataFrame, on, *, anti: bool = False,
     sel = selection.select(*cols).distinct()
     sel, _ = bounded_broadcast(sel, max_broadcast_rows)
     return df.join(sel, cols, "left_anti" if anti else "left_semi")
+
+
+def split_large_in(clauses, filter_op: str, max_values: int | None = None):
+    """(ordinary clauses, large in / not in clauses) - large lists only split off
+    under ``and`` (a join cannot be or-ed with other predicates)."""
+    limit = IN_LIST_JOIN if max_values is None else max_values
+    if filter_op != "and":
+        return list(clauses), []
+    small, large = [], []
+    for c in clauses:
+        if (len(c) >= 3 and c[1] in ("in", "not in") and isinstance(c[2], (list, tuple, set))
+                and len(c[2]) > limit):
+            large.append(c)
+        else:
+            small.append(c)
+    return small, large
+
+
+def apply_large_in(df: DataFrame, clause, col_type) -> DataFrame:
+    """A large ``in`` list as a semi join, ``not in`` as an anti join, against a
+    broadcast of the list (its size is known: it is the list itself).
+    ``not in`` drops null cells, as SQL's ``NOT IN`` does."""
+    col, op, values = clause[0], clause[1], list(dict.fromkeys(clause[2]))
+    sel = df.sparkSession.createDataFrame([(v,) for v in values], f"`{col}` {col_type.simpleString()}")
+    out = df.join(F.broadcast(sel), col, "left_semi" if op == "in" else "left_anti")
+    return out if op == "in" else out.where(F.col(f"`{col}`").isNotNull())

@@ -20,7 +20,7 @@ from gridlens.functions.aggregates import (
     DISTINCT_LEAF, PCT_PARENT, PCT_TOTAL, aggregate_column,
 )
 from gridlens.functions.expressions import add_expressions
-from gridlens.operators.filters import build_predicate
+from gridlens.operators.filters import apply_large_in, build_predicate, split_large_in
 from gridlens.operators.holistic import HOLISTIC, attach
 from gridlens.operators.grouping import (
     DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, path_key, q,
@@ -77,8 +77,13 @@ class View:
         df = add_expressions(self.table, cfg.expressions)
         schema = table_schema(df)
         validate(cfg, schema)
-        pred = build_predicate(cfg.filter, cfg.filter_op, schema)
-        self.base = df if pred is None else df.where(pred)
+        small, large = split_large_in(cfg.filter, cfg.filter_op)
+        pred = build_predicate(small, cfg.filter_op, schema)
+        base = df if pred is None else df.where(pred)
+        types = {f.name: f.dataType for f in df.schema.fields}
+        for clause in large:
+            base = apply_large_in(base, clause, types[clause[0]])
+        self.base = base
         self.input_schema = schema
         names = list(self.table.columns) + [a for a in cfg.expressions if a not in self.table.columns]
         self.columns = list(cfg.columns) if cfg.columns is not None else names

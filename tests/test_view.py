@@ -151,3 +151,19 @@ def test_expanded_paths_as_a_dataframe(spark, grouped):
     assert {r.g1 for r in rows if r._depth == 2} == {"a", "b"}
     assert len([r for r in rows if r._depth == 1]) == 4
     assert v.set_depth(1).to_df().count() == 5
+
+
+def test_large_in_lists_become_semi_and_anti_joins(spark, monkeypatch):
+    from gridlens.operators import filters
+
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else f"v{i % 7}") for i in range(60)], "i long, s string")
+    vals = [f"v{j}" for j in range(4)]
+    small_in = View(df, {"filter": [["s", "in", vals], ["i", ">", 5]]}).to_df().collect()
+    small_out = View(df, {"filter": [["s", "not in", vals]]}).to_df().collect()
+    monkeypatch.setattr(filters, "IN_LIST_JOIN", 2)
+    v_in = View(df, {"filter": [["s", "in", vals], ["i", ">", 5]]})
+    v_out = View(df, {"filter": [["s", "not in", vals]]})
+    assert "LeftSemi" in v_in.to_df()._jdf.queryExecution().executedPlan().toString()
+    assert sorted(v_in.to_df().collect()) == sorted(small_in)
+    assert sorted(v_out.to_df().collect()) == sorted(small_out)
+    assert all(r.s is not None for r in v_out.to_df().collect())

@@ -142,6 +142,20 @@ class LiveTable:
         self.seq = [seq] if isinstance(seq, str) else list(seq or [])
         self._ports = 1
 
+    # --------------------------------------------------------------- metadata
+    def schema_names(self) -> dict[str, str]:
+        """M1: ``{column: type name}`` of the table."""
+        from gridlens.types import type_name
+
+        return {f.name: type_name(f.dataType) for f in self.schema.fields}
+
+    def columns(self) -> list[str]:
+        return [f.name for f in self.schema.fields]
+
+    def size(self) -> int:
+        """M4: number of rows now (one aggregation job)."""
+        return self.snapshot().count()
+
     # ----------------------------------------------------------------- writes
     @property
     def log_path(self) -> str:

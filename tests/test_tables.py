@@ -163,3 +163,11 @@ def test_compaction_then_more_batches(spark, tmp_path):
 def test_reserved_column_names(spark, tmp_path):
     with pytest.raises(ValueError):
         LiveTable(spark, str(tmp_path / "r"), {"k": "string", "batch": "integer"}, index="k")
+
+
+def test_table_metadata(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "m"), {"k": "string", "a": "integer", "t": "datetime"}, index="k")
+    assert t.schema_names() == {"k": "string", "a": "integer", "t": "datetime"}
+    assert t.columns() == ["k", "a", "t"] and t.size() == 0
+    t.update(spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "k string, a long"), 0)
+    assert t.size() == 2

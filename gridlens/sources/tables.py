@@ -156,6 +156,26 @@ class LiveTable:
         """M4: number of rows now (one aggregation job)."""
         return self.snapshot().count()
 
+    def view(self, config=None, **kw):
+        """A :class:`View` over the current snapshot, ordered by arrival."""
+        from gridlens.plans.view import View
+
+        snap = self.snapshot(with_meta=True).drop(PORT)
+        return View(snap, self.view_config(config), index=self.index, order=self.seq + LOG_ORDER, **kw)
+
+    def view_config(self, config):
+        """The config with default columns = the table's columns (+ expressions),
+        so the bookkeeping columns a view needs for arrival order stay hidden."""
+        from gridlens.config import normalize_config
+
+        cfg = normalize_config(config)
+        if cfg.columns is None:
+            import copy
+
+            cfg = copy.copy(cfg)
+            cfg.columns = self.columns() + [a for a in cfg.expressions if a not in self.columns()]
+        return cfg
+
     # ----------------------------------------------------------------- writes
     @property
     def log_path(self) -> str:

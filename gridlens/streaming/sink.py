@@ -64,7 +64,7 @@ def keyed_view_delta(table: LiveTable, view_fn: Callable[[DataFrame], DataFrame]
     touched groups are re-aggregated (semi join on the group columns).
     """
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
-        snap = table.snapshot()
+        snap = table.snapshot(with_meta=True).drop("_port")  # keeps batch / _pos for arrival order
         cur = conform(batch, table.schema)
         touched = cur.select(*group_cols)
         if table.index is not None:
@@ -103,6 +103,67 @@ def removed_keys(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
     return delta
 
 
+def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], DataFrame]:
+    """X8 for a grouped (rollup) view: every row whose group a batch touched.
+
+    A leaf group is touched when a batch row - or the row its key held before
+    (an upsert can move a key) - falls in it; each ancestor of a touched group
+    is touched too and is recomputed over *all* its rows (the grand total over
+    the whole table), level by level.  Split views recompute the whole view.
+    """
+    import copy as _copy
+
+    from gridlens.functions.expressions import add_expressions
+    from gridlens.plans.view import View
+    from gridlens.sources.tables import LOG_ORDER, latest_per_key
+
+    order = table.seq + ["batch", "_pos"]
+    gb = list(cfg.group_by)
+    if cfg.group_by_depth is not None:
+        gb = gb[: max(0, int(cfg.group_by_depth))]
+    levels = [len(gb)] if cfg.leaves_only else list(range(len(gb) + 1))
+
+    def delta(batch: DataFrame, batch_id: int) -> DataFrame:
+        snap = table.snapshot(with_meta=True).drop("_port")
+        if cfg.split_by:
+            return View(snap, cfg, index=table.index, order=order).to_df()
+        cur = add_expressions(conform(batch, table.schema), cfg.expressions)
+        touched = cur.select(*gb)
+        if table.index is not None:
+            keys = conform(batch, table.schema).select(table.index).distinct()
+            before = table.log().where(F.col("batch") < batch_id)
+            prev = latest_per_key(before, table.index, table.seq + LOG_ORDER, nulls=table.nulls, op_col="_op")
+            prev = add_expressions(prev.join(keys, table.index, "left_semi"), cfg.expressions)
+            touched = touched.unionByName(prev.select(*gb))
+        touched = touched.distinct()
+        parts = []
+        for d in levels:
+            prefix = gb[:d]
+            rows = snap
+            if prefix:
+                tp = touched.select(*prefix).distinct()
+                base = add_expressions(snap, cfg.expressions)
+                cond = [base[f"`{c}`"].eqNullSafe(tp[f"`{c}`"]) for c in prefix]
+                rows = base.join(tp, cond, "left_semi")
+            sub = _copy.copy(cfg)
+            sub.sort, sub.viewport, sub.expanded, sub.group_by_depth = [], None, None, None
+            if d == 0:  # the grand total: a one-level rollup's depth-0 row
+                sub.group_by, sub.leaves_only = gb[:1], False
+                out = View(rows, sub, index=table.index, order=order).to_df().where(F.col("_depth") == 0)
+            else:
+                sub.group_by, sub.leaves_only = prefix, True
+                out = View(rows, sub, index=table.index, order=order).to_df()
+            types = dict(add_expressions(snap.limit(0), cfg.expressions).dtypes)
+            for c in gb[max(d, 1) if d == 0 else d:]:
+                out = out.withColumn(c, F.lit(None).cast(types[c]))
+            parts.append(out)
+        result = parts[0]
+        for p in parts[1:]:
+            result = result.unionByName(p)
+        return result
+    return delta
+
+
 # Aggregates whose value for (old rows + new rows) follows from the two values.
 MERGEABLE = {
     "sum": lambda o, n: F.when(o.isNull(), n).when(n.isNull(), o).otherwise(o + n),
@@ -155,6 +216,20 @@ class LiveSink:
                   delta: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
         self.listeners.append(Listener(fn, delta, mode))
 
+    def on_view_update(self, config, fn: Callable, *, mode: str = "row") -> None:
+        """X8 in the reference's shape: ``fn(batch_id, delta)`` after each batch,
+        where the delta is the view's rows that changed - touched groups
+        recomputed for a grouped view, the batch's keys for a flat keyed view.
+        ``mode="none"`` only notifies."""
+        cfg = self.table.view_config(config)
+        if mode == "none":
+            self.on_update(fn, mode="none")
+            return
+        if cfg.group_by:
+            self.on_update(fn, mode="row", delta=grouped_view_delta(self.table, cfg))
+        else:
+            self.on_update(fn, mode="row", delta=row_delta(self.table))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.skip_empty and batch.isEmpty():
             return  # an empty micro-batch changes nothing and notifies nobody

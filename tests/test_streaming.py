@@ -212,3 +212,22 @@ def test_registry_sink_and_empty_batches(spark, tmp_path):
     assert calls == [] and not os.path.exists(str(tmp_path / "reg" / "status" / "log"))
     sink(spark.createDataFrame([("x", 1, 1)], "k string, v long, ts long"), 1)
     assert calls == [1] and reg.open_table("status").snapshot().count() == 1
+
+
+def test_table_view_and_on_view_update(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "g": "string", "v": "integer"},
+                  index="k", nulls="overwrite")
+    sink = LiveSink(t)
+    grouped, flat = [], []
+    sink.on_view_update({"group_by": ["g"], "columns": ["v"], "aggregates": {"v": "last"}},
+                        lambda bid, d: grouped.append(sorted((r.g or "", r._depth, r.v) for r in d.collect())))
+    sink.on_view_update({}, lambda bid, d: flat.append(sorted(tuple(r) for r in d.collect())))
+    sink(spark.createDataFrame([("x", "a", 1), ("y", "b", 2)], "k string, g string, v long"), 0)
+    sink(spark.createDataFrame([("y", "a", 7)], "k string, g string, v long"), 1)
+    assert flat == [[("x", "a", 1), ("y", "b", 2)], [("y", "a", 7)]]
+    assert grouped[0] == [("", 0, 2), ("a", 1, 1), ("b", 1, 2)]
+    # batch 1 moves y from b to a: a and the root are recomputed (b is now empty, so it has no row)
+    assert grouped[1] == [("", 0, 7), ("a", 1, 7)]
+    v = t.view({"group_by": ["g"]})
+    assert v.columns == ["k", "g", "v"]
+    assert {(r.g, r._depth): r.v for r in v.to_df().collect()} == {(None, 0): 8, ("a", 1): 8}

@@ -167,3 +167,11 @@ def test_large_in_lists_become_semi_and_anti_joins(spark, monkeypatch):
     assert sorted(v_in.to_df().collect()) == sorted(small_in)
     assert sorted(v_out.to_df().collect()) == sorted(small_out)
     assert all(r.s is not None for r in v_out.to_df().collect())
+
+
+def test_group_column_also_shown(grouped):
+    v = View(grouped, {"group_by": ["g1"], "columns": ["g1", "x"]})
+    df = v.to_df()
+    assert df.columns == ["g1", "_depth", "g1 (count)", "x"]
+    root = [r for r in df.collect() if r["_depth"] == 0][0]
+    assert root["g1 (count)"] == 7 and v.column_paths() == ["g1 (count)", "x"]

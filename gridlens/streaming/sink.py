@@ -69,9 +69,7 @@ def keyed_view_delta(table: LiveTable, view_fn: Callable[[DataFrame], DataFrame]
         touched = cur.select(*group_cols)
         if table.index is not None:
             keys = cur.select(table.index).distinct()
-            before = table.log().where(F.col("batch") < batch_id)
-            from gridlens.sources.tables import LOG_ORDER, latest_per_key
-            prev = latest_per_key(before, table.index, table.seq + LOG_ORDER, nulls=table.nulls, op_col="_op")
+            prev = table.snapshot(before=batch_id)  # the rows these keys held before the batch
             touched = touched.unionByName(prev.join(keys, table.index, "left_semi").select(*group_cols))
         touched = touched.distinct()
         rows = snap.join(touched, [snap[c].eqNullSafe(touched[c]) for c in group_cols], "left_semi")
@@ -115,7 +113,6 @@ def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], Data
 
     from gridlens.functions.expressions import add_expressions
     from gridlens.plans.view import View
-    from gridlens.sources.tables import LOG_ORDER, latest_per_key
 
     order = table.seq + ["batch", "_pos"]
     gb = list(cfg.group_by)
@@ -131,8 +128,7 @@ def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], Data
         touched = cur.select(*gb)
         if table.index is not None:
             keys = conform(batch, table.schema).select(table.index).distinct()
-            before = table.log().where(F.col("batch") < batch_id)
-            prev = latest_per_key(before, table.index, table.seq + LOG_ORDER, nulls=table.nulls, op_col="_op")
+            prev = table.snapshot(before=batch_id)  # the rows these keys held before the batch
             prev = add_expressions(prev.join(keys, table.index, "left_semi"), cfg.expressions)
             touched = touched.unionByName(prev.select(*gb))
         touched = touched.distinct()

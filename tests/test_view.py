@@ -175,3 +175,10 @@ def test_group_column_also_shown(grouped):
     assert df.columns == ["g1", "_depth", "g1 (count)", "x"]
     root = [r for r in df.collect() if r["_depth"] == 0][0]
     assert root["g1 (count)"] == 7 and v.column_paths() == ["g1 (count)", "x"]
+
+
+def test_split_by_depth(grouped):
+    v = View(grouped, {"group_by": ["g1"], "split_by": ["p", "g2"], "columns": ["x"], "split_by_depth": 1})
+    assert v.column_paths() == ["p2|x", "p|1|x"]
+    full = View(grouped, {"group_by": ["g1"], "split_by": ["p", "g2"], "columns": ["x"]})
+    assert all(path.count("|") >= 2 for path in full.column_paths())

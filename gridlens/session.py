@@ -36,17 +36,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created and
-    registered, so every later call in the session finds the same folder.
+    when it is unset (local tests) a scratch folder is created and registered
+    as the context's checkpoint folder (``spark.checkpoint.dir`` itself is a
+    core setting that cannot change at runtime), so later calls find it.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="gridlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+    if d:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
+        return d.rstrip("/")
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    d = tempfile.mkdtemp(prefix="gridlens-ckpt-")
+    sc.setCheckpointDir(d)
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlens.session import cut_lineage
+from gridlens.session import cut_lineage, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_LONG = (1 << 63) - 1
@@ -42,6 +42,14 @@ def sized_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back: lineage ends there, columns that a
+    reader doesn't ask for aren't read, and both sides of a later join are plain scans."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefix_sums(df: DataFrame, group: str, key: str, value: str, out: str, n_rows: int,
                 cell_rows: int = 20_000) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that sort before the row by ``key``.
@@ -70,4 +78,4 @@ def text_table(docs: DataFrame, *cols: str) -> DataFrame:
 
 
 __all__ = ["ascii_lower", "crc32_of_id", "cut_lineage", "hash63", "packed", "prefix_sums", "shuffle_partitions",
-           "sized_broadcast", "text_table"]
+           "sized_broadcast", "stored", "text_table"]

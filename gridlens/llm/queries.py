@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import mixing, sharding, simhash
+from gridlens.llm import decontaminate, line_dedup, mixing, sharding, simhash
 from gridlens.session import read_table
 
 #: Production schedules of the mix: integrals 5, 2 and 1; the heavy sources rise, the light ones fall.
 SCHEDULES = [[(0.0, 4.0), (1.0, 6.0)], [(0.0, 2.0), (1.0, 2.0)], [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)]]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_lines=3, min_words=50)
+    return out.select("row.doc_id", "n_lines", "n_removed", "longest_run", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_phrases(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                                       size=10)
+    n_hit = decontaminate.words_hit(F.col("hits"))
+    return found.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, sf_dir, "documents"), SCHEDULES, share=1.5, max_repeats=2.0)
 
@@ -29,9 +42,55 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
+    "op3_decontaminate": op3_decontaminate,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS dn, doc_id, string_split(text, chr(10)) AS ls
+           FROM documents),
+ l AS (SELECT dn, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
+ f AS (SELECT dn, pos, line AS w1,
+              lead(line, 1) OVER (PARTITION BY dn ORDER BY pos) AS w2, lead(line, 2) OVER (PARTITION BY dn ORDER BY pos) AS w3
+       FROM l),
+ c AS (SELECT dn, pos, 1 AS k, w1 AS run, len(regexp_extract_all(w1, '[^\x20\x09-\x0D]+')) >= 50 AS ok FROM f
+       UNION ALL SELECT dn, pos, 2, w1 || chr(10) || w2,
+              len(regexp_extract_all(w1 || chr(10) || w2, '[^\x20\x09-\x0D]+')) >= 50 FROM f WHERE w2 IS NOT NULL
+       UNION ALL SELECT dn, pos, 3, w1 || chr(10) || w2 || chr(10) || w3, true FROM f WHERE w3 IS NOT NULL),
+ r AS (SELECT dn, pos, k, row_number() OVER (PARTITION BY k, run ORDER BY dn, pos) AS nth FROM c WHERE ok),
+ g AS (SELECT DISTINCT dn, pos + u AS pos FROM (SELECT dn, pos, unnest(range(k)) AS u FROM r WHERE nth > 1)),
+ m AS (SELECT l.dn, l.pos, l.line, g.dn IS NOT NULL AS gone FROM l LEFT JOIN g ON l.dn = g.dn AND l.pos = g.pos),
+ i AS (SELECT dn, gone, count(*) AS n FROM (SELECT dn, gone, pos - row_number() OVER (PARTITION BY dn, gone ORDER BY pos)
+              AS isle FROM m) GROUP BY dn, gone, isle),
+ t AS (SELECT dn, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+              md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_md5
+       FROM m GROUP BY dn)
+SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed,
+       coalesce((SELECT max(n) FROM i WHERE i.dn = d.dn AND gone), 0)::BIGINT AS longest_run, t.text_md5
+FROM d LEFT JOIN t ON t.dn = d.dn
+"""
+
+OP3_SQL = f"""
+WITH it AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark),
+ iw AS (SELECT item_id, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda i: array_to_string(w[i+1:i+10], ' '))) AS p,
+               least(len(w), 10) AS n FROM it WHERE len(w) > 0),
+ d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce({WORDS.format('text')}, []) AS w FROM documents),
+ s AS (SELECT DISTINCT n FROM iw),
+ dw AS (SELECT rn, n, unnest(range(len(w) - n + 1)) AS pos,
+               unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i+1:i+n], ' '))) AS p
+        FROM d, s WHERE len(w) >= n),
+ h AS (SELECT rn, pos, dw.n, item_id FROM dw JOIN iw ON dw.p = iw.p AND dw.n = iw.n),
+ x AS (SELECT rn, count(DISTINCT q) AS n_hit FROM (SELECT rn, unnest(range(pos, pos + n)) AS q FROM h) GROUP BY rn),
+ y AS (SELECT rn, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT rn, item_id::VARCHAR AS i FROM h) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x ON d.rn = x.rn LEFT JOIN y ON d.rn = y.rn
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import decontaminate, line_dedup, mixing, sharding, simhash
+from gridlens.llm import decontaminate, line_dedup, mixing, quality, sharding, simhash, toxicity
+from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
 #: Production schedules of the mix: integrals 5, 2 and 1; the heavy sources rise, the light ones fall.
@@ -31,6 +32,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+#: Labels may be learned from where this holds; the rest is held out.
+def learnable(doc_id: str = "doc_id"):
+    return crc32_of_id(F.col(doc_id)) % 3 != 1
+
+
+def _scored(out: DataFrame, least: float) -> DataFrame:
+    return out.select("row.doc_id", (~learnable("row.doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels, allowed=learnable())), 0.7)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _scored(quality.score(docs, quality.fit(docs, labels, allowed=learnable())), 0.5)
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, sf_dir, "documents"), SCHEDULES, share=1.5, max_repeats=2.0)
 
@@ -45,6 +66,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_decontaminate": op3_decontaminate,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op10_simhash": op10_simhash,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import decontaminate, line_dedup, mixing, quality, sharding, simhash, toxicity
+from gridlens.llm import ann, decontaminate, line_dedup, mixing, quality, sharding, simhash, toxicity
 from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
@@ -47,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, toxicity.fit(docs, labels, allowed=learnable())), 0.7)
 
 
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _scored(quality.score(docs, quality.fit(docs, labels, allowed=learnable())), 0.5)
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_kd_sharding": op2_kd_sharding,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_learned_partitions": op6_learned_partitions,
     "op7_quality": op7_quality,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op10_simhash": op10_simhash,

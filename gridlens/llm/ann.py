@@ -110,7 +110,7 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
 
 def fit(rows: DataFrame, parts: int = 32, sample: int = 8192, neighbours: int = 20) -> tuple[Router, Router] | None:
     """(filer, router) from at most ``sample`` vectors, a bounded sample by hash of the id."""
-    found = rows.select("id", "rid", "v").orderBy(F.xxhash64("id"), "id", "rid").limit(sample).toPandas()
+    found = rows.select("id", "rid", "v").orderBy(F.xxhash64("id"), "id", "rid").limit(sample).toArrow().to_pandas()
     if not len(found):
         return None
     x = np.stack(found["v"].to_numpy()).astype(np.float64)

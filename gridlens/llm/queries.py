@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import ann, decontaminate, line_dedup, mixing, quality, sharding, simhash, toxicity
+from gridlens.llm import ann, decontaminate, line_dedup, maxent_lm, mixing, quality, sharding, simhash, toxicity
 from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
@@ -60,6 +60,13 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, sf_dir, "documents"), SCHEDULES, share=1.5, max_repeats=2.0)
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_out = crc32_of_id(F.col("doc_id")) % 7 == 2
+    out = maxent_lm.score(read_table(spark, sf_dir, "documents"), ~left_out)
+    held_out = crc32_of_id(F.col("row.doc_id")) % 7 == 2
+    return out.select("row.doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dedup(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -74,6 +81,7 @@ QUERIES = {
     "op6_learned_partitions": op6_learned_partitions,
     "op7_quality": op7_quality,
     "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_simhash": op10_simhash,
 }
 

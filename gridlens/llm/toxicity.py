@@ -122,7 +122,7 @@ def _voters(sample: DataFrame, n: dict[int, int], most: int) -> pd.DataFrame:
     odds = F.log(pt / pc)
     sure = (F.col("toxic") >= max(2, n[1] // 500)) & (odds > np.log(20.0))
     return (counted.where(sure).withColumn("odds", odds)
-            .orderBy(F.desc(F.col("toxic") * F.col("odds")), "mark").limit(most).toPandas())
+            .orderBy(F.desc(F.col("toxic") * F.col("odds")), "mark").limit(most).toArrow().to_pandas())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Column | None = None,
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "hits": [model.hits(t) for t in b["text"]]})
 
-    rows = sample.mapInPandas(run, "doc_id string, y int, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.mapInPandas(run, "doc_id string, y int, hits array<int>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
     x = np.stack([model.row(list(h)) for h in rows["hits"]])
     y = rows["y"].to_numpy()
     posterior = label_model(x[:, :-2], y) if len(found) else y.astype(np.float64)

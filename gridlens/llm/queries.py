@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import ann, decontaminate, line_dedup, maxent_lm, mixing, quality, sharding, simhash, toxicity
+from gridlens.llm import ann, decontaminate, line_dedup, maxent_lm, mixing, paragraphs, quality, sharding, simhash, toxicity
 from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
@@ -32,6 +32,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paragraphs.dedup_paragraphs(read_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"),
+                      F.array_join("removed", ",").alias("removed_places"),
+                      F.coalesce("sources", F.expr("cast(array() as array<bigint>)")).alias("source_doc_ids"),
+                      F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 #: Labels may be learned from where this holds; the rest is held out.
 def learnable(doc_id: str = "doc_id"):
     return crc32_of_id(F.col(doc_id)) % 3 != 1
@@ -77,6 +85,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_decontaminate": op3_decontaminate,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_learned_partitions": op6_learned_partitions,
     "op7_quality": op7_quality,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-from gridlens.llm.common import cut_lineage, hash63, prefix_sums, text_table
+from gridlens.llm.common import cut_lineage, hash63, packed, prefix_sums
 
 BINS = 1024
 #: A group of equal texts above this share of a shard is cut into pieces of about this share.
@@ -102,46 +102,71 @@ def _split(units: DataFrame, n_shards: int, total: int, dims: int) -> DataFrame:
             F.when(right | F.col("mid").isNull(), F.col("hi")).otherwise(F.col("mid")).alias("hi"))
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
-              dims: tuple[str, ...] = ("size", "source", "lang"), overhead: int = 8, text: str = "text",
-              id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot), one row for each row of ``docs``.
+def _unit(text: Column) -> Column:
+    return F.xxhash64(text)
 
-    ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``; shard sizes come out near equal. Give the
-    number of shards, or the bytes a shard may hold. ``dims`` are columns of ``docs`` ("size" is the size above). ``slot``
-    counts 0, 1, 2, ... inside a shard in the order of a hash of the id. Equal texts share a shard unless they
-    outgrow ``PIECE_SHARE`` of one. Null ids, texts and metadata are values like any other; an empty table gives an
-    empty result. Reruns agree.
-    """
+
+def _piece(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(doc_id, F.lit(7)), F.col("pieces")), F.lit(0)).cast("long")
+
+
+def _plan(docs: DataFrame, n_shards: int | None, target_bytes: int | None, dims: tuple[str, ...], overhead: int,
+          text: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(rows with their unit and piece, heavy units with their pieces, shard of each unit and piece, number of rows)."""
     if (n_shards is None) == (target_bytes is None):
-        raise ValueError("kd_shards: give either n_shards or target_bytes")
+        raise ValueError("give either n_shards or target_bytes")
     body = F.coalesce(docs[f"`{text}`"], F.lit(""))
     size = F.octet_length(body).cast("long") + overhead
     coords = [F.log1p(size.cast("double")) if d == "size" else _coordinate(docs, d) for d in dims]
     rows = cut_lineage(docs.select(
         docs[f"`{id_col}`"].alias("doc_id"), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(docs[f"`{text}`"]).alias("unit"), *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
+        _unit(docs[f"`{text}`"]).alias("unit"), *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
     ranges = [f(f"c{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "l"), (F.max, "h"))]
     facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *ranges).first()
     n_shards = n_shards or max(1, -(-facts["total"] // target_bytes))
     # groups above the cap: at most n_shards / PIECE_SHARE of them, so the broadcast is bounded by the parameter
     cap = max(1.0, PIECE_SHARE * facts["total"] / n_shards)
-    heavy = (rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
-             .where((F.col("s") > cap) & (F.col("c") > 1))
-             .select("unit", F.least(F.col("c"), F.ceil(F.col("s") / cap)).cast("long").alias("pieces")))
-    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces")), F.lit(0)).cast("long")
-    rows = rows.join(F.broadcast(cut_lineage(heavy)), "unit", "left").withColumn("piece", piece).drop("pieces")
+    heavy = cut_lineage(rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
+                        .where((F.col("s") > cap) & (F.col("c") > 1))
+                        .select("unit", F.least(F.col("c"), F.ceil(F.col("s") / cap)).cast("long").alias("pieces")))
+    rows = rows.join(F.broadcast(heavy), "unit", "left").withColumn("piece", _piece(F.col("doc_id"))).drop("pieces")
     least = [F.min(f"c{i}").alias(f"c{i}") for i in range(len(dims))]
     units = rows.groupBy("unit", "piece").agg(F.sum("size").alias("weight"), *least)
     whole = F.struct("unit", "piece")
     keys = [_key(F.col(f"c{i}"), whole, facts[f"l{i}"] or 0.0, facts[f"h{i}"] or 0.0).alias(f"k{i}")
             for i in range(len(dims))]
     units = cut_lineage(units.select("unit", "piece", "weight", *keys))
-    shards = cut_lineage(_split(units, n_shards, facts["total"], len(dims)))
+    return rows, heavy, cut_lineage(_split(units, n_shards, facts["total"], len(dims))), facts["n"]
+
+
+def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
+              dims: tuple[str, ...] = ("size", "source", "lang"), overhead: int = 8, text: str = "text",
+              id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot), one row for each row of ``docs``.
+
+    ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``; shard sizes come out near equal. Give the
+    number of shards, or the bytes a shard may hold. ``dims`` are columns of ``docs`` ("size" is the size above). ``slot``
+    counts 0, 1, 2, ... inside a shard in the order of a hash of the id. Equal texts share a shard unless they
+    outgrow ``PIECE_SHARE`` of one. Null ids, texts and metadata are values like any other; an empty table gives an
+    empty result. Reruns agree.
+    """
+    rows, _, shards, n = _plan(docs, n_shards, target_bytes, dims, overhead, text, id_col)
     dealt = rows.join(shards, ["unit", "piece"]).select(
         "doc_id", "size", "text_crc32", "shard", hash63(F.col("doc_id"), F.col("unit")).alias("at"), F.lit(1).alias("one"))
-    out = prefix_sums(dealt, "shard", "at", "one", "slot", facts["n"])
+    out = prefix_sums(dealt, "shard", "at", "one", "slot", n)
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
-__all__ = ["kd_shards"]
+def with_shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
+               dims: tuple[str, ...] = ("size", "source", "lang"), overhead: int = 8, text: str = "text",
+               id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the column ``shard`` of :func:`kd_shards` (one of that name is replaced)."""
+    _, heavy, shards, _ = _plan(docs, n_shards, target_bytes, dims, overhead, text, id_col)
+    keep = [c for c in docs.columns if c.lower() != "shard"]
+    row = F.col("row")
+    rows = packed(docs.select(*[docs[f"`{c}`"] for c in keep])).withColumn("unit", _unit(row.getField(text)))
+    rows = rows.join(F.broadcast(heavy), "unit", "left").withColumn("piece", _piece(row.getField(id_col))).drop("pieces")
+    return rows.join(shards, ["unit", "piece"]).select("row.*", "shard")
+
+
+__all__ = ["kd_shards", "with_shard"]

@@ -173,6 +173,10 @@ def _parses_as_date(value) -> bool:
         return False
 
 
+#: A clause ``["", ANY_OF, clauses]`` holds where at least one of its clauses does (made by drill-through).
+ANY_OF = "any of"
+
+
 def is_valid_filter(schema: dict[str, str], clause) -> bool:
     """M9: a filter clause is usable.
 
@@ -184,6 +188,8 @@ def is_valid_filter(schema: dict[str, str], clause) -> bool:
     col, op = clause[0], clause[1]
     if op in ("is null", "is not null"):
         return True
+    if op == ANY_OF:
+        return any(is_valid_filter(schema, c) for c in clause[2])
     if len(clause) < 3 or clause[2] is None:
         return False
     if schema.get(col) in ("date", "datetime"):
@@ -206,7 +212,7 @@ def validate(cfg: ViewConfig, schema: dict[str, str]) -> None:
         allowed = AGGREGATES_BY_TYPE.get(schema[col], ())
         if name not in allowed:
             raise ConfigError(f"aggregate {name!r} is not valid for {schema[col]} column {col!r}")
-    for clause in cfg.filter:
+    for clause in [x for c in cfg.filter for x in (c[2] if c[1:2] == [ANY_OF] else [c])]:
         if clause[0] not in schema:
             raise ConfigError(f"unknown filter column {clause[0]!r}")
         allowed = FILTERS_BY_TYPE.get(schema[clause[0]], ())

@@ -1,9 +1,9 @@
 """Filter clauses ``[column, op, value]`` -> one Spark predicate.
 
 The predicate is a plain Catalyst expression, so comparisons on a table
-column reach the Parquet scan as pushed filters.  Large ``in`` lists are
-better served by :func:`semi_filter` (a semi join with a size-checked
-broadcast).
+column reach the Parquet scan as pushed filters.  Lists of any length are one
+``IN`` (a hash set inside the scan's codegen); keys held in a DataFrame are
+joined by :func:`semi_filter`.
 """
 
 from __future__ import annotations
@@ -15,55 +15,72 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.config import ConfigError, is_valid_filter
+from gridlens.config import ANY_OF, ConfigError, is_valid_filter
 
-BROADCAST_ROWS = 1_000_000  # selections up to this many keys are broadcast
-IN_LIST_JOIN = 1_000  # longer in / not in lists become broadcast semi / anti joins
 
+def _operand(value, type_name: str) -> Column:
+    """The value as a literal of the column's type.
+
+    A date or time goes to Spark as text, so it means the same instant
+    whatever the time zone of the driver's host: a text or datetime without a
+    zone is wall-clock time in the session's zone, one with a zone an instant.
+    """
+    if type_name not in ("date", "datetime") or value is None:
+        return F.lit(value)
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return F.timestamp_millis(F.lit(int(value))).cast("date" if type_name == "date" else "timestamp")
+    v = value if isinstance(value, str) else value.isoformat()
+    if type_name == "date":
+        return F.lit(_dt.datetime.fromisoformat(v.strip().replace("Z", "+00:00")).date().isoformat()).cast("date")
+    return F.lit(v.strip()).cast("timestamp")
+
+
+def _list(value) -> list:
+    """The members of a list operand; a null matches nothing and is left out."""
+    return [v for v in (value if isinstance(value, (list, tuple, set)) else [value]) if v is not None]
 
-def _operand(value, type_name: str):
-    if type_name in ("date", "datetime") and isinstance(value, str):
-        v = _dt.datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
-        if v.tzinfo is not None:
-            v = v.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-        return v.date() if type_name == "date" else v
-    return value
+
+def _flag(value) -> Column:
+    """A boolean operand; the texts ``false`` and ``0`` are false."""
+    return F.lit(value.strip().lower() not in ("false", "0", "") if isinstance(value, str) else bool(value))
 
 
 def clause_predicate(clause, schema: dict[str, str]) -> Column:
     col, op = clause[0], clause[1]
+    if op == ANY_OF:
+        return build_predicate(clause[2], "or", schema)
     c = F.col(f"`{col}`")
     if op == "is null":
         return c.isNull()
     if op == "is not null":
         return c.isNotNull()
-    value = _operand(clause[2], schema.get(col, "string"))
+    kind = schema.get(col, "string")
+    if op in ("in", "not in"):
+        found = c.isin([_operand(v, kind) for v in _list(clause[2])])
+        return found if op == "in" else c.isNotNull() & ~found
+    value = _operand(clause[2], kind)
     if op == "<":
-        return c < F.lit(value)
+        return c < value
     if op == ">":
-        return c > F.lit(value)
+        return c > value
     if op == "<=":
-        return c <= F.lit(value)
+        return c <= value
     if op == ">=":
-        return c >= F.lit(value)
+        return c >= value
     if op == "==":
-        return c == F.lit(value)
+        return c == value
     if op == "!=":
-        return c != F.lit(value)
-    if op == "in":
-        return c.isin(list(value) if isinstance(value, (list, tuple, set)) else [value])
-    if op == "not in":
-        return ~c.isin(list(value) if isinstance(value, (list, tuple, set)) else [value])
+        return c != value
     if op == "contains":
-        return c.contains(F.lit(value))
+        return c.contains(value)
     if op == "begins with":
-        return c.startswith(F.lit(value))
+        return c.startswith(value)
     if op == "ends with":
-        return c.endswith(F.lit(value))
+        return c.endswith(value)
     if op in ("&", "and"):
-        return c & F.lit(bool(value))
+        return c & _flag(clause[2])
     if op in ("|", "or"):
-        return c | F.lit(bool(value))
+        return c | _flag(clause[2])
     raise ConfigError(f"unknown filter operator {op!r}")
 
 
@@ -82,46 +99,12 @@ def apply_filters(df: DataFrame, clauses, filter_op: str = "and") -> DataFrame:
     return df if pred is None else df.where(pred)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
-
-def semi_filter(df: DataFrame, selection: DataFrame, on, *, anti: bool = False,
-                max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep (or drop) rows whose key is in ``selection`` (P4 for large lists, J2).
+def semi_filter(df: DataFrame, selection: DataFrame, on, *, anti: bool = False) -> DataFrame:
+    """Keep (or drop) rows whose key is in ``selection`` (J2, X1); columns stay as they are.
 
-    The distinct selection is broadcast when its row count is checked to be
-    small; otherwise a shuffled semi / anti join runs (AQE splits skew).
+    Spark broadcasts the selection where it finds it small and joins by
+    shuffle, splitting hot keys, where it doesn't.
     """
     cols = [on] if isinstance(on, str) else list(on)
     sel = selection.select(*cols).distinct()
-    sel, _ = bounded_broadcast(sel, max_broadcast_rows)
-    return df.join(sel, cols, "left_anti" if anti else "left_semi")
-
-
-def split_large_in(clauses, filter_op: str, max_values: int | None = None):
-    """(ordinary clauses, large in / not in clauses) - large lists only split off
-    under ``and`` (a join cannot be or-ed with other predicates)."""
-    limit = IN_LIST_JOIN if max_values is None else max_values
-    if filter_op != "and":
-        return list(clauses), []
-    small, large = [], []
-    for c in clauses:
-        if (len(c) >= 3 and c[1] in ("in", "not in") and isinstance(c[2], (list, tuple, set))
-                and len(c[2]) > limit):
-            large.append(c)
-        else:
-            small.append(c)
-    return small, large
-
-
-def apply_large_in(df: DataFrame, clause, col_type) -> DataFrame:
-    """A large ``in`` list as a semi join, ``not in`` as an anti join, against a
-    broadcast of the list (its size is known: it is the list itself).
-    ``not in`` drops null cells, as SQL's ``NOT IN`` does."""
-    col, op, values = clause[0], clause[1], list(dict.fromkeys(clause[2]))
-    sel = df.sparkSession.createDataFrame([(v,) for v in values], f"`{col}` {col_type.simpleString()}")
-    out = df.join(F.broadcast(sel), col, "left_semi" if op == "in" else "left_anti")
-    return out if op == "in" else out.where(F.col(f"`{col}`").isNotNull())
+    return df.join(sel, cols, "left_anti" if anti else "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -53,12 +53,10 @@ def filter_expanded(rolled: DataFrame, group_by: list[str], open_paths: DataFram
     """Keep rows whose every proper prefix is open.
 
     ``open_paths`` holds a column ``path`` (array<string>) of expanded rows.
-    The closure (open paths all of whose prefixes are open) is small and is
-    broadcast after a size check; rows are kept by a left-semi join on their
-    parent's path.  The root is always open.
+    The closure (open paths all of whose prefixes are open) keeps rows by a
+    left-semi join on their parent's path; Spark picks the join by the sizes it
+    sees at run time.  The root is always open.
     """
-    from gridlens.operators.filters import bounded_broadcast
-
     opened = open_paths.select(F.col("path").cast("array<string>").alias("path")).distinct()
     # closure: a path counts only when every prefix of it is open as well
     op = opened.select(F.to_json("path").alias("_k"), F.size("path").alias("_len"), "path")
@@ -66,16 +64,24 @@ def filter_expanded(rolled: DataFrame, group_by: list[str], open_paths: DataFram
                          "_len", "path")
     prefixes = prefixes.where(F.col("_len") > 1).select(
         "_k", F.to_json(F.slice("path", 1, F.col("_p"))).alias("_pk"))
-    keys = op.select(F.col("_k").alias("_pk"))
-    keys_b, _ = bounded_broadcast(keys)
-    missing = prefixes.join(keys_b, "_pk", "left_anti").select("_k").distinct()
+    missing = prefixes.join(op.select(F.col("_k").alias("_pk")), "_pk", "left_anti").select("_k").distinct()
     closed = op.join(missing, "_k", "left_anti").select(F.col("_k").alias("_parent"))
-    closed = closed.union(op.sparkSession.createDataFrame([("[]",)], "_parent string"))
-    closed_b, _ = bounded_broadcast(closed)
     keyed = rolled.withColumn("_parent", path_key(group_by, F.col(DEPTH) - 1))
-    root = keyed.where(F.col(DEPTH) == 0)
-    rest = keyed.where(F.col(DEPTH) > 0).join(closed_b, "_parent", "left_semi")
-    return root.unionByName(rest).drop("_parent")
+    root = F.col(DEPTH) <= 1  # the root row and its children
+    rest = keyed.where(~root).join(closed, "_parent", "left_semi")
+    return keyed.where(root).unionByName(rest).drop("_parent")
+
+
+def split_columns(split_by: list[str]) -> list[str]:
+    """Internal names of the split columns (a column may be grouped by as well)."""
+    return [f"_split{i}" for i in range(len(split_by))]
+
+
+def split_levels(df: DataFrame, group_by: list[str], keys: list[str], levels: list[int], aggs: list[Column]) -> DataFrame:
+    """Aggregate per group level and split tuple ``keys``: one pass of grouping sets, plus ``_depth``."""
+    sets = [[q(c) for c in group_by[:d] + keys] for d in levels]
+    depth = functools.reduce(operator.add, [F.lit(1) - F.grouping(q(c)).cast("int") for c in group_by], F.lit(0))
+    return df.groupingSets(sets, *[q(c) for c in group_by + keys]).agg(*aggs, depth.cast("int").alias(DEPTH))
 
 
 def split_values_condition(split_by: list[str], values: tuple) -> Column:
@@ -90,3 +96,13 @@ def value_text(v) -> str:
 def column_path(values: tuple, column: str, sep: str = "|") -> str:
     """Pivot column name: split values and the value column joined by ``|``."""
     return sep.join([value_text(v) for v in values] + [column])
+
+
+def unique_labels(names: list[str]) -> list[str]:
+    """``names`` with the second and later of equal names numbered: ``x``, ``x (2)``, …"""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        seen[n] = seen.get(n, 0) + 1
+        out.append(n if seen[n] == 1 else f"{n} ({seen[n]})")
+    return out

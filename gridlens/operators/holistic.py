@@ -2,15 +2,14 @@
 
 Spark's ``median`` and ``mode`` keep a map of a group's distinct values in one
 aggregation buffer, so a group holding a third of the rows would be merged
-inside a single task.  Here both are distributed jobs over rows expanded to
-every grouping level (the same expansion ``rollup`` does):
-
-* median: range-sort on (level, group keys, value) across all tasks, give
-  each row its global position (:func:`global_rank`), find each group's two
-  middle positions from (first position, count), and pick those rows with an
-  equi-join on the position - a key that is unique and evenly spread.
-* dominant: count per (group, value) with map-side partial aggregation, then
-  the smallest value among the highest counts per group.
+inside a single task.  Here both start from the number of rows per (level,
+group, value), counted with map-side partial aggregation, so a value that half
+the rows hold is one row per task:
+
+* median: the counts are range-sorted on (level, group, value) across all
+  tasks, running totals give each value the positions it covers, and the
+  value that covers a group's middle positions is picked.
+* dominant: the smallest value among the highest counts per group.
 """
 
 from __future__ import annotations
@@ -18,28 +17,29 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.operators.grouping import DEPTH, q
-from gridlens.operators.sorting import global_rank
+from gridlens.session import cut_lineage
 
 
 def _gcol(i: int) -> str:
     return f"_g{i}"
 
 
-def expand_levels(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
-    """One row per input row and grouping level: ``_g0.._gN``, ``_depth``, keys, ``_v``."""
+def value_counts(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
+    """``_g0.._gN, _depth``, keys, ``_v``, ``_n``: rows per grouping level, group and non-null value."""
     types = dict(df.dtypes)
+    leaf = (df.select(*[q(g).alias(_gcol(i)) for i, g in enumerate(group_by)], *[q(k) for k in keys], value.alias("_v"))
+            .where(F.col("_v").isNotNull())
+            .groupBy(*[_gcol(i) for i in range(len(group_by))], *keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
     structs = []
     for d in levels:
-        fields = [(q(g) if i < d else F.lit(None).cast(types[g])).alias(_gcol(i)) for i, g in enumerate(group_by)]
+        fields = [(F.col(_gcol(i)) if i < d else F.lit(None).cast(types[g])).alias(_gcol(i)) for i, g in enumerate(group_by)]
         structs.append(F.struct(*fields, F.lit(int(d)).alias(DEPTH)))
-    return (df.select(*[q(k) for k in keys], value.alias("_v"), F.explode(F.array(*structs)).alias("_lv"))
-            .where(F.col("_v").isNotNull())
-            .select(*[F.col(f"_lv.{_gcol(i)}") for i in range(len(group_by))], F.col(f"_lv.{DEPTH}"),
-                    *[q(k) for k in keys], "_v"))
+    each = leaf.select(*keys, "_v", "_n", F.explode(F.array(*structs)).alias("_lv")).select("_lv.*", *keys, "_v", "_n")
+    return each.groupBy(*_group_cols(group_by, keys), "_v").agg(F.sum("_n").alias("_n"))
 
 
 def _group_cols(group_by, keys) -> list[str]:
@@ -48,23 +48,36 @@ def _group_cols(group_by, keys) -> list[str]:
 
 def median_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
     """Exact median (mean of the two middle values) per group and level."""
-    e = expand_levels(df, group_by, value, levels=levels, keys=keys)
     grp = _group_cols(group_by, keys)
-    order = [F.col(DEPTH).asc()] + [F.col(c).asc_nulls_first() for c in grp if c != DEPTH] + [F.col("_v").asc()]
-    ranked = global_rank(e, order, "_p")
-    stats = ranked.groupBy(*grp).agg(F.min("_p").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    lo = F.col("_start") + F.floor((F.col("_n") - 1) / 2).cast("long")
-    hi = F.col("_start") + F.ceil((F.col("_n") - 1) / 2).cast("long")
-    targets = stats.select(*grp, F.explode(F.array(lo, hi)).alias("_p"))
-    picked = ranked.select("_p", "_v").join(targets, "_p")
-    return picked.groupBy(*grp).agg(F.avg(F.col("_v").cast("double")).alias("_agg"))
+    counts = value_counts(df, group_by, value, levels=levels, keys=keys)
+    order = [F.col(c).asc_nulls_first() for c in grp] + [F.col("_v").asc()]
+    s = cut_lineage(counts.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    # rows before each value: those of earlier partitions (one row per partition) plus those before it in its own
+    per_part = s.groupBy("_pid").agg(F.sum("_n").alias("_m"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_pid", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = s.join(F.broadcast(offsets), "_pid").select(
+        *grp, "_v", "_n", (F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_from"))
+    placed = cut_lineage(placed)
+    stats = cut_lineage(placed.groupBy(*grp).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_all")))
+    named = stats.withColumnsRenamed({c: f"_s{c}" for c in grp})
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in grp])
+    mid = F.col("_from") - F.col("_start")
+    low = F.floor((F.col("_all") - 1) / 2)
+    high = F.ceil((F.col("_all") - 1) / 2)
+    covers = lambda p: (mid <= p) & (p < mid + F.col("_n"))
+    middle = placed.join(named, same).where(covers(low) | covers(high))
+    v = F.col("_v").cast("double")
+    return middle.groupBy(*grp).agg(
+        ((F.max(F.when(covers(low), v)) + F.max(F.when(covers(high), v))) / 2).alias("_agg"))
 
 
 def dominant_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
     """Most frequent value per group and level; ties go to the smallest value."""
-    e = expand_levels(df, group_by, value, levels=levels, keys=keys)
     grp = _group_cols(group_by, keys)
-    counts = e.groupBy(*grp, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = value_counts(df, group_by, value, levels=levels, keys=keys)
     best = counts.groupBy(*grp).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))).alias("_b"))
     return best.select(*grp, F.col("_b.v").alias("_agg"))
 
@@ -72,21 +85,13 @@ def dominant_by_level(df: DataFrame, group_by: list[str], value: Column, *, leve
 HOLISTIC = {"median": median_by_level, "dominant": dominant_by_level}
 
 
-def attach(rolled: DataFrame, group_by: list[str], parts: list[tuple[str, DataFrame, list, list]]) -> DataFrame:
-    """Left-join per-level results onto the rollup rows (null-safe on group values).
-
-    ``parts``: (output name, result of ``*_by_level``, split keys, split values);
-    with split keys the result is pivoted to one column per split value first.
-    """
-    for name, res, keys, cond_values in parts:
-        grp = [_gcol(i) for i in range(len(group_by))] + [DEPTH]
-        if keys:
-            cond = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, cond_values)])
-            res = res.groupBy(*grp).agg(F.max(F.when(cond, F.col("_agg"))).alias("_agg"))
-        res = res.select(*grp, F.col("_agg").alias("_hol"))
-        on = [rolled[f"`{g}`"].eqNullSafe(res[_gcol(i)]) for i, g in enumerate(group_by)]
-        on.append(rolled[DEPTH] == res[DEPTH])
-        joined = rolled.join(res, functools.reduce(operator.and_, on), "left")
-        rolled = joined.select(*[rolled[f"`{c}`"] for c in rolled.columns if c != name],
-                               F.col("_hol").alias(name))
-    return rolled
+def attach(rolled: DataFrame, group_by: list[str], keys, res: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Left-join columns of ``res`` (named as in ``names``) onto rollup rows, null-safe on level, group and ``keys``.
+
+    ``res`` calls the group columns ``_g0.._gN``."""
+    pairs = [(g, f"_r{i}", _gcol(i)) for i, g in enumerate(group_by)] + [(DEPTH, "_rd", DEPTH)]
+    pairs += [(k, f"_rk{i}", k) for i, k in enumerate(keys)]
+    right = res.select(*[F.col(c).alias(r) for _, r, c in pairs], *[q(c).alias(f"_new_{n}") for c, n in names.items()])
+    on = functools.reduce(operator.and_, [q(left).eqNullSafe(F.col(r)) for left, r, _ in pairs])
+    return rolled.join(right, on, "left").select(
+        *[q(c) for c in rolled.columns], *[q(f"_new_{n}").alias(n) for n in names.values()])

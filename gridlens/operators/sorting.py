@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
 from gridlens.session import checkpoint_root
 
 _MASK33 = (1 << 33) - 1
@@ -37,6 +39,13 @@ def column_sorts(sort) -> list:
     return [(c, d) for c, d in sort if d.startswith("col ")]
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether Spark can sort by a column of this type."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "_rank") -> DataFrame:
     """Attach a dense 1-based position in ``order`` without a one-task window.
 
@@ -61,18 +70,18 @@ def slice_rows(df: DataFrame, order: list[Column], start: int = 0, end: int | No
     """Rows ``[start, end)`` of the ordering (O7); top-k is ``start=0``.
 
     ``orderBy().offset().limit()`` plans as TakeOrderedAndProject: each task
-    keeps only its best ``end`` rows.
+    keeps only its best ``end`` rows.  A slice without an end, or one that the
+    caller lets run beyond ``TOP_K_ROWS``, is cut from the distributed global
+    rank, so no task sees all rows.
     """
     start = max(0, int(start or 0))
-    if order and end is not None and int(end) > TOP_K_ROWS:
-        ranked = global_rank(df, order, "_slice_pos")
-        return ranked.where((F.col("_slice_pos") > start) & (F.col("_slice_pos") <= int(end))).drop("_slice_pos")
+    if end is None and not start:
+        return df.orderBy(*order) if order else df
+    if end is None or int(end) > TOP_K_ROWS:
+        ranked = ranked_slice(df, order, start, end, "_slice_pos")
+        return ranked.orderBy("_slice_pos").drop("_slice_pos")
     out = df.orderBy(*order) if order else df
-    if start:
-        out = out.offset(start)
-    if end is not None:
-        out = out.limit(max(0, int(end) - start))
-    return out
+    return out.offset(start).limit(max(0, int(end) - start))
 
 
 def ranked_slice(df: DataFrame, order: list[Column], start: int = 0, end: int | None = None,

@@ -803,14 +803,14 @@ AGG_DOMINANT_SQL = ORACLES["agg_dominant"]
 @query("agg_median_distributed", AGG_MEDIAN_SQL)
 def agg_median_distributed(spark, d):
     """A18 as a distributed job (global rank + middle positions), the path taken for big groups."""
-    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "median"}, holistic_rows=0)
+    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "median"})
     return rnd(out, ["o_totalprice"], 4)
 
 
 @query("agg_dominant_distributed", AGG_DOMINANT_SQL)
 def agg_dominant_distributed(spark, d):
     """A7 as a distributed job (partial counts per value, then arg-max), the path for big groups."""
-    return _grouped(Tables(spark, d).events, ["user_id"], {"event_type": "dominant"}, holistic_rows=0)
+    return _grouped(Tables(spark, d).events, ["user_id"], {"event_type": "dominant"})
 
 
 PIVOT_MEDIAN_COLS = ", ".join(
@@ -823,8 +823,7 @@ FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def pivot_median_distributed(spark, d):
     """A18 under a pivot, distributed: medians per (group, split value) pivoted onto the rollup."""
     v = View(Tables(spark, d).orders, {"group_by": ["o_orderpriority"], "split_by": ["o_orderstatus"],
-                                        "columns": ["o_totalprice"], "aggregates": {"o_totalprice": "median"}},
-             holistic_rows=0)
+                                        "columns": ["o_totalprice"], "aggregates": {"o_totalprice": "median"}})
     return rnd(v.to_df(), [f"{st}|o_totalprice" for st in "FOP"], 4)
 
 

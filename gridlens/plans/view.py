@@ -2,8 +2,7 @@
 
 filter -> computed columns -> group (rollup) / split (pivot) -> aggregate ->
 sort -> slice.  Nothing is collected on the data path; the only driver-side
-values are bounded metadata (the list of pivot values, capped and checked,
-and one row of grand totals for percent-of-total columns).
+values are the distinct split values, which name the pivot's columns.
 """
 
 from __future__ import annotations
@@ -20,22 +19,19 @@ from gridlens.functions.aggregates import (
     DISTINCT_LEAF, PCT_PARENT, PCT_TOTAL, aggregate_column,
 )
 from gridlens.functions.expressions import add_expressions
-from gridlens.operators.filters import apply_large_in, build_predicate, split_large_in
+from gridlens.operators.filters import build_predicate
 from gridlens.operators.holistic import HOLISTIC, attach
 from gridlens.operators.grouping import (
     DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, path_key, q,
-    row_path, split_values_condition,
+    row_path, split_columns, split_levels, split_values_condition, unique_labels,
 )
 from gridlens.operators.sorting import (
-    column_sorts, global_rank, row_sorts, slice_rows, sort_column, viewport_bounds,
+    column_sorts, global_rank, orderable, ranked_slice, row_sorts, slice_rows, sort_column, viewport_bounds,
 )
+from gridlens.session import cut_lineage
 from gridlens.types import table_schema
 
-MAX_SPLIT_VALUES = 2000  # pivot columns are plan width: refuse, never truncate
-# median / dominant use Spark's built-in (one buffer of distinct values per
-# group) only when the largest group provably has at most this many rows;
-# otherwise they run as distributed jobs (operators/holistic.py).
-HOLISTIC_ROWS = 2_000_000
+SPLIT_KEY = "_split_key"  # canonical text of a row's split values
 
 
 def _copy_config(cfg: ViewConfig) -> ViewConfig:
@@ -59,8 +55,8 @@ class View:
     """
 
     def __init__(self, table: DataFrame, config: dict | ViewConfig | None = None, *,
-                 index=None, order=None, max_split_values: int = MAX_SPLIT_VALUES,
-                 approx: bool = False, holistic_rows: int | None = None):
+                 index=None, order=None, max_split_values: int | None = None,
+                 approx: bool = False):
         self.table = table
         self.cfg = _copy_config(normalize_config(config))
         self.index = [index] if isinstance(index, str) else list(index or [])
@@ -68,7 +64,6 @@ class View:
         self.order = [order] if isinstance(order, str) else list(order or [])
         self.max_split_values = max_split_values
         self.approx = approx
-        self.holistic_rows = HOLISTIC_ROWS if holistic_rows is None else holistic_rows
         self._prepare()
 
     # ------------------------------------------------------------------ setup
@@ -77,13 +72,8 @@ class View:
         df = add_expressions(self.table, cfg.expressions)
         schema = table_schema(df)
         validate(cfg, schema)
-        small, large = split_large_in(cfg.filter, cfg.filter_op)
-        pred = build_predicate(small, cfg.filter_op, schema)
-        base = df if pred is None else df.where(pred)
-        types = {f.name: f.dataType for f in df.schema.fields}
-        for clause in large:
-            base = apply_large_in(base, clause, types[clause[0]])
-        self.base = base
+        pred = build_predicate(cfg.filter, cfg.filter_op, schema)
+        self.base = df if pred is None else df.where(pred)
         self.input_schema = schema
         names = list(self.table.columns) + [a for a in cfg.expressions if a not in self.table.columns]
         self.columns = list(cfg.columns) if cfg.columns is not None else names
@@ -115,40 +105,52 @@ class View:
         return f"{col} ({self.aggregate_name(col)})" if col in self.group_by else col
 
     # --------------------------------------------------------------- pivots
+    def _split_table(self) -> DataFrame:
+        """One row per distinct split tuple: its values, its key, and the ``col …`` sort values."""
+        aggs = [self._agg(c).alias(f"_cs{i}") for i, (c, _) in enumerate(self.col_sorts)]
+        g = self.base.groupBy(*[q(c) for c in self.split_by])
+        sv = g.agg(*aggs) if aggs else g.agg(F.count(F.lit(1)).alias("_n"))
+        return sv.withColumn(SPLIT_KEY, path_key(self.split_by, len(self.split_by)))
+
+    def _split_order(self) -> list[Column]:
+        order = [sort_column(F.col(f"_cs{i}"), d) for i, (_, d) in enumerate(self.col_sorts)]
+        return [o for o in order if o is not None] + [q(c).asc_nulls_first() for c in self.split_by]
+
     def split_values(self) -> list[tuple]:
         """Distinct split tuples, ordered by value or by a ``col …`` sort.
 
-        Bounded metadata: more than ``max_split_values`` distinct tuples is an
-        error (plan width), never a silent cut.
+        Each tuple is a column of the result; a caller who wants to refuse
+        wide results sets ``max_split_values``, and :meth:`long_df` needs no
+        columns at all.
         """
-        if hasattr(self, "_split_values"):
-            return self._split_values
-        sb = self.split_by
-        aggs = []
-        for i, (c, _) in enumerate(self.col_sorts):
-            aggs.append(self._agg(c).alias(f"_cs{i}"))
-        g = self.base.groupBy(*[q(c) for c in sb])
-        sv = g.agg(*aggs) if aggs else g.agg(F.count(F.lit(1)).alias("_n"))
-        order = [sort_column(F.col(f"_cs{i}"), d) for i, (_, d) in enumerate(self.col_sorts)]
-        order = [o for o in order if o is not None] + [q(c).asc_nulls_first() for c in sb]
-        rows = sv.orderBy(*order).limit(self.max_split_values + 1).collect()
-        if len(rows) > self.max_split_values:
-            raise ConfigError(f"split_by {sb} has more than {self.max_split_values} distinct values")
-        self._split_values = [tuple(r[i] for i in range(len(sb))) for r in rows]
+        if not hasattr(self, "_split_values"):
+            rows = self._split_table().orderBy(*self._split_order())
+            most = self.max_split_values
+            rows = (rows if most is None else rows.limit(most + 1)).collect()
+            if most is not None and len(rows) > most:
+                raise ConfigError(f"split_by {self.split_by} has more than {most} distinct values")
+            self._split_values = [tuple(r[i] for i in range(len(self.split_by))) for r in rows]
+            self._split_keys = [r[SPLIT_KEY] for r in rows]
         return self._split_values
 
+    def _split_labels(self) -> list[list[str]]:
+        """Per split tuple, the output names of the value columns; all names differ."""
+        names = unique_labels([column_path(v, c) for v in self.split_values() for c in self.columns])
+        k = len(self.columns)
+        return [names[i * k:(i + 1) * k] for i in range(len(self.split_values()))]
+
     def column_paths(self) -> list[str]:
         """M3: the view's data columns in order (pivot paths when split)."""
         if self.context == 2:
-            return [column_path(v, c) for v in self.split_values() for c in self.columns]
+            return [name for names in self._split_labels() for name in names]
         return [self._out_name(c) for c in self.columns]
 
     def column_paths_df(self) -> DataFrame:
         """M3 as a DataFrame ``(position, column_path)``, computed by Spark.
 
-        Split values come from a distributed ``distinct``; their order (by
-        value, or by column total for ``col …`` sorts) is a window over the
-        distinct values only, which are bounded by ``max_split_values``.
+        Split values come from a distributed ``distinct``, their order from
+        the distributed global rank; a name that occurs again (null beside the
+        text "null", say) is numbered.
         """
         from pyspark.sql import Window
 
@@ -156,24 +158,20 @@ class View:
         if self.context != 2:
             return self.table.sparkSession.createDataFrame(
                 [(i, c) for i, c in enumerate(self.column_paths())], "position int, column_path string")
-        sb = self.split_by
-        self.split_values()  # enforces the cap, so the window below sees a bounded set
-        aggs = [self._agg(c).alias(f"_cs{i}") for i, (c, _) in enumerate(self.col_sorts)]
-        g = self.base.groupBy(*[q(c) for c in sb])
-        sv = g.agg(*aggs) if aggs else g.agg(F.count(F.lit(1)).alias("_n"))
-        order = [sort_column(F.col(f"_cs{i}"), d) for i, (_, d) in enumerate(self.col_sorts)]
-        order = [o for o in order if o is not None] + [q(c).asc_nulls_first() for c in sb]
-        ranked = sv.withColumn("_v", F.row_number().over(Window.orderBy(*order)) - 1)
+        ranked = global_rank(self._split_table(), self._split_order(), "_v")
         names = F.array(*[F.lit(c) for c in cols])
-        exploded = ranked.select("_v", *[q(c) for c in sb], F.posexplode(names).alias("_ci", "_col"))
-        text = [F.coalesce(q(c).cast("string"), F.lit("null")) for c in sb]
-        return exploded.select(
-            (F.col("_v") * F.lit(len(cols)) + F.col("_ci")).cast("int").alias("position"),
-            F.concat_ws("|", *text, F.col("_col")).alias("column_path"))
+        exploded = ranked.select("_v", *[q(c) for c in self.split_by], F.posexplode(names).alias("_ci", "_col"))
+        text = [F.coalesce(q(c).cast("string"), F.lit("null")) for c in self.split_by]
+        named = exploded.select(((F.col("_v") - 1) * F.lit(len(cols)) + F.col("_ci")).cast("int").alias("position"),
+                                F.concat_ws("|", *text, F.col("_col")).alias("column_path"))
+        nth = F.row_number().over(Window.partitionBy("column_path").orderBy("position"))
+        return named.withColumn("_nth", nth).select("position", F.when(
+            F.col("_nth") > 1, F.concat("column_path", F.lit(" ("), F.col("_nth").cast("string"), F.lit(")"))
+        ).otherwise(F.col("column_path")).alias("column_path"))
 
     def dimensions_df(self) -> DataFrame:
         """M4 as a one-row DataFrame; both counts run on the executors."""
-        view_rows = self.to_df().agg(F.count(F.lit(1)).alias("n"))
+        view_rows = self._whole().to_df().agg(F.count(F.lit(1)).alias("n"))
         return self.table.agg(F.count(F.lit(1)).alias("num_table_rows")).select(
             view_rows.scalar().alias("num_view_rows"),
             F.lit(self.num_columns()).cast("int").alias("num_view_columns"),
@@ -185,9 +183,9 @@ class View:
         """(source column, output name, row condition) per data column."""
         if self.context == 2:
             out = []
-            for v in self.split_values():
+            for v, names in zip(self.split_values(), self._split_labels()):
                 cond = split_values_condition(self.split_by, v)
-                out += [(c, column_path(v, c), cond) for c in self.columns]
+                out += [(c, name, cond) for c, name in zip(self.columns, names)]
             return out
         return [(c, self._out_name(c), None) for c in self.columns]
 
@@ -210,103 +208,115 @@ class View:
     def _flat_sort_col(self, c: str) -> str:
         return c if (c in self.columns and self.context == 0) else f"_sort_{c}"
 
-    def _holistic(self, col: str) -> bool:
-        """True when ``col``'s aggregate must run as a distributed job."""
-        if self.approx or self.aggregate_name(col) not in HOLISTIC:
-            return False
-        if not hasattr(self, "_largest_group_bounded"):
-            self._largest_group_bounded = self._largest_group_rows_at_most(self.holistic_rows)
-        return not self._largest_group_bounded
-
-    def _largest_group_rows_at_most(self, bound: int) -> bool:
-        """Size check (one aggregation job): does every group fit the bound?"""
-        if self.cfg.leaves_only and self.group_by:
-            counts = self.base.groupBy(*[q(c) for c in self.group_by]).agg(F.count(F.lit(1)).alias("n"))
-            biggest = counts.agg(F.max("n")).first()[0] or 0
-        else:  # the grand-total row sees every row
-            biggest = self.base.limit(bound + 1).count()
-        return biggest <= bound
-
     def _grouped(self) -> DataFrame:
+        """The rollup rows with all value and sort columns."""
         gb, n = self.group_by, len(self.group_by)
-        vals = self._value_columns()
-        aggs = [(F.lit(None) if self._holistic(c) else self._agg(c, cond)).alias(name) for c, name, cond in vals]
-        names = {name for _, name, _ in vals}
-        for c, _ in self.sorts:
-            sname = self._sort_name(c)
-            if sname not in names:
-                aggs.append(self._agg(c).alias(sname))
-                names.add(sname)
-        kinds = {name: self.aggregate_name(c) for c, name, _ in vals}
-        need_parent = any(k == PCT_PARENT for k in kinds.values())
-        leaves_only = self.cfg.leaves_only and not need_parent
-        rolled = grouped_aggregate(self.base, gb, aggs, leaves_only=leaves_only)
-        rolled = self._attach_holistic(rolled, vals, leaves_only)
+        kinds = {name: self.aggregate_name(c) for c, name, _ in self._value_columns()}
+        percent = {PCT_TOTAL, PCT_PARENT} & set(kinds.values())
+        leaves_only = self.cfg.leaves_only and not percent
+        rolled = self._pivoted(leaves_only) if self.context == 2 else self._rolled(leaves_only)
         # distinct leaf: only leaf rows carry a value
         for name, k in kinds.items():
             if k == DISTINCT_LEAF:
                 rolled = rolled.withColumn(name, F.when(F.col(DEPTH) == n, F.col(f"`{name}`")))
-        pct_total = [nm for nm, k in kinds.items() if k == PCT_TOTAL]
-        pct_parent = [nm for nm, k in kinds.items() if k == PCT_PARENT]
-        if pct_total or pct_parent:
-            totals = self._totals([c for c in (pct_total + pct_parent)], vals)
-        for name in pct_total:
-            rolled = rolled.withColumn(name, F.lit(100.0) * F.col(f"`{name}`") / F.lit(totals[name]))
-        if pct_parent:
-            rolled = self._pct_parent(rolled, pct_parent, totals)
+        if percent:
+            rolled = self._percent(cut_lineage(rolled), kinds)
         if self.cfg.leaves_only:
             rolled = rolled.where(F.col(DEPTH) == n)
         if self.cfg.expanded is not None and not self.cfg.leaves_only:
             rolled = filter_expanded(rolled, gb, self._open_paths())
         return rolled
 
-    def _attach_holistic(self, rolled: DataFrame, vals, leaves_only: bool) -> DataFrame:
-        """median / dominant as distributed jobs joined onto the rollup rows."""
-        n = len(self.group_by)
-        levels = [n] if leaves_only else list(range(n + 1))
-        parts = []
-        split_vals = self.split_values() if self.context == 2 else None
-        cache: dict = {}
-        for c, name, _ in vals:
-            if not self._holistic(c):
-                continue
-            kind = self.aggregate_name(c)
-            if (c, kind) not in cache:
-                cache[(c, kind)] = HOLISTIC[kind](self.base, self.group_by, q(c), levels=levels,
-                                                  keys=self.split_by if self.context == 2 else ())
-            res = cache[(c, kind)]
-            if self.context == 2:
-                v = split_vals[[column_path(sv, c) for sv in split_vals].index(name)]
-                parts.append((name, res, self.split_by, v))
-            else:
-                parts.append((name, res, [], []))
-        return attach(rolled, self.group_by, parts) if parts else rolled
-
-    def _totals(self, names: list[str], vals) -> dict:
-        """Grand totals (one aggregated row) for percent columns."""
-        by_name = {name: (c, cond) for c, name, cond in vals}
-        row = self.base.agg(*[F.sum(F.when(by_name[nm][1], q(by_name[nm][0])) if by_name[nm][1] is not None
-                                    else q(by_name[nm][0])).alias(f"t{i}")
-                              for i, nm in enumerate(names)]).first()
-        return {nm: row[f"t{i}"] for i, nm in enumerate(names)}
-
-    def _pct_parent(self, rolled: DataFrame, names: list[str], totals: dict) -> DataFrame:
-        """100 * value / parent's value; depth-1 parents are the grand total."""
-        gb = self.group_by
-        keyed = rolled.withColumn("_pk", path_key(gb, F.col(DEPTH) - 1))
+    def _outputs(self) -> dict[str, str]:
+        """Output name -> source column, value columns first, then hidden sort columns."""
+        out = {self._out_name(c): c for c in self.columns} if self.context != 2 else {}
+        for c, _ in self.sorts:
+            out.setdefault(self._sort_name(c), c)
+        return out
+
+    def _is_holistic(self, col: str) -> bool:
+        return not self.approx and self.aggregate_name(col) in HOLISTIC
+
+    def _aggregated(self, df: DataFrame, outputs: dict[str, str], aggregate, levels: list[int], keys=()) -> DataFrame:
+        """``aggregate(columns)`` for the ordinary outputs; median and dominant joined on."""
+        plain = [self._agg(c).alias(nm) for nm, c in outputs.items() if not self._is_holistic(c)]
+        out, done = aggregate(plain), {}
+        for nm, c in outputs.items():
+            if self._is_holistic(c):
+                if c not in done:
+                    done[c] = HOLISTIC[self.aggregate_name(c)](df, self.group_by, q(c), levels=levels, keys=keys)
+                out = attach(out, self.group_by, keys, done[c], {"_agg": nm})
+        return out
+
+    def _levels(self, leaves_only: bool) -> list[int]:
+        return [len(self.group_by)] if leaves_only else list(range(len(self.group_by) + 1))
+
+    def _rolled(self, leaves_only: bool) -> DataFrame:
+        return self._aggregated(self.base, self._outputs(), lambda aggs: grouped_aggregate(
+            self.base, self.group_by, aggs, leaves_only=leaves_only), self._levels(leaves_only))
+
+    def _long(self, leaves_only: bool) -> DataFrame:
+        keys, levels = split_columns(self.split_by), self._levels(leaves_only)
+        df = self.base.withColumns({k: q(c) for k, c in zip(keys, self.split_by)})
+        return self._aggregated(df, {f"_v{i}": c for i, c in enumerate(self.columns)}, lambda aggs: split_levels(
+            df, self.group_by, keys, levels, aggs), levels, keys)
+
+    def long_df(self, *, leaves_only: bool = False) -> DataFrame:
+        """A grouped split view in long form: group columns, ``_depth``, split columns (``c (split)`` if also grouped
+        by), one column per value column.
+
+        One pass of grouping sets (each group level with the split columns);
+        no limit on the number of split values, and nothing on the driver.
+        """
+        names = [f"{c} (split)" if c in self.group_by else c for c in self.split_by]
+        values = [F.col(f"_v{i}").alias(f"{c} (value)" if c in self.group_by + names else c)
+                  for i, c in enumerate(self.columns)]
+        return self._long(leaves_only).select(
+            *[q(c) for c in self.group_by], F.col(DEPTH),
+            *[F.col(k).alias(nm) for k, nm in zip(split_columns(self.split_by), names)], *values)
+
+    def _pivoted(self, leaves_only: bool) -> DataFrame:
+        """Aggregate per group level and split tuple first, then turn that small result into columns."""
+        gb, labels = self.group_by, self._split_labels()
+        if not labels:
+            return self._rolled(leaves_only)
+        groups, keys = [q(c) for c in gb] + [F.col(DEPTH)], split_columns(self.split_by)
+        marked = self._long(leaves_only).withColumn(SPLIT_KEY, path_key(keys, len(keys)))
+        values = [F.first(f"_v{i}", ignorenulls=True).alias(f"_v{i}") for i in range(len(self.columns))]
+        wide = marked.groupBy(*groups).pivot(SPLIT_KEY, self._split_keys).agg(*values)
+        wide = wide.toDF(*gb, DEPTH, *[name for names in labels for name in names])
+        hidden = self._outputs()
+        if not hidden:
+            return wide
+        totals = self._rolled(leaves_only)  # sorts look at the group as a whole
+        totals = totals.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(gb)})
+        return attach(wide, gb, (), totals, {nm: nm for nm in hidden})
+
+    def _percent(self, rolled: DataFrame, kinds: dict[str, str]) -> DataFrame:
+        """100 * value / the grand total's (depth-0 row) or the parent's value; null where that is 0.
+
+        ``rolled`` is written down, so the rollup runs once however often it is joined.
+        """
+        names = [nm for nm, k in kinds.items() if k in (PCT_TOTAL, PCT_PARENT)]
+        gb, cols = self.group_by, rolled.columns
+        top = rolled.where(F.col(DEPTH) == 0).select(
+            *[F.col(f"`{nm}`").alias(f"_pt{i}") for i, nm in enumerate(names)])
         parents = rolled.where(F.col(DEPTH) >= 1).select(
-            path_key(gb, F.col(DEPTH)).alias("_pk"),
+            path_key(gb, F.col(DEPTH)).alias("_pk"), (F.col(DEPTH) + 1).alias("_pd"),
             *[F.col(f"`{nm}`").alias(f"_pp{i}") for i, nm in enumerate(names)])
-        deep = keyed.where(F.col(DEPTH) >= 2).join(parents, "_pk", "left")
-        shallow = keyed.where(F.col(DEPTH) < 2)
+        df = rolled.crossJoin(F.broadcast(top))  # one row
+        if PCT_PARENT in kinds.values():
+            keyed = df.withColumn("_pk", path_key(gb, F.col(DEPTH) - 1)).withColumn("_pd", F.col(DEPTH))
+            df = keyed.join(parents, ["_pk", "_pd"], "left")
+        out = {}
         for i, nm in enumerate(names):
-            deep = deep.withColumn(nm, F.lit(100.0) * F.col(f"`{nm}`") / F.col(f"_pp{i}"))
-            shallow = shallow.withColumn(
-                nm, F.when(F.col(DEPTH) == 0, F.when(F.col(f"`{nm}`").isNotNull(), F.lit(100.0)))
-                .otherwise(F.lit(100.0) * F.col(f"`{nm}`") / F.lit(totals[nm])))
-        cols = rolled.columns
-        return shallow.select(*[F.col(f"`{c}`") for c in cols]).unionByName(
-            deep.select(*[F.col(f"`{c}`") for c in cols]))
+            of = F.col(f"_pt{i}")
+            if kinds[nm] == PCT_PARENT:
+                of = F.when(F.col(DEPTH) <= 1, of).otherwise(F.col(f"_pp{i}"))
+            out[nm] = F.try_divide(F.lit(100.0) * F.col(f"`{nm}`"), of)
+            if kinds[nm] == PCT_PARENT:
+                out[nm] = F.when(F.col(DEPTH) == 0, F.when(F.col(f"`{nm}`").isNotNull(), F.lit(100.0))).otherwise(out[nm])
+        return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in cols])
 
     def _open_paths(self) -> DataFrame:
         exp = self.cfg.expanded
@@ -324,6 +334,8 @@ class View:
         gb, n = self.group_by, len(self.group_by)
         sort_names = [(self._sort_name(c), d) for c, d in self.sorts if d != "none"]
         order: list[Column] = []
+        if sort_names and n > 1:
+            rolled = cut_lineage(rolled)  # the rollup runs once, its rows are joined per level
         df = rolled
         for k in range(1, n + 1):
             order.append((F.col(DEPTH) >= k).asc())
@@ -372,14 +384,12 @@ class View:
             keep = []
         keep += [F.col(f"`{nm}`") for nm in data_names]
         sliced = bool(start_row) or end_row is not None
+        if order or rank or sliced:
+            # equal sort values are told apart by the other columns, so they spread over tasks
+            order = order + [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema.fields
+                             if f.name != DEPTH and not f.name.startswith("__anc") and orderable(f.dataType)]
         if rank:
-            order = order + [F.col(f"`{c}`").asc_nulls_first() for c in df.columns
-                             if c != DEPTH and not c.startswith("__anc")]
-            if sliced:
-                from gridlens.operators.sorting import ranked_slice
-                df = ranked_slice(df, order, start_row or 0, end_row)
-            else:
-                df = global_rank(df, order)
+            df = ranked_slice(df, order, start_row or 0, end_row) if sliced else global_rank(df, order)
             return df.select(*keep, F.col("_rank"))
         if sliced:
             return slice_rows(df, order, start_row or 0, end_row).select(*keep)
@@ -390,7 +400,7 @@ class View:
     # -------------------------------------------------------------- metadata
     def schema(self) -> dict[str, str]:
         """M2: result column types after aggregation (internal columns excluded)."""
-        s = table_schema(self.to_df())
+        s = table_schema(self._whole().to_df())
         s.pop(DEPTH, None)
         return s
 
@@ -398,8 +408,12 @@ class View:
         s = table_schema(self.base)
         return {a: s[a] for a in self.cfg.expressions}
 
+    def _whole(self) -> "View":
+        """This view without a viewport: metadata speaks of the view, not of the window on it."""
+        return self._with(viewport=None) if self.cfg.viewport else self
+
     def num_rows(self) -> int:
-        return self.to_df().count()
+        return self._whole().to_df().count()
 
     def num_columns(self) -> int:
         return len(self.column_paths())
@@ -412,8 +426,8 @@ class View:
         }
 
     def min_max(self, column: str) -> DataFrame:
-        """M5: min and max of a view column over leaf rows."""
-        df = self.to_df()
+        """M5: min and max of a view column over leaf rows, whatever is open or in the viewport."""
+        df = self._with(viewport=None, expanded=None, sort=[]).to_df()
         if DEPTH in df.columns:
             df = df.where(F.col(DEPTH) == len(self.group_by))
         return df.agg(F.min(q(column)).alias("min"), F.max(q(column)).alias("max"))
@@ -428,8 +442,7 @@ class View:
         for k, v in changes.items():
             setattr(cfg, k, v)
         return View(self.table, cfg, index=self.index, order=self.order,
-                    max_split_values=self.max_split_values, approx=self.approx,
-                    holistic_rows=self.holistic_rows)
+                    max_split_values=self.max_split_values, approx=self.approx)
 
     def set_depth(self, depth: int) -> "View":
         """Show group levels up to ``depth``."""
@@ -463,25 +476,30 @@ class View:
         from gridlens.sources.export import write_csv
         write_csv(self.to_df(**kw), path)
 
-    def to_columns(self, start_row: int = 0, end_row: int = 1000, **kw) -> dict[str, list]:
-        """A bounded slice as ``{column: [values]}`` (rows ``[start_row, end_row)``)."""
-        rows = self.to_df(start_row=start_row, end_row=end_row, **kw).collect()
-        cols = self.to_df(start_row=start_row, end_row=end_row, **kw).columns
-        return {c: [r[i] for r in rows] for i, c in enumerate(cols)}
+    def to_columns(self, **kw) -> dict[str, list]:
+        """``{column: [values]}`` of the view (its viewport, or the rows ``start_row`` to ``end_row`` if given)."""
+        table = self.to_arrow(**kw)
+        return {c: table.column(i).to_pylist() for i, c in enumerate(table.column_names)}
+
+    def iter_records(self, **kw):
+        """The rows one after another as dicts; the driver holds a partition at a time."""
+        for r in self.to_df(**kw).toLocalIterator():
+            yield r.asDict()
 
-    def to_records(self, start_row: int = 0, end_row: int = 1000, **kw) -> list[dict]:
-        """A bounded slice as a list of row dicts (T14 for clients)."""
-        return [r.asDict() for r in self.to_df(start_row=start_row, end_row=end_row, **kw).collect()]
+    def to_records(self, **kw) -> list[dict]:
+        """:meth:`iter_records` as a list."""
+        return list(self.iter_records(**kw))
 
-    def to_arrow(self, start_row: int = 0, end_row: int = 1000, **kw):
-        """An Arrow table of a bounded slice (whole views: ``write_arrow_files``)."""
-        return self.to_df(start_row=start_row, end_row=end_row, **kw).toArrow()
+    def to_arrow(self, **kw):
+        """The view (or the slice asked for) as an Arrow table; for large views ``write_arrow_files``."""
+        return self.to_df(**kw).toArrow()
 
 
 def view(table: DataFrame, config=None, **kw) -> View:
     return View(table, config, **kw)
 
 
-def query_columns(table: DataFrame, config=None, *, start_row: int = 0, end_row: int = 1000, **kw) -> dict:
-    """A one-shot view returned as columns of a bounded slice."""
+def query_columns(table: DataFrame, config=None, *, start_row: int | None = None, end_row: int | None = None,
+                  **kw) -> dict:
+    """A one-shot view returned as columns, whole unless bounds are given."""
     return View(table, config, **kw).to_columns(start_row=start_row, end_row=end_row)

@@ -33,12 +33,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, used as is.
 
-    On a cluster the setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created and registered
-    as the context's checkpoint folder (``spark.checkpoint.dir`` itself is a
-    core setting that cannot change at runtime), so later calls find it.
+    Where it is unset, a local session (tests) gets a scratch folder of its
+    own; on a cluster that is an error, since a folder of the driver's machine
+    is out of the executors' reach.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="gridlens-ckpt-")
     sc.setCheckpointDir(d)
     return d
@@ -67,25 +68,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut lineage."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-SPREAD_MIN_BYTES = 8 << 20  # a narrow input at least this large is worth spreading
-
-
-def spread_if_narrow(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin an input that has fewer partitions than the cluster has task
-    slots *and* is big enough for parallelism to pay (e.g. one big Parquet row
-    group: byte-range splits without a row group read nothing), so CPU-heavy
-    work after it runs in parallel.  The size is the optimizer's estimate (no
-    job).  Inputs already split at least as finely as there are slots - any
-    large table - are returned unchanged: no extra shuffle at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        qe = df._jdf.queryExecution()
-        parts = qe.toRdd().getNumPartitions()
-        size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - e.g. Spark Connect
-        return df
-    if parts < slots and size >= min_bytes:
-        return df.repartition(slots)
-    return df

@@ -52,12 +52,6 @@ def json_stream(spark: SparkSession, schema, *, source: str = "text", path: str
     return parse_json_lines(raw, schema, value_col=value_col, corrupt_col=corrupt_col, keep_raw=keep_raw)
 
 
-def presence_mask(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Which fields a JSON line actually carries (null vs absent, T4)."""
-    return raw.withColumn("_present", F.json_object_keys(F.col(value_col)))
-
-
-# ---------------------------------------------------------------- S3 - S7
 def table_from_rows(spark: SparkSession, rows: list[dict], schema=None) -> DataFrame:
     """S3: a small table from a list of row dicts (missing keys are nulls)."""
     if schema is not None:

@@ -101,13 +101,11 @@ def close(a, b):
 NUMERIC = [n for n in NUMBER_AGGREGATES if not n.startswith("pct")]
 
 
-@pytest.mark.parametrize("name", NUMERIC + ["median!", "dominant!"])
+@pytest.mark.parametrize("name", NUMERIC)
 @pytest.mark.parametrize("col", ["x", "y"])
 def test_number_aggregates(grouped, name, col):
-    forced = name.endswith("!")  # "!" = force the distributed path for holistic aggregates
-    name = name.rstrip("!")
     v = View(grouped, {"group_by": ["g1", "g2"], "columns": [col], "aggregates": {col: name}},
-             index="seq", order=["seq"], holistic_rows=0 if forced else None)
+             index="seq", order=["seq"])
     got = {((r.g1, r.g2), r._depth): r[col] for r in v.to_df().collect()}
     exp = expected(col, name, ["g1", "g2"])
     assert set(got) == set(exp)
@@ -115,12 +113,10 @@ def test_number_aggregates(grouped, name, col):
         assert close(got[k], exp[k]), (name, col, k, got[k], exp[k])
 
 
-@pytest.mark.parametrize("name", list(TEXT_AGGREGATES) + ["dominant!"])
+@pytest.mark.parametrize("name", list(TEXT_AGGREGATES))
 def test_text_aggregates(grouped, name):
-    forced = name.endswith("!")
-    name = name.rstrip("!")
     v = View(grouped, {"group_by": ["g1", "g2"], "columns": ["s"], "aggregates": {"s": name}},
-             index="seq", order=["seq"], holistic_rows=0 if forced else None)
+             index="seq", order=["seq"])
     got = {((r.g1, r.g2), r._depth): r.s for r in v.to_df().collect()}
     exp = expected("s", name, ["g1", "g2"])
     if name == "distinct leaf":
@@ -159,15 +155,35 @@ def test_default_aggregates(grouped):
     assert root.x == 16 and root.s == 6
 
 
-def test_distributed_median_under_pivot_and_leaves(grouped):
+def test_median_under_pivot_and_leaves(grouped):
+    base = grouped.toPandas()
     for leaves in (False, True):
         v = View(grouped, {"group_by": ["g1"], "split_by": ["p"], "columns": ["y"], "aggregates": {"y": "median"},
-                           "leaves_only": leaves}, holistic_rows=0)
-        w = View(grouped, {"group_by": ["g1"], "split_by": ["p"], "columns": ["y"], "aggregates": {"y": "median"},
                            "leaves_only": leaves})
-        key = lambda r: (r.g1 or "", r._depth)
-        assert sorted(map(tuple, v.to_df().collect()), key=lambda t: (str(t[0]), t[1])) == \
-            sorted(map(tuple, w.to_df().collect()), key=lambda t: (str(t[0]), t[1]))
+        got = {(r["g1"], r["_depth"]): r for r in v.to_df().collect()}
+        assert len(got) == len(v.to_df().collect()) == (4 if leaves else 5)
+        for (g, depth), r in got.items():
+            for value, name in zip(v.split_values(), v.column_paths()):
+                rows = base[base["p"].isna() if value[0] is None else base["p"] == value[0]]
+                if depth:
+                    rows = rows[rows["g1"].isna() if g is None else rows["g1"] == g]
+                want = rows["y"].median()
+                assert r[name] is None if math.isnan(want) else close(r[name], want)
+
+
+def test_median_of_a_value_that_half_the_rows_hold(spark):
+    df = spark.createDataFrame([(i % 2, 7.0 if i % 4 < 2 else float(i)) for i in range(1000)], "g long, x double")
+    rows = View(df, {"group_by": ["g"], "columns": ["x"], "aggregates": {"x": "median"}}).to_df().collect()
+    p = df.toPandas()
+    assert {(r.g, r._depth): r.x for r in rows} == {
+        (None, 0): p.x.median(), (0, 1): p[p.g == 0].x.median(), (1, 1): p[p.g == 1].x.median()}
+
+
+def test_percent_of_a_zero_total_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.0), ("a", -1.0, 0.0), ("b", 2.0, 0.0)], "g string, x double, z double")
+    for kind in ("pct sum grand total", "pct sum parent"):
+        rows = View(df, {"group_by": ["g"], "columns": ["z"], "aggregates": {"z": kind}}).to_df().collect()
+        assert all(r.z is None for r in rows if r._depth == 1)
 
 
 def test_approx_mode(grouped):

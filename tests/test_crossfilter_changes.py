@@ -2,10 +2,12 @@ import datetime as dt
 import random
 
 import pytest
+from gridlens.plans.view import View
 
 from pyspark.sql import functions as F
 
 from gridlens.operators.changes import change_direction, previous_value, view_delta
+from gridlens.config import ConfigError
 from gridlens.operators.crossfilter import (
     drill_through, global_filter, linked_filter, merge_filters, selection_filters,
 )
@@ -35,7 +37,7 @@ def test_semi_and_anti(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "k long")
     sel = spark.createDataFrame([(2,), (3,), (3,)], "k long")
     assert sorted(r.k for r in semi_filter(df, sel, "k").collect()) == [2, 3]
-    assert len(semi_filter(df, sel, "k", anti=True, max_broadcast_rows=1).collect()) == 8
+    assert len(semi_filter(df, sel, "k", anti=True).collect()) == 8
 
 
 def test_view_delta(spark):
@@ -68,3 +70,39 @@ def test_previous_value_matches_lag_with_a_hot_key(spark, bucketed):
             exp_dir = None if exp_prev is None or r[3] is None else (r[3] > exp_prev) - (r[3] < exp_prev)
             assert got[r[0]] == (exp_prev, exp_dir), r
     assert previous_value(df, "k", ["ts", "id"], "v", bucket=F.date_trunc("DAY", "ts")).count() == 400
+
+
+def test_deselect_and_shallower_selection_clear(spark):
+    from gridlens.operators.crossfilter import controlled_columns
+
+    cfg = {"group_by": ["region", "zone"], "filter": [["kind", "==", "x"]]}
+    controls = controlled_columns(cfg)
+    assert controls == ["region", "zone", "kind"]
+    columns = ["region", "zone", "cpu"]
+    state = [["cpu", ">", 1]]
+    deep = global_filter({"t": (state, columns)}, "m", [["region", "==", "EU"], ["zone", "==", "z1"]], controls)["t"]
+    assert deep == [["region", "==", "EU"], ["zone", "==", "z1"], ["cpu", ">", 1]]
+    up = global_filter({"t": (deep, columns)}, "m", [["region", "==", "EU"]], controls)["t"]
+    assert up == [["region", "==", "EU"], ["cpu", ">", 1]]
+    assert global_filter({"t": (up, columns)}, "m", [], controls)["t"] == state
+    assert linked_filter({"t": (up, columns), "u": (up, columns)}, "m", [], {"t"}, controls) == {"t": state, "u": up}
+
+
+def test_drill_through_keeps_or_expressions_and_typed_values(spark):
+    df = spark.createDataFrame([(1, "p|q"), (2, "p|q"), (3, "r"), (4, None), (5, "null")], "a long, s string")
+    cfg = {"group_by": ["b"], "split_by": ["s"], "columns": ["a"], "expressions": {"b": '"a" % 2'},
+           "filter": [["a", "==", 1], ["a", "==", 2], ["s", "==", "r"]], "filter_op": "or"}
+    rows = View(df, drill_through(cfg, (1,), ("p|q",))).to_df().collect()
+    assert [r.a for r in rows] == [1]
+    plain = {"split_by": ["s"], "columns": ["a"]}
+    assert selection_filters(plain, (), (None,)) == [["s", "is null"]]
+    assert selection_filters(plain, (), ("null",)) == [["s", "==", "null"]]
+    with pytest.raises(ConfigError):
+        drill_through(plain, (), "p|q|a")
+
+
+def test_semi_filter_keeps_the_order_of_columns(spark):
+    from gridlens.operators.filters import semi_filter
+
+    df = spark.createDataFrame([(1, 2), (3, 4)], "k long, a long").select("a", "k")
+    assert semi_filter(df, df.where("k = 1"), "k").columns == ["a", "k"]

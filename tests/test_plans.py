@@ -31,12 +31,17 @@ def test_rollup_is_one_expand_and_partial_aggregate(spark):
     assert "Expand" in p and "partial_sum" in p
 
 
-def test_small_selection_is_broadcast_after_a_check(spark):
+def test_selection_is_joined_as_its_size_asks(spark):
     cust = spark.read.parquet(f"{SF}/customer.parquet")
     sel = spark.read.parquet(f"{SF}/supplier.parquet").select(F.col("s_nationkey").alias("c_nationkey"))
     assert "BroadcastHashJoin" in plan(semi_filter(cust, sel, "c_nationkey"))
-    big = plan(semi_filter(cust, sel, "c_nationkey", max_broadcast_rows=1))
-    assert "LeftSemi" in big
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = plan(semi_filter(cust, sel, "c_nationkey"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in big and "LeftSemi" in big and "Limit" not in big
 
 
 def test_top_k_is_take_ordered(spark):

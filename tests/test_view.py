@@ -153,20 +153,83 @@ def test_expanded_paths_as_a_dataframe(spark, grouped):
     assert v.set_depth(1).to_df().count() == 5
 
 
-def test_large_in_lists_become_semi_and_anti_joins(spark, monkeypatch):
-    from gridlens.operators import filters
-
+def test_in_lists_have_one_meaning_at_any_length(spark):
     df = spark.createDataFrame([(i, None if i % 10 == 0 else f"v{i % 7}") for i in range(60)], "i long, s string")
-    vals = [f"v{j}" for j in range(4)]
-    small_in = View(df, {"filter": [["s", "in", vals], ["i", ">", 5]]}).to_df().collect()
-    small_out = View(df, {"filter": [["s", "not in", vals]]}).to_df().collect()
-    monkeypatch.setattr(filters, "IN_LIST_JOIN", 2)
-    v_in = View(df, {"filter": [["s", "in", vals], ["i", ">", 5]]})
-    v_out = View(df, {"filter": [["s", "not in", vals]]})
-    assert "LeftSemi" in v_in.to_df()._jdf.queryExecution().executedPlan().toString()
-    assert sorted(v_in.to_df().collect()) == sorted(small_in)
-    assert sorted(v_out.to_df().collect()) == sorted(small_out)
-    assert all(r.s is not None for r in v_out.to_df().collect())
+    short, many = ["v0", "v1", None], ["v0", "v1", None] + [f"w{i}" for i in range(2000)]
+    for op, keep in (("in", lambda s: s in ("v0", "v1")), ("not in", lambda s: s is not None and s not in ("v0", "v1"))):
+        want = sorted(r.i for r in df.collect() if keep(r.s))
+        for values in (short, many):
+            assert sorted(r.i for r in View(df, {"filter": [["s", op, values]]}).to_df().collect()) == want
+    either = {"filter": [["s", "in", many], ["i", ">", 57]], "filter_op": "or"}
+    assert View(df, either).to_df().count() == sum(r.s in ("v0", "v1") or r.i > 57 for r in df.collect())
+
+
+def test_exports_are_whole_or_as_the_viewport_says(spark):
+    df = spark.range(2500).withColumnRenamed("id", "a")
+    v = View(df, {"sort": [["a", "asc"]]})
+    assert len(v.to_records()) == len(v.to_columns()["a"]) == v.to_arrow().num_rows == 2500
+    assert next(v.iter_records()) == {"a": 0}
+    w = View(df, {"sort": [["a", "asc"]], "viewport": {"top": 10, "height": 20}})
+    assert [r["a"] for r in w.to_records()] == list(range(10, 30)) and w.to_arrow().num_rows == 20
+    assert len(w.to_records(start_row=0, end_row=5)) == 5
+    assert w.num_rows() == w.dimensions()["num_view_rows"] == 2500 and w.get_min_max("a") == (0, 2499)
+
+
+def test_metadata_of_a_collapsed_view(grouped):
+    v = View(grouped, {"group_by": ["g1"], "columns": ["x", "y"], "expanded": [], "viewport": {"width": 1}})
+    assert set(v.schema()) >= {"x", "y"}
+    whole = View(grouped, {"group_by": ["g1"], "columns": ["x", "y"]})
+    assert v.get_min_max("x") == whole.get_min_max("x")
+
+
+def test_open_ended_slices(spark):
+    df = spark.range(100).withColumnRenamed("id", "a")
+    out = View(df, {"sort": [["a", "desc"]]}).to_df(start_row=95)
+    assert [r.a for r in out.collect()] == [4, 3, 2, 1, 0]
+    assert "CollectLimit" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_names_are_unique(spark):
+    rows = [("g", None, "x", 1), ("g", "null", "x", 2), ("g", "a|b", "c", 4), ("g", "a", "b|c", 8)]
+    df = spark.createDataFrame(rows, "g string, s string, t string, v long")
+    one = View(df, {"group_by": ["g"], "split_by": ["s"], "columns": ["v"]})
+    assert len(set(one.column_paths())) == 4
+    root = [r for r in one.to_df().collect() if r._depth == 0][0]
+    assert [root[c] for c, v in zip(one.column_paths(), one.split_values())] == \
+        [{None: 1, "null": 2, "a|b": 4, "a": 8}[v[0]] for v in one.split_values()]
+    two = View(df, {"group_by": ["g"], "split_by": ["s", "t"], "columns": ["v"]})
+    assert len(set(two.to_df().columns)) == len(two.to_df().columns) == 6
+    paths = sorted((r.position, r.column_path) for r in two.column_paths_df().collect())
+    assert [p for _, p in paths] == two.column_paths()
+    flat = View(df, {"split_by": ["s"], "columns": ["v"]})
+    assert flat.to_df().columns == flat.column_paths()
+
+
+def test_long_form_of_a_split(spark):
+    df = spark.createDataFrame([(i % 3, i % 50, i) for i in range(600)], "g long, s long, v long")
+    out = View(df, {"group_by": ["g"], "split_by": ["s"], "columns": ["v"]}).long_df()
+    assert out.columns == ["g", "_depth", "s", "v"] and out.count() == 50 + 150
+    wide = View(df, {"group_by": ["g"], "split_by": ["s"], "columns": ["v"], "sort": [["v", "desc"]]}).to_df().collect()
+    got = {(r.g, r._depth, r.s): r.v for r in out.collect()}
+    assert all(r[f"{s}|v"] == got[r.g, r._depth, s] for r in wide for s in range(50))
+    assert [r.g for r in wide] == [None, 2, 1, 0]
+    same = View(df, {"group_by": ["g", "s"], "split_by": ["s"], "columns": ["v"]})
+    assert same.to_df().count() == 1 + 3 + 150
+
+
+def test_time_literals_do_not_depend_on_the_host(spark, monkeypatch):
+    import datetime as dt
+    import time
+
+    df = spark.sql("select timestamp_ntz'1998-01-01 02:00:00' as t union all select timestamp_ntz'1997-12-31 23:00:00'")
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        for value in ("1998-01-01", dt.datetime(1998, 1, 1), "1998-01-01T00:00:00Z"):
+            assert View(df, {"filter": [["t", ">=", value]]}).to_df().count() == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()
 
 
 def test_group_column_also_shown(grouped):

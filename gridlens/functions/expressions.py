@@ -148,13 +148,3 @@ def validate_expressions(df: DataFrame, expressions) -> dict:
         except (AnalysisException, ParseException) as e:
             errors[alias] = {"error_message": str(e).split("\n")[0]}
     return {"expression_schema": schema, "errors": errors}
-
-
-def json_columns(value: Column, schema: T.StructType, corrupt: str | None = None) -> list[Column]:
-    """a JSON object text -> one column per schema field."""
-    parsed = F.from_json(value, schema)
-    cols = [parsed[f.name].alias(f.name) for f in schema.fields]
-    if corrupt:
-        cols.append(F.when(value.isNotNull() & F.try_parse_json(value).isNull(), value).alias(corrupt)
-                    if hasattr(F, "try_parse_json") else F.lit(None).cast("string").alias(corrupt))
-    return cols

@@ -25,7 +25,8 @@ from gridlens.plans.tables import (
 from gridlens.plans.view import View
 from gridlens.sources.export import JSON_OPTIONS, json_rows
 from gridlens.sources.json_stream import parse_json_lines
-from gridlens.sources.tables import latest_per_key, newest_rows, patch_by_row_id
+from gridlens.session import scratch_path
+from gridlens.sources.tables import LiveTable, latest_per_key, newest_rows, patch_by_row_id
 from gridlens.types import conform
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,15 +197,96 @@ def keyed_presence(spark, d):
                           keep=["event_id", "event_type", "value", "props"])
 
 
+def live_events(spark, name: str, **kw) -> LiveTable:
+    """A new live table with the columns of ``events`` in the shared scratch folder."""
+    kinds = {"event_id": "integer", "ts": "datetime", "user_id": "integer", "event_type": "string", "value": "float",
+             "props": "string"}
+    return LiveTable(spark, scratch_path(spark, name), kw.pop("schema", kinds), **kw)
+
+
+def halves(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``events`` before and from 2024-01-15, as two arrival batches."""
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    return e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)
+
+
 @query("append_table", """
 SELECT event_id, ts, user_id, event_type, value, props,
        row_number() OVER (ORDER BY ts, event_id) AS _row_id FROM events""")
 def append_table(spark, d):
-    """T5: an append table (two arrival batches) with its implicit row number."""
+    """T5: an append table written in two arrival batches, with the position of its rows."""
     e = Tables(spark, d).events
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    log = e.where(F.col("ts") < cut).unionByName(e.where(F.col("ts") >= cut))
-    return global_rank(log, [F.col("ts").asc(), F.col("event_id").asc()], "_row_id")
+    t = live_events(spark, "append", schema=e.schema)
+    for b, part in enumerate(halves(e)):
+        t.update(part, b)
+    rows = t.snapshot(with_meta=True).select(*e.columns, "batch")
+    ranked = global_rank(rows, [F.col("batch").asc(), F.col("ts").asc(), F.col("event_id").asc()], "_row_id")
+    return ranked.select(*e.columns, "_row_id")
+
+
+LATEST_TWO_PORTS_SQL = """
+SELECT event_id, ts, user_id, event_type, value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+@query("live_ports", LATEST_TWO_PORTS_SQL)
+def live_ports(spark, d):
+    """Two ports write batches of the same number into one keyed table."""
+    e = Tables(spark, d).events
+    t = live_events(spark, "ports", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="overwrite")
+    first = F.col("event_type").isin("click", "view")
+    t.update(e.where(first), 0, port_id=t.make_port())
+    t.update(e.where(~first), 0, port_id=t.make_port())
+    return t.snapshot().select(*e.columns)
+
+
+@query("live_remove_seq", """
+WITH old AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15'),
+new AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
+kept AS (SELECT * FROM old WHERE user_id % 3 <> 0 UNION ALL SELECT * FROM new)
+SELECT event_id, ts, user_id, event_type, value, props FROM kept
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def live_remove_seq(spark, d):
+    """T8 on a table with a sequence: a third of the keys is removed after the first half of the events."""
+    e = Tables(spark, d).events
+    old, new = halves(e)
+    t = live_events(spark, "remove", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="overwrite")
+    t.update(old, 0)
+    t.remove(old.where(F.col("user_id") % 3 == 0).select("user_id").distinct(), 1)
+    t.update(new, 2)
+    return t.snapshot().select(*e.columns)
+
+
+@query("live_compacted", """
+WITH log AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN value END AS value,
+             CASE WHEN event_type <> 'click' THEN props END AS props FROM events)
+SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value,
+       arg_max(props, (ts, event_id)) FILTER (WHERE props IS NOT NULL) AS props
+FROM log GROUP BY user_id""")
+def live_compacted(spark, d):
+    """T4: partial upserts; the newer half comes first and is compacted before the older half arrives late."""
+    e = events_with_nulls(Tables(spark, d)).select("user_id", "ts", "event_id", "value", "props")
+    old, new = halves(e)
+    t = live_events(spark, "compacted", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="keep")
+    t.update(new, 0)
+    t.compact()
+    t.update(old, 1)
+    return t.snapshot().select("user_id", "ts", "value", "props")
+
+
+@query("live_patch_capped", """
+SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'error' THEN -value ELSE value END AS value, props
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 500""")
+def live_patch_capped(spark, d):
+    """Cells patched by row number in a table that keeps its 500 newest rows."""
+    e = Tables(spark, d).events
+    t = live_events(spark, "patched", schema=e.schema, limit=500, seq=EVENTS_ORDER)
+    for b, part in enumerate(halves(e)):
+        t.update(part, b)
+    whole = LiveTable(spark, t.path, t.schema)
+    errors = whole.snapshot(with_meta=True).where("event_type = 'error'")
+    t.patch_rows(errors.select("_row_id", (-F.col("value")).alias("value")), 2)
+    return t.snapshot().select(*e.columns)
 
 
 @query("patch_row_id", """
@@ -252,12 +334,24 @@ SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVE
 def replace_table(spark, d):
     """replace() clears the table, then applies the new batch."""
     e = Tables(spark, d).events
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    log = (e.where(F.col("ts") < cut).withColumn("batch", F.lit(1))
-           .unionByName(e.where(F.col("ts") >= cut).withColumn("batch", F.lit(2))))
-    cleared_at = 2  # replace() is clear() + update() at batch 2
-    live = log.where(F.col("batch") >= cleared_at).drop("batch")
-    return latest_per_key(live, "user_id", EVENTS_ORDER)
+    old, new = halves(e)
+    t = live_events(spark, "replace", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="overwrite")
+    t.update(old, 0)
+    t.replace(new, 1)
+    return t.snapshot().select(*e.columns)
+
+
+@query("live_replace", """
+SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE ts < TIMESTAMP '2024-01-15'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def live_replace(spark, d):
+    """The state a replace() started from stays readable."""
+    e = Tables(spark, d).events
+    old, new = halves(e)
+    t = live_events(spark, "before", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="overwrite")
+    t.update(old, 0)
+    t.replace(new, 1)
+    return t.snapshot(before=1).select(*e.columns)
 
 
 @query("conform_cast", """
@@ -299,10 +393,12 @@ LEFT JOIN (SELECT _port, count(*) AS n_keys FROM latest GROUP BY _port) k USING
 def port_counts(spark, d):
     """Rows per input port, and keys whose newest change came from each port."""
     e = Tables(spark, d).events
-    log = e.withColumn("_port", F.when(F.col("event_type").isin("click", "view"), F.lit(1)).otherwise(F.lit(2)))
-    latest = latest_per_key(log, "user_id", EVENTS_ORDER)
-    rows = log.groupBy("_port").agg(F.count(F.lit(1)).alias("n_rows"))
-    keys = latest.groupBy("_port").agg(F.count(F.lit(1)).alias("n_keys"))
+    t = live_events(spark, "counts", schema=e.schema, index="user_id", seq=EVENTS_ORDER, nulls="overwrite")
+    first = F.col("event_type").isin("click", "view")
+    for part in (e.where(first), e.where(~first)):
+        t.update(part, 0, port_id=t.make_port())
+    rows = t.log().groupBy("_port").agg(F.count(F.lit(1)).alias("n_rows"))
+    keys = t.snapshot(with_meta=True).groupBy("_port").agg(F.count(F.lit(1)).alias("n_keys"))
     return (rows.join(keys, "_port", "left")
             .select("_port", "n_rows", F.coalesce("n_keys", F.lit(0)).cast("long").alias("n_keys")))
 
@@ -1039,7 +1135,7 @@ def expr_columns(spark, d):
 
 # ============================================================ drill-through, cross-filter
 from gridlens.operators.crossfilter import (  # noqa: E402
-    drill_through, filter_by_selection, global_filter, selection_filters,
+    controlled_columns, drill_through, filter_by_selection, global_filter, selection_filters,
 )
 
 
@@ -1163,3 +1259,113 @@ def cross_filter_docs(spark, d):
     docs = View(t.documents, {"columns": ["doc_id", "lang", "source", "n_chars"]}).to_df()
     selected = View(t.labels, {"filter": [["toxic", "==", 1]], "columns": ["doc_id"]}).to_df()
     return filter_by_selection(docs, selected, "doc_id")
+
+
+@query("chained_two_keys", """
+SELECT user_id, event_type, count(event_id) AS n_events, round(sum(value), 2) AS total FROM events
+GROUP BY user_id, event_type""")
+def chained_two_keys(spark, d):
+    """S8 with two group columns: the downstream table is keyed by both."""
+    e = Tables(spark, d).events
+    out = stream_rollup_table(spark, e, group_by=["user_id", "event_type"], part=F.to_date("ts"),
+                              out_schema=T.StructType.fromDDL("user_id long, event_type string, n_events long, total double"),
+                              aggregates={"n_events": ("count", "event_id"), "total": ("sum", "value")})
+    return rnd(out, ["total"])
+
+
+@query("chained_moved_keys", """
+SELECT event_type, count(*) AS n_users, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT * FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY event_type""")
+def chained_moved_keys(spark, d):
+    """S8 over a keyed table: users move between groups, and groups that empty go."""
+    e = Tables(spark, d).events
+
+    def view_fn(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_users"), F.sum("event_id").alias("ids"))
+
+    return stream_chained(spark, e, group_by=["event_type"], view_fn=view_fn, index="user_id", seq=EVENTS_ORDER,
+                          out_schema=T.StructType.fromDDL("event_type string, n_users long, ids long"), part=F.to_date("ts"))
+
+
+@query("agg_pct_zero", """
+SELECT l_returnflag, CAST(1 AS INTEGER) AS _depth, CAST(NULL AS DOUBLE) AS zero FROM lineitem GROUP BY l_returnflag""")
+def agg_pct_zero(spark, d):
+    """A21 where the total is 0: null, not an error."""
+    v = View(Tables(spark, d).lineitem, {
+        "group_by": ["l_returnflag"], "columns": ["zero"], "expressions": {"zero": '"l_discount" * 0'},
+        "aggregates": {"zero": "pct sum grand total"}, "leaves_only": True})
+    return v.to_df()
+
+
+@query("pivot_wide", """
+SELECT l_returnflag, l_suppkey, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag, l_suppkey""")
+def pivot_wide(spark, d):
+    """B3 with a column per supplier, turned back to rows for comparison."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag"], "split_by": ["l_suppkey"],
+                                         "columns": ["l_quantity"], "leaves_only": True})
+    wide = v.to_df()
+    cells = F.array(*[F.struct(F.lit(s).cast("long").alias("l_suppkey"), F.col(f"`{c}`").alias("quantity"))
+                      for (s,), c in zip(v.split_values(), v.column_paths())])
+    long = wide.select("l_returnflag", F.inline(cells)).where("quantity is not null")
+    return rnd(long, ["quantity"])
+
+
+@query("pivot_long", """
+SELECT l_returnflag, 1 AS _depth, l_partkey, round(sum(l_quantity), 2) AS l_quantity FROM lineitem
+GROUP BY l_returnflag, l_partkey""")
+def pivot_long(spark, d):
+    """B3 in long form: thousands of split values, none of them on the driver."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag"], "split_by": ["l_partkey"],
+                                         "columns": ["l_quantity"]})
+    return rnd(v.long_df(leaves_only=True), ["l_quantity"])
+
+
+@query("slice_open_end", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 100""")
+def slice_open_end(spark, d):
+    """All rows from position 100 on, without a task that sees all."""
+    v = View(Tables(spark, d).orders, {"columns": ["o_orderkey", "o_totalprice"], "sort": [["o_totalprice", "desc"]]})
+    return v.to_df(start_row=100)
+
+
+@query("dimensions_viewport", """
+SELECT count(*) AS num_view_rows, 2::INTEGER AS num_view_columns, count(*) AS num_table_rows,
+       (SELECT count(*)::INTEGER FROM information_schema.columns WHERE table_name = 'orders') AS num_table_columns
+FROM orders""")
+def dimensions_viewport(spark, d):
+    """M4 speaks of the view, not of its viewport."""
+    v = View(Tables(spark, d).orders, {"columns": ["o_orderkey", "o_totalprice"], "viewport": {"top": 5, "height": 20}})
+    return v.dimensions_df()
+
+
+@query("cross_filter_clear", """
+SELECT s_suppkey, s_nationkey FROM supplier""")
+def cross_filter_clear(spark, d):
+    """A selection on nations and its deselection leave the suppliers unfiltered."""
+    master = {"group_by": ["c_nationkey", "s_nationkey"]}
+    controls = controlled_columns(master)
+    targets = {"suppliers": ([], ["s_suppkey", "s_nationkey"])}
+    chosen = global_filter(targets, "master", [["s_nationkey", "==", 7]], controls)
+    cleared = global_filter({"suppliers": (chosen["suppliers"], targets["suppliers"][1])}, "master", [], controls)
+    return View(Tables(spark, d).supplier, {"columns": ["s_suppkey", "s_nationkey"],
+                                            "filter": cleared["suppliers"]}).to_df()
+
+
+@query("drill_through_or", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+WHERE (o_totalprice > 200000 OR o_orderstatus = 'F') AND o_orderpriority = '1-URGENT'""")
+def drill_through_or(spark, d):
+    """The selection narrows a base filter joined by ``or``."""
+    cfg = {"group_by": ["o_orderpriority"], "filter": [["o_totalprice", ">", 200000], ["o_orderstatus", "==", "F"]],
+           "filter_op": "or"}
+    behind = drill_through(cfg, ("1-URGENT",)) | {"columns": ["o_orderkey", "o_orderstatus", "o_totalprice"]}
+    return View(Tables(spark, d).orders, behind).to_df()
+
+
+@query("drill_through_expr", """
+SELECT o_orderkey, o_custkey % 5 AS bucket FROM orders WHERE o_custkey % 5 = 3""")
+def drill_through_expr(spark, d):
+    """The rows behind a cell of a computed group."""
+    cfg = {"group_by": ["bucket"], "expressions": {"bucket": '"o_custkey" % 5'}}
+    behind = drill_through(cfg, (3,)) | {"columns": ["o_orderkey", "bucket"]}
+    return View(Tables(spark, d).orders, behind).to_df()

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridlens.plans.view import View
 from gridlens.sources.json_stream import json_stream
+from gridlens.sources.tables import LOG_ORDER
 from gridlens.streaming.sink import LiveSink, TableRegistry, start_stream
 
 
@@ -32,7 +33,7 @@ class Feed:
 
 
 def start_feeds(spark: SparkSession, registry: TableRegistry, feeds: dict[str, Feed], *,
-                checkpoint_root: str, available_now: bool = False,
+                checkpoint_root: str, available_now: bool = False, compact_every: int | None = 50,
                 processing_time: str | None = "5 seconds") -> dict[str, StreamingQuery]:
     """Start one named stream per feed into its table; returns the queries."""
     queries = {}
@@ -40,7 +41,7 @@ def start_feeds(spark: SparkSession, registry: TableRegistry, feeds: dict[str, F
         table = registry.host_table(name, feed.schema, index=feed.index, seq=feed.seq, nulls=feed.nulls)
         stream = json_stream(spark, table.schema, source=feed.source, path=feed.path, options=feed.options,
                              keep_raw=feed.nulls == "overwrite")
-        queries[name] = start_stream(stream, LiveSink(table), checkpoint=f"{checkpoint_root}/{name}",
+        queries[name] = start_stream(stream, LiveSink(table, compact_every=compact_every), checkpoint=f"{checkpoint_root}/{name}",
                                      name=f"feed_{name}", available_now=available_now,
                                      processing_time=None if available_now else processing_time)
     return queries
@@ -65,9 +66,9 @@ def dashboard_views(registry: TableRegistry, views: dict = DASHBOARD_VIEWS) -> d
     """The configured views over the tables' current snapshots."""
     out = {}
     for title, (table, cfg) in views.items():
-        if table in registry.tables:
-            t = registry.tables[table]
+        if table in registry.get_hosted_table_names():
+            t = registry.open_table(table)
             snap = t.snapshot(with_meta=True)
-            order = (t.seq or []) + ["batch", "_pos"]
+            order = t.seq + LOG_ORDER
             out[title] = View(snap.drop("_port"), cfg, index=t.index, order=order)
     return out

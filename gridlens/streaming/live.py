@@ -30,12 +30,13 @@ def land_json_lines(df: DataFrame, path: str, part: F.Column) -> str:
 
 
 def stream_into_table(spark: SparkSession, landing: str, schema, table: LiveTable, *,
-                      files_per_batch: int = 8, name: str | None = None,
+                      files_per_batch: int | None = None, name: str | None = None,
                       listeners: list[tuple[Callable, Callable | None]] | None = None,
                       checkpoint: str | None = None, compact_every: int | None = None) -> LiveTable:
-    """Run the landing folder through a stream into ``table`` until caught up."""
+    """Run the landing folder through a stream into ``table`` until caught up; ``files_per_batch`` is the caller's
+    choice of how much one micro-batch takes (default: all there is)."""
     stream = json_stream(spark, schema, source="text", path=landing,
-                         options={"maxFilesPerTrigger": files_per_batch})
+                         options={"maxFilesPerTrigger": files_per_batch} if files_per_batch else {})
     sink = LiveSink(table, compact_every=compact_every)
     for fn, delta in listeners or []:
         sink.on_update(fn, mode="row" if delta else "none", delta=delta)
@@ -48,7 +49,7 @@ def stream_into_table(spark: SparkSession, landing: str, schema, table: LiveTabl
 
 
 def stream_keyed(spark: SparkSession, events: DataFrame, *, key: str, seq: list[str],
-                 part: F.Column, files_per_batch: int = 8) -> DataFrame:
+                 part: F.Column, files_per_batch: int | None = None) -> DataFrame:
     """A keyed running table fed by a stream; returns its snapshot."""
     root = scratch_path(spark, "live")
     landing = land_json_lines(events, f"{root}/landing", part)
@@ -59,28 +60,29 @@ def stream_keyed(spark: SparkSession, events: DataFrame, *, key: str, seq: list[
 
 def stream_chained(spark: SparkSession, events: DataFrame, *, group_by: list[str],
                    view_fn: Callable[[DataFrame], DataFrame], out_schema, part: F.Column,
-                   files_per_batch: int = 8) -> DataFrame:
-    """A table kept live from another table's view deltas."""
+                   files_per_batch: int | None = None, index=None, seq=None) -> DataFrame:
+    """A table, keyed by the group columns, kept live from another table's view deltas; with ``index`` the other
+    table is keyed, and groups that its updates empty go."""
     root = scratch_path(spark, "chain")
     landing = land_json_lines(events, f"{root}/landing", part)
-    upstream = LiveTable(spark, f"{root}/upstream", events.schema)
-    downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by[0], nulls="overwrite")
+    upstream = LiveTable(spark, f"{root}/upstream", events.schema, index=index, seq=seq, nulls="overwrite" if index else "keep")
+    downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by, nulls="overwrite")
     delta = keyed_view_delta(upstream, view_fn, group_by)
     stream_into_table(spark, landing, events.schema, upstream, files_per_batch=files_per_batch,
-                      listeners=[(chain_into(downstream), delta)])
+                      listeners=[(chain_into(downstream, compact_every=4), delta)], compact_every=4)
     return downstream.snapshot()
 
 
 def stream_rollup_table(spark: SparkSession, events: DataFrame, *, group_by: list[str],
                         aggregates: dict[str, tuple[str, str]], out_schema, part: F.Column,
-                        files_per_batch: int = 8) -> DataFrame:
+                        files_per_batch: int | None = None) -> DataFrame:
     """S8, incremental: a keyed table of per-group aggregates kept live from a
     stream by merging each batch's partial aggregates (no upstream re-read)."""
     root = scratch_path(spark, "rollup")
     landing = land_json_lines(events, f"{root}/landing", part)
     upstream = LiveTable(spark, f"{root}/upstream", events.schema)
-    downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by[0], nulls="overwrite")
+    downstream = LiveTable(spark, f"{root}/downstream", out_schema, index=group_by, nulls="overwrite")
     delta = incremental_view_delta(downstream, group_by, aggregates)
     stream_into_table(spark, landing, events.schema, upstream, files_per_batch=files_per_batch,
-                      listeners=[(chain_into(downstream, compact_every=2), delta)], compact_every=2)
+                      listeners=[(chain_into(downstream, compact_every=4), delta)], compact_every=4)
     return downstream.snapshot()

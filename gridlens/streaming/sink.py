@@ -8,18 +8,25 @@ Errors are not swallowed; the stream fails and restarts from its checkpoint.
 
 from __future__ import annotations
 
+import functools
+import operator
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridlens.sources.tables import LiveTable
+from gridlens.session import cut_lineage
+from gridlens.sources.tables import DELETE, LOG_ORDER, OP, UPSERT, LiveTable
 from gridlens.types import conform
 
 
 class TableRegistry:
-    """Named live tables under one root folder."""
+    """Named live tables under one root folder.
+
+    A hosted table's description is stored with it, so another session (or this
+    one, later) finds it by name.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -27,23 +34,30 @@ class TableRegistry:
 
     def host_table(self, name: str, schema, **kw) -> LiveTable:
         t = LiveTable(self.spark, f"{self.root}/{name}", schema, **kw)
+        t.save_description()
         self.tables[name] = t
         return t
 
     def open_table(self, name: str) -> LiveTable:
+        if name not in self.tables:
+            if name not in self.get_hosted_table_names():
+                raise KeyError(name)
+            self.tables[name] = LiveTable.open(self.spark, f"{self.root}/{name}")
         return self.tables[name]
 
     def get_hosted_table_names(self) -> list[str]:
-        return sorted(self.tables)
+        probe = LiveTable(self.spark, self.root, {})
+        stored = [n for n in probe._folders(self.root, "") if probe._exists(f"{self.root}/{n}/table/_SUCCESS")]
+        return sorted({*self.tables, *stored})
 
     def sink(self, name: str, **kw) -> "LiveSink":
         """The ``foreachBatch`` sink that routes a stream into table ``name``."""
-        return LiveSink(self.tables[name], **kw)
+        return LiveSink(self.open_table(name), **kw)
 
     def register_views(self) -> None:
         """Expose every table's current snapshot as a temp view of its name."""
-        for name, t in self.tables.items():
-            t.snapshot().createOrReplaceTempView(name)
+        for name in self.get_hosted_table_names():
+            self.open_table(name).snapshot().createOrReplaceTempView(name)
 
 
 class Listener:
@@ -55,49 +69,68 @@ class Listener:
         self.fn, self.delta, self.mode = fn, delta, mode
 
 
+def _touched(table: LiveTable, batch: DataFrame, batch_id: int, group_cols: list[str], expressions=None) -> DataFrame:
+    """The groups of a batch's rows and of the rows their keys held before (an upsert can move a key)."""
+    from gridlens.functions.expressions import add_expressions
+
+    cur = conform(batch, table.schema)
+    touched = add_expressions(cur, expressions or {}).select(*group_cols)
+    if table.keys:
+        keys = cur.select(*table.keys).distinct()
+        prev = table.snapshot(before=batch_id).join(keys, table.keys, "left_semi")
+        touched = touched.unionByName(add_expressions(prev, expressions or {}).select(*group_cols))
+    return touched.distinct()
+
+
+def _gone(touched: DataFrame, now: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Touched groups that have no row any more."""
+    have = now.select(*[F.col(f"`{c}`").alias(f"_now_{c}") for c in group_cols])
+    same = functools.reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_now_{c}`")) for c in group_cols])
+    return touched.join(have, same, "left_anti")
+
+
 def keyed_view_delta(table: LiveTable, view_fn: Callable[[DataFrame], DataFrame],
                      group_cols: list[str]) -> Callable[[DataFrame, int], DataFrame]:
     """Delta of a grouped view over ``table``: the groups a batch touched, recomputed.
 
     Touched groups are found from the batch rows *and* the rows those keys
-    held before (an upsert can move a key between groups).  Only rows of
-    touched groups are re-aggregated (semi join on the group columns).
+    held before.  Only rows of touched groups are re-aggregated (semi join on
+    the group columns).  The result has a column ``_op``: ``upsert``, or
+    ``delete`` for a group that the batch emptied.
     """
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
         snap = table.snapshot(with_meta=True).drop("_port")  # keeps batch / _pos for arrival order
-        cur = conform(batch, table.schema)
-        touched = cur.select(*group_cols)
-        if table.index is not None:
-            keys = cur.select(table.index).distinct()
-            prev = table.snapshot(before=batch_id)  # the rows these keys held before the batch
-            touched = touched.unionByName(prev.join(keys, table.index, "left_semi").select(*group_cols))
-        touched = touched.distinct()
+        touched = _touched(table, batch, batch_id, group_cols)
         rows = snap.join(touched, [snap[c].eqNullSafe(touched[c]) for c in group_cols], "left_semi")
-        return view_fn(rows)
+        now = view_fn(rows)
+        if not table.keys:
+            return now.withColumn(OP, F.lit(UPSERT))  # an append table empties no group
+        now = cut_lineage(now)
+        gone = _gone(touched, now, group_cols).withColumn(OP, F.lit(DELETE))
+        return now.withColumn(OP, F.lit(UPSERT)).unionByName(gone, allowMissingColumns=True)
     return delta
 
 
 def row_delta(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
     """X8 for a flat keyed view: the current rows of the keys a batch touched.
 
-    Keys deleted by the batch are absent from the result; a ``_deleted``
-    column would need the previous state, so use :func:`removed_keys` for them.
+    Keys that are gone are absent from the result; :func:`removed_keys` has them.
     """
-    if table.index is None:
+    if not table.keys:
         raise ValueError("row deltas need an indexed table; append tables deliver the batch itself")
 
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
-        keys = batch.select(table.index).distinct()
-        return table.snapshot().join(keys, table.index, "left_semi")
+        keys = batch.select(*table.keys).distinct()
+        return table.snapshot().join(keys, table.keys, "left_semi")
     return delta
 
 
 def removed_keys(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
     """Keys present before a batch and absent after it."""
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
-        keys = batch.select(table.index).distinct()
-        before = table.snapshot(before=batch_id).join(keys, table.index, "left_semi").select(table.index)
-        return before.join(table.snapshot().select(table.index), table.index, "left_anti")
+        keys = batch.select(*table.keys).distinct()
+        before = table.snapshot(before=batch_id).join(keys, table.keys, "left_semi").select(*table.keys)
+        return before.join(table.snapshot().select(*table.keys), table.keys, "left_anti")
     return delta
 
 
@@ -107,14 +140,16 @@ def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], Data
     A leaf group is touched when a batch row - or the row its key held before
     (an upsert can move a key) - falls in it; each ancestor of a touched group
     is touched too and is recomputed over *all* its rows (the grand total over
-    the whole table), level by level.  Split views recompute the whole view.
+    the whole table), level by level.  A group that the batch emptied comes
+    with ``_op`` ``delete``, its path and no values.  Split views recompute the
+    whole view.
     """
     import copy as _copy
 
     from gridlens.functions.expressions import add_expressions
     from gridlens.plans.view import View
 
-    order = table.seq + ["batch", "_pos"]
+    order = table.seq + LOG_ORDER
     gb = list(cfg.group_by)
     if cfg.group_by_depth is not None:
         gb = gb[: max(0, int(cfg.group_by_depth))]
@@ -124,14 +159,7 @@ def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], Data
         snap = table.snapshot(with_meta=True).drop("_port")
         if cfg.split_by:
             return View(snap, cfg, index=table.index, order=order).to_df()
-        cur = add_expressions(conform(batch, table.schema), cfg.expressions)
-        touched = cur.select(*gb)
-        if table.index is not None:
-            keys = conform(batch, table.schema).select(table.index).distinct()
-            prev = table.snapshot(before=batch_id)  # the rows these keys held before the batch
-            prev = add_expressions(prev.join(keys, table.index, "left_semi"), cfg.expressions)
-            touched = touched.unionByName(prev.select(*gb))
-        touched = touched.distinct()
+        touched = _touched(table, batch, batch_id, gb, cfg.expressions)
         parts = []
         for d in levels:
             prefix = gb[:d]
@@ -152,6 +180,11 @@ def grouped_view_delta(table: LiveTable, cfg) -> Callable[[DataFrame, int], Data
             types = dict(add_expressions(snap.limit(0), cfg.expressions).dtypes)
             for c in gb[max(d, 1) if d == 0 else d:]:
                 out = out.withColumn(c, F.lit(None).cast(types[c]))
+            out = out.withColumn(OP, F.lit(UPSERT))
+            if prefix and table.keys:
+                out = cut_lineage(out)
+                gone = _gone(touched.select(*prefix).distinct(), out, prefix).withColumn("_depth", F.lit(d).cast("int"))
+                out = out.unionByName(gone.withColumn(OP, F.lit(DELETE)), allowMissingColumns=True)
             parts.append(out)
         result = parts[0]
         for p in parts[1:]:
@@ -189,9 +222,10 @@ def incremental_view_delta(downstream: LiveTable, group_by: list[str],
         part = batch.groupBy(*[F.col(f"`{g}`") for g in group_by]).agg(
             *[aggregate_column(name, src).alias(f"_n_{out}") for out, (name, src) in aggregates.items()])
         old = downstream.snapshot(before=batch_id)
-        old = old.join(part.select(*group_by), group_by, "left_semi")
-        old = old.select(*group_by, *[F.col(f"`{o}`").alias(f"_o_{o}") for o in aggregates])
-        merged = part.join(old, group_by, "left")
+        old = old.select(*[F.col(f"`{g}`").alias(f"_old_{g}") for g in group_by],
+                         *[F.col(f"`{o}`").alias(f"_o_{o}") for o in aggregates])
+        same = functools.reduce(operator.and_, [F.col(f"`{g}`").eqNullSafe(F.col(f"`_old_{g}`")) for g in group_by])
+        merged = part.join(old, same, "left")
         return merged.select(*group_by, *[
             MERGEABLE[name](F.col(f"_o_{out}"), F.col(f"_n_{out}")).alias(out)
             for out, (name, _) in aggregates.items()])
@@ -202,8 +236,8 @@ class LiveSink:
     """``foreachBatch`` writer of a stream into a :class:`LiveTable`."""
 
     def __init__(self, table: LiveTable, *, port_id: int = 0, compact_every: int | None = None,
-                 skip_empty: bool = True):
-        self.table, self.port_id = table, port_id
+                 skip_empty: bool = True, writer: str | None = None):
+        self.table, self.port_id, self.writer = table, port_id, writer
         self.compact_every = compact_every
         self.skip_empty = skip_empty
         self.listeners: list[Listener] = []
@@ -229,7 +263,9 @@ class LiveSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.skip_empty and batch.isEmpty():
             return  # an empty micro-batch changes nothing and notifies nobody
-        self.table.update(batch, batch_id, port_id=self.port_id)
+        name = self.table.update(batch, batch_id, port_id=self.port_id, writer=self.writer)
+        # from here on the batch is what the log holds: the source isn't parsed again
+        batch = self.table.batch_rows(batch_id, name)
         # a delta is computed only when a listener wants rows, and once per
         # batch however many listeners share it (persisted while they run)
         wanted = [ls.delta for ls in self.listeners if ls.mode == "row" and ls.delta is not None]
@@ -254,7 +290,13 @@ class LiveSink:
 def start_stream(stream: DataFrame, sink: LiveSink | Callable, *, checkpoint: str,
                  name: str | None = None, available_now: bool = False,
                  processing_time: str | None = None) -> StreamingQuery:
-    """One named streaming query with its own checkpoint."""
+    """One named streaming query with its own checkpoint.
+
+    The query's name is the sink's writer unless it has one, so that two
+    streams into one table keep their batches apart.
+    """
+    if isinstance(sink, LiveSink) and sink.writer is None:
+        sink.writer = name
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
@@ -268,15 +310,23 @@ def start_stream(stream: DataFrame, sink: LiveSink | Callable, *, checkpoint: st
 def maybe_compact(table: LiveTable, batch_id: int, every: int | None) -> None:
     """Every ``every`` batches fold the log through the *previous* batch, so
     reads stay proportional to the table, and a replay of the newest batch can
-    still see the state before it."""
+    still see the state before it; batches that the last two snapshots hold go."""
     if every and batch_id > 0 and batch_id % every == 0:
         table.compact(through=batch_id - 1)
+        table.vacuum(keep=2)
 
 
 def chain_into(target: LiveTable, *, compact_every: int | None = None) -> Callable:
-    """A listener that upserts each view delta into another keyed table."""
+    """A listener that applies each view delta to another keyed table: upserts, and removals of groups that are
+    gone (rows whose ``_op`` is ``delete``)."""
     def fn(batch_id: int, delta: DataFrame | None) -> None:
-        if delta is not None:
+        if delta is not None and OP in delta.columns:
+            delta = cut_lineage(delta)
+            target.update(delta.where(F.col(OP) != DELETE).drop(OP), batch_id)
+            gone = delta.where(F.col(OP) == DELETE).select(*target.keys)
+            if not gone.isEmpty():
+                target.remove(gone, batch_id)
+        elif delta is not None:
             target.update(delta, batch_id)
         maybe_compact(target, batch_id, compact_every)
     return fn

@@ -1,3 +1,5 @@
+import pytest
+
 from gridlens.session import checkpoint_root, scratch_path
 
 
@@ -17,7 +19,7 @@ class _Conf(dict):
 
 class _Ctx:
     def __init__(self):
-        self.dir = None
+        self.dir, self.master = None, "local[4]"
 
     def getCheckpointDir(self):
         return self.dir
@@ -38,3 +40,11 @@ def test_unset_checkpoint_dir_gets_a_scratch_folder_without_touching_the_setting
     assert checkpoint_root(s) == first + "/uuid"  # later calls reuse the registered folder
     shared = _Session({"spark.checkpoint.dir": "hdfs://nn/ckpt/"})
     assert checkpoint_root(shared) == "hdfs://nn/ckpt" and shared.sparkContext.dir.startswith("hdfs://nn/ckpt/")
+
+
+def test_unset_checkpoint_dir_is_an_error_on_a_cluster():
+    for master in ("yarn", "local-cluster[3,2,1024]"):
+        s = _Session({})
+        s.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            checkpoint_root(s)

@@ -1,3 +1,4 @@
+import pytest
 import json
 import os
 
@@ -199,7 +200,9 @@ def test_touched_groups_include_the_group_a_key_left(spark, tmp_path):
     sink.on_update(lambda bid, d: seen.append(d.count()), mode="row", delta=delta)  # shares the delta
     sink(spark.createDataFrame([("x", "g1", 1), ("y", "g1", 2)], "k string, g string, v long"), 0)
     sink(spark.createDataFrame([("x", "g2", 5)], "k string, g string, v long"), 1)
-    assert seen == [[("g1", 3)], 1, [("g1", 2), ("g2", 5)], 2]
+    sink(spark.createDataFrame([("y", "g2", 1)], "k string, g string, v long"), 2)  # g1 is empty now
+    assert seen == [[("g1", 3, "upsert")], 1, [("g1", 2, "upsert"), ("g2", 5, "upsert")], 2,
+                    [("g1", None, "delete"), ("g2", 6, "upsert")], 2]
 
 
 def test_registry_sink_and_empty_batches(spark, tmp_path):
@@ -226,8 +229,46 @@ def test_table_view_and_on_view_update(spark, tmp_path):
     sink(spark.createDataFrame([("y", "a", 7)], "k string, g string, v long"), 1)
     assert flat == [[("x", "a", 1), ("y", "b", 2)], [("y", "a", 7)]]
     assert grouped[0] == [("", 0, 2), ("a", 1, 1), ("b", 1, 2)]
-    # batch 1 moves y from b to a: a and the root are recomputed (b is now empty, so it has no row)
-    assert grouped[1] == [("", 0, 7), ("a", 1, 7)]
+    # batch 1 moves y from b to a: a and the root are recomputed, and b is reported as gone
+    assert grouped[1] == [("", 0, 7), ("a", 1, 7), ("b", 1, None)]
     v = t.view({"group_by": ["g"]})
     assert v.columns == ["k", "g", "v"]
     assert {(r.g, r._depth): r.v for r in v.to_df().collect()} == {(None, 0): 8, ("a", 1): 8}
+
+
+def test_chained_table_drops_emptied_groups_and_keeps_all_group_columns(spark, tmp_path):
+    up = LiveTable(spark, str(tmp_path / "up"), {"k": "string", "g": "string", "h": "integer", "v": "integer"},
+                   index="k", nulls="overwrite")
+    down = LiveTable(spark, str(tmp_path / "down"), {"g": "string", "h": "integer", "v": "integer"}, index=["g", "h"],
+                     nulls="overwrite")
+
+    def view_fn(rows):
+        return rows.groupBy("g", "h").agg({"v": "sum"}).toDF("g", "h", "v")
+
+    sink = LiveSink(up)
+    sink.on_update(chain_into(down), mode="row", delta=keyed_view_delta(up, view_fn, ["g", "h"]))
+    schema = "k string, g string, h long, v long"
+    sink(spark.createDataFrame([("x", "a", 1, 1), ("y", "a", 2, 2), ("z", None, 1, 4)], schema), 0)
+    assert sorted(map(str, down.snapshot().collect())) == sorted(map(str, view_fn(up.snapshot()).collect()))
+    sink(spark.createDataFrame([("x", "b", 1, 8), ("z", "b", 1, 16)], schema), 1)
+    got = {(r.g, r.h): r.v for r in down.snapshot().collect()}
+    assert got == {("a", 2): 2, ("b", 1): 24}
+
+
+def test_hosted_tables_survive_the_session(spark, tmp_path):
+    reg = TableRegistry(spark, str(tmp_path / "root"))
+    t = reg.host_table("status", {"k": "string", "v": "integer", "ts": "datetime"}, index="k", seq="ts", nulls="overwrite")
+    p = t.make_port()
+    again = TableRegistry(spark, str(tmp_path / "root"))
+    assert again.get_hosted_table_names() == ["status"]
+    o = again.open_table("status")
+    assert (o.keys, o.seq, o.nulls, o.schema) == (t.keys, t.seq, t.nulls, t.schema) and o.make_port() == p + 1
+    with pytest.raises(KeyError):
+        again.open_table("other")
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer"}, index="k", nulls="overwrite")
+    LiveSink(t, writer="one-")(spark.createDataFrame([("x", 1)], "k string, v long"), 0)
+    LiveSink(t, writer="two-")(spark.createDataFrame([("y", 2)], "k string, v long"), 0)
+    assert {r.k: r.v for r in t.snapshot().collect()} == {"x": 1, "y": 2}

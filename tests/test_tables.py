@@ -171,3 +171,90 @@ def test_table_metadata(spark, tmp_path):
     assert t.columns() == ["k", "a", "t"] and t.size() == 0
     t.update(spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "k string, a long"), 0)
     assert t.size() == 2
+
+
+def rows(spark, data, cols="k string, v long, s long"):
+    return spark.createDataFrame(data, cols)
+
+
+def test_removal_on_a_table_with_seq(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer", "s": "integer"}, index="k", seq="s")
+    t.update(rows(spark, [("x", 1, 10), ("y", 2, 10)]), 0)
+    t.remove(rows(spark, [("x",)], "k string"), 1)
+    assert set(as_dict(t.snapshot())) == {"y"}
+    t.update(rows(spark, [("x", 9, 5)]), 2)  # older than what was removed: stays dead
+    assert set(as_dict(t.snapshot())) == {"y"}
+    t.update(rows(spark, [("x", 7, 20)]), 3)
+    assert as_dict(t.snapshot())["x"]["v"] == 7
+
+
+def test_writers_of_one_batch_id_do_not_meet(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer", "s": "integer"}, index="k")
+    p = t.make_port()
+    t.update(rows(spark, [("x", 1, 1), ("z", 1, 1)]), 0)
+    t.update(rows(spark, [("y", 2, 1)]), 0, port_id=p)
+    t.remove(rows(spark, [("z",)], "k string"), 0)
+    assert {k: r["v"] for k, r in as_dict(t.snapshot()).items()} == {"x": 1, "y": 2}
+
+
+def test_compaction_keeps_the_order_of_cells(spark, tmp_path):
+    schema = {"k": "string", "x": "integer", "y": "integer", "s": "integer"}
+    t = LiveTable(spark, str(tmp_path / "t"), schema, index="k", seq="s")
+    t.update(rows(spark, [("a", 50, None, 10), ("a", None, 1, 30)], "k string, x long, y long, s long"), 0)
+    t.compact()
+    t.update(rows(spark, [("a", 70, None, 20)], "k string, x long, y long, s long"), 1)  # newer than x, older than y
+    assert as_dict(t.snapshot())["a"] == {"k": "a", "x": 70, "y": 1, "s": 30}
+
+
+def test_patches_neither_reorder_nor_invent_rows(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer"}, limit=2)
+    for b, k in enumerate(["r1", "r2", "r3"]):
+        t.update(rows(spark, [(k, b)], "k string, v long"), b)
+    whole = LiveTable(spark, t.path, t.schema)
+    ids = {r.k: r._row_id for r in whole.snapshot(with_meta=True).collect()}
+    patch = [(ids["r1"], 100), (ids["r2"], 200), ((77, 77), 300)]
+    t.patch_rows(spark.createDataFrame(patch, "_row_id struct<b:long,p:long>, v long"), 9)
+    assert sorted((r.k, r.v) for r in t.snapshot().collect()) == [("r2", 200), ("r3", 2)]
+    t.compact()
+    assert sorted((r.k, r.v) for r in t.snapshot().collect()) == [("r2", 200), ("r3", 2)]
+
+
+def test_state_before_a_replace(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer"}, index="k")
+    t.update(rows(spark, [("x", 1)], "k string, v long"), 0)
+    t.replace(rows(spark, [("y", 2)], "k string, v long"), 1)
+    assert set(as_dict(t.snapshot())) == {"y"} and set(as_dict(t.snapshot(before=1))) == {"x"}
+
+
+def test_late_writers_and_vacuum(spark, tmp_path):
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "v": "integer"}, index="k")
+    for b in range(5):
+        t.update(rows(spark, [(f"k{b}", b)], "k string, v long"), b)
+    t.compact(through=2)
+    t.update(rows(spark, [("late", 9)], "k string, v long"), 0, writer="other-")  # counts from 0 like the first
+    t.compact(through=3)
+    assert t.vacuum(keep=2) == 3
+    assert set(as_dict(t.snapshot())) == {"k0", "k1", "k2", "k3", "k4", "late"}
+    with pytest.raises(ValueError):
+        t.snapshot(before=1)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["up", "up", "up", "del", "compact"]), st.sampled_from("ab"),
+                          st.one_of(st.none(), st.integers(0, 9)), st.one_of(st.none(), st.integers(0, 9)),
+                          st.integers(0, 5)), min_size=3, max_size=9))
+def test_any_interleaving_reads_the_same_with_and_without_compaction(spark, tmp_path_factory, steps):
+    schema = {"k": "string", "x": "integer", "y": "integer", "s": "integer"}
+    root = tmp_path_factory.mktemp("inter")
+    plain = LiveTable(spark, str(root / "plain"), schema, index="k", seq="s")
+    packed = LiveTable(spark, str(root / "packed"), schema, index="k", seq="s")
+    for b, (what, k, x, y, s) in enumerate(steps):
+        if what == "compact":
+            packed.compact()
+            continue
+        for t in (plain, packed):
+            if what == "up":
+                t.update(rows(spark, [(k, x, y, s)], "k string, x long, y long, s long"), b)
+            else:
+                t.remove(rows(spark, [(k,)], "k string"), b)
+    assert as_dict(packed.snapshot()) == as_dict(plain.snapshot())

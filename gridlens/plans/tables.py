@@ -33,9 +33,10 @@ class Tables:
         return read_table(self.spark, self.sf_dir, name)
 
 
-def status_table(t: Tables) -> DataFrame:
-    """Newest order per customer (keyed table, key o_custkey)."""
-    return latest_per_key(t.orders, "o_custkey", ORDERS_ORDER)
+def status_table(t: Tables, keep: list[str] | None = None) -> DataFrame:
+    """Newest order per customer (keyed table, key o_custkey); the order is unique, so ``keep`` may name just the
+    columns that a view needs."""
+    return latest_per_key(t.orders, "o_custkey", ORDERS_ORDER, keep=keep)
 
 
 def usage_table(t: Tables) -> DataFrame:

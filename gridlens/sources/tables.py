@@ -178,11 +178,23 @@ class LiveTable:
         return self.snapshot().count()
 
     def view(self, config=None, **kw):
-        """A :class:`View` over the current snapshot, ordered by arrival."""
+        """A :class:`View` over the current snapshot, ordered by arrival.
+
+        Only the columns that the configuration names go through the fold
+        (all, where it computes some from text).
+        """
         from gridlens.plans.view import View
 
-        snap = self.snapshot(with_meta=True).drop(PORT)
-        return View(snap, self.view_config(config), index=self.index, order=self.seq + LOG_ORDER, **kw)
+        cfg = self.view_config(config)
+        needed = None
+        if not cfg.expressions:
+            weights = [x for a in cfg.aggregates.values() if isinstance(a, (list, tuple)) for x in a[1:]]
+            needed = [*cfg.columns, *cfg.group_by, *cfg.split_by, *[c for c, _ in cfg.sort], *[c[0] for c in cfg.filter],
+                      *[x for w in weights for x in (w if isinstance(w, (list, tuple)) else [w])], *self.seq]
+            if any(c[1:2] == ["any of"] for c in cfg.filter):
+                needed = None
+        snap = self.snapshot(with_meta=True, columns=needed).drop(PORT)
+        return View(snap, cfg, index=self.index, order=self.seq + LOG_ORDER, **kw)
 
     def view_config(self, config):
         """The config with default columns = the table's columns (+ expressions),

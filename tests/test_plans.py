@@ -55,3 +55,26 @@ def test_view_filter_reaches_the_scan(spark):
     p = plan(View(o, {"columns": ["o_orderkey"], "filter": [["o_orderdate", ">=", "1998-01-01"]]}).to_df())
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
+
+
+def test_folds_read_only_what_a_view_needs(spark, tmp_path):
+    from gridlens.plans.tables import Tables, status_table
+    from gridlens.sources.tables import LiveTable
+
+    p = plan(View(status_table(Tables(spark, SF), keep=["o_orderstatus"]),
+                  {"group_by": ["o_orderstatus"], "columns": ["o_custkey"]}).to_df())
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz>" in p
+    t = LiveTable(spark, str(tmp_path / "t"), {"k": "string", "a": "integer", "b": "integer"}, index="k")
+    t.update(spark.createDataFrame([("x", 1, 2)], "k string, a long, b long"), 0)
+    v = t.view({"columns": ["a"]})
+    assert "b:" not in plan(v.to_df()).split("ReadSchema")[1] and [r.a for r in v.to_df().collect()] == [1]
+
+
+def test_no_probe_runs_while_a_plan_is_built(spark):
+    """Neither the keyed fold nor a selection starts a job before its result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    events = spark.read.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events.parquet")
+    before = set(tracker.getJobIdsForGroup(None))
+    semi_filter(latest_per_key(events, "user_id", ["ts", "event_id"]), events.where("event_id < 10"), "user_id")
+    assert set(tracker.getJobIdsForGroup(None)) == before

@@ -497,7 +497,7 @@ def fn_replace_all(spark, d):
 
 
 @query("fn_expression_text", """
-SELECT p_partkey, date_trunc('year', TIMESTAMP '2024-03-05 10:00:00') AS y,
+SELECT p_partkey, CAST(date_trunc('year', DATE '2024-03-05' + CAST(p_size * 30 AS INTEGER)) AS TIMESTAMP) AS y,
   regexp_matches(p_name, 'ring') AS has_ring, regexp_replace(p_name, 'l', 'L', 'g') AS up_l,
   CASE WHEN regexp_matches(p_name, '(\\w+) ring') THEN regexp_extract(p_name, '(\\w+) ring', 1) END AS ring_kind,
   p_size * 2 AS double_size, 'x' AS lit_x, true AS yes
@@ -505,7 +505,7 @@ FROM part""")
 def fn_expression_text(spark, d):
     """V6/F1-F8 inside expression text: view-language functions as SQL functions."""
     exprs = {
-        "y": "bucket(TIMESTAMP '2024-03-05 10:00:00', 'y')",
+        "y": "bucket(timestamp(date_add(DATE '2024-03-05', int(\"p_size\" * 30))), 'y')",
         "has_ring": "match(\"p_name\", 'ring')",
         "up_l": "replace_all(\"p_name\", 'l', 'L')",
         "ring_kind": "search(\"p_name\", '(\\\\w+) ring')",

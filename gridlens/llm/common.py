@@ -72,10 +72,35 @@ def prefix_sums(df: DataFrame, group: str, key: str, value: str, out: str, n_row
             .drop(cell, offset))
 
 
+def document(text: Column, own: Column) -> Column:
+    """A document's place in the order of documents: by id, null last, then by the hash of the text."""
+    return F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(text).alias("key"))
+
+
+def attach_marks(docs: DataFrame, seen: DataFrame, marks: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(row, m): the columns of ``docs`` in ``row`` and its mark, null where it has none.
+
+    ``seen`` (doc, rid) lists the rows of ``docs`` as :func:`document` and a number, ``marks`` (doc, rid, m) the marks of
+    some. Rows that repeat id and text are interchangeable, and the second and later of them have the same marks,
+    so one row here takes the marks of the first there and the others those of the second. The texts are
+    shuffled once, at every size, by the document.
+    """
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("rid"))
+    two = seen.withColumn("nth", nth).where("nth <= 2").join(marks, ["doc", "rid"])
+    per = two.groupBy("doc").agg(F.max(F.when(F.col("nth") == 1, F.col("m"))).alias("first"),
+                                 F.max(F.when(F.col("nth") == 2, F.col("m"))).alias("later"))
+    row = F.col("row")
+    rows = packed(docs).withColumn("doc", document(row.getField(text), row.getField(id_col)))
+    out = rows.join(stored(per, "marks").hint("merge"), "doc", "left")
+    here = F.row_number().over(Window.partitionBy("doc").orderBy(F.lit(1)))
+    return out.withColumn("nth", here).select(
+        "row", F.when(F.col("nth") == 1, F.col("first")).otherwise(F.col("later")).alias("m"))
+
+
 def text_table(docs: DataFrame, *cols: str) -> DataFrame:
     """Columns of ``docs`` by name, whatever else the table holds."""
     return docs.select(*[docs[f"`{c}`"] for c in cols])
 
 
-__all__ = ["ascii_lower", "crc32_of_id", "cut_lineage", "hash63", "packed", "prefix_sums", "shuffle_partitions",
+__all__ = ["ascii_lower", "attach_marks", "crc32_of_id", "cut_lineage", "document", "hash63", "packed", "prefix_sums", "shuffle_partitions",
            "sized_broadcast", "stored", "text_table"]

@@ -12,9 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridlens.llm.common import packed, stored
+from gridlens.llm.common import attach_marks, document, stored
 from gridlens.operators.sorting import global_rank
 
 PLACE = ["doc", "pos"]
@@ -28,9 +27,8 @@ def line_table(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     """(doc, pos, h, g, n): a line's place, its two hashes and its words. ``doc`` orders the documents: by id, null
     last, then by the hash of the text; rows that repeat both are told apart by a row number."""
     body, own = docs[f"`{text}`"], docs[f"`{id_col}`"]
-    doc = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(body).alias("key"),
-                   F.monotonically_increasing_id().alias("rid")).alias("doc")
-    numbered = docs.select(doc, body.alias("body"))  # numbered before lines multiply the rows
+    numbered = docs.select(document(body, own).alias("doc"), F.monotonically_increasing_id().alias("rid"),
+                           body.alias("body")).withColumn("doc", F.struct("doc.*", "rid"))  # numbered before lines multiply the rows
     each = numbered.select("doc", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     return stored(each.select("doc", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
                               _count_words(F.col("line")).alias("n")), "lines")
@@ -107,18 +105,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, text:
     """
     lines = line_table(docs, text, id_col)
     gone = repeated_lines(lines, min_lines, min_words)
-    per_doc = gone.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    # rows that repeat id and text are interchangeable: the nth of them here takes the marks of the nth there
-    same = Window.partitionBy("doc.id", "doc.key").orderBy("doc.rid")
-    docs_seen = lines.where("pos = 0").select("doc").withColumn("nth", F.row_number().over(same))
-    marks = stored(docs_seen.join(per_doc, "doc")
-                   .select(F.col("doc.id").alias("m_id"), F.col("doc.key").alias("m_key"), F.col("nth").alias("m_nth"), "gone"),
-                   "marks")
-    row = F.col("row")
-    rows = packed(docs).withColumn("key", F.xxhash64(row.getField(text))).withColumn("id", row.getField(id_col))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1))))
-    joined = rows.join(marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key"))
-                       & (F.col("nth") == F.col("m_nth")), "left")
+    marks = gone.groupBy("doc").agg(F.struct(F.array_sort(F.collect_list("pos")).alias("gone")).alias("m"))
+    plain = F.struct("doc.none", "doc.id", "doc.key").alias("doc")
+    row, rid = F.col("row"), F.col("doc.rid").alias("rid")
+    joined = attach_marks(docs, lines.where("pos = 0").select(plain, rid), marks.select(plain, rid, "m"), text, id_col)
+    joined = joined.select("row", "m.gone")
     parts = F.split(row.getField(text), "\n", -1)
     n = F.coalesce(F.size(parts), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))

@@ -23,19 +23,19 @@ from gridlens.llm.common import cut_lineage, packed
 from gridlens.llm.labelled import labelled_sample
 
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def marks(text: str | None) -> set[str]:
-    """Distinct lower-cased words, and beginnings of words of 4, 5 and 6 letters written with a star."""
+    """Distinct lower-cased words, and beginnings of words of 4 to 8 letters written with a star."""
     words = set(WORD.findall((text or "").lower()))
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
 @dataclass
 class Classifier:
-    """``place``: mark to column; logistic weights on which marks a text holds, on the sum of their log odds (``worth``)
-    and on whether there is any."""
+    """``place``: mark to column; logistic weights on which marks a text holds, and on the sum and the largest of their
+    log odds (``worth``)."""
 
     place: dict[str, int]
     worth: np.ndarray
@@ -53,7 +53,8 @@ class Classifier:
     def row(self, hits: list[int]) -> np.ndarray:
         x = np.zeros(len(self.worth) + 2)
         x[hits] = 1.0
-        x[-2:] = min(30.0, self.worth[hits].sum()) / 10, bool(hits)
+        if hits:
+            x[-2:] = min(30.0, self.worth[hits].sum()) / 10, self.worth[hits].max() / 3
         return x
 
     def score(self, text: str | None) -> float:
@@ -89,20 +90,32 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30, trust: float
 
 
 def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the cross entropy to the soft labels ``p``, by Newton's method; the bias is free."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w, free = np.zeros(a.shape[1]), np.ones(a.shape[1])
-    free[-1] = 1e-3
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        grad = a.T @ (q - p) + ridge * free * w
-        hess = (a * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ a + np.diag(ridge * free)
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        w -= step
-        if np.abs(step).max() < 1e-7:
-            break
-    return w[:-1], float(w[-1])
+    """Weights, none below 0, and bias that minimise the cross entropy to the soft labels ``p``.
+
+    Newton's method on the weights in use; those that come out negative are set to 0 and the rest fitted again,
+    since a mark can only speak for toxicity. The bias is free.
+    """
+    a, use = np.hstack([x, np.ones((len(x), 1))]), np.ones(x.shape[1] + 1, bool)
+    w = np.zeros(a.shape[1])
+    while True:
+        z, v = a[:, use], w[use]
+        pull = np.full(len(v), ridge)
+        pull[-1] *= 1e-3
+        for _ in range(steps):
+            q = 1 / (1 + np.exp(-np.clip(z @ v, -40, 40)))
+            hess = (z * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ z + np.diag(pull)
+            step = np.linalg.solve(hess, z.T @ (q - p) + pull * v)
+            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            v = v - step
+            if np.abs(step).max() < 1e-7:
+                break
+        w[:] = 0
+        w[use] = v
+        below = (w < 0) & use
+        below[-1] = False
+        if not below.any():
+            return w[:-1], float(w[-1])
+        w[below], use = 0, use & ~below
 
 
 def _voters(sample: DataFrame, n: dict[int, int], most: int) -> pd.DataFrame:
@@ -118,9 +131,9 @@ def _voters(sample: DataFrame, n: dict[int, int], most: int) -> pd.DataFrame:
 
     counted = (sample.select("y", "text").mapInPandas(run, "mark string, toxic long, clean long")
                .groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    pt, pc = (F.col("toxic") + 0.5) / (n[1] + 1), (F.col("clean") + 0.5) / (n[0] + 1)
+    pt, pc = (F.col("toxic") + 0.5) / (n[1] + 1), (F.col("clean") + 1) / (n[0] + 1)
     odds = F.log(pt / pc)
-    sure = (F.col("toxic") >= max(2, n[1] // 500)) & (odds > np.log(20.0))
+    sure = (F.col("toxic") >= max(4, n[1] // 200)) & (odds > np.log(20.0))
     return (counted.where(sure).withColumn("odds", odds)
             .orderBy(F.desc(F.col("toxic") * F.col("odds")), "mark").limit(most).toArrow().to_pandas())
 

@@ -127,6 +127,8 @@ def _voters(sample: DataFrame, n: dict[int, int], most: int) -> pd.DataFrame:
             for y, t in zip(b["y"], b["text"]):
                 seen[int(y)].update(marks(t))
             names = list(seen[0].keys() | seen[1].keys())
+            if not names:  # Arrow can't make texts of an empty frame
+                continue
             yield pd.DataFrame({"mark": names, "toxic": [seen[1][m] for m in names], "clean": [seen[0][m] for m in names]})
 
     counted = (sample.select("y", "text").mapInPandas(run, "mark string, toxic long, clean long")

@@ -476,23 +476,23 @@ class View:
         from gridlens.sources.export import write_csv
         write_csv(self.to_df(**kw), path)
 
-    def to_columns(self, **kw) -> dict[str, list]:
+    def to_columns(self, start_row: int | None = None, end_row: int | None = None, **kw) -> dict[str, list]:
         """``{column: [values]}`` of the view (its viewport, or the rows ``start_row`` to ``end_row`` if given)."""
-        table = self.to_arrow(**kw)
+        table = self.to_arrow(start_row, end_row, **kw)
         return {c: table.column(i).to_pylist() for i, c in enumerate(table.column_names)}
 
-    def iter_records(self, **kw):
+    def iter_records(self, start_row: int | None = None, end_row: int | None = None, **kw):
         """The rows one after another as dicts; the driver holds a partition at a time."""
-        for r in self.to_df(**kw).toLocalIterator():
+        for r in self.to_df(start_row=start_row, end_row=end_row, **kw).toLocalIterator():
             yield r.asDict()
 
-    def to_records(self, **kw) -> list[dict]:
+    def to_records(self, start_row: int | None = None, end_row: int | None = None, **kw) -> list[dict]:
         """:meth:`iter_records` as a list."""
-        return list(self.iter_records(**kw))
+        return list(self.iter_records(start_row, end_row, **kw))
 
-    def to_arrow(self, **kw):
+    def to_arrow(self, start_row: int | None = None, end_row: int | None = None, **kw):
         """The view (or the slice asked for) as an Arrow table; for large views ``write_arrow_files``."""
-        return self.to_df(**kw).toArrow()
+        return self.to_df(start_row=start_row, end_row=end_row, **kw).toArrow()
 
 
 def view(table: DataFrame, config=None, **kw) -> View:

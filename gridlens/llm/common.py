@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,14 +53,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, group: str, key: str, value: str, out: str, n_rows: int,
-                cell_rows: int = 20_000) -> DataFrame:
+                cell_rows: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that sort before the row by ``key``.
 
     ``key`` is a uniform 63-bit hash (:func:`hash63`); rows of equal key follow one another in the order of ``value``.
-    The groups are cut into cells by the leading bits of the key, about ``cell_rows`` rows each at the most, so a
-    group with a third of all rows spreads over many tasks; only one row per cell meets in the group's own window.
-    ``group`` must not be null.
+    The groups are cut into cells by the leading bits of the key, about ``cell_rows`` rows each at the most (by
+    default the root of ``n_rows``, so that cells and rows in a cell grow alike, 1000 at least): a group with a third
+    of all rows spreads over many tasks, and only one row per cell meets in the group's own window. ``group`` must
+    not be null.
     """
+    cell_rows = cell_rows or max(1000, math.isqrt(n_rows))
     bits = max(0, (max(1, n_rows // cell_rows) - 1).bit_length())
     cell, offset = f"{out}__cell", f"{out}__offset"
     cells = df.withColumn(cell, F.shiftright(F.col(key), 63 - bits).cast("int") if bits else F.lit(0))

@@ -93,9 +93,10 @@ def attach_marks(docs: DataFrame, seen: DataFrame, marks: DataFrame, text: str,
     two = seen.withColumn("nth", nth).where("nth <= 2").join(marks, ["doc", "rid"])
     per = two.groupBy("doc").agg(F.max(F.when(F.col("nth") == 1, F.col("m"))).alias("first"),
                                  F.max(F.when(F.col("nth") == 2, F.col("m"))).alias("later"))
-    row = F.col("row")
-    rows = packed(docs).withColumn("doc", document(row.getField(text), row.getField(id_col)))
-    out = rows.join(stored(per, "marks").hint("merge"), "doc", "left")
+    row, per = F.col("row"), stored(per, "marks")
+    # of the very type of the written marks, so that join and window agree on one partitioning
+    doc = document(row.getField(text), row.getField(id_col)).cast(per.schema["doc"].dataType)
+    out = packed(docs).withColumn("doc", doc).join(per.hint("merge"), "doc", "left")
     here = F.row_number().over(Window.partitionBy("doc").orderBy(F.lit(1)))
     return out.withColumn("nth", here).select(
         "row", F.when(F.col("nth") == 1, F.col("first")).otherwise(F.col("later")).alias("m"))

@@ -96,10 +96,11 @@ def _split(units: DataFrame, n_shards: int, total: int, dims: int) -> DataFrame:
                     n |= {"a": x["first"], "b": x["last"], "base": x["before"]}
         cuts = _local(spark, list(nodes.values()), {"lo": pa.int32(), "mid": pa.int32(), "d": pa.int32(), "cut": pa.int64()})
         right = _chosen(dims) >= F.col("cut")
-        placed = placed.join(cuts, "lo", "left").select(
+        # written down, so that the passes over the next level don't go through all levels before it
+        placed = cut_lineage(placed.join(cuts, "lo", "left").select(
             "unit", "piece", "weight", *[f"k{d}" for d in range(dims)],
             F.when(right, F.col("mid")).otherwise(F.col("lo")).alias("lo"),
-            F.when(right | F.col("mid").isNull(), F.col("hi")).otherwise(F.col("mid")).alias("hi"))
+            F.when(right | F.col("mid").isNull(), F.col("hi")).otherwise(F.col("mid")).alias("hi")))
 
 
 def _unit(text: Column) -> Column:

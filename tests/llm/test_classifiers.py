@@ -60,6 +60,14 @@ def test_label_model_outvotes_a_wrong_label():
     assert ((p > 0.5) == y).mean() > 0.99 > (seen == y).mean()
 
 
+def test_the_most_frequent_word_counts_in_texts_of_many_words():
+    top = quality.FEATURES.index("top_word")
+    words = [f"w{i}" for i in range(30)]
+    assert quality.features("spam " * 70 + " ".join(words))[top] == pytest.approx(0.7)
+    assert quality.features(" ".join(words))[top] == pytest.approx(1 / 30)
+    assert quality.features("a a a b")[top] == pytest.approx(0.75)
+
+
 def test_labels_that_may_not_be_learned_change_nothing(spark):
     docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
     other = labels.select("doc_id", F.when(queries.learnable(), F.col("quality")).otherwise(1 - F.col("quality")).alias("quality"))

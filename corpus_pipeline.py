@@ -1,7 +1,7 @@
 """A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next.
 
 Good documents only, one of each group of near copies, none that holds benchmark passages, taken as often and in the
-order that the curriculum's source weights ask for, dealt out to shards.
+order that the curriculum's source weights ask for, dealt out to shards, in which they keep that order.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlens.llm import decontaminate, mixing, quality, sharding, simhash
-from gridlens.llm.common import stored
+from gridlens.llm.common import stored, written_order
 from gridlens.llm.queries import SCHEDULES, learnable
 from gridlens.session import read_table
 
@@ -40,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns and the shard of the k-d tree."""
-    return sharding.with_shard(docs, target_bytes=SHARD_BYTES)
+    """All columns and the shard of the k-d tree; the rows come by shard, in a shard in training order, which is that of
+    the rows of the mix as it was written."""
+    return sharding.with_shard(docs, target_bytes=SHARD_BYTES, order=written_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_order(df: DataFrame) -> list[Column] | None:
+    """Columns that sort the rows of a scan of Parquet files as they were written: by the files' part numbers, then by
+    the row's place in its file. None if ``df`` is no such scan, as then its rows have no order."""
+    meta = F.col("_metadata")
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return None
+    part = F.regexp_extract(meta.getField("file_name"), r"part-(\d+)", 1).try_cast("long")
+    return [part, meta.getField("file_name"), meta.getField("row_index")]
+
+
 def prefix_sums(df: DataFrame, group: str, key: str, value: str, out: str, n_rows: int,
                 cell_rows: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that sort before the row by ``key``.
@@ -108,4 +121,4 @@ def text_table(docs: DataFrame, *cols: str) -> DataFrame:
 
 
 __all__ = ["ascii_lower", "attach_marks", "crc32_of_id", "cut_lineage", "document", "hash63", "packed", "prefix_sums", "shuffle_partitions",
-           "sized_broadcast", "stored", "text_table"]
+           "sized_broadcast", "stored", "text_table", "written_order"]

@@ -160,14 +160,19 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
 
 def with_shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
                dims: tuple[str, ...] = ("size", "source", "lang"), overhead: int = 8, text: str = "text",
-               id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the column ``shard`` of :func:`kd_shards` (one of that name is replaced)."""
+               id_col: str = "doc_id", order: list[Column] | None = None) -> DataFrame:
+    """``docs`` with the column ``shard`` of :func:`kd_shards` (one of that name is replaced). With ``order``, columns
+    over ``docs``, the rows come sorted by shard and inside a shard in that order."""
     _, heavy, shards, _ = _plan(docs, n_shards, target_bytes, dims, overhead, text, id_col)
     keep = [c for c in docs.columns if c.lower() != "shard"]
-    row = F.col("row")
-    rows = packed(docs.select(*[docs[f"`{c}`"] for c in keep])).withColumn("unit", _unit(row.getField(text)))
+    row, at = F.col("row"), [f"at{i}" for i in range(len(order or []))]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"),
+                       *[c.alias(name) for c, name in zip(order or [], at)]).withColumn("unit", _unit(row.getField(text)))
     rows = rows.join(F.broadcast(heavy), "unit", "left").withColumn("piece", _piece(row.getField(id_col))).drop("pieces")
-    return rows.join(shards, ["unit", "piece"]).select("row.*", "shard")
+    out = rows.join(shards, ["unit", "piece"])
+    if at:
+        out = out.orderBy("shard", *at)
+    return out.select("row.*", "shard")
 
 
 __all__ = ["kd_shards", "with_shard"]

@@ -47,3 +47,23 @@ def test_pipeline(spark):
     ran = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, ran.collect())) == sorted(map(str, docs.collect()))
     assert corpus_pipeline.run(spark, SF).count() == counts[4]
+
+
+def test_pipeline_keeps_the_training_order_inside_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "SHARD_BYTES", 20_000)
+    docs = read_table(spark, SF, "documents")
+    placed = corpus_pipeline.mixing.mix(docs, corpus_pipeline.SCHEDULES, share=1.5, max_repeats=2.0)
+    want = [r["doc_id"] for r in placed.select("row.doc_id").collect()]
+    mixed = corpus_pipeline.stored(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")
+    assert len(want) == mixed.count() > len(set(want))
+    got = corpus_pipeline.stored(corpus_pipeline.shard(spark, mixed, SF), "dealt")
+    rows = got.select("doc_id", "shard", *[c.alias(f"at{i}") for i, c in enumerate(corpus_pipeline.written_order(got))])
+    rows = [(r["doc_id"], r["shard"]) for r in rows.orderBy("at0", "at1", "at2").collect()]
+    shards = [s for _, s in rows]
+    assert shards == sorted(shards) and len(set(shards)) > 3
+    shard_of = {}
+    for i, s in rows:
+        shard_of.setdefault(i, set()).add(s)
+    assert all(len(s) == 1 for s in shard_of.values())  # no text here outgrows its share of a shard
+    for s in set(shards):
+        assert [i for i, k in rows if k == s] == [i for i in want if shard_of[i] == {s}]

@@ -154,6 +154,17 @@ def _blocks(routed: DataFrame, rows: int, prefix: str) -> DataFrame:
             .applyInPandas(pack, f"part int, {prefix}rids binary, {prefix}ids binary, {prefix}vs binary"))
 
 
+def _no_short(asked: DataFrame, queries: DataFrame, filed: DataFrame, k: int) -> DataFrame:
+    """``asked``, but queries whose partitions hold at most ``k`` vectors (maybe their own) go to all partitions."""
+    sizes = cut_lineage(filed.groupBy("part").agg(F.count("*").alias("n")))  # a row per partition
+    reach = asked.select("part", "rid").join(F.broadcast(sizes), "part", "left").groupBy("rid").agg(F.sum("n").alias("n"))
+    short = cut_lineage(reach.where(F.coalesce("n", F.lit(0)) <= k).select("rid"))
+    if short.isEmpty():
+        return asked
+    everywhere = queries.join(short, "rid", "left_semi").crossJoin(F.broadcast(sizes.select("part")))
+    return stored(asked.join(short, "rid", "left_anti").unionByName(everywhere.select(*asked.columns)), "asked-all")
+
+
 def best_in_block(q: np.ndarray, qr: np.ndarray, x: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int):
     """For each query (its place, the places of the block's ``k`` best vectors but its own row, their scores), ties to
     the smaller id."""
@@ -171,7 +182,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, parts: int = 32, mas
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, by inner product in double precision.
 
     ``is_query`` is a condition on ``id`` that picks the queries among the rows; candidates are all rows but the query's
-    own. ``mass`` is the share of a query's neighbours that the partitions searched should hold. ``rank`` counts from 1, ties go to the smaller id. Vectors that are null, zero, of odd length or hold a null or
+    own. ``mass`` is the share of a query's neighbours that the partitions searched should hold; a query is searched in all where they can't
+    hold ``k`` others, so it finds ``k`` or all candidates there are. ``rank`` counts from 1, ties go to the smaller id. Vectors that are null, zero, of odd length or hold a null or
     non-finite component take no part, nor do rows without an id; rows that repeat an id are rows of their own; an empty
     table gives none.
     """
@@ -182,8 +194,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20, parts: int = 32, mas
         return (rows.sparkSession.createDataFrame([], schema)
                 .select("query_id", F.lit(1).alias("rank"), "vec_id", "score"))
     filer, router = model
-    stock = _blocks(stored(_routed(rows, filer, 0.0), "filed"), BLOCK, "")
-    asked = _blocks(stored(_routed(rows.where(is_query), router, mass), "asked"), QUERY_BLOCK, "q")
+    filed = stored(_routed(rows, filer, 0.0), "filed")
+    stock = _blocks(filed, BLOCK, "")
+    queries = rows.where(is_query)
+    asked = _blocks(_no_short(stored(_routed(queries, router, mass), "asked"), queries, filed, k), QUERY_BLOCK, "q")
     pairs = stored(asked, "queries").join(stored(stock, "stock"), "part")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -56,6 +56,15 @@ def test_small_tables_are_searched_whole_ties_go_to_smaller_ids(spark, monkeypat
     assert {r["query_id"] for r in out} == set(range(0, 100, 20))
 
 
+def test_default_parts_on_small_tables_find_k_or_all(spark):
+    rng = np.random.default_rng(9)
+    for n in (40, 70, 127, 200):
+        centres = rng.normal(size=(4, 8)) * 4
+        x = centres[rng.integers(0, 4, n)] + 0.1 * rng.normal(size=(n, 8))
+        got = ann.search(table(spark, x), F.col("id") % 4 == 0, k=20).groupBy("query_id").count().collect()
+        assert {r["query_id"]: r["count"] for r in got} == dict.fromkeys(range(0, n, 4), 20)
+
+
 def test_few_and_repeated_rows(spark):
     x = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     got = ann.search(table(spark, x, [20, 20, 7]), F.col("id") % 20 == 0, k=20).collect()

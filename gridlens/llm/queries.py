@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import ann, decontaminate, line_dedup, maxent_lm, mixing, paragraphs, quality, sharding, simhash, toxicity
+from gridlens.llm import (ann, decontaminate, filter_audit, line_dedup, maxent_lm, mixing, paragraphs, quality, sharding,
+                          simhash, token_files, toxicity)
 from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
@@ -81,6 +83,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+#: Failure conditions of the audited filters, as SQL; E, copies, is the last.
+AUDITED = {
+    "A": "words.n < 100",
+    "B": "100 * words.different < 80 * words.n",
+    "C": "100 * regexp_count(text, '[A-Z]') > 10 * char_length(text)",
+    "D": "text rlike '[#$%&*|]'",
+}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return filter_audit.audit(docs, AUDITED, "E", F.coalesce(docs["lang"], F.lit("")),
+                              {"good": labels["quality"] == 1, "toxic": labels["toxic"] == 1}, labels)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenized(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
@@ -92,6 +113,8 @@ QUERIES = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_files": op12_token_files,
 }
 
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -138,4 +161,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN x ON d.rn = x.rn LEFT JOIN y ON d.rn = y.rn
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL}
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+              [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+               (doc_id IS NULL AND first IS NOT NULL) OR coalesce(doc_id > first, false)] AS fails
+       FROM w LEFT JOIN l USING (doc_id)),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+       FROM m GROUP BY part, fails),
+ f AS (SELECT unnest(range(1, 6)) AS i),
+ o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+ s AS (SELECT o, i AS step, o[i] AS own, list_slice(o, 1, i - 1) AS earlier FROM o, f),
+ x AS (SELECT c.*, o, step, own, len(list_filter(earlier, lambda e: fails[e])) > 0 AS gone,
+              len(list_filter(fails, lambda e: e)) = 1 AS single FROM c, s),
+ r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails[own]), 0) AS kept,
+              coalesce(sum(n) FILTER (WHERE NOT gone AND fails[own]), 0) AS removed,
+              coalesce(sum(n) FILTER (WHERE gone AND fails[own]), 0) AS redundant,
+              coalesce(sum(n) FILTER (WHERE single AND fails[own]), 0) AS unique_fails,
+              coalesce(sum(good) FILTER (WHERE NOT gone AND fails[own]), 0) AS good_lost,
+              coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails[own]), 0) AS toxic_lost
+       FROM x GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda e: substr('ABCDE', e, 1)), '') AS filter_order, step::INTEGER AS step,
+       kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op11_filter_audit": OP11_SQL}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import (ann, decontaminate, filter_audit, line_dedup, maxent_lm, mixing, paragraphs, quality, sharding,
-                          simhash, token_files, toxicity)
+from gridlens.llm import (ann, decontaminate, filter_audit, line_dedup, maxent_lm, mixing, paragraphs, prefix_trie,
+                          quality, sharding, simhash, token_files, toxicity)
 from gridlens.llm.common import crc32_of_id
 from gridlens.session import read_table
 
@@ -102,6 +102,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(read_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kd_sharding": op2_kd_sharding,
@@ -115,6 +119,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -191,4 +196,34 @@ SELECT part, array_to_string(list_transform(o, lambda e: substr('ABCDE', e, 1)),
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op11_filter_audit": OP11_SQL}
+#: crc32 of an id's decimal text, bit by bit, for DuckDB, which has no such function.
+OP13_SQL = r"""
+WITH RECURSIVE
+ t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
+              {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, list(x ORDER BY nth) AS own FROM t GROUP BY conv_id),
+ e AS (SELECT 0 AS i, range AS b, range AS v FROM range(256)
+       UNION ALL SELECT i + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM e WHERE i < 8),
+ k AS (SELECT list(v ORDER BY b) AS v FROM e WHERE i = 8),
+ h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+              range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+              lambda a, s: xor(a >> 8, k.v[(xor(a, s) & 255) + 1])), 4294967295) % 6 AS h FROM c, k),
+ r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h), []), list_slice(h.own, h + 1, len(h.own))) AS s
+       FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+ p AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS d, len(s) AS n, s FROM r),
+ q AS (SELECT conv_id, d, d = n AS ends, list_slice(s, 1, d) AS path, CASE WHEN d = 0 THEN 0 ELSE length(s[d].t) END AS size FROM p),
+ nodes AS (SELECT path, d, min(conv_id) AS low, count(*) AS n, max(size) AS size,
+              coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM q GROUP BY path, d),
+ links AS (SELECT o.path, o.d, o.low, q.path AS up, q.conv_id FROM nodes o JOIN q ON q.conv_id = o.low AND q.d = o.d - 1),
+ kids AS (SELECT up AS path, count(*) AS n FROM links GROUP BY up),
+ below AS (SELECT q.path, sum((o.n - 1) * o.size) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+           FROM nodes o JOIN q ON q.conv_id = o.low AND q.d <= o.d LEFT JOIN kids ON kids.path = o.path GROUP BY q.path)
+SELECT o.low AS conv_id, o.d::BIGINT AS depth, u.low AS parent_conv_id, o.n::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens,
+       sha256(o.ends) AS ends_sha256
+FROM nodes o JOIN below ON below.path = o.path LEFT JOIN kids ON kids.path = o.path
+     LEFT JOIN links ON links.path = o.path LEFT JOIN nodes u ON u.path = links.up
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op11_filter_audit": OP11_SQL,
+                          "op13_prefix_trie": OP13_SQL}

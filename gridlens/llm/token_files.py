@@ -224,7 +224,10 @@ class Encoder:
         if self.words is None:
             return np.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32), tail)
         raw = (text or "").encode()
-        words = raw.split() if b"<|" in raw else raw.lower().split()  # special tokens count in their own case only
+        if b"<|" in raw:  # special tokens count in their own case only
+            words = [w if b"<|" in w else w.lower() for w in raw.split()]
+        else:
+            words = raw.lower().split()
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)) + tail.tobytes(), "<u4")
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from gridlens.llm.common import scratch_path, stored
 
@@ -181,26 +181,36 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Words(dict):
-    """Ids of words, remembered as bytes of 32-bit numbers. Words of ASCII letters are a piece of their own and skip
-    the normaliser; a full stop or comma after such a word is one too."""
+    """Ids of words, remembered as bytes of 32-bit numbers. Words of lower-case Latin letters are a piece of their own
+    that the normaliser leaves as it is, so they go to the model at once; a full stop or comma after one is another."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.model, self.tokenizer = tokenizer.model, tokenizer
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-        elif word[-1] in b".," and word[:-1].isalpha():
-            return self._keep(word, self[word[:-1]] + self[word[-1:]])
-        else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return self._keep(word, np.array(ids, "<u4").tobytes())
-
-    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        ids = self._letters(word)
+        if ids is None and word[-1] in b".,":
+            ids = self._letters(word[:-1])
+            ids = ids and ids + self[word[-1:]]
+        if not ids:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) < REMEMBERED:
             self[word] = ids
         return ids
 
+    def _letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of lower-case letters below U+0250 (none of which combines), else None."""
+        text = word.decode()
+        if word.isalpha():
+            piece = text
+        elif text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+            piece = self.as_bytes(text)[0][0]
+        else:
+            return None
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class Encoder:
     """Ids of whole texts, ``end`` appended. A tokenizer for which white space only separates words encodes each

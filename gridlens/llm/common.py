@@ -53,6 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lower the bytes of an Arrow batch of this session to ``most``, if they are more: texts of any length then reach the
+    Python workers in pieces whose buffers stay small beside an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def written_order(df: DataFrame) -> list[Column] | None:
     """Columns that sort the rows of a scan of Parquet files as they were written: by the files' part numbers, then by
     the row's place in its file. None if ``df`` is no such scan, as then its rows have no order."""
@@ -121,4 +129,4 @@ def text_table(docs: DataFrame, *cols: str) -> DataFrame:
 
 
 __all__ = ["ascii_lower", "attach_marks", "crc32_of_id", "cut_lineage", "document", "hash63", "packed", "prefix_sums", "shuffle_partitions",
-           "sized_broadcast", "stored", "text_table", "written_order"]
+           "sized_broadcast", "small_batches", "stored", "text_table", "written_order"]

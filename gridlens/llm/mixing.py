@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import cut_lineage, hash63, packed, prefix_sums, sized_broadcast
+from gridlens.llm.common import cut_lineage, hash63, prefix_sums, sized_broadcast, stored
 from gridlens.operators.sorting import global_rank
 
 #: Rows of the per-source table up to which it is broadcast; beyond, it is joined by shuffle.
@@ -89,17 +89,19 @@ def targets(sizes: DataFrame, schedules: list[Schedule], share: float, max_repea
                                     F.coalesce(target, F.lit(0.0)).alias("target")))
 
 
-def demand(docs: DataFrame, schedules: list[Schedule], share: float = 1.5, max_repeats: float = 2.0,
-           assign: dict[str, int] | None = None, text: str = "text", source: str = "source",
-           id_col: str = "doc_id") -> DataFrame:
-    """(row, size, source_size, sched, target, start): ``start`` counts the words of the same source that come before
-    the document in the source's own order, which is that of a hash of id and text."""
-    row = F.col("row")
-    src = row.getField(source).cast("string")
-    rows = packed(docs).select(
-        "row", word_count(row.getField(text)).alias("size"), src.alias("source"),
-        F.coalesce(F.concat(F.lit("="), src), F.lit("")).alias("skey"),
-        hash63(row.getField(id_col), row.getField(text)).alias("at"))
+def _rows(docs: DataFrame, keep: list[str], text: str, source: str, id_col: str) -> DataFrame:
+    """(row, size, source, skey, at): the ``keep`` columns in ``row``, the words, the source and its key, the place in the
+    source's own order."""
+    src, own, body = docs[f"`{source}`"].cast("string"), docs[f"`{id_col}`"], docs[f"`{text}`"]
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), word_count(body).alias("size"),
+                       src.alias("source"), F.coalesce(F.concat(F.lit("="), src), F.lit("")).alias("skey"),
+                       hash63(own, body).alias("at"))
+
+
+def demand(rows: DataFrame, schedules: list[Schedule], share: float = 1.5, max_repeats: float = 2.0,
+           assign: dict[str, int] | None = None) -> DataFrame:
+    """(row, size, source_size, sched, target, start) for ``rows`` of :func:`_rows`: ``start`` counts the words of the same
+    source that come before the document in the source's own order, which is that of a hash of id and text."""
     sizes = rows.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"),
                                      F.count("*").alias("docs"))
     sizes = cut_lineage(sizes)
@@ -139,7 +141,8 @@ def mix(docs: DataFrame, schedules: list[Schedule], share: float = 1.5, max_repe
     budget and come with the words that follow them; an empty table gives an empty result. Reruns agree.
     """
     times = F.explode(F.sequence(F.lit(0), F.lit(max(1, math.ceil(max_repeats)) - 1)))
-    placed = demand(docs, schedules, share, max_repeats, assign, text, source, id_col).withColumn("nth", times)
+    rows = _rows(docs, docs.columns, text, source, id_col)
+    placed = demand(rows, schedules, share, max_repeats, assign).withColumn("nth", times)
     nth = F.col("nth")
     fits = F.when(F.col("size") > 0, taken_in_pass(nth, True) > 0).otherwise((_words_left(nth) > 0) & (nth == 0))
     placed = placed.where(fits).withColumn("position", position_in_pass(nth, schedules))
@@ -154,7 +157,9 @@ def mix_words(docs: DataFrame, schedules: list[Schedule], share: float = 1.5, ma
     ``taken`` are the words that the mix takes of it, repeats counted: the last document of a source is cut where
     the source's target ends. ``position`` is the training time (0 to 1) of its first word, null if not taken.
     """
-    full = demand(docs, schedules, share, max_repeats, None, text, source, id_col)
+    # the texts are read once; all that follows works on what is written here
+    rows = stored(_rows(docs, [id_col], text, source, id_col), "mix-rows")
+    full = demand(rows, schedules, share, max_repeats)
     taken = sum([taken_in_pass(F.lit(k), False) for k in range(1, math.ceil(max_repeats))],
                 taken_in_pass(F.lit(0), False))
     out = full.select(F.col("row").getField(id_col).alias("doc_id"), "size", "source_size", "target",

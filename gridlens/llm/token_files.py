@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer, pre_tokenizers
 
-from gridlens.llm.common import scratch_path, stored
+from gridlens.llm.common import scratch_path, small_batches, stored
 
 MAGIC, BLOCK = b"PFR1", 256
 #: Shares of a block's numbers of which one chooses its width; the last always packs all.
@@ -278,6 +278,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int, file_bytes:
         if held:
             yield out()
 
+    small_batches(docs.sparkSession)
     packed = ranges.sortWithinPartitions(*order).mapInArrow(run, "value binary")
     packed.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 

@@ -13,8 +13,10 @@ storage that Spark reaches; they are read by its binary file source.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,36 +182,39 @@ def _drops_space(tokenizer: Tokenizer) -> bool:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: WORD_PATTERN for lower-case words of printable ASCII.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class Words(dict):
-    """Ids of words, remembered as bytes of 32-bit numbers. Words of lower-case Latin letters are a piece of their own
-    that the normaliser leaves as it is, so they go to the model at once; a full stop or comma after one is another."""
+    """Ids of words, remembered as bytes of 32-bit numbers. Lower-case words of printable ASCII, and of Latin letters with
+    at most a mark behind, are left as they are by the normaliser; their pieces go to the model at once."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.model, self.tokenizer = tokenizer.model, tokenizer
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._letters(word)
-        if ids is None and word[-1] in b".,":
-            ids = self._letters(word[:-1])
-            ids = ids and ids + self[word[-1:]]
-        if not ids:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
-
-    def _letters(self, word: bytes) -> bytes | None:
-        """The ids of a word of lower-case letters below U+0250 (none of which combines), else None."""
-        text = word.decode()
-        if word.isalpha():
-            piece = text
-        elif text.isalpha() and max(text) < "\u0250" and text.lower() == text:
-            piece = self.as_bytes(text)[0][0]
+        pieces = self._pieces(word.decode())
+        if pieces is None:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         else:
-            return None
-        ids = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            ids = [t.id for p in pieces for t in self.model.tokenize(p)]
+        out = array("I", ids).tobytes()
+        if len(self) < REMEMBERED:
+            self[word] = out
+        return out
+
+    def _pieces(self, word: str) -> list[str] | None:
+        """The pieces of a word in the model's characters, None where only the library may say."""
+        if word.isascii():
+            return ASCII_PIECES.findall(word) if word.isprintable() and "<|" not in word else None
+        mark = word[-1] if word[-1] in ".,;:!?)" else ""
+        letters = word[:-1] if mark else word
+        # letters below U+0250 don't combine with one another
+        if letters.isalpha() and max(letters) < "\u0250" and letters.lower() == letters:
+            return [self.as_bytes(letters)[0][0], *mark]
+        return None
 
 
 class Encoder:

@@ -130,7 +130,7 @@ def normalize_config(config: dict | ViewConfig | None) -> ViewConfig:
         if key in LEGACY_KEYS:
             new = LEGACY_KEYS[key]
             if new in out or new in config:
-                raise ConfigError(f'Duplicate configuration parameter "{key}"')
+                raise ConfigError(f'"{key}" is an old name of "{new}"; give one of the two')
             out[new] = value
         elif key == "aggregate":
             out["aggregates"] = {a["column"]: a["op"] for a in value}
@@ -138,7 +138,7 @@ def normalize_config(config: dict | ViewConfig | None) -> ViewConfig:
         elif key in CONFIG_KEYS or key in EXTRA_KEYS:
             out[key] = value
         else:
-            raise ConfigError(f'Unrecognized config parameter "{key}"')
+            raise ConfigError(f'"{key}" is no part of a view; known are {sorted(CONFIG_KEYS)}')
     if out.get("computed_columns"):
         raise ConfigError('"computed_columns" is replaced by "expressions"')
     out.pop("computed_columns", None)

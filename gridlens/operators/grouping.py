@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH = "_depth"
@@ -84,11 +84,6 @@ def split_levels(df: DataFrame, group_by: list[str], keys: list[str], levels: li
     return df.groupingSets(sets, *[q(c) for c in group_by + keys]).agg(*aggs, depth.cast("int").alias(DEPTH))
 
 
-def split_values_condition(split_by: list[str], values: tuple) -> Column:
-    parts = [q(c).eqNullSafe(F.lit(v)) for c, v in zip(split_by, values)]
-    return functools.reduce(operator.and_, parts)
-
-
 def value_text(v) -> str:
     return "null" if v is None else str(v)
 
@@ -99,10 +94,34 @@ def column_path(values: tuple, column: str, sep: str = "|") -> str:
 
 
 def unique_labels(names: list[str]) -> list[str]:
-    """``names`` with the second and later of equal names numbered: ``x``, ``x (2)``, …"""
-    seen: dict[str, int] = {}
+    """``names`` made different: the second and later of equal names are numbered, ``x``, ``x (2)``, …, and a numbered name
+    that is among ``names`` itself is passed over."""
+    given, last = set(names), {}
     out = []
     for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n} ({seen[n]})")
+        if n not in last:
+            last[n] = 1
+            out.append(n)
+            continue
+        last[n] += 1
+        while f"{n} ({last[n]})" in given:
+            last[n] += 1
+        out.append(f"{n} ({last[n]})")
     return out
+
+
+def numbered_labels(df: DataFrame, name: str, order: Column) -> DataFrame:
+    """:func:`unique_labels` of the column ``name`` in ``order``, by Spark."""
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    counted = df.withColumn("_nth", nth)
+    again = counted.where("_nth = 2").select(F.col(name).alias("_base"))
+    number = F.regexp_extract(name, r"(?s)^(.*) \(([1-9][0-9]*)\)$", 2)
+    taken = df.select(F.regexp_extract(name, r"(?s)^(.*) \(([1-9][0-9]*)\)$", 1).alias("_base"), number.try_cast("long").alias("_n"))
+    taken = (taken.where("_n >= 2").distinct().join(again, "_base", "left_semi")
+             .groupBy("_base").agg(F.array_sort(F.collect_list("_n")).alias("_taken")))
+    joined = counted.join(taken, F.col(name) == F.col("_base"), "left")
+    # the nth free number from 2 on
+    free = F.aggregate(F.coalesce("_taken", F.expr("cast(array() as array<bigint>)")), F.col("_nth").cast("long"),
+                       lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+    label = F.when(F.col("_nth") > 1, F.concat(F.col(name), F.lit(" ("), free.cast("string"), F.lit(")"))).otherwise(F.col(name))
+    return joined.withColumn(name, label).drop("_nth", "_base", "_taken")

@@ -707,6 +707,20 @@ def group_expanded(spark, d):
     return v.to_df()
 
 
+@query("group_expanded_boolean", f"""
+SELECT * FROM (
+  SELECT big, discount, o_orderstatus, {depth_sql(['big', 'discount', 'o_orderstatus'])} AS _depth, count(o_orderkey) AS o_orderkey
+  FROM (SELECT *, o_totalprice > 150000 AS big, CAST(CAST(o_custkey % 3 AS INTEGER) AS DOUBLE) / 2 AS discount FROM orders)
+  GROUP BY ROLLUP (big, discount, o_orderstatus))
+WHERE _depth < 2 OR (big AND (_depth = 2 OR discount = 0.5))""")
+def group_expanded_boolean(spark, d):
+    """B7 with typed paths: a boolean and a double are open by their values."""
+    v = View(Tables(spark, d).orders, {
+        "group_by": ["big", "discount", "o_orderstatus"], "columns": ["o_orderkey"], "aggregates": {"o_orderkey": "count"},
+        "expressions": {"big": '"o_totalprice" > 150000', "discount": 'cast("o_custkey" % 3 as double) / 2'}})
+    return v.expand((True,), (True, 0.5)).to_df()
+
+
 @query("group_expanded_df", f"""
 SELECT * FROM (
   SELECT o_orderstatus, o_orderpriority, {depth_sql(['o_orderstatus', 'o_orderpriority'])} AS _depth,
@@ -1286,6 +1300,21 @@ def chained_moved_keys(spark, d):
                           out_schema=T.StructType.fromDDL("event_type string, n_users long, ids long"), part=F.to_date("ts"))
 
 
+@query("chained_null_key", """
+SELECT event_type, count(*) AS n_users, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT * FROM events
+  QUALIFY row_number() OVER (PARTITION BY CASE WHEN user_id % 5 <> 0 THEN user_id END ORDER BY ts DESC, event_id DESC) = 1)
+GROUP BY event_type""")
+def chained_null_key(spark, d):
+    """S8 where a key is null: its row moves between groups like any other."""
+    e = Tables(spark, d).events.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+
+    def view_fn(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_users"), F.sum("event_id").alias("ids"))
+
+    return stream_chained(spark, e, group_by=["event_type"], view_fn=view_fn, index="user_id", seq=EVENTS_ORDER,
+                          out_schema=T.StructType.fromDDL("event_type string, n_users long, ids long"), part=F.to_date("ts"))
+
+
 @query("agg_pct_zero", """
 SELECT l_returnflag, CAST(1 AS INTEGER) AS _depth, CAST(NULL AS DOUBLE) AS zero FROM lineitem GROUP BY l_returnflag""")
 def agg_pct_zero(spark, d):
@@ -1302,11 +1331,25 @@ def pivot_wide(spark, d):
     """B3 with a column per supplier, turned back to rows for comparison."""
     v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag"], "split_by": ["l_suppkey"],
                                          "columns": ["l_quantity"], "leaves_only": True})
-    wide = v.to_df()
-    cells = F.array(*[F.struct(F.lit(s).cast("long").alias("l_suppkey"), F.col(f"`{c}`").alias("quantity"))
-                      for (s,), c in zip(v.split_values(), v.column_paths())])
-    long = wide.select("l_returnflag", F.inline(cells)).where("quantity is not null")
-    return rnd(long, ["quantity"])
+    cells = F.from_json(F.to_json(F.struct("*")), "map<string,string>")  # null cells are left out
+    long = v.to_df().drop("_depth").select("l_returnflag", F.explode(cells).alias("path", "quantity")).where("path like '%|%'")
+    return rnd(long.select("l_returnflag", F.split_part("path", F.lit("|"), F.lit(1)).cast("long").alias("l_suppkey"), F.col("quantity").cast("double").alias("quantity")), ["quantity"])
+
+
+@query("pivot_window", """
+WITH p AS (SELECT row_number() OVER (ORDER BY l_partkey) AS nth, l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+ f AS (SELECT DISTINCT l_returnflag FROM lineitem)
+SELECT f.l_returnflag, p.l_partkey, round(sum(l.l_quantity), 2) AS quantity
+FROM f CROSS JOIN (SELECT * FROM p WHERE nth BETWEEN 21 AND 40) p
+LEFT JOIN lineitem l ON l.l_returnflag = f.l_returnflag AND l.l_partkey = p.l_partkey GROUP BY ALL""")
+def pivot_window(spark, d):
+    """B3 through a column window: 20 of thousands of columns are planned, and only their names reach the driver."""
+    v = View(Tables(spark, d).lineitem, {"group_by": ["l_returnflag"], "split_by": ["l_partkey"],
+                                         "columns": ["l_quantity"], "leaves_only": True})
+    wide = v.to_df(start_col=20, end_col=40)
+    cells = F.array(*[F.struct(F.lit(c.split("|")[0]).cast("long").alias("l_partkey"), F.col(f"`{c}`").alias("quantity"))
+                      for c in wide.columns if "|" in c])
+    return rnd(wide.select("l_returnflag", F.inline(cells)), ["quantity"])
 
 
 @query("pivot_long", """

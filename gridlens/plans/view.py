@@ -8,9 +8,12 @@ values are the distinct split values, which name the pivot's columns.
 from __future__ import annotations
 
 import copy
+import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.config import (
     ConfigError, ViewConfig, default_aggregate, normalize_config, validate,
@@ -22,8 +25,8 @@ from gridlens.functions.expressions import add_expressions
 from gridlens.operators.filters import build_predicate
 from gridlens.operators.holistic import HOLISTIC, attach
 from gridlens.operators.grouping import (
-    DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, path_key, q,
-    row_path, split_columns, split_levels, split_values_condition, unique_labels,
+    DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, numbered_labels, path_key, q,
+    row_path, split_columns, split_levels, unique_labels,
 )
 from gridlens.operators.sorting import (
     column_sorts, global_rank, orderable, ranked_slice, row_sorts, slice_rows, sort_column, viewport_bounds,
@@ -34,6 +37,19 @@ from gridlens.types import table_schema
 SPLIT_KEY = "_split_key"  # canonical text of a row's split values
 
 
+def _of_type(v, kind: T.DataType):
+    """A Python value as the kind of a column takes it."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return float(v)
+    if isinstance(kind, T.DecimalType):
+        return Decimal(str(v))
+    if isinstance(kind, T.TimestampType) and type(v) is datetime.date:
+        return datetime.datetime(v.year, v.month, v.day)
+    if isinstance(kind, T.DateType) and isinstance(v, datetime.datetime):
+        return v.date()
+    return int(v) if isinstance(kind, T.IntegralType) else v
+
+
 def _copy_config(cfg: ViewConfig) -> ViewConfig:
     """Deep copy, keeping a DataFrame of open paths by reference."""
     exp = cfg.expanded
@@ -46,6 +62,16 @@ def _copy_config(cfg: ViewConfig) -> ViewConfig:
     return out
 
 
+def _picked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names``; thousands of them aren't spelled out where leaving the others out does the same."""
+    if df.columns == names:
+        return df
+    wanted = set(names)
+    if len(wanted) == len(names) and [c for c in df.columns if c in wanted] == names:
+        return df.drop(*[c for c in df.columns if c not in wanted])
+    return df.select(*[q(c) for c in names])
+
+
 class View:
     """``View(table, config, index=[key], order=[seq])``.
 
@@ -152,22 +178,31 @@ class View:
         the distributed global rank; a name that occurs again (null beside the
         text "null", say) is numbered.
         """
-        from pyspark.sql import Window
-
-        cols = self.columns
         if self.context != 2:
             return self.table.sparkSession.createDataFrame(
                 [(i, c) for i, c in enumerate(self.column_paths())], "position int, column_path string")
+        return self._labels_df().select("position", "column_path")
+
+    def _labels_df(self) -> DataFrame:
+        """(position, column_path, split key, place among the value columns) of every data column of a split view."""
+        cols = self.columns
         ranked = global_rank(self._split_table(), self._split_order(), "_v")
         names = F.array(*[F.lit(c) for c in cols])
-        exploded = ranked.select("_v", *[q(c) for c in self.split_by], F.posexplode(names).alias("_ci", "_col"))
+        exploded = ranked.select("_v", SPLIT_KEY, *[q(c) for c in self.split_by], F.posexplode(names).alias("_ci", "_col"))
         text = [F.coalesce(q(c).cast("string"), F.lit("null")) for c in self.split_by]
         named = exploded.select(((F.col("_v") - 1) * F.lit(len(cols)) + F.col("_ci")).cast("int").alias("position"),
-                                F.concat_ws("|", *text, F.col("_col")).alias("column_path"))
-        nth = F.row_number().over(Window.partitionBy("column_path").orderBy("position"))
-        return named.withColumn("_nth", nth).select("position", F.when(
-            F.col("_nth") > 1, F.concat("column_path", F.lit(" ("), F.col("_nth").cast("string"), F.lit(")"))
-        ).otherwise(F.col("column_path")).alias("column_path"))
+                                F.concat_ws("|", *text, F.col("_col")).alias("column_path"), SPLIT_KEY, "_ci")
+        return numbered_labels(named, "column_path", F.col("position"))
+
+    def _window_labels(self, start: int, end: int | None) -> list[tuple[str, int, str]]:
+        """(split key, place of the value column, output name) of the data columns [start, end) of a split view; a bounded
+        window brings only its own names to the driver."""
+        if end is None or hasattr(self, "_split_values"):
+            k = len(self.columns)
+            names = [nm for names in self._split_labels() for nm in names]
+            return [(self._split_keys[i // k], i % k, names[i]) for i in range(len(names))[start:end]]
+        rows = self._labels_df().where((F.col("position") >= start) & (F.col("position") < end)).collect()
+        return [(r[SPLIT_KEY], r["_ci"], r["column_path"]) for r in sorted(rows, key=lambda r: r["position"])]
 
     def dimensions_df(self) -> DataFrame:
         """M4 as a one-row DataFrame; both counts run on the executors."""
@@ -179,27 +214,28 @@ class View:
             F.lit(len(self.table.columns)).cast("int").alias("num_table_columns"))
 
     # ----------------------------------------------------------------- build
-    def _value_columns(self) -> list[tuple[str, str, Column | None]]:
-        """(source column, output name, row condition) per data column."""
-        if self.context == 2:
-            out = []
-            for v, names in zip(self.split_values(), self._split_labels()):
-                cond = split_values_condition(self.split_by, v)
-                out += [(c, name, cond) for c, name in zip(self.columns, names)]
-            return out
-        return [(c, self._out_name(c), None) for c in self.columns]
-
     def _sort_name(self, col: str) -> str:
         if col in self.columns and self.context == 1:
             return self._out_name(col)
         return f"_sort_{col}"
 
-    def _flat(self) -> DataFrame:
-        vals = self._value_columns()
-        cols = [(F.when(cond, q(c)) if cond is not None else q(c)).alias(name) for c, name, cond in vals]
+    def _flat(self, window: list[tuple[str, int, str]] | None = None) -> DataFrame:
+        """The rows; of a split view, each with its cells in the columns of ``window`` that are its own."""
+        base = self.base
+        if window is None:
+            cols = [q(c).alias(self._out_name(c)) for c in self.columns]
+        else:
+            split = split_columns(self.split_by)
+            plain = {f.name: f.dataType for f in base.schema.fields}
+            # a negative zero is the zero that the split values have
+            base = base.withColumns({k: F.when(q(c) == 0, F.lit(0).cast(plain[c])).otherwise(q(c))
+                                     if isinstance(plain[c], (T.DoubleType, T.FloatType)) else q(c)
+                                     for k, c in zip(split, self.split_by)})
+            base = base.withColumn(SPLIT_KEY, path_key(split, len(split)))
+            cols = [F.when(F.col(SPLIT_KEY) == F.lit(key), q(self.columns[i])).alias(name) for key, i, name in window]
         extra = dict.fromkeys(c for c, _ in self.sorts if self._flat_sort_col(c) != c)
         cols += [q(c).alias(self._flat_sort_col(c)) for c in extra]
-        return self.base.select(*cols)
+        return base.select(*cols)
 
     def _flat_order(self) -> list[Column]:
         order = [sort_column(F.col(f"`{self._flat_sort_col(c)}`"), d) for c, d in self.sorts]
@@ -208,13 +244,16 @@ class View:
     def _flat_sort_col(self, c: str) -> str:
         return c if (c in self.columns and self.context == 0) else f"_sort_{c}"
 
-    def _grouped(self) -> DataFrame:
-        """The rollup rows with all value and sort columns."""
+    def _grouped(self, window: list[tuple[str, int, str]] | None = None) -> DataFrame:
+        """The rollup rows with all value (of a split view, those of ``window``) and sort columns."""
         gb, n = self.group_by, len(self.group_by)
-        kinds = {name: self.aggregate_name(c) for c, name, _ in self._value_columns()}
+        if window is not None:
+            kinds = {name: self.aggregate_name(self.columns[i]) for _, i, name in window}
+        else:
+            kinds = {self._out_name(c): self.aggregate_name(c) for c in self.columns}
         percent = {PCT_TOTAL, PCT_PARENT} & set(kinds.values())
         leaves_only = self.cfg.leaves_only and not percent
-        rolled = self._pivoted(leaves_only) if self.context == 2 else self._rolled(leaves_only)
+        rolled = self._pivoted(leaves_only, window) if window is not None else self._rolled(leaves_only)
         # distinct leaf: only leaf rows carry a value
         for name, k in kinds.items():
             if k == DISTINCT_LEAF:
@@ -275,16 +314,22 @@ class View:
             *[q(c) for c in self.group_by], F.col(DEPTH),
             *[F.col(k).alias(nm) for k, nm in zip(split_columns(self.split_by), names)], *values)
 
-    def _pivoted(self, leaves_only: bool) -> DataFrame:
-        """Aggregate per group level and split tuple first, then turn that small result into columns."""
-        gb, labels = self.group_by, self._split_labels()
-        if not labels:
+    def _pivoted(self, leaves_only: bool, window: list[tuple[str, int, str]]) -> DataFrame:
+        """Aggregate per group level and split tuple first, then turn the columns of ``window`` out of that small result:
+        the cells of other columns aren't planned, and rows without a cell in the window stay."""
+        gb = self.group_by
+        if not window:
             return self._rolled(leaves_only)
+        split_keys = list(dict.fromkeys(key for key, _, _ in window))
+        wanted = sorted({i for _, i, _ in window})
+        place = {key: n for n, key in enumerate(split_keys)}
         groups, keys = [q(c) for c in gb] + [F.col(DEPTH)], split_columns(self.split_by)
         marked = self._long(leaves_only).withColumn(SPLIT_KEY, path_key(keys, len(keys)))
-        values = [F.first(f"_v{i}", ignorenulls=True).alias(f"_v{i}") for i in range(len(self.columns))]
-        wide = marked.groupBy(*groups).pivot(SPLIT_KEY, self._split_keys).agg(*values)
-        wide = wide.toDF(*gb, DEPTH, *[name for names in labels for name in names])
+        values = [F.first(f"_v{i}", ignorenulls=True).alias(f"_v{i}") for i in wanted]
+        wide = marked.groupBy(*groups).pivot(SPLIT_KEY, split_keys).agg(*values)
+        cells = [f"_c{n}_{i}" for n in range(len(split_keys)) for i in wanted]
+        shown = [f"_c{place[key]}_{i}" for key, i, _ in window]
+        wide = _picked(wide.toDF(*gb, DEPTH, *cells), [*gb, DEPTH, *shown]).toDF(*gb, DEPTH, *[name for _, _, name in window])
         hidden = self._outputs()
         if not hidden:
             return wide
@@ -319,11 +364,25 @@ class View:
         return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in cols])
 
     def _open_paths(self) -> DataFrame:
-        exp = self.cfg.expanded
+        """Open paths as text. A value that isn't text gets the group column's type and Spark's own text for it, so that
+        it meets the paths that Spark makes; text is taken as it stands in a row's path."""
+        exp, spark = self.cfg.expanded, self.table.sparkSession
         if isinstance(exp, DataFrame):
             return exp
-        rows = [([None if v is None else str(v) for v in p],) for p in exp]
-        return self.table.sparkSession.createDataFrame(rows, "path array<string>")
+        n = len(self.group_by)
+        kinds = [self.base.schema[c].dataType for c in self.group_by]
+        fields, rows = [T.StructField("len", T.IntegerType())], []
+        for i, kind in enumerate(kinds):
+            fields += [T.StructField(f"t{i}", T.StringType()), T.StructField(f"v{i}", kind)]
+        for p in exp:
+            row: list = [len(p)]
+            for v, kind in zip([*p, *[None] * (n - len(p))], kinds):
+                typed = v is not None and not isinstance(v, str) and not isinstance(kind, T.StringType)
+                row += [None if v is None or typed else str(v), _of_type(v, kind) if typed else None]
+            rows.append(tuple(row[:1 + 2 * n]))
+        typed = spark.createDataFrame(rows, T.StructType(fields))
+        texts = [F.coalesce(F.col(f"t{i}"), F.col(f"v{i}").cast("string")) for i in range(n)]
+        return typed.select(F.slice(F.array(*texts), 1, F.col("len")).alias("path"))
 
     def _tree_order(self, rolled: DataFrame) -> tuple[DataFrame, list[Column]]:
         """Parents before children, siblings ordered by the sort values.
@@ -368,34 +427,36 @@ class View:
         end_row = vp[1] if end_row is None else end_row
         start_col = vp[2] if start_col is None else start_col
         end_col = vp[3] if end_col is None else end_col
-        data_names = [name for _, name, _ in self._value_columns()]
-        if end_col is not None or start_col:
-            data_names = data_names[start_col or 0: end_col]
-        if self.context == 1 or (self.context == 2 and self.group_by):
-            rolled = self._grouped()
+        grouped = bool(self.group_by)
+        window = self._window_labels(start_col or 0, end_col) if self.context == 2 else None
+        if window is not None:
+            data_names = [name for _, _, name in window]
+        else:
+            data_names = [self._out_name(c) for c in self.columns][start_col or 0: end_col]
+        if grouped:
+            rolled = self._grouped(window)
             df, order = self._tree_order(rolled)
-            keep = [q(c) for c in self.group_by] + [F.col(DEPTH)]
+            keep = [*self.group_by, DEPTH]
             if path:
                 df = df.withColumn(ROW_PATH, row_path(self.group_by))
-                keep.append(F.col(ROW_PATH))
+                keep.append(ROW_PATH)
         else:
-            df = self._flat()
+            df = self._flat(window)
             order = self._flat_order()
             keep = []
-        keep += [F.col(f"`{nm}`") for nm in data_names]
+        keep += data_names
         sliced = bool(start_row) or end_row is not None
-        if order or rank or sliced:
-            # equal sort values are told apart by the other columns, so they spread over tasks
+        if not grouped and (order or rank or sliced):
+            # equal sort values are told apart by the other columns, so they spread over tasks; a grouped view's depth
+            # and group values tell its rows apart already
             order = order + [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema.fields
                              if f.name != DEPTH and not f.name.startswith("__anc") and orderable(f.dataType)]
         if rank:
             df = ranked_slice(df, order, start_row or 0, end_row) if sliced else global_rank(df, order)
-            return df.select(*keep, F.col("_rank"))
+            return _picked(df, [*keep, "_rank"])
         if sliced:
-            return slice_rows(df, order, start_row or 0, end_row).select(*keep)
-        if order:
-            return df.orderBy(*order).select(*keep)
-        return df.select(*keep)
+            return _picked(slice_rows(df, order, start_row or 0, end_row), keep)
+        return _picked(df.orderBy(*order) if order else df, keep)
 
     # -------------------------------------------------------------- metadata
     def schema(self) -> dict[str, str]:

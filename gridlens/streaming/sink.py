@@ -77,16 +77,21 @@ def _touched(table: LiveTable, batch: DataFrame, batch_id: int, group_cols: list
     touched = add_expressions(cur, expressions or {}).select(*group_cols)
     if table.keys:
         keys = cur.select(*table.keys).distinct()
-        prev = table.snapshot(before=batch_id).join(keys, table.keys, "left_semi")
+        prev = _on_keys(table.snapshot(before=batch_id), keys, table.keys, "left_semi")
         touched = touched.unionByName(add_expressions(prev, expressions or {}).select(*group_cols))
     return touched.distinct()
 
 
+def _on_keys(rows: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
+    """``rows`` that have (``left_semi``) or lack (``left_anti``) their key among ``keys``; a null key is a key like any other."""
+    other = keys.select(*[F.col(f"`{c}`").alias(f"_key_{c}") for c in names])
+    same = functools.reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_key_{c}`")) for c in names])
+    return rows.join(other, same, how)
+
+
 def _gone(touched: DataFrame, now: DataFrame, group_cols: list[str]) -> DataFrame:
     """Touched groups that have no row any more."""
-    have = now.select(*[F.col(f"`{c}`").alias(f"_now_{c}") for c in group_cols])
-    same = functools.reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_now_{c}`")) for c in group_cols])
-    return touched.join(have, same, "left_anti")
+    return _on_keys(touched, now, group_cols, "left_anti")
 
 
 def keyed_view_delta(table: LiveTable, view_fn: Callable[[DataFrame], DataFrame],
@@ -121,7 +126,7 @@ def row_delta(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
 
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
         keys = batch.select(*table.keys).distinct()
-        return table.snapshot().join(keys, table.keys, "left_semi")
+        return _on_keys(table.snapshot(), keys, table.keys, "left_semi")
     return delta
 
 
@@ -129,8 +134,8 @@ def removed_keys(table: LiveTable) -> Callable[[DataFrame, int], DataFrame]:
     """Keys present before a batch and absent after it."""
     def delta(batch: DataFrame, batch_id: int) -> DataFrame:
         keys = batch.select(*table.keys).distinct()
-        before = table.snapshot(before=batch_id).join(keys, table.keys, "left_semi").select(*table.keys)
-        return before.join(table.snapshot().select(*table.keys), table.keys, "left_anti")
+        before = _on_keys(table.snapshot(before=batch_id), keys, table.keys, "left_semi").select(*table.keys)
+        return _on_keys(before, table.snapshot(), table.keys, "left_anti")
     return delta
 
 

@@ -48,8 +48,11 @@ def _group_cols(group_by, keys) -> list[str]:
 
 def median_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
     """Exact median (mean of the two middle values) per group and level."""
-    grp = _group_cols(group_by, keys)
-    counts = value_counts(df, group_by, value, levels=levels, keys=keys)
+    return median_of_counts(value_counts(df, group_by, value, levels=levels, keys=keys), _group_cols(group_by, keys))
+
+
+def median_of_counts(counts: DataFrame, grp: list[str]) -> DataFrame:
+    """``grp`` and ``_agg``, the exact median of each group's values ``_v``, each of which occurs ``_n`` times."""
     order = [F.col(c).asc_nulls_first() for c in grp] + [F.col("_v").asc()]
     s = cut_lineage(counts.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33))

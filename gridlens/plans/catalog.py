@@ -1221,7 +1221,8 @@ def change_direction_bucketed(spark, d):
 
 
 # ============================================================ streaming
-from gridlens.streaming.live import stream_chained, stream_keyed, stream_rollup_table  # noqa: E402
+from gridlens.sources.bucketed import BucketedTable, counted_chain  # noqa: E402
+from gridlens.streaming.live import stream_batches, stream_chained, stream_keyed, stream_rollup_table  # noqa: E402
 
 
 @query("stream_keyed", LATEST_EVENT_SQL)
@@ -1315,6 +1316,54 @@ def chained_null_key(spark, d):
                           out_schema=T.StructType.fromDDL("event_type string, n_users long, ids long"), part=F.to_date("ts"))
 
 
+def _counted(spark, d, value, aggregates, out_schema):
+    """Events through micro-batches into a bucketed table keyed by user, and from its signed changes into a view."""
+    e = Tables(spark, d).events.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    out = T.StructType.fromDDL(out_schema)
+    _, target, run = counted_chain(spark, e.schema, index="user_id", seq=EVENTS_ORDER, group_by=["event_type"], value=value,
+                                   aggregates=aggregates, out_schema=out, buckets=8)
+    stream_batches(spark, e, run, part=F.to_date("ts"), files_per_batch=80)
+    return target.snapshot()
+
+
+LATEST_SOME_NULL_SQL = """(SELECT * FROM events
+  QUALIFY row_number() OVER (PARTITION BY CASE WHEN user_id % 5 <> 0 THEN user_id END ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+@query("chained_median", f"""
+SELECT event_type, median(value) AS middle, mode(value ORDER BY value) AS most, min(value) AS low, max(value) AS high
+FROM {LATEST_SOME_NULL_SQL} GROUP BY event_type""")
+def chained_median(spark, d):
+    """Median, dominant, min and max kept from signed row changes while users move between groups."""
+    return _counted(spark, d, "value", {"middle": "median", "most": "dominant", "low": "min", "high": "max"},
+                    "event_type string, middle double, most double, low double, high double")
+
+
+@query("chained_distinct", f"""
+SELECT event_type, count(DISTINCT props) AS n_props, count(props) AS n, string_agg(DISTINCT props, ', ' ORDER BY props) AS joined
+FROM {LATEST_SOME_NULL_SQL} GROUP BY event_type""")
+def chained_distinct(spark, d):
+    """Distinct count, count and join from the same state."""
+    return _counted(spark, d, "props", {"n_props": "distinct count", "n": "count", "joined": "join"},
+                    "event_type string, n_props long, n long, joined string")
+
+
+@query("live_bucketed", """
+SELECT * FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+WHERE user_id % 4 <> 0 OR event_id % 3 <> 1""")
+def live_bucketed(spark, d):
+    """T3 / T8 by buckets: batches of events, some keys removed and revived; the snapshot is a scan."""
+    e = Tables(spark, d).events
+    table = BucketedTable(spark, scratch_path(spark, "bucketed"), e.schema, index="user_id", seq=EVENTS_ORDER, buckets=8)
+    for i in range(3):
+        table.update(e.where(F.col("event_id") % 3 == i), 2 * i)
+        if i == 1:
+            table.remove(e.where("event_id % 3 < 2 and user_id % 4 = 0").select("user_id").distinct(), 3)
+    # a removal is as new as what it removed: a newer row revives the key, and so does that very row, but no older one
+    table.update(e.where("event_id % 3 = 0 and user_id % 4 = 0"), 6)
+    return table.snapshot().select(*e.columns)
+
+
 @query("agg_pct_zero", """
 SELECT l_returnflag, CAST(1 AS INTEGER) AS _depth, CAST(NULL AS DOUBLE) AS zero FROM lineitem GROUP BY l_returnflag""")
 def agg_pct_zero(spark, d):

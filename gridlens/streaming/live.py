@@ -48,6 +48,19 @@ def stream_into_table(spark: SparkSession, landing: str, schema, table: LiveTabl
     return table
 
 
+def stream_batches(spark: SparkSession, events: DataFrame, run: Callable[[DataFrame, int], None], *, part: F.Column,
+                   files_per_batch: int | None = None) -> None:
+    """Land ``events`` as JSON lines, a folder per ``part``, and run their stream through ``run`` batch by batch."""
+    root = scratch_path(spark, "batches")
+    landing = land_json_lines(events, f"{root}/landing", part)
+    stream = json_stream(spark, events.schema, source="text", path=landing,
+                         options={"maxFilesPerTrigger": files_per_batch} if files_per_batch else {})
+    q = start_stream(stream, run, checkpoint=f"{root}/ckpt", available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def stream_keyed(spark: SparkSession, events: DataFrame, *, key: str, seq: list[str],
                  part: F.Column, files_per_batch: int | None = None) -> DataFrame:
     """A keyed running table fed by a stream; returns its snapshot."""

@@ -1,7 +1,8 @@
 """K-d tree sharding: split at weighted medians along the widest metadata dimension until leaves hold their share.
 
-The units that are dealt out are groups of equal texts (so copies share a shard), a group larger than a small share
-of a shard being cut into pieces by the hash of its ids. Every unit has one 63-bit key per dimension: the float32
+The units that are dealt out are groups of equal texts, so copies share a shard; only a group that alone outgrows a shard
+is cut into pieces by the hash of its ids. Units above a small share of a shard are dealt out first, the largest to the
+emptiest shard, and the tree splits the others by the room that is left. Every unit has one 63-bit key per dimension: the float32
 image of its coordinate, then a hash of the unit, so that a value held by a third of the rows (a hot source) can be
 split as well. A node of the tree is an interval of shard numbers. Its median is found without sorting: weights are
 summed in bins of the key's range, the bin with the median is binned again, until it holds next to nothing. The
@@ -10,29 +11,36 @@ driver sees one row per node, never rows of the table.
 
 from __future__ import annotations
 
+import heapq
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-from gridlens.llm.common import cut_lineage, hash63, packed, prefix_sums
+from gridlens.llm.common import cut_lineage, hash63, prefix_sums
+from gridlens.operators.sorting import global_rank
 
 BINS = 1024
-#: A group of equal texts above this share of a shard is cut into pieces of about this share.
-PIECE_SHARE = 0.02
+#: Units above this share of a shard are dealt out before the tree; there are at most n_shards / HEAVY_SHARE of them.
+HEAVY_SHARE = 0.02
 #: The search for a median ends where the bin that holds it has less than this share of a shard.
 SLACK = 0.001
 
 
-def _coordinate(df: DataFrame, name: str) -> Column:
-    """A dimension as a double: numbers as they are, texts by their first six UTF-8 bytes; null is -1."""
-    kind = df.schema[name].dataType
-    c = df[f"`{name}`"]
-    if isinstance(kind, NumericType):
-        return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(-1.0))
-    head = F.rpad(F.substring(F.hex(F.encode(c.cast("string"), "UTF-8")), 1, 12), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def _numeric(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, NumericType)
+
+
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the text ``column`` as a coordinate: the place of its value among the different ones, by code point;
+    null is before them all."""
+    held = f"{column}__value"
+    ranks = global_rank(rows.select(F.col(column).alias(held)).where(F.col(held).isNotNull()).distinct(), [F.col(held)], "place")
+    out = rows.join(ranks, F.col(column) == F.col(held), "left")
+    return out.withColumn(column, F.coalesce(F.col("place"), F.lit(-1)).cast("double")).drop(held, "place")
 
 
 def _key(coordinate: Column, unit: Column, low: float, high: float) -> Column:
@@ -68,9 +76,21 @@ def _median_bins(open_rows: DataFrame) -> list:
     return hit.groupBy("lo").agg(F.max_by(F.struct("first", "last", "before", "inside"), "bin").alias("x")).collect()
 
 
-def _split(units: DataFrame, n_shards: int, total: int, dims: int) -> DataFrame:
-    """(unit, piece, shard) for ``units`` (unit, piece, weight, k0..k<dims-1>)."""
+def _deal(heavy: list, n_shards: int) -> tuple[list[int], list[int]]:
+    """(shard of each of the ``heavy`` (weight, ...), weight dealt to each shard): the largest goes to the emptiest."""
+    loads = [(0, i) for i in range(n_shards)]
+    shards = [0] * len(heavy)
+    for k in sorted(range(len(heavy)), key=lambda k: (-heavy[k][0], heavy[k])):
+        load, i = heapq.heappop(loads)
+        shards[k] = i
+        heapq.heappush(loads, (load + heavy[k][0], i))
+    return shards, [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
+def _split(units: DataFrame, n_shards: int, total: int, dims: int, room: list[float]) -> DataFrame:
+    """(unit, piece, shard) for ``units`` (unit, piece, weight, k0..k<dims-1>), shares of the shards as their ``room``."""
     spark = units.sparkSession
+    upto = [0.0, *accumulate(room)]
     slack = max(1.0, SLACK * total / n_shards)
     placed = units.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(n_shards))
     while True:
@@ -82,7 +102,7 @@ def _split(units: DataFrame, n_shards: int, total: int, dims: int) -> DataFrame:
             d = max(range(dims), key=lambda d: (r[f"b{d}"] - r[f"a{d}"], -d))
             mid = r["lo"] + (r["hi"] - r["lo"]) // 2
             nodes[r["lo"]] = {"lo": r["lo"], "mid": mid, "d": d, "a": r[f"a{d}"], "b": r[f"b{d}"], "base": 0,
-                              "goal": r["w"] * (mid - r["lo"]) / (r["hi"] - r["lo"]), "cut": None}
+                              "goal": r["w"] * _share(upto, r["lo"], mid, r["hi"]), "cut": None}
         if not nodes:
             return placed.select("unit", "piece", F.col("lo").alias("shard"))
         while todo := [n for n in nodes.values() if n["cut"] is None]:
@@ -103,6 +123,12 @@ def _split(units: DataFrame, n_shards: int, total: int, dims: int) -> DataFrame:
             F.when(right | F.col("mid").isNull(), F.col("hi")).otherwise(F.col("mid")).alias("hi")))
 
 
+def _share(upto: list[float], lo: int, mid: int, hi: int) -> float:
+    """What the shards [lo, mid) have of the room of [lo, hi)."""
+    whole = upto[hi] - upto[lo]
+    return (upto[mid] - upto[lo]) / whole if whole > 0 else (mid - lo) / (hi - lo)
+
+
 def _unit(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -118,15 +144,20 @@ def _plan(docs: DataFrame, n_shards: int | None, target_bytes: int | None, dims:
         raise ValueError("give either n_shards or target_bytes")
     body = F.coalesce(docs[f"`{text}`"], F.lit(""))
     size = F.octet_length(body).cast("long") + overhead
-    coords = [F.log1p(size.cast("double")) if d == "size" else _coordinate(docs, d) for d in dims]
+    texts = [f"c{i}" for i, d in enumerate(dims) if d != "size" and not _numeric(docs, d)]
+    coords = [F.log1p(size.cast("double")) if d == "size" else docs[f"`{d}`"].cast("string") if f"c{i}" in texts
+              else F.coalesce(F.nanvl(docs[f"`{d}`"].cast("double"), F.lit(0.0)), F.lit(-1.0)) for i, d in enumerate(dims)]
     rows = cut_lineage(docs.select(
         docs[f"`{id_col}`"].alias("doc_id"), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         _unit(docs[f"`{text}`"]).alias("unit"), *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
+    for c in texts:
+        rows = _ranked(rows, c)
+    rows = cut_lineage(rows) if texts else rows
     ranges = [f(f"c{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "l"), (F.max, "h"))]
     facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *ranges).first()
     n_shards = n_shards or max(1, -(-facts["total"] // target_bytes))
-    # groups above the cap: at most n_shards / PIECE_SHARE of them, so the broadcast is bounded by the parameter
-    cap = max(1.0, PIECE_SHARE * facts["total"] / n_shards)
+    # groups above a shard: at most n_shards of them, so the broadcast is bounded by the parameter
+    cap = max(1.0, facts["total"] / n_shards)
     heavy = cut_lineage(rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
                         .where((F.col("s") > cap) & (F.col("c") > 1))
                         .select("unit", F.least(F.col("c"), F.ceil(F.col("s") / cap)).cast("long").alias("pieces")))
@@ -137,7 +168,13 @@ def _plan(docs: DataFrame, n_shards: int | None, target_bytes: int | None, dims:
     keys = [_key(F.col(f"c{i}"), whole, facts[f"l{i}"] or 0.0, facts[f"h{i}"] or 0.0).alias(f"k{i}")
             for i in range(len(dims))]
     units = cut_lineage(units.select("unit", "piece", "weight", *keys))
-    return rows, heavy, cut_lineage(_split(units, n_shards, facts["total"], len(dims))), facts["n"]
+    large = F.col("weight") > HEAVY_SHARE * cap
+    dealt = [(r["weight"], r["unit"], r["piece"]) for r in units.where(large).select("weight", "unit", "piece").collect()]
+    shards, loads = _deal(dealt, n_shards)
+    tree = _split(units.where(~large), n_shards, facts["total"], len(dims), [max(0.0, cap - x) for x in loads])
+    first = _local(units.sparkSession, [{"unit": u, "piece": p, "shard": k} for (_, u, p), k in zip(dealt, shards)],
+                   {"unit": pa.int64(), "piece": pa.int64(), "shard": pa.int32()})
+    return rows, heavy, cut_lineage(tree.union(first)), facts["n"]
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
@@ -148,7 +185,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``; shard sizes come out near equal. Give the
     number of shards, or the bytes a shard may hold. ``dims`` are columns of ``docs`` ("size" is the size above). ``slot``
     counts 0, 1, 2, ... inside a shard in the order of a hash of the id. Equal texts share a shard unless they
-    outgrow ``PIECE_SHARE`` of one. Null ids, texts and metadata are values like any other; an empty table gives an
+    outgrow one. Null ids, texts and metadata are values like any other; an empty table gives an
     empty result. Reruns agree.
     """
     rows, _, shards, n = _plan(docs, n_shards, target_bytes, dims, overhead, text, id_col)

@@ -41,6 +41,30 @@ def test_sizes_come_out_near_equal_and_copies_stay_together(spark):
     assert all(len(s) == 1 for s in at.values())
 
 
+def test_large_groups_stay_whole_up_to_a_shard(spark):
+    rng, words = random.Random(8), fx.vocabulary(300)
+    rows = rows_of(600)
+    for k in range(40):
+        same = fx.sentence(rng, words, 60)
+        rows += [(9000 + 20 * k + j, same, f"long-common-name-{j % 3}") for j in range(rng.randint(2, 9))]
+    got = collect(sharding.kd_shards(fx.docs(spark, rows), n_shards=12))
+    total = check(rows, got, 12)
+    at = {}
+    for r in got:
+        at.setdefault(r["text_crc32"], set()).add(r["shard"])
+    mean = sum(total.values()) / 12
+    assert all(len(s) == 1 for s in at.values()) and max(abs(v - mean) for v in total.values()) < 0.05 * mean
+
+
+def test_text_dimensions_are_told_apart_beyond_their_beginning(spark):
+    rows = [(i, f"{i:06d}" * 3, f"common-crawl-{i % 4}") for i in range(400)]
+    got = collect(sharding.kd_shards(fx.docs(spark, rows), n_shards=4, dims=("source",)))
+    sources = {}
+    for r in got:
+        sources.setdefault(r["shard"], set()).add(r["doc_id"] % 4)
+    assert sorted(map(sorted, sources.values())) == [[0], [1], [2], [3]]
+
+
 def test_a_group_of_a_third_is_split(spark):
     rows = rows_of(1500, hot=500)
     total = check(rows, collect(sharding.kd_shards(fx.docs(spark, rows), n_shards=24)), 24)

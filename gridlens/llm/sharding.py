@@ -12,7 +12,9 @@ driver sees one row per node, never rows of the table.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -198,18 +200,27 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
 def with_shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
                dims: tuple[str, ...] = ("size", "source", "lang"), overhead: int = 8, text: str = "text",
                id_col: str = "doc_id", order: list[Column] | None = None) -> DataFrame:
-    """``docs`` with the column ``shard`` of :func:`kd_shards` (one of that name is replaced). With ``order``, columns
-    over ``docs``, the rows come sorted by shard and inside a shard in that order."""
+    """``docs`` with the column ``shard`` of :func:`kd_shards` (one of that name is replaced).
+
+    With ``order``, columns over ``docs`` that tell its rows apart, there is also ``slot``: the row's place in its shard in
+    that order, from 0 without gaps; the rows come sorted by both. Nulls, repeated rows and an empty table are as in
+    :func:`kd_shards`. The texts are shuffled by ``order`` and by shard; places are found without them.
+    """
     _, heavy, shards, _ = _plan(docs, n_shards, target_bytes, dims, overhead, text, id_col)
-    keep = [c for c in docs.columns if c.lower() != "shard"]
+    keep = [c for c in docs.columns if c.lower() not in (("shard", "slot") if order else ("shard",))]
     row, at = F.col("row"), [f"at{i}" for i in range(len(order or []))]
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"),
-                       *[c.alias(name) for c, name in zip(order or [], at)]).withColumn("unit", _unit(row.getField(text)))
-    rows = rows.join(F.broadcast(heavy), "unit", "left").withColumn("piece", _piece(row.getField(id_col))).drop("pieces")
-    out = rows.join(shards, ["unit", "piece"])
-    if at:
-        out = out.orderBy("shard", *at)
-    return out.select("row.*", "shard")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), *[c.alias(name) for c, name in zip(order or [], at)])
+    units = rows.withColumn("unit", _unit(row.getField(text))).join(F.broadcast(heavy), "unit", "left")
+    units = units.withColumn("piece", _piece(row.getField(id_col))).drop("pieces")
+    if not at:
+        return units.join(shards, ["unit", "piece"]).select("row.*", "shard")
+    placed = global_rank(units.select(*at, "unit", "piece").join(shards, ["unit", "piece"]).select("shard", *at),
+                         [F.col("shard"), *map(F.col, at)], "place")
+    first = placed.groupBy("shard").agg(F.min("place").alias("first"))
+    slots = placed.join(first, "shard").select("shard", (F.col("place") - F.col("first")).alias("slot"),
+                                               *[F.col(c).alias(f"own_{c}") for c in at])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in at])
+    return rows.join(slots, same).orderBy("shard", "slot").select("row.*", "shard", "slot")
 
 
 __all__ = ["kd_shards", "with_shard"]

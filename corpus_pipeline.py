@@ -1,7 +1,11 @@
 """A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next.
 
 Good documents only, one of each group of near copies, none that holds benchmark passages, taken as often and in the
-order that the curriculum's source weights ask for, dealt out to shards, in which they keep that order.
+order that the curriculum's source weights ask for, dealt out to shards, in which ``slot`` counts them in that order.
+
+Every stage takes null ids and metadata as values like any other and null texts as texts without words; repeated rows are
+documents of their own until the near copies go; columns that the stages don't know are carried along, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns and the shard of the k-d tree; the rows come by shard, in a shard in training order, which is that of
-    the rows of the mix as it was written."""
+    """All columns, the shard of the k-d tree and the slot in it: the place in training order, which is that of the rows of
+    the mix as it was written. The rows come by shard and slot."""
     return sharding.with_shard(docs, target_bytes=SHARD_BYTES, order=written_order(docs))
 
 
@@ -53,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("shard", shard),
 ]
 
-#: The classifier, the fingerprints and the tree are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the fingerprints and the tree are beyond SQL; tests hold the stages against brute force, one by one.
 ORACLE_SQL = None
 
 

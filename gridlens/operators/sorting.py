@@ -10,11 +10,6 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 from gridlens.session import checkpoint_root
 
 _MASK33 = (1 << 33) - 1
-# Up to this many rows a slice is TakeOrderedAndProject (each task keeps its
-# best ``end`` rows, one task merges them); beyond it the slice is taken from
-# the distributed global rank instead.
-TOP_K_ROWS = 1_000_000
-
 
 def sort_column(c: Column, direction: str) -> Column | None:
     """One sort clause -> ordering Column (``None`` for ``none``).
@@ -70,26 +65,25 @@ def slice_rows(df: DataFrame, order: list[Column], start: int = 0, end: int | No
     """Rows ``[start, end)`` of the ordering (O7); top-k is ``start=0``.
 
     ``orderBy().offset().limit()`` plans as TakeOrderedAndProject: each task
-    keeps only its best ``end`` rows.  A slice without an end, or one that the
-    caller lets run beyond ``TOP_K_ROWS``, is cut from the distributed global
-    rank, so no task sees all rows.
+    keeps only its best ``end`` rows.  A slice without an end is cut from the
+    distributed global rank, so no task sees all rows.  To scroll through a
+    large result, store it once (:class:`~gridlens.sources.sorted_index.SortedRows`)
+    and read slices of that.
     """
     start = max(0, int(start or 0))
     if end is None and not start:
         return df.orderBy(*order) if order else df
-    if end is None or int(end) > TOP_K_ROWS:
-        ranked = ranked_slice(df, order, start, end, "_slice_pos")
-        return ranked.orderBy("_slice_pos").drop("_slice_pos")
+    if end is None:
+        return ranked_slice(df, order, start, end, "_slice_pos").orderBy("_slice_pos").drop("_slice_pos")
     out = df.orderBy(*order) if order else df
     return out.offset(start).limit(max(0, int(end) - start))
 
 
 def ranked_slice(df: DataFrame, order: list[Column], start: int = 0, end: int | None = None,
                  name: str = "_rank") -> DataFrame:
-    """A bounded slice with its positions; the window only sees the slice."""
-    if end is None or int(end) > TOP_K_ROWS:
-        ranked = global_rank(df, order, name).where(F.col(name) > start)
-        return ranked if end is None else ranked.where(F.col(name) <= int(end))
+    """A slice with its positions; of a bounded slice, the window only sees its rows."""
+    if end is None:
+        return global_rank(df, order, name).where(F.col(name) > start)
     sl = slice_rows(df, order, start, end)
     return sl.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))
 

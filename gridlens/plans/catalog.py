@@ -98,7 +98,8 @@ def dash_usage(spark, d):
     cfg = {"columns": LINEITEM_KEY + ["l_quantity", "qtybar", "l_extendedprice", "pricebar",
                                       "l_returnflag", "l_linestatus", None],
            "expressions": {"qtybar": '//qtybar\n\n"l_quantity"\n', "pricebar": '"l_extendedprice"'}}
-    return View(usage_table(Tables(spark, d)), cfg).to_df()
+    shown = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    return View(usage_table(Tables(spark, d), keep=shown), cfg).to_df()
 
 
 @query("dash_usage_tree", f"""
@@ -111,7 +112,8 @@ def dash_usage_tree(spark, d):
     cfg = {"group_by": ["l_returnflag", "l_linestatus", "ship_year"],
            "columns": ["l_quantity", "l_extendedprice", None],
            "expressions": {"ship_year": 'year("l_shipdate")'}}
-    out = View(usage_table(Tables(spark, d)), cfg).to_df()
+    shown = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+    out = View(usage_table(Tables(spark, d), keep=shown), cfg).to_df()
     return rnd(out, ["l_quantity", "l_extendedprice"])
 
 
@@ -905,21 +907,24 @@ def agg_median(spark, d):
     return rnd(out, ["o_totalprice"], 4)
 
 
-AGG_MEDIAN_SQL = ORACLES["agg_median"]
-AGG_DOMINANT_SQL = ORACLES["agg_dominant"]
-
-
-@query("agg_median_distributed", AGG_MEDIAN_SQL)
+@query("agg_median_distributed", f"""
+SELECT l_returnflag, l_linestatus, {depth_sql(['l_returnflag', 'l_linestatus'])} AS _depth,
+       round(median(l_extendedprice), 4) AS l_extendedprice
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def agg_median_distributed(spark, d):
-    """A18 as a distributed job (global rank + middle positions), the path taken for big groups."""
-    out = _grouped(Tables(spark, d).orders, ["o_orderpriority"], {"o_totalprice": "median"})
-    return rnd(out, ["o_totalprice"], 4)
+    """A18 over few groups of very many values, on three levels."""
+    out = _grouped(Tables(spark, d).lineitem, ["l_returnflag", "l_linestatus"], {"l_extendedprice": "median"})
+    return rnd(out, ["l_extendedprice"], 4)
 
 
-@query("agg_dominant_distributed", AGG_DOMINANT_SQL)
+@query("agg_dominant_distributed", f"""
+WITH c AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL
+           UNION ALL SELECT NULL, l_quantity, count(*) FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, CASE WHEN l_returnflag IS NULL THEN 0 ELSE 1 END::INTEGER AS _depth, l_quantity
+FROM c QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) = 1""")
 def agg_dominant_distributed(spark, d):
-    """A7 as a distributed job (partial counts per value, then arg-max), the path for big groups."""
-    return _grouped(Tables(spark, d).events, ["user_id"], {"event_type": "dominant"})
+    """A7 over few groups of very many rows; ties go to the smallest value."""
+    return _grouped(Tables(spark, d).lineitem, ["l_returnflag"], {"l_quantity": "dominant"})
 
 
 PIVOT_MEDIAN_COLS = ", ".join(
@@ -1419,6 +1424,18 @@ def slice_open_end(spark, d):
     return v.to_df(start_row=100)
 
 
+@query("slice_indexed", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, _rank FROM (
+  SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS _rank FROM lineitem)
+WHERE _rank > (SELECT count(*) // 2 FROM lineitem) AND _rank <= (SELECT count(*) // 2 FROM lineitem) + 50""")
+def slice_indexed(spark, d):
+    """O7 / V8 deep in a sorted view that is stored once: the slice reads the files it overlaps."""
+    v = View(Tables(spark, d).lineitem, {"columns": [*LINEITEM_KEY, "l_extendedprice"], "sort": [["l_extendedprice", "desc"]]})
+    rows = v.indexed(rows_per_file=10_000)
+    middle = rows.num_rows() // 2
+    return rows.slice(middle, middle + 50)
+
+
 @query("dimensions_viewport", """
 SELECT count(*) AS num_view_rows, 2::INTEGER AS num_view_columns, count(*) AS num_table_rows,
        (SELECT count(*)::INTEGER FROM information_schema.columns WHERE table_name = 'orders') AS num_table_columns

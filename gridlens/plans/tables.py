@@ -39,8 +39,9 @@ def status_table(t: Tables, keep: list[str] | None = None) -> DataFrame:
     return latest_per_key(t.orders, "o_custkey", ORDERS_ORDER, keep=keep)
 
 
-def usage_table(t: Tables) -> DataFrame:
-    return latest_per_key(t.lineitem, LINEITEM_KEY, ["l_shipdate"])
+def usage_table(t: Tables, keep: list[str] | None = None) -> DataFrame:
+    """``keep``: the columns besides the key that go through the fold (all by default)."""
+    return latest_per_key(t.lineitem, LINEITEM_KEY, ["l_shipdate"], keep=keep)
 
 
 def events_with_nulls(t: Tables) -> DataFrame:

@@ -427,26 +427,9 @@ class View:
         end_row = vp[1] if end_row is None else end_row
         start_col = vp[2] if start_col is None else start_col
         end_col = vp[3] if end_col is None else end_col
-        grouped = bool(self.group_by)
-        window = self._window_labels(start_col or 0, end_col) if self.context == 2 else None
-        if window is not None:
-            data_names = [name for _, _, name in window]
-        else:
-            data_names = [self._out_name(c) for c in self.columns][start_col or 0: end_col]
-        if grouped:
-            rolled = self._grouped(window)
-            df, order = self._tree_order(rolled)
-            keep = [*self.group_by, DEPTH]
-            if path:
-                df = df.withColumn(ROW_PATH, row_path(self.group_by))
-                keep.append(ROW_PATH)
-        else:
-            df = self._flat(window)
-            order = self._flat_order()
-            keep = []
-        keep += data_names
+        df, order, keep = self.ordered(path=path, start_col=start_col, end_col=end_col)
         sliced = bool(start_row) or end_row is not None
-        if not grouped and (order or rank or sliced):
+        if not self.group_by and (order or rank or sliced):
             # equal sort values are told apart by the other columns, so they spread over tasks; a grouped view's depth
             # and group values tell its rows apart already
             order = order + [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema.fields
@@ -458,6 +441,23 @@ class View:
             return _picked(slice_rows(df, order, start_row or 0, end_row), keep)
         return _picked(df.orderBy(*order) if order else df, keep)
 
+    def ordered(self, *, path: bool = False, start_col: int | None = None,
+                end_col: int | None = None) -> tuple[DataFrame, list[Column], list[str]]:
+        """(rows with hidden sort columns, view order, names of the columns that are shown)."""
+        window = self._window_labels(start_col or 0, end_col) if self.context == 2 else None
+        if window is not None:
+            names = [name for _, _, name in window]
+        else:
+            names = [self._out_name(c) for c in self.columns][start_col or 0: end_col]
+        if not self.group_by:
+            return self._flat(window), self._flat_order(), names
+        df, order = self._tree_order(self._grouped(window))
+        keep = [*self.group_by, DEPTH]
+        if path:
+            df = df.withColumn(ROW_PATH, row_path(self.group_by))
+            keep.append(ROW_PATH)
+        return df, order, keep + names
+
     # -------------------------------------------------------------- metadata
     def schema(self) -> dict[str, str]:
         """M2: result column types after aggregation (internal columns excluded)."""
@@ -497,6 +497,12 @@ class View:
         r = self.min_max(column).first()
         return r["min"], r["max"]
 
+    def indexed(self, path: str | None = None, **kw):
+        """The view's rows sorted once and stored, for slices by position; see
+        :class:`~gridlens.sources.sorted_index.SortedRows`."""
+        from gridlens.sources.sorted_index import indexed
+        return indexed(self._whole(), path, **kw)
+
     # ------------------------------------------------------- tree navigation
     def _with(self, **changes) -> "View":
         cfg = _copy_config(self.cfg)

@@ -133,11 +133,10 @@ def test_filter_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
-def test_large_slices_use_the_distributed_rank(spark, monkeypatch):
+def test_slices_and_their_positions(spark):
     from gridlens.operators import sorting
 
     df = spark.createDataFrame([(i,) for i in range(50)], "a long")
-    monkeypatch.setattr(sorting, "TOP_K_ROWS", 5)
     out = sorting.slice_rows(df, [F.col("a").desc()], 3, 10)
     assert sorted(r.a for r in out.collect()) == list(range(40, 47))
     ranked = sorting.ranked_slice(df, [F.col("a").asc()], 0, 8)
@@ -153,6 +152,37 @@ def test_expanded_paths_as_a_dataframe(spark, grouped):
     assert v.set_depth(1).to_df().count() == 5
 
 
+def test_open_paths_are_typed(spark):
+    import datetime
+    from decimal import Decimal
+
+    when = datetime.datetime(2024, 1, 31, 12, 0)
+    rows = [(True, 1e20, Decimal("0.50"), when, "x", 1), (False, 0.5, Decimal("1.25"), None, "y", 2), (True, 1e20, Decimal("2"), when, "z", 3)]
+    df = spark.createDataFrame(rows, "b boolean, f double, d decimal(10,6), t timestamp, s string, x long")
+    for col, opened in (("b", True), ("f", 1e20), ("d", Decimal("0.5")), ("t", when), ("b", "true"), ("f", "1.0E20"), ("t", None)):
+        v = View(df, {"group_by": [col, "s"], "columns": ["x"]}).expand((opened,))
+        deep = {r.s for r in v.to_df().where("_depth = 2").collect()}
+        text = {"true": True, "1.0E20": 1e20}.get(opened, opened) if isinstance(opened, str) else opened
+        assert deep == {r[4] for r in rows if r["bfdt".index(col)] == text}, (col, opened)
+    both = View(df, {"group_by": ["b", "f", "s"], "columns": ["x"]}).expand((True,), (True, 1e20))
+    assert both.to_df().where("_depth = 3").count() == 2 and both.to_df().where("_depth = 2").count() == 1
+
+
+def test_labels_never_meet(spark):
+    from gridlens.operators.grouping import unique_labels
+
+    assert unique_labels(["x", "x", "x (2)"]) == ["x", "x (3)", "x (2)"]
+    assert unique_labels(["a", "a", "a", "a (3)", "a (3)"]) == ["a", "a (2)", "a (4)", "a (3)", "a (3) (2)"]
+    df = spark.createDataFrame([("g", None, 1), ("g", "null", 2), ("g", "null|x (2)", 3), ("g", "b", 4)], "g string, s string, x long")
+    v = View(df.withColumn("x (2)", F.col("x")), {"group_by": ["g"], "split_by": ["s"], "columns": ["x", "x (2)"]})
+    names = v.column_paths()
+    assert len(set(names)) == len(names) == 8
+    assert [r.column_path for r in v.column_paths_df().orderBy("position").collect()] == names
+    whole = v.to_df().collect()[0]
+    part = View(v.table, v.cfg).to_df(start_col=2, end_col=5)
+    assert part.columns == ["g", "_depth", *names[2:5]] and list(part.collect()[0]) == [whole[c] for c in part.columns]
+
+
 def test_in_lists_have_one_meaning_at_any_length(spark):
     df = spark.createDataFrame([(i, None if i % 10 == 0 else f"v{i % 7}") for i in range(60)], "i long, s string")
     short, many = ["v0", "v1", None], ["v0", "v1", None] + [f"w{i}" for i in range(2000)]

@@ -1227,7 +1227,7 @@ def change_direction_bucketed(spark, d):
 
 # ============================================================ streaming
 from gridlens.sources.bucketed import BucketedTable, counted_chain  # noqa: E402
-from gridlens.streaming.live import stream_batches, stream_chained, stream_keyed, stream_rollup_table  # noqa: E402
+from gridlens.streaming.live import stream_batches, stream_chained, stream_keyed, stream_rollup_table, stream_stateful  # noqa: E402
 
 
 @query("stream_keyed", LATEST_EVENT_SQL)
@@ -1237,6 +1237,13 @@ def stream_keyed_q(spark, d):
     return stream_keyed(spark, e, key="user_id", seq=EVENTS_ORDER, part=F.to_date("ts")).select(*e.columns)
 
 
+@query("stream_stateful", LATEST_EVENT_SQL)
+def stream_stateful_q(spark, d):
+    """X7 with each key's newest row in Spark's state store, over a restart."""
+    e = Tables(spark, d).events
+    return stream_stateful(spark, e, key="user_id", seq=EVENTS_ORDER).select(*e.columns)
+
+
 @query("chained_view", """
 SELECT user_id, count(event_id) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY user_id""")
 def chained_view(spark, d):

@@ -71,6 +71,31 @@ def stream_keyed(spark: SparkSession, events: DataFrame, *, key: str, seq: list[
     return table.snapshot()
 
 
+def stream_stateful(spark: SparkSession, events: DataFrame, *, key: str, seq: list[str],
+                    files_per_batch: int | None = None) -> DataFrame:
+    """The newest row of every key, kept in Spark's state store; its changes fill a table, whose snapshot is returned.
+
+    The stream is stopped half way and started again from its checkpoint."""
+    from gridlens.streaming.stateful import newest_by_key
+
+    root = scratch_path(spark, "stateful")
+    table = LiveTable(spark, f"{root}/table", events.schema, index=key, nulls="overwrite")
+    half = F.xxhash64(*[F.col(f"`{c}`") for c in seq]) % 2 == 0
+    for rows in (events.where(half), events.where(~half)):
+        lines = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), JSON_OPTIONS).alias("value"))
+        lines.write.mode("append").text(f"{root}/landing")
+        stream = json_stream(spark, events.schema, source="text", path=f"{root}/landing",
+                             options={"maxFilesPerTrigger": files_per_batch} if files_per_batch else {})
+        stream = stream.select(*[F.col(f"`{c}`") for c in events.columns])
+        newest = newest_by_key(stream, key, seq)
+        q = (newest.writeStream.outputMode("update").foreachBatch(lambda batch, i: table.update(batch, i) and None)
+             .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return table.snapshot()
+
+
 def stream_chained(spark: SparkSession, events: DataFrame, *, group_by: list[str],
                    view_fn: Callable[[DataFrame], DataFrame], out_schema, part: F.Column,
                    files_per_batch: int | None = None, index=None, seq=None) -> DataFrame:

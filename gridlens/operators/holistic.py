@@ -64,7 +64,7 @@ def median_of_counts(counts: DataFrame, grp: list[str]) -> DataFrame:
     placed = s.join(F.broadcast(offsets), "_pid").select(
         *grp, "_v", "_n", (F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_from"))
     placed = cut_lineage(placed)
-    stats = cut_lineage(placed.groupBy(*grp).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_all")))
+    stats = placed.groupBy(*grp).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_all"))
     named = stats.withColumnsRenamed({c: f"_s{c}" for c in grp})
     same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in grp])
     mid = F.col("_from") - F.col("_start")

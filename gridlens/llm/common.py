@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +58,9 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lower the bytes of an Arrow batch of this session to ``most``, if they are more: texts of any length then reach the
     Python workers in pieces whose buffers stay small beside an executor's memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > most:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) << 10 * " kmgtp".find(unit or " ") if unit != "b" else int(number)
+    if not 0 < now <= most:
         spark.conf.set(key, str(most))
 
 

@@ -14,9 +14,11 @@ ignored by every aggregate, including the ordered ones.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.config import ALL_AGGREGATES
 
@@ -97,3 +99,72 @@ def aggregate_column(name: str, column: str | Column, *, order: list[str] | None
     if name == "var":
         return F.var_pop(c)
     raise AssertionError(name)
+
+
+@dataclasses.dataclass(frozen=True)
+class State:
+    """An aggregate that can be folded in steps: per part its fold over rows and the fold of such parts; ``value`` reads
+    the aggregate from the parts."""
+    parts: tuple[tuple[Column, Callable[[Column], Column]], ...]
+    value: Callable[..., Column]
+
+
+def mergeable_state(name: str, column: str, kind: T.DataType, *, order: list[str] | None = None,
+                    index: list[str] | None = None, approx: bool = False) -> State | None:
+    """Aggregate ``name`` of ``column`` (of type ``kind``) as a :class:`State` of bounded size with the value that
+    :func:`aggregate_column` gives, or ``None`` where there is none.
+
+    The approximate distinct count and median are sketches (HyperLogLog, KLL), so they differ from
+    :func:`aggregate_column` within the error of either.
+    """
+    c = F.col(f"`{column}`")
+    present = c.isNotNull()
+    decimal = isinstance(kind, T.DecimalType)
+
+    def one(part, fold, value=lambda v: v):
+        return State(((part, fold),), value)
+
+    def row(cols):
+        return F.when(present, F.struct(_ordering(cols).alias("o"), c.alias("v")))
+
+    def at_end(cols, fold):
+        return one(fold(row(cols)), fold, lambda v: v["v"])
+
+    def total(x):
+        # the sum of sums of decimals would be wider than the sum of the rows
+        width = T.DecimalType(min(38, kind.precision + 10), kind.scale) if decimal else None
+        return one(F.sum(x), F.sum, lambda v: v.cast(width) if width else v)
+
+    if name in ("any", "first by index"):
+        return at_end((order or index) if name == "any" else (index or order), F.min)
+    if name in ("last", "last by index"):
+        return at_end((order or index) if name == "last" else (index or order), F.max)
+    if name == "last minus first":
+        r = row(order or index)
+        return State(((F.max(r), F.max), (F.min(r), F.min)), lambda last, first: last["v"] - first["v"])
+    if name in ("avg", "mean") and isinstance(kind, T.NumericType) and not decimal:
+        return State(((F.sum(c.cast("double")), F.sum), (F.count(c), F.sum)), F.try_divide)
+    if name in ("sum", "sum not null", PCT_PARENT, PCT_TOTAL):
+        return total(c)
+    if name == "abs sum":
+        sums = total(c)
+        return State(sums.parts, lambda v: F.abs(sums.value(v)))
+    if name == "sum abs":
+        return total(F.abs(c))
+    if name == "count":
+        return one(F.count(c), F.sum)
+    if name in ("high", "max"):
+        return one(F.max(c), F.max)
+    if name in ("low", "min"):
+        return one(F.min(c), F.min)
+    if name == "high minus low":
+        return State(((F.max(c), F.max), (F.min(c), F.min)), lambda high, low: high - low)
+    if name in ("unique", DISTINCT_LEAF):
+        return State(((F.max(c), F.max), (F.min(c), F.min)), lambda high, low: F.when(low == high, low))
+    if approx and name == "distinct count":
+        return one(F.hll_sketch_agg(F.when(present, F.xxhash64(c))), F.hll_union_agg, F.hll_sketch_estimate)
+    if approx and name == "median" and isinstance(kind, T.NumericType):
+        half = F.lit(0.5)
+        return State(((F.kll_sketch_agg_double(c.cast("double")), F.kll_merge_agg_double), (F.count(c), F.sum)),
+                     lambda sketch, n: F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, half)))
+    return None

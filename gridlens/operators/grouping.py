@@ -1,8 +1,10 @@
 """Grouping with subtotals, depth, row paths, expansion and pivots.
 
-Subtotal rows come from ``rollup`` (one Expand + one partial/final hash
-aggregate, so hot groups are pre-aggregated before the shuffle).  A row's
-depth is ``levels - bit_count(grouping_id())``; null group values and
+Where all aggregates have mergeable states, the rows are folded once, into
+a state per leaf group, and the subtotals from those (:func:`leaf_first`);
+otherwise subtotal rows come from ``rollup`` (one Expand + one partial/final
+hash aggregate).  Either way hot groups are pre-aggregated before the shuffle.
+A row's depth is ``levels - bit_count(grouping_id())``; null group values and
 rolled-up subtotal cells are told apart by depth, never by null tests.
 """
 
@@ -14,6 +16,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.functions.aggregates import State
+
 DEPTH = "_depth"
 ROW_PATH = "__ROW_PATH__"
 
@@ -84,6 +88,36 @@ def split_levels(df: DataFrame, group_by: list[str], keys: list[str], levels: li
     return df.groupingSets(sets, *[q(c) for c in group_by + keys]).agg(*aggs, depth.cast("int").alias(DEPTH))
 
 
+def leaf_first(df: DataFrame, group_by: list[str], keys: list[str], levels: list[int],
+               states: dict[str, State]) -> DataFrame:
+    """Aggregate per group level and ``keys`` from mergeable states: ``group_by``, ``keys``, the values, ``_depth``.
+
+    Each row is folded once, into the state of its leaf group; the levels above are folded from the leaf groups' states.
+    Both read the same shuffled states, which Spark writes once.
+    """
+    n, by = len(group_by), group_by + keys
+    parts, folds, values = [], [], []
+    for i, (name, state) in enumerate(states.items()):
+        cols = [f"__state{i}_{j}" for j in range(len(state.parts))]
+        parts += [part.alias(c) for c, (part, _) in zip(cols, state.parts)]
+        folds += [fold(F.col(c)).alias(c) for c, (_, fold) in zip(cols, state.parts)]
+        values.append(state.value(*[F.col(c) for c in cols]).alias(name))
+    leaves = df.groupBy(*[q(c) for c in by]).agg(*parts, F.count(F.lit(1)).alias("__rows"))
+    out = leaves.select(*[q(c) for c in by], *values, F.lit(n).alias(DEPTH)) if n in levels else None
+    upper = [d for d in levels if d < n]
+    if not upper:
+        return out
+    top = group_by[:max(upper)]
+    folds.append(F.sum("__rows").alias("__rows"))
+    if top + keys:
+        merged = split_levels(leaves, top, keys, upper, folds)
+    else:
+        merged = leaves.agg(*folds).where("__rows > 0").withColumn(DEPTH, F.lit(0))  # no total of an empty table
+    absent = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in group_by[len(top):]]
+    merged = merged.select(*[q(c) for c in top], *absent, *[q(c) for c in keys], *values, F.col(DEPTH))
+    return merged if out is None else out.union(merged)
+
+
 def value_text(v) -> str:
     return "null" if v is None else str(v)
 

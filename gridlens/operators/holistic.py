@@ -1,14 +1,16 @@
-"""Holistic aggregates computed without per-group value buffers.
+"""Holistic aggregates computed without per-group value buffers.
 
-Spark's ``median`` and ``mode`` keep a map of a group's distinct values in one
+Spark's ``median``, ``mode`` and ``collect_set`` keep a group's distinct values in one
 aggregation buffer, so a group holding a third of the rows would be merged
-inside a single task.  Here both start from the number of rows per (level,
+inside a single task.  Here all start from the number of rows per (level,
 group, value), counted with map-side partial aggregation, so a value that half
 the rows hold is one row per task:
 
 * median: the counts are range-sorted on (level, group, value) across all
   tasks, running totals give each value the positions it covers, and the
   value that covers a group's middle positions is picked.
+* distinct count, join: the (level, group, value) rows are counted, or
+  collected once each (the list is the output).
 * dominant: the smallest value among the highest counts per group.
 """
 
@@ -85,7 +87,21 @@ def dominant_by_level(df: DataFrame, group_by: list[str], value: Column, *, leve
     return best.select(*grp, F.col("_b.v").alias("_agg"))
 
 
-HOLISTIC = {"median": median_by_level, "dominant": dominant_by_level}
+def distinct_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
+    """Number of distinct values per group and level; a group without any has no row."""
+    counts = value_counts(df, group_by, value, levels=levels, keys=keys)
+    return counts.groupBy(*_group_cols(group_by, keys)).agg(F.count(F.lit(1)).alias("_agg"))
+
+
+def join_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
+    """The sorted distinct values per group and level, joined by ``, ``; each value is collected once."""
+    counts = value_counts(df, group_by, value, levels=levels, keys=keys)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("_v")), lambda x: x.cast("string")), ", ")
+    return counts.groupBy(*_group_cols(group_by, keys)).agg(text.alias("_agg"))
+
+
+HOLISTIC = {"median": median_by_level, "dominant": dominant_by_level, "distinct count": distinct_by_level,
+            "join": join_by_level}
 
 
 def attach(rolled: DataFrame, group_by: list[str], keys, res: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -19,13 +19,13 @@ from gridlens.config import (
     ConfigError, ViewConfig, default_aggregate, normalize_config, validate,
 )
 from gridlens.functions.aggregates import (
-    DISTINCT_LEAF, PCT_PARENT, PCT_TOTAL, aggregate_column,
+    DISTINCT_LEAF, PCT_PARENT, PCT_TOTAL, aggregate_column, mergeable_state,
 )
 from gridlens.functions.expressions import add_expressions
 from gridlens.operators.filters import build_predicate
 from gridlens.operators.holistic import HOLISTIC, attach
 from gridlens.operators.grouping import (
-    DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, numbered_labels, path_key, q,
+    DEPTH, ROW_PATH, column_path, filter_expanded, grouped_aggregate, leaf_first, numbered_labels, path_key, q,
     row_path, split_columns, split_levels, unique_labels,
 )
 from gridlens.operators.sorting import (
@@ -277,14 +277,26 @@ class View:
         return not self.approx and self.aggregate_name(col) in HOLISTIC
 
     def _aggregated(self, df: DataFrame, outputs: dict[str, str], aggregate, levels: list[int], keys=()) -> DataFrame:
-        """``aggregate(columns)`` for the ordinary outputs; median and dominant joined on."""
-        plain = [self._agg(c).alias(nm) for nm, c in outputs.items() if not self._is_holistic(c)]
-        out, done = aggregate(plain), {}
+        """The ordinary outputs, by merging states where all have one and there are subtotals, else by
+        ``aggregate(columns)``; holistic ones are joined on."""
+        plain = {nm: c for nm, c in outputs.items() if not self._is_holistic(c)}
+        kinds = dict(zip(df.columns, df.schema.fields))
+        states = {nm: mergeable_state(self.aggregate_name(c), c, kinds[c].dataType, order=self.ord_cols or None,
+                                      index=self.index or self.ord_cols or None, approx=self.approx)
+                  for nm, c in plain.items()}
+        if min(levels) < len(self.group_by) and None not in states.values():
+            out = leaf_first(df, self.group_by, list(keys), levels, states)
+        else:
+            out = aggregate([self._agg(c).alias(nm) for nm, c in plain.items()])
+        done = {}
         for nm, c in outputs.items():
             if self._is_holistic(c):
+                name = self.aggregate_name(c)
                 if c not in done:
-                    done[c] = HOLISTIC[self.aggregate_name(c)](df, self.group_by, q(c), levels=levels, keys=keys)
+                    done[c] = HOLISTIC[name](df, self.group_by, q(c), levels=levels, keys=keys)
                 out = attach(out, self.group_by, keys, done[c], {"_agg": nm})
+                if name == "distinct count":  # a group without values
+                    out = out.withColumn(nm, F.coalesce(q(nm), F.lit(0).cast("long")))
         return out
 
     def _levels(self, leaves_only: bool) -> list[int]:

@@ -103,6 +103,7 @@ def leaf_first(df: DataFrame, group_by: list[str], keys: list[str], levels: list
         folds += [fold(F.col(c)).alias(c) for c, (_, fold) in zip(cols, state.parts)]
         values.append(state.value(*[F.col(c) for c in cols]).alias(name))
     leaves = df.groupBy(*[q(c) for c in by]).agg(*parts, F.count(F.lit(1)).alias("__rows"))
+    leaves = leaves.where("__rows > 0")  # both parts need the same columns, else Spark would shuffle the rows twice
     out = leaves.select(*[q(c) for c in by], *values, F.lit(n).alias(DEPTH)) if n in levels else None
     upper = [d for d in levels if d < n]
     if not upper:

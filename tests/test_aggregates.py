@@ -210,6 +210,16 @@ def test_subtotals_are_merged_from_leaf_states(grouped):
     assert expands(View(grouped, {**cfg, "aggregates": {"x": "stddev"}}, index="seq", order=["seq"])._rolled(False)) == 1
 
 
+@pytest.mark.parametrize("levels", [["l_returnflag"], ["l_returnflag", "l_linestatus"]])
+def test_leaf_states_are_shuffled_once(spark, levels):
+    """The leaf rows and the levels above read one shuffle, so the table is scanned once."""
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    df = View(t, {"group_by": levels, "columns": ["l_quantity", "l_tax"], "aggregates": {"l_tax": "mean"}})._rolled(False)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+
+
 def test_merged_states_keep_types_and_values_of_decimals(spark):
     from decimal import Decimal
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import datetime
+import functools
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,7 @@ from gridlens.session import cut_lineage
 from gridlens.types import table_schema
 
 SPLIT_KEY = "_split_key"  # canonical text of a row's split values
+SLICE = "_slice"  # number of a slice of data columns
 
 
 def _of_type(v, kind: T.DataType):
@@ -184,7 +186,13 @@ class View:
         return self._labels_df().select("position", "column_path")
 
     def _labels_df(self) -> DataFrame:
-        """(position, column_path, split key, place among the value columns) of every data column of a split view."""
+        """(position, column_path, split key, place among the value columns) of every data column of a split view, ranked
+        and numbered once."""
+        if not hasattr(self, "_labels"):
+            self._labels = cut_lineage(self._ranked_labels())
+        return self._labels
+
+    def _ranked_labels(self) -> DataFrame:
         cols = self.columns
         ranked = global_rank(self._split_table(), self._split_order(), "_v")
         names = F.array(*[F.lit(c) for c in cols])
@@ -326,6 +334,33 @@ class View:
             *[q(c) for c in self.group_by], F.col(DEPTH),
             *[F.col(k).alias(nm) for k, nm in zip(split_columns(self.split_by), names)], *values)
 
+    def slices(self, width: int = 256) -> DataFrame:
+        """B3 for any number of split values: a grouped split view in slices of ``width`` split tuples: group columns,
+        ``_depth``, ``_slice`` and ``_cell{n}_{i}``, value column i of split tuple n of the slice; its name is that of the
+        position ``(_slice * width + n) * (number of value columns) + i`` in :meth:`column_paths_df`.
+
+        The plan is as wide as a slice, however many columns the view has, and no name reaches the driver. A row without
+        any split tuple of a slice isn't there. Rows come in no order; sorts, open paths and the viewport are left to
+        :meth:`to_df`, and shares of totals, which need all slices of other rows, are refused.
+        """
+        if self.context != 2 or not self.group_by:
+            raise ConfigError("slices of columns need group_by and split_by")
+        kinds = [self.aggregate_name(c) for c in self.columns]
+        if {PCT_TOTAL, PCT_PARENT} & set(kinds):
+            raise ConfigError("slices of columns have no shares of totals")
+        gb, keys, k = self.group_by, split_columns(self.split_by), len(self.columns)
+        long = self._long(self.cfg.leaves_only).withColumn(SPLIT_KEY, path_key(keys, len(keys)))
+        for i, kind in enumerate(kinds):
+            if kind == DISTINCT_LEAF:
+                long = long.withColumn(f"_v{i}", F.when(F.col(DEPTH) == len(gb), F.col(f"_v{i}")))
+        nth = F.floor(F.col("position") / k)
+        places = self._labels_df().where("_ci = 0").select(SPLIT_KEY, F.floor(nth / width).cast("int").alias(SLICE),
+                                                           (nth % width).cast("int").alias("_at"))
+        values = [F.first(f"_v{i}", ignorenulls=True).alias(f"_v{i}") for i in range(k)]
+        wide = (long.join(places, SPLIT_KEY).groupBy(*[q(c) for c in gb], DEPTH, SLICE)
+                .pivot("_at", list(range(width))).agg(*values))
+        return wide.toDF(*gb, DEPTH, SLICE, *[f"_cell{n}_{i}" for n in range(width) for i in range(k)])
+
     def _pivoted(self, leaves_only: bool, window: list[tuple[str, int, str]]) -> DataFrame:
         """Aggregate per group level and split tuple first, then turn the columns of ``window`` out of that small result:
         the cells of other columns aren't planned, and rows without a cell in the window stay."""

@@ -275,3 +275,24 @@ def test_split_by_depth(grouped):
     assert v.column_paths() == ["p2|x", "p|1|x"]
     full = View(grouped, {"group_by": ["g1"], "split_by": ["p", "g2"], "columns": ["x"]})
     assert all(path.count("|") >= 2 for path in full.column_paths())
+
+
+def test_slices_of_columns_are_as_wide_for_any_number_of_split_values(spark):
+    rows = [(g, s, float(i), f"t{i}") for i, (g, s) in enumerate((g, s) for g in ("a", "b", None) for s in [*range(23), None]
+                                                                   if (g, s) != ("b", 7))]
+    table = spark.createDataFrame(rows + [("a", 3, 100.0, "t100")], "g string, s int, x double, t string")
+    cfg = {"group_by": ["g"], "split_by": ["s"], "columns": ["x", "t"], "aggregates": {"t": "join"}}
+    v = View(table, cfg)
+    slices = v.slices(5)
+    assert slices.columns == View(table.where("s < 2"), cfg).slices(5).columns and dict(slices.dtypes)["_cell0_1"] == "string"
+    names = {r["position"]: r["column_path"] for r in v.column_paths_df().collect()}
+    got = {}
+    for r in slices.collect():
+        for n in range(5):
+            for i in range(2):
+                if r[f"_cell{n}_{i}"] is not None:
+                    got[r["g"], r["_depth"], names[(r["_slice"] * 5 + n) * 2 + i]] = r[f"_cell{n}_{i}"]
+    wide = {(r["g"], r["_depth"], c): r[c] for r in View(table, cfg).to_df().collect() for c in names.values() if r[c] is not None}
+    assert got == wide and len(wide) == 2 * (24 * 4 - 1)
+    with pytest.raises(ConfigError):
+        View(table, {"group_by": ["g"], "split_by": ["s"], "columns": ["x"], "aggregates": {"x": "pct sum parent"}}).slices()

@@ -6,9 +6,10 @@ inside a single task.  Here all start from the number of rows per (level,
 group, value), counted with map-side partial aggregation, so a value that half
 the rows hold is one row per task:
 
-* median: the counts are range-sorted on (level, group, value) across all
-  tasks, running totals give each value the positions it covers, and the
-  value that covers a group's middle positions is picked.
+* median: the counts are dealt out by ranges of (level, group, value), in
+  more partitions the more there are; the totals per group and range tell
+  which range holds a group's middle positions, and only the rows of that
+  are sorted and added up.
 * distinct count, join: the (level, group, value) rows are counted, or
   collected once each (the list is the output).
 * dominant: the smallest value among the highest counts per group.
@@ -32,16 +33,24 @@ def _gcol(i: int) -> str:
 
 def value_counts(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
     """``_g0.._gN, _depth``, keys, ``_v``, ``_n``: rows per grouping level, group and non-null value."""
-    types = dict(df.dtypes)
-    leaf = (df.select(*[q(g).alias(_gcol(i)) for i, g in enumerate(group_by)], *[q(k) for k in keys], value.alias("_v"))
+    each = _on_levels(_leaf_counts(df, group_by, value, keys), df, group_by, levels, keys)
+    return each.groupBy(*_group_cols(group_by, keys), "_v").agg(F.sum("_n").alias("_n"))
+
+
+def _leaf_counts(df: DataFrame, group_by: list[str], value: Column, keys) -> DataFrame:
+    return (df.select(*[q(g).alias(_gcol(i)) for i, g in enumerate(group_by)], *[q(k) for k in keys], value.alias("_v"))
             .where(F.col("_v").isNotNull())
             .groupBy(*[_gcol(i) for i in range(len(group_by))], *keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _on_levels(leaf: DataFrame, df: DataFrame, group_by: list[str], levels, keys, *more: str) -> DataFrame:
+    """The leaf groups' counts once for each level, as parts of that level's groups."""
+    types = dict(df.dtypes)
     structs = []
     for d in levels:
         fields = [(F.col(_gcol(i)) if i < d else F.lit(None).cast(types[g])).alias(_gcol(i)) for i, g in enumerate(group_by)]
         structs.append(F.struct(*fields, F.lit(int(d)).alias(DEPTH)))
-    each = leaf.select(*keys, "_v", "_n", F.explode(F.array(*structs)).alias("_lv")).select("_lv.*", *keys, "_v", "_n")
-    return each.groupBy(*_group_cols(group_by, keys), "_v").agg(F.sum("_n").alias("_n"))
+    return leaf.select(*keys, "_v", "_n", *more, F.explode(F.array(*structs)).alias("_lv")).select("_lv.*", *keys, "_v", "_n", *more)
 
 
 def _group_cols(group_by, keys) -> list[str]:
@@ -50,32 +59,42 @@ def _group_cols(group_by, keys) -> list[str]:
 
 def median_by_level(df: DataFrame, group_by: list[str], value: Column, *, levels, keys=()) -> DataFrame:
     """Exact median (mean of the two middle values) per group and level."""
-    return median_of_counts(value_counts(df, group_by, value, levels=levels, keys=keys), _group_cols(group_by, keys))
-
-
-def median_of_counts(counts: DataFrame, grp: list[str]) -> DataFrame:
-    """``grp`` and ``_agg``, the exact median of each group's values ``_v``, each of which occurs ``_n`` times."""
-    order = [F.col(c).asc_nulls_first() for c in grp] + [F.col("_v").asc()]
-    s = cut_lineage(counts.orderBy(*order)).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33))
-    # rows before each value: those of earlier partitions (one row per partition) plus those before it in its own
-    per_part = s.groupBy("_pid").agg(F.sum("_n").alias("_m"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_pid", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = s.join(F.broadcast(offsets), "_pid").select(
-        *grp, "_v", "_n", (F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_from"))
-    placed = cut_lineage(placed)
-    stats = placed.groupBy(*grp).agg(F.min("_from").alias("_start"), F.sum("_n").alias("_all"))
-    named = stats.withColumnsRenamed({c: f"_s{c}" for c in grp})
-    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in grp])
-    mid = F.col("_from") - F.col("_start")
+    leaf = cut_lineage(_leaf_counts(df, group_by, value, keys))
+    rows = leaf.count() * len(levels)
+    # equal values of different leaf groups stay apart, so that no range has to hold them all
+    leaf = leaf.withColumn("_tie", F.xxhash64(*[_gcol(i) for i in range(len(group_by))]) if group_by else F.lit(0).cast("long"))
+    each = _on_levels(leaf, df, group_by, levels, keys, "_tie")
+    return median_of_counts(each, _group_cols(group_by, keys), tie=["_tie"], rows=rows)
+
+
+#: Rows of a range of the median. Up to MOST ranges a task that deals out rows keeps none of them in memory.
+RANGE_ROWS, MOST = 500_000, 200
+
+
+def median_of_counts(counts: DataFrame, grp: list[str], tie: list[str] = (), rows: int = 0) -> DataFrame:
+    """``grp`` and ``_agg``, the exact median of each group's values ``_v``, each of which occurs ``_n`` times. A value may
+    have several rows, told apart by ``tie``; ``rows`` is their number, where known."""
+    session = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(session, min(MOST, rows // RANGE_ROWS))
+    dealt = counts.repartitionByRange(n, *grp, "_v", *tie).select(*grp, "_v", "_n", F.spark_partition_id().alias("_pid"))
+    s = cut_lineage(dealt)
+    # a group's rows in a range, and those in its ranges before: a few rows per range, none per value
+    parts = s.groupBy(*grp, "_pid").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*grp).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = parts.select(*grp, "_pid", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_off"),
+                          F.sum("_in").over(Window.partitionBy(*grp)).alias("_all"))
     low = F.floor((F.col("_all") - 1) / 2)
     high = F.ceil((F.col("_all") - 1) / 2)
-    covers = lambda p: (mid <= p) & (p < mid + F.col("_n"))
-    middle = placed.join(named, same).where(covers(low) | covers(high))
+    holds = lambda p: (F.col("_off") <= p) & (p < F.col("_off") + F.col("_in"))
+    middle = ranged.where(holds(low) | holds(high)).select(
+        *[F.col(c).alias(f"_s{c}") for c in grp], F.col("_pid").alias("_spid"), "_off", "_all")
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in grp], F.col("_pid") == F.col("_spid"))
+    near = s.join(middle, same).select(*grp, "_pid", "_v", "_n", "_off", "_all")
+    inside = Window.partitionBy(*grp, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_from", F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    covers = lambda p: (F.col("_from") <= p) & (p < F.col("_from") + F.col("_n"))
     v = F.col("_v").cast("double")
-    return middle.groupBy(*grp).agg(
+    return placed.where(covers(low) | covers(high)).groupBy(*grp).agg(
         ((F.max(F.when(covers(low), v)) + F.max(F.when(covers(high), v))) / 2).alias("_agg"))
 
 

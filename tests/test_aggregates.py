@@ -263,3 +263,33 @@ def test_approximate_states_merge_through_levels(spark):
     for r in rows:
         n = {0: 20000, 1: 40000 / 3, 2: 40000 / 21}[r._depth]
         assert abs(r.x - n) < 0.05 * n and abs(r.y - 10000) < 1000
+
+
+def test_median_dealt_out_by_ranges(spark, monkeypatch):
+    """A session of one partition: the ranges grow with the rows, and equal values of many leaf groups are in several."""
+    import random
+    import statistics
+
+    from gridlens.operators import holistic
+
+    monkeypatch.setattr(holistic, "RANGE_ROWS", 50)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i % 90, rng.choice([1.5, 1.5, rng.random() * 9, None])) for i in range(3000)]
+    table = spark.createDataFrame(rows, "g string, h int, x double")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    ranges = []
+    real = holistic.cut_lineage
+    monkeypatch.setattr(holistic, "cut_lineage", lambda df: ranges.append(real(df)) or ranges[-1])
+    try:
+        got = {tuple(r)[:3]: r["_agg"] for r in holistic.median_by_level(table, ["g", "h"], F.col("x"), levels=[0, 1, 2]).collect()}
+        each = [r["n"] for r in ranges[-1].groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = {}
+    for g, h, x in rows:
+        if x is not None:
+            for key in ((None, None, 0), (g, None, 1), (g, h, 2)):
+                want.setdefault(key, []).append(x)
+    assert got == {k: pytest.approx(statistics.median(v)) for k, v in want.items()}
+    assert len(each) > 20 and max(each) < sum(each) / 5

@@ -90,3 +90,34 @@ def test_odd_rows_and_missing_labels(spark):
     kept = quality.keep_good(docs, None)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert quality.features(None)[-1] == quality.features(" \n")[-1] == 1.0
+
+
+def test_the_fit_takes_all_pairs_and_the_threshold_all_scores(spark):
+    rng = np.random.default_rng(9)
+    vocab = fx.vocabulary(400)
+    rows, marks = [], []
+    for i in range(130):
+        good = i % 13 > 3
+        words = list(rng.choice(vocab, int(rng.integers(40, 90))))
+        if good != (i % 10 == 0):
+            words = [w + ("." if rng.random() < 0.2 else "") for w in words]
+        else:
+            words = [w.upper() if rng.random() < 0.3 else w for w in words] + ["!!!"] * int(rng.integers(0, 6))
+        rows.append((i, " ".join(words), "s"))
+        marks.append((i, int(good)))
+    model = quality.fit(fx.docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"))
+    x, y = np.stack([quality.features(t) for _, t, _ in rows]), np.array([m for _, m in marks])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.clip((x - mean) / scale, -6, 6)
+    want = quality.bradley_terry((z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, x.shape[1]))
+    assert model.mean == pytest.approx(mean, abs=1e-6) and model.weights == pytest.approx(want, abs=0.02)
+    assert model.threshold == pytest.approx(quality.weighted_cut(model.raw(x), np.full(len(y), 1 / len(y)), (y == 0).mean()), abs=1e-9)
+
+
+def test_threshold_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CUTS", 4)
+    rng = np.random.default_rng(3)
+    for share in (0.05, 0.37, 0.8):
+        s, y = np.round(rng.normal(size=200), 2), rng.integers(0, 2, 200)
+        table = spark.createDataFrame([(int(b), float(a)) for a, b in zip(s, y)], "y int, s double")
+        assert quality.weighted_cut_of(table, (1.0, 1.0), share) == pytest.approx(quality.weighted_cut(s, np.ones(200), share))

@@ -21,11 +21,14 @@ BROADCAST_TERMS = 500_000
 BROADCAST_PLACES = 200_000
 #: Lists that are intersected before the rest of a phrase is compared.
 RAREST = 2
+#: The characters between words, \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F, one by one: Java looks them up in one table, where
+#: it tries ranges one after another for each character of a text.
+BETWEEN = "".join(f"\\x{c:02X}" for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A))
 
 
 def words(text: Column) -> Column:
     """A-Z lower-cased; runs of 0-9, a-z and everything beyond ASCII. Null has no words."""
-    found = F.regexp_extract_all(ascii_lower(text), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    found = F.regexp_extract_all(ascii_lower(text), F.lit(f"[^{BETWEEN}]+"), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

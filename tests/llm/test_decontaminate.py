@@ -83,3 +83,10 @@ def test_main_path_runs_no_python(spark):
 
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_words_between_any_characters(spark):
+    text = "".join(f"a{chr(c)}B" for c in range(1, 0x250)) + "\U0001f600 \u20ac\x00z"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(decontaminate.words(F.col("t"))).collect()
+    assert [r[0] for r in got] == [words(text), []]
+    assert "-" not in decontaminate.BETWEEN  # ranges are tried one after another for each character

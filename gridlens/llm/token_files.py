@@ -36,7 +36,7 @@ PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
 SEGMENT, FILE_BYTES = 1 << 18, 32 << 20
 #: magic, number of the file, documents, position of the first token in the file, then bytes of: ids, lengths, tokens.
 HEADER = struct.Struct("<4sIIQIII")
-#: Words whose ids a Python worker remembers.
+#: Words, and pieces of words, whose ids a Python worker remembers.
 REMEMBERED = 400_000
 
 
@@ -187,33 +187,45 @@ ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class Words(dict):
-    """Ids of words, remembered as bytes of 32-bit numbers. Lower-case words of printable ASCII, and of Latin letters with
-    at most a mark behind, are left as they are by the normaliser; their pieces go to the model at once."""
+    """Ids of words, remembered as bytes of 32-bit numbers. Lower-case words of printable ASCII, and words of Latin letters
+    with at most a mark behind, need no normaliser; their pieces go to the model at once, each piece once."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.model, self.tokenizer = tokenizer.model, tokenizer
+        self.of_piece: dict[str, bytes] = {}
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: bytes) -> bytes:
         pieces = self._pieces(word.decode())
         if pieces is None:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            out = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         else:
-            ids = [t.id for p in pieces for t in self.model.tokenize(p)]
-        out = array("I", ids).tobytes()
+            out = b"".join([self.of_piece.get(p) or self._modelled(p) for p in pieces])
         if len(self) < REMEMBERED:
             self[word] = out
         return out
 
+    def _modelled(self, piece: str) -> bytes:
+        """Ids of a piece; the model is asked once for those of words that differ by the marks around them."""
+        known = piece if piece.isascii() else self.as_bytes(piece)[0][0]
+        out = array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+        if len(self.of_piece) < REMEMBERED:
+            self.of_piece[piece] = out
+        return out
+
     def _pieces(self, word: str) -> list[str] | None:
-        """The pieces of a word in the model's characters, None where only the library may say."""
+        """The pieces of a word as normalised, None where only the library may say."""
         if word.isascii():
+            if word.isalpha():
+                return [word]
             return ASCII_PIECES.findall(word) if word.isprintable() and "<|" not in word else None
         mark = word[-1] if word[-1] in ".,;:!?)" else ""
         letters = word[:-1] if mark else word
-        # letters below U+0250 don't combine with one another
-        if letters.isalpha() and max(letters) < "\u0250" and letters.lower() == letters:
-            return [self.as_bytes(letters)[0][0], *mark]
+        # letters below U+0250 don't combine with one another, and those below U+0100 have one lower-case letter each
+        if letters.isalpha():
+            most, lower = max(letters), letters.lower()
+            if most < "\u0100" or (most < "\u0250" and lower == letters):
+                return [lower, *mark]
         return None
 
 

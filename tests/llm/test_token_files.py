@@ -92,3 +92,18 @@ def test_a_long_text_has_a_segment_of_its_own(spark):
     rows = [(1, "a", "s"), (2, long, "s"), (3, "b", "s")]
     got = token_files.tokenized(docs(spark, rows), WORDS, 1).orderBy("start").collect()
     assert [tuple(r) for r in got] == expected([r[:2] for r in rows])
+
+
+def test_the_model_is_asked_once_for_a_piece():
+    library, asked = Tokenizer.from_file(WORDS), []
+    words = token_files.Words(library)
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return library.model.tokenize(piece)
+
+    words.model = Model()
+    for w in ("zyxq", "zyxq.", '"zyxq', "zyxq,", "(zyxq)", "zyxq's", "caf\u00e9", "caf\u00e9."):
+        assert np.frombuffer(words[w.encode()], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and "zyxq" in asked

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,43 @@ def test_the_model_is_asked_once_for_a_piece():
     for w in ("zyxq", "zyxq.", '"zyxq', "zyxq,", "(zyxq)", "zyxq's", "caf\u00e9", "caf\u00e9."):
         assert np.frombuffer(words[w.encode()], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids
     assert len(asked) == len(set(asked)) and "zyxq" in asked
+
+
+def asked_of(encoder):
+    """The list of pieces that the encoder's model is asked for from now on."""
+    model, asked = encoder.words.model, []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    encoder.words.model = Model()
+    return asked
+
+
+def test_a_full_memory_keeps_the_words_in_use(monkeypatch):
+    for name in ("REMEMBERED", "REMEMBERED_PIECES", "REMEMBERED_WORDS"):
+        monkeypatch.setattr(token_files, name, 60, raising=False)
+    library, encoder, rng = Tokenizer.from_file(WORDS), token_files.Encoder(WORDS), random.Random(5)
+    asked = asked_of(encoder)
+    for k in range(30):
+        seldom = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(10)]
+        in_use = ["zyxq zyxq, Zyxq.", "caf\u00e9 caf\u00e9; CAF\u00c9!"] if k > 9 else []
+        text = " ".join([*seldom, *in_use])
+        assert encoder.ids(text, 1).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert asked.count("zyxq") == 1 and len(encoder.words.of_piece) <= 60
+    assert len(asked) == len(set(asked)) > 200
+
+
+def test_batches_equal_the_library_on_whole_texts():
+    rng = random.Random(7)
+    library, encoder = Tokenizer.from_file(WORDS), token_files.Encoder(WORDS)
+    marks = [chr(c) for c in range(0x21, 0x180)] + [" "] * 60 + ["'s", "'LL", "<|endoftext|>", "\u0301", "\u4e2d", "\u01c5", "\n\n"]
+    texts = ["", " ", *["".join(rng.choice(marks) for _ in range(rng.randint(0, 80))) for _ in range(400)], *map(chr, range(1, 0x250)), ""]
+    whole = pa.array(["cut off", *texts, "cut off"])
+    for batch in (pa.array(texts), whole.slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        got = encoder.all(batch, 1)
+        assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert encoder.all(pa.array([], pa.string()), 1) == []
+    assert [g.tolist() for g in encoder.all(pa.array(["", "  "]), 7)] == [[7], [7]]
